@@ -117,7 +117,7 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int, short: bool = True) -> tu
     if short:
         for i in np.flatnonzero((n > 0) & (n < k)):
             own = h[first[i] : first[i + 1]]
-            out[start[i]] = (own * c[: len(own)]).sum(dtype=U64) + U64(len(own)) * U64(0xE7037ED1A0B428DB)
+            out[start[i]] = np.append(own * c[: len(own)], np.full(len(own), 0xE7037ED1A0B428DB, U64)).sum(dtype=U64)
     return mix(out), start
 
 
