@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import chat, decontam, licenses, mixing, near_dup, quality, token_counts, token_output
+from larder.llm import chat, decontam, licenses, mixing, near_dup, quality, suffix_dedup, token_counts, token_output
 from larder.llm.scratch import Scratch
 
 
@@ -48,6 +48,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scans": op1_license_scans,
     "op3_source_mixing": op3_source_mixing,
@@ -57,5 +61,6 @@ QUERIES = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {"op7_chat_formatting": chat.oracle()}
