@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import chat, decontam, licenses, mixing, near_dup, quality, suffix_dedup, token_counts, token_output
+from larder.llm import chat, decontam, fuzzy_passages, licenses, mixing, near_dup, quality, suffix_dedup, token_counts, token_output
 from larder.llm.scratch import Scratch
 
 
@@ -17,6 +17,10 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_passages.passages(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -54,6 +58,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scans": op1_license_scans,
+    "op2_fuzzy_passages": op2_fuzzy_passages,
     "op3_source_mixing": op3_source_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_near_dedup": op5_near_dedup,
