@@ -117,55 +117,88 @@ def _hash(h: np.ndarray, k: int) -> np.ndarray:
     return K.shingles(h, np.array([0, len(h)]), k, short=False)[0]
 
 
-def _find(rows: list, coverage: float):
-    """The function that tiles batches of documents against a block of the benchmark, made on the worker once."""
-    made: list[_Seeds] = []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(_Seeds(_items(rows)))
-        seeds = made[0]
-        for b in batches:
-            ids = b.column(0)
-            all_data, all_at = K.text_bytes(b.column(1))
-            for i, j in K.parts(all_at):
-                data, at = all_data[all_at[i] : all_at[j]], all_at[i : j + 1] - all_at[i]
-                begin, end, first = K.words(data, at)
-                h = K.word_hashes(data, begin, end)
-                out = []
-                for k, (known, start, owner) in seeds.by.items():
-                    window, wat = K.shingles(h, first, k, short=False)
-                    where = np.searchsorted(known, window)
-                    where[where == len(known)] = 0
-                    hit = np.flatnonzero(known[where] == window)
-                    hits: dict[tuple[int, int], list[int]] = defaultdict(list)
-                    docs = np.searchsorted(wat, hit, "right") - 1
-                    for p, d, s in zip((hit - wat[docs]).tolist(), docs.tolist(), where[hit].tolist(), strict=True):
-                        for n in owner[start[s] : start[s + 1]].tolist():
-                            hits[d, n].append(p)
-                    for (d, n), p in sorted(hits.items()):
-                        own, item = h[first[d] : first[d + 1]], seeds.items[n][1]
-                        reach = len(set().union(*(range(x, x + k) for x in p))) if len(p) * k < len(item) else len(item)
-                        if reach < coverage * len(item):  # tiles cover no more of the item than of the document
-                            continue
-                        tiles = tile(own, item, SEED, np.array(p))
-                        tiled = sum(x[2] for x in tiles)
-                        if tiled >= coverage * len(item):
-                            out.append((ids[i + d].as_py(), seeds.items[n][0], len(item), len(tiles), tiled, max(x[2] for x in tiles), tiled / len(item)))
-                yield K.batch(OUT, *(list(c) for c in zip(*out, strict=True))) if out else OUT.empty_table().to_batches()[0] if OUT.empty_table().to_batches() else K.batch(OUT, *([] for _ in OUT))
-
-    return run
+class Finder:
+    """Finds documents that hold items of a block of the benchmark; seeds are made on the worker, once."""
+
+    def __init__(self, rows: list, coverage: float):
+        self.rows, self.coverage, self._seeds = rows, coverage, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_seeds": None}
+
+    def find(self, texts: pa.Array) -> Iterator[tuple]:
+        """(row, item_id, n_item_words, n_tiles, n_tiled, longest, coverage) of each pair at or above the coverage."""
+        if self._seeds is None:
+            self._seeds = _Seeds(_items(self.rows))
+        items = self._seeds.items
+        all_data, all_at = K.text_bytes(texts)
+        for i, j in K.parts(all_at):
+            data, at = all_data[all_at[i] : all_at[j]], all_at[i : j + 1] - all_at[i]
+            begin, end, first = K.words(data, at)
+            h = K.word_hashes(data, begin, end)
+            for k, (known, start, owner) in self._seeds.by.items():
+                window, wat = K.shingles(h, first, k, short=False)
+                where = np.searchsorted(known, window)
+                where[where == len(known)] = 0
+                hit = np.flatnonzero(known[where] == window)
+                hits: dict[tuple[int, int], list[int]] = defaultdict(list)
+                docs = np.searchsorted(wat, hit, "right") - 1
+                for p, d, s in zip((hit - wat[docs]).tolist(), docs.tolist(), where[hit].tolist(), strict=True):
+                    for n in owner[start[s] : start[s + 1]].tolist():
+                        hits[d, n].append(p)
+                for (d, n), p in sorted(hits.items()):
+                    own, item = h[first[d] : first[d + 1]], items[n][1]
+                    if len(p) * k < self.coverage * len(item):  # tiles cover no more than the seeds do
+                        continue
+                    tiles = tile(own, item, SEED, np.array(p))
+                    tiled = sum(x[2] for x in tiles)
+                    if tiled >= self.coverage * len(item):
+                        yield i + d, items[n][0], len(item), len(tiles), tiled, max(x[2] for x in tiles), tiled / len(item)
+
+
+def _blocks(benchmark: DataFrame, coverage: float, block_words: int) -> Iterator[Finder]:
+    """Finders of the whole benchmark; a block is read to the driver and sent out whole, and its size is bounded."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    n_words = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
+    blocks = -(-n_words // block_words) or 1
+    for n in range(blocks):
+        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
+        yield Finder([tuple(r) for r in own.collect()], coverage)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds: doc_id, item_id, n_item_words, n_tiles, n_tiled, longest, coverage."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    n_words = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
-    blocks = -(-n_words // block_words) or 1
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+    def run_with(finder: Finder):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = list(finder.find(b.column(1)))
+                at = pa.array([x[0] for x in found], pa.int64())
+                yield K.batch(OUT, b.column(0).take(at), *([x[c] for x in found] for c in range(1, 7)))
+
+        return run
+
     out = None
-    for n in range(blocks):  # a block is read to the driver and sent out whole: its size is bounded
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
-        found = rows.mapInArrow(_find([tuple(r) for r in own.collect()], coverage), DDL)
+    for finder in _blocks(benchmark, coverage, block_words):
+        found = rows.mapInArrow(run_with(finder), DDL)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs``, all their columns, that hold no benchmark item."""
+    place = docs.columns.index("text")
+
+    def run_with(finder: Finder):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                good = np.ones(b.num_rows, bool)
+                good[[x[0] for x in finder.find(b.column(place).cast(pa.string()))]] = False
+                yield b.filter(pa.array(good))
+
+        return run
+
+    for finder in _blocks(benchmark, coverage, block_words):
+        docs = docs.mapInArrow(run_with(finder), docs.schema)
+    return docs

@@ -55,14 +55,15 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, most: fl
     return table.select("source", "source_size", F.least(F.col("most"), F.col("weight") * F.lit(level)).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies (times it is taken) and taken (words)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
-    text = F.col("text").cast("string")
+def _hash() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def thresholds(docs: DataFrame, weights: Sequence[float], share: float, most: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The sized documents (doc_id, source, size, hash), and of each source (s): source_size, target, whole copies and the hash bound of one more."""
     sized = docs.select(
-        F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64("doc_id", text).alias("hash"),
+        F.col("doc_id").cast("long"), F.col("source").cast("string"),
+        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _hash().alias("hash"),
     )
     sized = scratch.save(sized, "sizes")
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most, scratch)
@@ -72,13 +73,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     state = goal.select("source", "rest", F.lit(0).cast("long").alias("prefix"))
     for r in range(ROUNDS):
         shift = 64 - BITS * (r + 1)
-        inside = sized.where("size > 0")
-        bucket = F.shiftrightunsigned(F.col("hash"), shift)
-        counted = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n")) if r == 0 else None
+        bucket = F.shiftrightunsigned(F.col("hash"), shift).alias("bucket")
         s = state.select(F.col("source").alias("s"), "rest", "prefix")
-        if counted is None:
-            here = inside.join(s, F.col("source").eqNullSafe(F.col("s")) & (F.shiftrightunsigned(F.col("hash"), shift + BITS) == F.col("prefix")))
-            counted = here.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
+        inside = sized.where("size > 0")
+        if r:
+            inside = inside.join(s, F.col("source").eqNullSafe(F.col("s")) & (F.shiftrightunsigned(F.col("hash"), shift + BITS) == F.col("prefix")))
+        counted = inside.groupBy("source", bucket).agg(F.sum("size").alias("n"))
         up = Window.partitionBy("source").orderBy("bucket")  # at most 4096 rows a source
         ends = counted.join(s, F.col("source").eqNullSafe(F.col("s"))).withColumn("before", F.sum("n").over(up) - F.col("n")).where("before <= rest and rest < before + n")
         found = ends.select(F.col("s"), F.col("bucket").alias("ends"), (F.col("rest") - F.col("before")).alias("left"), "n")
@@ -90,8 +90,25 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         )
         state = scratch.save(state, "bounds")
     bound = goal.join(state.select(F.col("source").alias("s"), F.col("prefix").alias("bound")), F.col("source").eqNullSafe(F.col("s")))
-    bound = scratch.save(bound.select(F.col("s"), "source_size", "target", "whole", "bound"), "thresholds")
-    below = F.shiftrightunsigned(F.col("hash"), 64 - BITS * ROUNDS) < F.col("bound")
-    copies = F.col("whole") + below.cast("long")
+    return sized, scratch.save(bound.select("s", "source_size", "target", "whole", "bound"), "thresholds")
+
+
+def _copies(hashed: Column) -> Column:
+    return F.col("whole") + (F.shiftrightunsigned(hashed, 64 - BITS * ROUNDS) < F.col("bound")).cast("long")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies (times it is taken) and taken (words)."""
+    sized, bound = thresholds(docs, weights, share, most, Scratch(docs.sparkSession, "mixing"))
+    copies = _copies(F.col("hash"))
     return sized.join(bound, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "hash")
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The mix itself: each row of ``docs``, all its columns, as often as it is taken."""
+    _, bound = thresholds(docs, weights, share, most, Scratch(docs.sparkSession, "mixing"))
+    bound = bound.select(F.col("s").alias("mix_s"), *(F.col(c).alias(f"mix_{c}") for c in ("whole", "bound")))
+    copies = F.col("mix_whole") + (F.shiftrightunsigned(_hash(), 64 - BITS * ROUNDS) < F.col("mix_bound")).cast("long")
+    rows = docs.join(bound, F.col("source").eqNullSafe(F.col("mix_s"))).withColumn("mix_copies", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    return rows.select(*docs.columns)

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm import kernels as K
@@ -41,7 +41,7 @@ COLUMNS = 4096
 FILTER_BITS = 1 << 24
 
 N_VALUES = 2 * KEYS * ROWS
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary()), ("k1", pa.int64()), ("k2", pa.int32())])
 _MULTIPLY, _FLIP = K.seeds(N_VALUES, 5), K.seeds(N_VALUES, 6)
 
 
@@ -84,7 +84,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low = K.mix(v.ravel()).astype(np.uint8).reshape(v.shape)
                 for n, x in enumerate(full.tolist()):
                     keys[x], sketch[x] = key[n], low[n].tobytes()
-            yield K.batch(SIGNED, b.column(0).slice(i, j - i), [len(x) for x in sets], classes, keys, sketch)
+            yield K.batch(SIGNED, b.column(0).slice(i, j - i), [len(x) for x in sets], classes, keys, sketch, b.column(2).slice(i, j - i), b.column(3).slice(i, j - i))
 
 
 def _alike(pairs: DataFrame) -> DataFrame:
@@ -223,13 +223,15 @@ def links(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(dealt.groupBy("root", "i", "j").applyInArrow(_block_links, "a binary, b binary"), "links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def _verdicts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class, k1, k2 (the row's own hashes), component_id, kept."""
     scratch = Scratch(docs.sparkSession, "near-dup")
-    signed = scratch.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign, "doc_id long, n_shingles long, class binary, keys array<long>, sketch binary"), "signed")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), *_row_hashes())
+    signed = scratch.save(rows.mapInArrow(_sign, "doc_id long, n_shingles long, class binary, keys array<long>, sketch binary, k1 long, k2 int"), "signed")
     found = clusters(signed, scratch)
     joined = components(links(docs, found, scratch), scratch)
-    rows = signed.select("doc_id", "n_shingles", "class")
+    rows = signed.select("doc_id", "n_shingles", "class", "k1", "k2")
     least = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     owned = scratch.save(least.join(joined, F.col("class") == F.col("node"), "left").select("class", "least", "n", "root"), "owned")
     whole = owned.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("least").alias("all"))
@@ -238,4 +240,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = scratch.save(named.where("n > 1 or root is not null").select("c", "component"), "named")
     out = rows.join(named, F.col("class") == F.col("c"), "left")
     component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", "class", "k1", "k2", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _row_hashes() -> list[Column]:
+    own = [F.col("doc_id").cast("long"), F.col("text").cast("string")]
+    return [F.xxhash64(*own).alias("k1"), F.hash(*own).alias("k2")]
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    return _verdicts(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all their columns, with one document of each component; of rows equal in doc_id and text one stays.
+
+    Rows are told apart by 96 bits of hashes of doc_id and text.
+    """
+    scratch = Scratch(docs.sparkSession, "near-dup")
+    verdicts = _verdicts(docs).where("n_shingles > 0")
+    go = verdicts.groupBy("k1", "k2").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
+    go = scratch.save(go.select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), "kept"), "go")
+    one, two = (h.alias(n) for h, n in zip(_row_hashes(), ("near_k1", "near_k2"), strict=True))
+    rows = docs.select("*", one, two)
+    same = (F.col("near_k1") == F.col("g1")) & (F.col("near_k2") == F.col("g2"))
+    out = rows.join(go, same, "left_anti")
+    again = rows.join(go.where("kept"), same, "left_semi").dropDuplicates(["near_k1", "near_k2"]) if not go.where("kept").isEmpty() else None
+    out = out if again is None else out.unionByName(again)
+    return out.select(*docs.columns)

@@ -156,25 +156,45 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     return Model(w.astype(np.float32), float(slope), float(shift))
 
 
+def assess(texts: pa.Array, model: Model | None, threshold: float = THRESHOLD) -> tuple[np.ndarray, ...]:
+    """Columns of the verdict on a batch of texts: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, kept."""
+    all_data, all_at = K.text_bytes(texts)
+    out = []
+    for i, j in K.parts(all_at):
+        data, at = all_data[all_at[i] : all_at[j]], all_at[i : j + 1] - all_at[i]
+        begin, end, first = K.words(data, at)
+        n = np.diff(first)
+        chars = K.sums(((data & 0xC0) != 0x80) & K.BLACK[data], at)
+        symbols = K.sums(SYMBOL[data], at)
+        raw = data.tobytes()
+        lines = np.array([repeated_lines(raw[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.int64)
+        again = repeated(K.word_hashes(data, begin, end, lower=False), first)
+        failed = (n < 20) | (100 * again > 30 * n)
+        p = np.full(j - i, 1.0) if model is None else model.probability(score(features(data, at, K.word_hashes(data, begin, end), first), model.weights, j - i))
+        out.append((n, chars, symbols, lines, again, failed, p, ~failed & (p >= threshold)))
+    if not out:
+        return tuple(np.zeros(0, f.type.to_pandas_dtype()) for f in list(OUT)[1:])
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: base counts, base verdict, calibrated quality and whether it is kept."""
     spread = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = spread.value
         for b in batches:
-            all_data, all_at = K.text_bytes(b.column(1))
-            for i, j in K.parts(all_at):
-                data, at = all_data[all_at[i] : all_at[j]], all_at[i : j + 1] - all_at[i]
-                begin, end, first = K.words(data, at)
-                n = np.diff(first)
-                chars = K.sums(((data & 0xC0) != 0x80) & K.BLACK[data], at)
-                symbols = K.sums(SYMBOL[data], at)
-                raw = data.tobytes()
-                lines = np.array([repeated_lines(raw[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.int64)
-                again = repeated(K.word_hashes(data, begin, end, lower=False), first)
-                failed = (n < 20) | (100 * again > 30 * n)
-                p = np.full(j - i, 1.0) if model is None else model.probability(score(features(data, at, K.word_hashes(data, begin, end), first), model.weights, j - i))
-                yield K.batch(OUT, b.column(0).slice(i, j - i), n, chars, symbols, lines, again, failed, p, ~failed & (p >= threshold))
+            yield K.batch(OUT, b.column(0), *assess(b.column(1), spread.value, threshold))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DDL)
+
+
+def keep(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all their columns, that ``judge`` keeps."""
+    spread = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(assess(b.column(place).cast(pa.string()), spread.value, threshold)[-1]))
+
+    return docs.mapInArrow(run, docs.schema)
