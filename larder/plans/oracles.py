@@ -68,3 +68,77 @@ ORACLES: dict[str, str] = {
     "null_shares": f"WITH {FEATURES}, one AS (SELECT " + ", ".join(f"avg(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0 END) AS {c}" for c in [
         *(f"units_lag_{k}" for k in S.LAGS), *(f"units_roll_{f}_{n}" for n in S.WINDOWS for f in ("mean", "std", "max")), "zero_share_90", "days_since_last_sale", "price_rel_28", "price_changed", "days_since_event", "days_to_event"]) + " FROM features) SELECT feature, round(null_share, 6) AS null_share FROM (UNPIVOT one ON * INTO NAME feature VALUE null_share)",
 }
+
+FOLDS = FACT + f""",
+folds AS (SELECT fold, last - {H} * ({NF - 1} - fold) - {H} AS origin_date, last - {H} * ({NF - 1} - fold) - {H - 1} AS test_start, last - {H} * ({NF - 1} - fold) AS test_end
+  FROM (SELECT max(date) AS last FROM fact), (SELECT CAST(unnest(range({NF})) AS INT) AS fold)),
+targets AS (SELECT fold, origin_date, h AS horizon, origin_date + h AS target_date FROM folds, (SELECT CAST(unnest(range(1, {H + 1})) AS INT) AS h))"""
+NAIVE = FOLDS + """,
+naive AS (SELECT 'seasonal_naive' AS model_name, fold, origin_date, target_date, horizon, item_id, store_id, CAST(units AS DOUBLE) AS yhat
+  FROM targets JOIN fact ON date = origin_date - 7 + (horizon - 1) % 7 + 1)"""
+TSB = NAIVE + """,
+numbered AS (SELECT date, item_id, store_id, units, row_number() OVER w AS n, count(*) FILTER (units > 0) OVER w AS k FROM fact WINDOW w AS (PARTITION BY item_id, store_id ORDER BY date)),
+sized AS (SELECT *, max(n) OVER p AS n_all, max(k) OVER p AS k_all FROM numbered JOIN folds ON date <= origin_date WINDOW p AS (PARTITION BY fold, item_id, store_id)),
+levels AS (SELECT fold, origin_date, item_id, store_id, sum(CASE WHEN units > 0 THEN pow(0.8::DOUBLE, n_all - n) * CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END ELSE 0 END) AS p,
+  sum(CASE WHEN units > 0 THEN pow(0.8::DOUBLE, k_all - k) * CASE WHEN k = 1 THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END * units ELSE 0 END) AS z FROM sized GROUP BY ALL),
+tsb AS (SELECT 'tsb' AS model_name, fold, levels.origin_date, target_date, horizon, item_id, store_id, p * z AS yhat FROM levels JOIN targets USING (fold))"""
+SCORED = TSB + """,
+forecasts AS (SELECT * FROM naive UNION ALL SELECT * FROM tsb),
+changes AS (SELECT *, units - lag(units) OVER w AS change, min(CASE WHEN units > 0 THEN date END) OVER (PARTITION BY item_id, store_id) AS first FROM fact WINDOW w AS (PARTITION BY item_id, store_id ORDER BY date)),
+raw AS (SELECT item_id, store_id, fold, avg(abs(change)) FILTER (date > first) AS scale, avg(change * change) FILTER (date > first) AS scale_sq FROM changes JOIN folds ON date <= origin_date GROUP BY 1, 2, 3),
+scales AS (SELECT item_id, store_id, fold, CASE WHEN scale > 1e-12 THEN scale END AS scale, CASE WHEN scale_sq > 1e-12 THEN scale_sq END AS scale_sq FROM raw),
+errors AS (SELECT f.*, CAST(units AS DOUBLE) AS y, yhat - units AS error FROM forecasts f JOIN fact a ON a.item_id = f.item_id AND a.store_id = f.store_id AND a.date = target_date)"""
+
+
+def _score(by: str, source: str = "errors") -> str:
+    extra = f", {by}" if by else ""
+    return f"""one AS (SELECT model_name, fold, item_id, store_id{extra}, avg(abs(error)) / max(scale) AS mase, sqrt(avg(error * error) / max(scale_sq)) AS rmsse, avg(error) AS bias
+      FROM {source} LEFT JOIN scales USING (item_id, store_id, fold) GROUP BY model_name, fold, item_id, store_id{extra}),
+    long AS (SELECT model_name, fold{extra}, unnest(['mase', 'rmsse', 'bias']) AS metric, unnest([mase, rmsse, bias]) AS value FROM one),
+    metrics AS (SELECT model_name, fold{extra}, metric, avg(value) AS value, count(value) AS n_series, count(*) - count(value) AS n_excluded FROM long GROUP BY ALL)"""
+
+
+_METRICS = "SELECT * REPLACE (round(value, 6) AS value) FROM metrics"
+_LEVELS = "[" + ", ".join(f"{q}::DOUBLE" for q in S.LEVELS) + "]"
+QUANTILES = SCORED + f""",
+weekly AS (SELECT date, item_id, store_id, units - lag(units, 7) OVER (PARTITION BY item_id, store_id ORDER BY date) AS residual FROM fact),
+offsets AS (SELECT fold, item_id, store_id, quantile_cont(CAST(residual AS DOUBLE), {_LEVELS}) AS o FROM weekly JOIN folds ON date <= origin_date WHERE residual IS NOT NULL GROUP BY 1, 2, 3),
+quantiles AS (SELECT model_name, fold, origin_date, target_date, horizon, item_id, store_id, unnest({_LEVELS}) AS quantile, unnest(list_transform(o, lambda x: greatest(0.0::DOUBLE, yhat + x))) AS yhat
+  FROM naive JOIN offsets USING (fold, item_id, store_id)),
+crossed AS (SELECT * REPLACE (yhat * CASE WHEN quantile = 0.75::DOUBLE AND horizon % 4 = 0 THEN 1.5::DOUBLE ELSE 1 END AS yhat) FROM quantiles)"""
+_ALPHAS = (0.1, 0.15, 0.2, 0.25, 0.3)
+
+
+def _ses(values: str) -> str:
+    tried = ", ".join(
+        f"list_reduce({values}, lambda a, x: {{'sse': a.sse + (x - a.level) * (x - a.level), 'alpha': a.alpha, 'level': a.alpha * x + (1 - a.alpha) * a.level}}, {{'sse': 0.0::DOUBLE, 'alpha': {a}::DOUBLE, 'level': {values}[1]}})"
+        for a in _ALPHAS
+    )
+    return f"list_min([{tried}]).level"
+
+
+ORACLES |= {
+    "folds": f"WITH {FOLDS} SELECT * FROM folds",
+    "seasonal_naive": f"WITH {NAIVE} SELECT * FROM naive",
+    "tsb_forecast": f"WITH {TSB} SELECT * REPLACE (round(yhat, 6) AS yhat) FROM tsb",
+    "croston_forecast": f"""WITH {NAIVE}, numbered AS (SELECT *, row_number() OVER (PARTITION BY item_id, store_id ORDER BY date) AS n FROM fact),
+      gaps AS (SELECT date, item_id, store_id, CAST(units AS DOUBLE) AS units, CAST(n - coalesce(lag(n) OVER (PARTITION BY item_id, store_id ORDER BY date), 0) AS DOUBLE) AS gap FROM numbered WHERE units > 0),
+      lists AS (SELECT fold, origin_date, item_id, store_id, list(units ORDER BY date) AS u, list(gap ORDER BY date) AS g FROM gaps JOIN folds ON date <= origin_date GROUP BY ALL)
+      SELECT 'croston' AS model_name, fold, lists.origin_date, target_date, horizon, item_id, store_id, round({_ses('u')} / {_ses('g')}, 6) AS yhat FROM lists JOIN targets USING (fold)""",
+    "naive_scales": f"WITH {SCORED} SELECT item_id, store_id, fold, round(scale, 6) AS scale, round(scale_sq, 6) AS scale_sq FROM scales",
+    "fold_metrics": f"WITH {SCORED}, {_score('')} {_METRICS}",
+    "metrics_by_horizon": f"WITH {SCORED}, {_score('horizon')} {_METRICS}",
+    "metrics_by_stratum": f"WITH {SCORED}, {STRATA.removeprefix(FACT + ',')}, banded AS (SELECT errors.*, stratum_name AS stratum FROM errors LEFT JOIN named USING (item_id)), {_score('stratum', 'banded')} {_METRICS}",
+    "horizon_decay": f"WITH {SCORED}, {_score('horizon')} SELECT model_name, metric, CAST((horizon - 1) // 7 + 1 AS BIGINT) AS week, round(avg(value), 6) AS value FROM metrics GROUP BY ALL",
+    "fold_summary": f"WITH {SCORED}, {_score('')} SELECT model_name, metric, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, round(min(value), 4) AS min, round(max(value), 4) AS max, count(value) AS n_folds FROM metrics GROUP BY ALL",
+    "quantile_forecast": f"WITH {QUANTILES} SELECT * REPLACE (round(yhat, 6) AS yhat) FROM quantiles",
+    "monotone_quantiles": f"""WITH {QUANTILES}, lists AS (SELECT model_name, fold, item_id, store_id, target_date, origin_date, horizon, list(quantile ORDER BY quantile) AS q, list(yhat ORDER BY yhat) AS v FROM crossed GROUP BY ALL)
+      SELECT model_name, fold, item_id, store_id, target_date, origin_date, horizon, unnest(q) AS quantile, unnest(list_transform(v, lambda x: round(x, 6))) AS yhat FROM lists""",
+    "crossing_rate": f"""WITH {QUANTILES}, steps AS (SELECT *, yhat - lag(yhat) OVER (PARTITION BY model_name, fold, item_id, store_id, target_date ORDER BY quantile) < -1e-9 AS c FROM crossed),
+      flagged AS (SELECT model_name, fold, item_id, store_id, target_date, coalesce(bool_or(c), false) AS c FROM steps GROUP BY ALL)
+      SELECT model_name, count(*) AS n_rows, count(*) FILTER (c) AS n_crossing, round(count(*) FILTER (c) / count(*), 6) AS rate FROM flagged GROUP BY 1""",
+    "pinball_scores": f"""WITH {QUANTILES} SELECT model_name, fold, quantile, round(avg(greatest(quantile * (units - yhat), (quantile - 1) * (units - yhat))), 6) AS value, count(*) AS n_rows, 'pinball_q' || CAST(quantile AS VARCHAR) AS metric
+      FROM quantiles q JOIN fact a ON a.item_id = q.item_id AND a.store_id = q.store_id AND a.date = target_date GROUP BY 1, 2, 3""",
+    "hybrid_forecast": f"""WITH {SCORED}, {STRATA.removeprefix(FACT + ',')} SELECT 'hybrid' AS model_name, fold, origin_date, target_date, horizon, item_id, store_id, round(yhat, 6) AS yhat, model_name AS source_model
+      FROM forecasts JOIN named USING (item_id) WHERE model_name = CASE stratum_name WHEN 'sparse' THEN 'tsb' ELSE 'seasonal_naive' END""",
+}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.operators import demand
+from larder.operators import forecasting as fc
 from larder.plans.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +103,106 @@ def feature_panel(spark, sf_dir):
 @query
 def null_shares(spark, sf_dir):
     return rounded(demand.null_shares(demand.features(fact(spark, sf_dir))))
+
+
+@query
+def folds(spark, sf_dir):
+    return fc.folds(fact(spark, sf_dir))
+
+
+def _naive(spark, sf_dir):
+    panel = fact(spark, sf_dir)
+    return panel, fc.folds(panel), fc.seasonal_naive(panel, fc.folds(panel))
+
+
+@query
+def seasonal_naive(spark, sf_dir):
+    return _naive(spark, sf_dir)[2]
+
+
+@query
+def tsb_forecast(spark, sf_dir):
+    panel, cut, _ = _naive(spark, sf_dir)
+    return rounded(fc.tsb(panel, cut))
+
+
+@query
+def croston_forecast(spark, sf_dir):
+    panel, cut, _ = _naive(spark, sf_dir)
+    return rounded(fc.croston(panel, cut))
+
+
+@query
+def naive_scales(spark, sf_dir):
+    panel, cut, _ = _naive(spark, sf_dir)
+    return rounded(fc.naive_scales(panel, cut))
+
+
+def _scored(spark, sf_dir, by=(), banded=False):
+    panel, cut, naive = _naive(spark, sf_dir)
+    both = naive.unionByName(fc.tsb(panel, cut))
+    return fc.score(both, panel, fc.naive_scales(panel, cut), by, strata(spark, sf_dir) if banded else None)
+
+
+@query
+def fold_metrics(spark, sf_dir):
+    return rounded(_scored(spark, sf_dir))
+
+
+@query
+def metrics_by_horizon(spark, sf_dir):
+    return rounded(_scored(spark, sf_dir, ["horizon"]))
+
+
+@query
+def metrics_by_stratum(spark, sf_dir):
+    return rounded(_scored(spark, sf_dir, ["stratum"], banded=True))
+
+
+@query
+def horizon_decay(spark, sf_dir):
+    week = F.floor((F.col("horizon") - 1) / 7) + 1
+    return rounded(_scored(spark, sf_dir, ["horizon"]).groupBy("model_name", "metric", week.alias("week")).agg(F.avg("value").alias("value")))
+
+
+@query
+def fold_summary(spark, sf_dir):
+    return fc.across_folds(_scored(spark, sf_dir))
+
+
+def _quantiles(spark, sf_dir):
+    panel, cut, naive = _naive(spark, sf_dir)
+    return panel, fc.quantile_forecast(naive, fc.residual_quantiles(panel, cut))
+
+
+def _crossed(spark, sf_dir):
+    """Quantiles that cross on some days, as separately fitted ones do."""
+    _, rows = _quantiles(spark, sf_dir)
+    return rows.withColumn("yhat", F.col("yhat") * F.when((F.col("quantile") == 0.75) & (F.col("horizon") % 4 == 0), 1.5).otherwise(1.0))
+
+
+@query
+def quantile_forecast(spark, sf_dir):
+    return rounded(_quantiles(spark, sf_dir)[1])
+
+
+@query
+def monotone_quantiles(spark, sf_dir):
+    return rounded(fc.monotone(_crossed(spark, sf_dir)))
+
+
+@query
+def crossing_rate(spark, sf_dir):
+    return rounded(fc.crossing_rate(_crossed(spark, sf_dir)))
+
+
+@query
+def pinball_scores(spark, sf_dir):
+    panel, rows = _quantiles(spark, sf_dir)
+    return rounded(fc.pinball(rows, panel))
+
+
+@query
+def hybrid_forecast(spark, sf_dir):
+    panel, cut, naive = _naive(spark, sf_dir)
+    return rounded(fc.hybrid(naive.unionByName(fc.tsb(panel, cut)), strata(spark, sf_dir)))
