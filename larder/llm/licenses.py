@@ -47,8 +47,11 @@ BETWEEN_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def plain(text: Column) -> Column:
-    """A-Z as a-z. A text of ASCII alone takes the fast way, which does the same there."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    """A-Z as a-z, and other letters somehow, but none of them as a-z: words of a-z and 0-9 are as they would be with A-Z alone.
+
+    Of all characters the Kelvin sign alone becomes a letter of a-z when lowered; a text that holds it takes the slow, literal way.
+    """
+    return F.when(F.contains(text, F.lit("\u212a")), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
 def _strings(values: Sequence[str]) -> Column:
@@ -87,30 +90,33 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mappi
     need = {name: ceil(threshold * len(s) - 1e-9) for name, s in sets.items()}
     prefixes = sorted({w for name, s in sets.items() for w in s[: len(s) - need[name] + 1]}, key=rank.__getitem__)
 
-    low = plain(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    lines = F.regexp_replace(low, BETWEEN_IN_LINE, " ")  # line ends stay
-    rows = docs.select(F.col("doc_id").cast("long"), lines.alias("lines"))
-    rows = rows.withColumn("flat", F.trim(F.regexp_replace("lines", r"[ \n]+", " ")))
-    padded = F.concat(F.lit(" "), "flat", F.lit(" "))
-    n_words = F.when(F.col("flat") == "", F.lit(0)).otherwise(F.char_length("flat") - F.char_length(F.replace("flat", F.lit(" "), F.lit(""))) + 1).cast("long")
+    # cheap for every row: words once (explode keeps them from being split again where they are used), their number, and one set test
+    text = plain(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("low")).select("doc_id", "low", F.explode(F.array(F.split("low", BETWEEN))).alias("words"))
+    edges = (F.element_at("words", 1) == "").cast("int") + ((F.size("words") > 1) & (F.element_at("words", -1) == "")).cast("int")
+    rarest = [min(p.split(), key=lambda w: (rank.get(w, -1), w)) for p in phrases]
+    may_hold = F.arrays_overlap("words", _strings(sorted({*prefixes, *rarest}))) if prefixes or rarest else F.lit(False)
+    rows = rows.select("doc_id", (F.size("words") - edges).cast("long").alias("n_words"), F.when(may_hold, F.col("low")).alias("low"), F.when(may_hold, F.filter("words", lambda w: w != "")).alias("words"))
 
     def places(phrase: str) -> Column:
         parts = phrase.split()
-        words = F.split("flat", " ")
-        at = F.filter(F.sequence(F.lit(1), F.size(words) - len(parts) + 1), lambda i: (F.element_at(words, i) == parts[0]) & (F.slice(words, i, len(parts)) == _strings(parts)))
-        return F.when(F.contains(padded, F.lit(f" {phrase} ")), at).otherwise(F.array().cast("array<int>"))
+        at = F.filter(F.sequence(F.lit(1), F.size("words") - len(parts) + 1), lambda i: (F.element_at("words", i) == parts[0]) & (F.slice("words", i, len(parts)) == _strings(parts)))
+        whole = (F.size("words") >= len(parts)) & (F.size(F.array_intersect("words", _strings(parts))) == len(set(parts)))
+        return F.when(whole, at).otherwise(F.array().cast("array<int>"))
 
-    rows = rows.select("doc_id", "lines", "flat", n_words.alias("n_words"), F.array(*[places(p) for p in phrases]).alias("places"))
+    none = F.array().cast("array<array<int>>")
+    rows = rows.select("doc_id", "n_words", "low", F.when(F.col("words").isNotNull(), F.array(*[places(p) for p in phrases])).otherwise(none).alias("places"))
     base = F.filter(F.transform(F.arrays_zip(F.col("places").alias("p"), _strings(list(phrases.values())).alias("l")), lambda x: F.when(F.size(x["p"]) > 0, x["l"])), F.isnotnull)
-    has_prefix = F.col("flat").rlike(r"(?<![^ ])(?:" + "|".join(map(re.escape, prefixes)) + r")(?![^ ])") if prefixes else F.lit(False)
-    line_words = F.transform(F.filter(F.split("lines", "\n"), lambda x: F.trim(x) != ""), lambda x: F.split(F.trim(x), " +"))
+    lines = F.split(F.regexp_replace("low", BETWEEN_IN_LINE, " "), "\n")
+    line_words = F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.split(F.trim(x), " +"))
     window = F.transform(line_words, lambda words: F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(words) - WINDOW // 2, F.lit(1)), F.lit(WINDOW // 2)),
         lambda i: F.array_intersect(_strings(order), F.slice(words, i, WINDOW))))
     least = min(need.values(), default=1)
     blocks = F.array_distinct(F.filter(F.flatten(window), lambda x: F.size(x) >= least))
     rows = rows.select("doc_id", "n_words", F.array_sort(F.flatten("places")).alias("at"), F.array_sort(F.array_distinct(base)).alias("base"),
-                       F.when(has_prefix, blocks).otherwise(F.array().cast("array<array<string>>")).alias("blocks"))
+                       F.when(F.col("low").isNotNull(), blocks).otherwise(F.array().cast("array<array<string>>")).alias("blocks"))
+    rows = rows.select("doc_id", "n_words", "at", "base", F.explode(F.array("blocks")).alias("blocks"))
     found = F.flatten(F.transform("blocks", lambda b: F.filter(
         F.array(*[F.struct(F.lit(name.removesuffix("-line")).alias("label"), _matches(b, name, s, need[name]).alias("share")) for name, s in sets.items()]),
         lambda x: x["share"].isNotNull())))
