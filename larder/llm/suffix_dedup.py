@@ -31,7 +31,9 @@ from larder.llm.scratch import Scratch
 
 LENGTH, GRAM = 100, 24
 #: Input bytes for a bucket, about, where shuffle partitions are fewer; records held by a task; contexts of one anchor in a shard.
-BUCKET_BYTES, HELD, SHARD = 64 << 20, 1_000_000, 20_000
+BUCKET_BYTES, HELD, SHARD = 64 << 20, 500_000, 20_000
+#: Bytes of one suffix array, about.
+ARRAY_BYTES = 1 << 19
 FILTER_BITS = 1 << 24
 NONE = np.iinfo(np.int64).max
 RUN = np.dtype([("key", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("at", "<u4"), ("back", "u1"), ("n", "u1")])
@@ -346,7 +348,26 @@ def _strings(wants: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _compare(wants: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Marks within one shard."""
+    """Marks within one shard. Equal strings have one anchor, so anchors are taken a few at a time, in arrays of bounded size."""
+    size = wants["n"].astype(np.int64) - 1 + LENGTH
+    begin = np.cumsum(size) - size
+    order = np.argsort(wants["key"], kind="stable")
+    new = np.flatnonzero(np.concatenate(([True], wants["key"][order][1:] != wants["key"][order][:-1]))) if len(order) else np.zeros(0, np.int64)
+    total = np.cumsum(size[order])
+    out, i = [np.zeros(0, MARK)], 0
+    while i < len(order):
+        far = int(np.searchsorted(total, (total[i - 1] if i else 0) + ARRAY_BYTES, "right"))
+        k = int(np.searchsorted(new, far, "right")) - 1  # the last anchor that begins by there, unless it is the first
+        j = int(new[k]) if k >= 0 and new[k] > i else int(np.append(new, len(order))[np.searchsorted(new, i, "right")])
+        j = len(order) if far >= len(order) else j
+        own = order[i:j]
+        at = np.arange(int(size[own].sum())) + np.repeat(begin[own] - (np.cumsum(size[own]) - size[own]), size[own])
+        out.append(_compare_few(wants[own], data[at]))
+        i = j
+    return np.concatenate(out)
+
+
+def _compare_few(wants: np.ndarray, data: np.ndarray) -> np.ndarray:
     ends, owner, start, place = _strings(wants)
     array, _ = suffix_array(data, ends)
     common = common_prefixes(data, ends, array)
