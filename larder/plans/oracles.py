@@ -142,3 +142,99 @@ ORACLES |= {
     "hybrid_forecast": f"""WITH {SCORED}, {STRATA.removeprefix(FACT + ',')} SELECT 'hybrid' AS model_name, fold, origin_date, target_date, horizon, item_id, store_id, round(yhat, 6) AS yhat, model_name AS source_model
       FROM forecasts JOIN named USING (item_id) WHERE model_name = CASE stratum_name WHEN 'sparse' THEN 'tsb' ELSE 'seasonal_naive' END""",
 }
+
+# Margin, spoilage and holding of the standard cost model.
+_M, _S, _HOLD = 0.3, 0.6, 0.02
+
+
+def _ratio(spoilage: float) -> float:
+    return _M / (_M + (1 - _M) * (spoilage + _HOLD))
+
+
+def _interpolate(target: float) -> str:
+    k = next(i for i, q in enumerate(S.LEVELS) if q >= target)
+    if S.LEVELS[k] == target:
+        return f"q[{k + 1}]"
+    w = (target - S.LEVELS[k - 1]) / (S.LEVELS[k] - S.LEVELS[k - 1])
+    return f"(q[{k}] + {w!r}::DOUBLE * (q[{k + 1}] - q[{k}]))"
+
+
+def _masses() -> list[float]:
+    edges = [0.0, *((a + b) / 2 for a, b in zip(S.LEVELS[:-1], S.LEVELS[1:], strict=True)), 1.0]
+    return [b - a for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+PANEL = QUANTILES + f""",
+panel AS (SELECT model_name, fold, w.item_id, w.store_id, target_date, q, CAST(a.units AS DOUBLE) AS demand, coalesce(a.price, 3.0::DOUBLE) AS price, coalesce(CAST(b.units AS DOUBLE), 0) AS naive,
+    greatest(0.0::DOUBLE, {_interpolate(_ratio(_S))}) AS order_qty
+  FROM (SELECT model_name, fold, item_id, store_id, target_date, list(yhat ORDER BY yhat) AS q FROM quantiles GROUP BY ALL) w
+  JOIN fact a ON a.item_id = w.item_id AND a.store_id = w.store_id AND a.date = target_date
+  LEFT JOIN fact b ON b.item_id = w.item_id AND b.store_id = w.store_id AND b.date = target_date - 7),
+policy AS (SELECT model_name, fold, item_id, store_id, target_date, price, price * {_M}::DOUBLE AS cu, price * {1 - _M!r}::DOUBLE * {_S + _HOLD!r}::DOUBLE AS co, {_ratio(_S)!r}::DOUBLE AS critical_ratio, order_qty, demand, q FROM panel),
+policy2 AS (SELECT * EXCLUDE (q), """ + " + ".join(f"{m!r}::DOUBLE * (greatest(q[{i}] - order_qty, 0) * cu + greatest(order_qty - q[{i}], 0) * co)" for i, m in enumerate(_masses(), 1)) + " AS expected_cost FROM policy)"
+
+
+def _stack(**policies: str) -> str:
+    return "stacked AS (" + " UNION ALL ".join(f"SELECT '{k}' AS policy, CAST({v} AS DOUBLE) AS q, demand, price FROM panel" for k, v in policies.items()) + ")"
+
+
+_SIMULATED = f"""parts AS (SELECT policy, greatest(demand - q, 0) AS s, greatest(q - demand, 0) AS l, price FROM stacked),
+  simulated AS (SELECT policy, avg(CASE WHEN s > 0 THEN 1.0::DOUBLE ELSE 0 END) AS stockout_rate, sum(s) AS units_short, sum(l) AS units_left, sum(s * price * {_M}::DOUBLE) AS understock_cost,
+    sum(l * price * {1 - _M!r}::DOUBLE * {_S}::DOUBLE) AS waste_cost, sum(l * price * {1 - _M!r}::DOUBLE * {_HOLD}::DOUBLE) AS holding_cost, count(*) AS n_rows FROM parts GROUP BY 1),
+  totals AS (SELECT *, understock_cost + waste_cost + holding_cost AS total_cost FROM simulated)"""
+_ROUND_COST = ", ".join(f"round({c}, 2) AS {c}" for c in ("understock_cost", "waste_cost", "holding_cost", "total_cost"))
+
+
+def _sensitivity() -> str:
+    cells = []
+    for s in (0.0, 0.2, 0.4, 0.6, 0.8, 1.0):
+        for name, q in (("naive", "naive"), ("fixed_95", "q[6]"), ("newsvendor", f"greatest(0.0::DOUBLE, {_interpolate(_ratio(s))})")):
+            cells.append(f"SELECT {s}::DOUBLE AS spoilage, {_ratio(s)!r}::DOUBLE AS critical_ratio, '{name}' AS policy, CAST({q} AS DOUBLE) AS o, demand, price FROM panel")
+    return "cells AS (" + " UNION ALL ".join(cells) + ")"
+
+
+_PATHS = ["state_id", "state_id || '/' || store_id", "state_id || '/' || store_id || '/' || dept_id", "state_id || '/' || store_id || '/' || dept_id || '/' || item_id"]
+_NAMES = ["state", "store", "dept", "item"]
+TREE = TSB + ",\nacts AS (" + " UNION ALL ".join(f"SELECT {p} AS node, '{n}' AS level, date, CAST(sum(units) AS BIGINT) AS units FROM fact GROUP BY 1, 2, 3" for p, n in zip(_PATHS, _NAMES, strict=True)) + """),
+paths AS (SELECT DISTINCT item_id, store_id, """ + _PATHS[3] + """ AS node FROM fact),
+base AS (SELECT node, level, fold, target_date, CAST(units AS DOUBLE) AS yhat FROM targets JOIN acts ON date = origin_date - 7 + (horizon - 1) % 7 + 1 WHERE level <> 'item'
+  UNION ALL SELECT node, 'item', fold, target_date, yhat FROM tsb JOIN paths USING (item_id, store_id))"""
+_P = "regexp_replace(node, '/[^/]*$', '')"
+MINT = TREE + """,
+up_item AS (SELECT node, fold, target_date, yhat, yhat AS z, 1.0::DOUBLE AS s, 1.0::DOUBLE AS leaves, NULL::DOUBLE AS c, NULL::DOUBLE AS cs FROM base WHERE level = 'item'),""" + ",".join(f"""
+up_{n} AS (SELECT *, s * (yhat / leaves + c / cs) AS z FROM (SELECT b.node, b.fold, b.target_date, b.yhat, leaves, c, cs, 1 / (1 / leaves + 1 / cs) AS s FROM base b
+  JOIN (SELECT {_P} AS node, fold, target_date, sum(z) AS c, sum(s) AS cs, sum(leaves) AS leaves FROM up_{below} GROUP BY 1, 2, 3) k USING (node, fold, target_date)))""" for n, below in zip(_NAMES[2::-1], _NAMES[:0:-1], strict=True)) + """,
+down_state AS (SELECT *, z AS y FROM up_state)""" + "".join(f""",
+down_{n} AS (SELECT u.*, u.z + u.s / p.cs * (p.y - p.c) AS y FROM up_{n} u JOIN down_{above} p ON p.node = {_P.replace('node', 'u.node')} AND p.fold = u.fold AND p.target_date = u.target_date)""" for above, n in zip(_NAMES[:-1], _NAMES[1:], strict=True)) + """,
+reconciled AS (""" + " UNION ALL ".join(f"SELECT node, '{n}' AS level, 'mixed' AS model_name, fold, target_date, yhat, y AS reconciled, greatest(0.0::DOUBLE, y) AS clipped FROM down_{n}" for n in _NAMES) + ")"
+
+
+def _gap(value: str) -> str:
+    return f"""(SELECT p.model_name, p.fold, p.level AS parent_level, k.child_level, avg(abs(p.{value} - k.x)) AS mean_abs_gap, max(abs(p.{value} - k.x)) AS max_abs_gap, count(*) AS n_checked FROM reconciled p
+      JOIN (SELECT {_P} AS node, fold, target_date, sum({value}) AS x, max(level) AS child_level FROM reconciled WHERE contains(node, '/') GROUP BY 1, 2, 3) k USING (node, fold, target_date) GROUP BY 1, 2, 3, 4)"""
+
+
+LEVEL_SCORES = MINT + """,
+node_changes AS (SELECT node, level, date, units, units - lag(units) OVER (PARTITION BY node ORDER BY date) AS change, min(CASE WHEN units > 0 THEN date END) OVER (PARTITION BY node) AS first FROM acts),
+node_scales AS (SELECT node, fold, avg(change * change) FILTER (date > first) AS scale_sq FROM node_changes JOIN folds ON date <= origin_date GROUP BY 1, 2),
+node_errors AS (SELECT node, level, fold, 'base' AS model_name, yhat - units AS error FROM reconciled JOIN acts USING (node, level) WHERE date = target_date
+  UNION ALL SELECT node, level, fold, 'reconciled', reconciled - units FROM reconciled JOIN acts USING (node, level) WHERE date = target_date),
+node_scores AS (SELECT node, level, fold, model_name, sqrt(avg(error * error) / max(CASE WHEN scale_sq > 1e-12 THEN scale_sq END)) AS rmsse FROM node_errors LEFT JOIN node_scales USING (node, fold) GROUP BY ALL),
+revenue AS (SELECT node, level, sum(r) AS revenue FROM (""" + " UNION ALL ".join(f"SELECT {p} AS node, '{n}' AS level, units * coalesce(price, 0) AS r FROM fact WHERE date > (SELECT max(date) FROM fact) - 28" for p, n in zip(_PATHS, _NAMES, strict=True)) + """) GROUP BY 1, 2),
+weights AS (SELECT node, level, revenue / nullif(sum(revenue) OVER (PARTITION BY level), 0) / 4 AS weight FROM revenue)"""
+
+ORACLES |= {
+    "order_policy": f"WITH {PANEL} SELECT * EXCLUDE (expected_cost) REPLACE (round(critical_ratio, 6) AS critical_ratio, round(order_qty, 6) AS order_qty) FROM policy2",
+    "money_table": f"WITH {PANEL}, {_stack(naive='naive', fixed_95='q[6]', newsvendor='order_qty')}, {_SIMULATED} SELECT policy, round(stockout_rate, 6) AS stockout_rate, round(units_short, 6) AS units_short, round(units_left, 6) AS units_left, {_ROUND_COST}, n_rows, round((n.t - total_cost) / nullif(n.t, 0), 6) AS saving_vs_naive FROM totals, (SELECT total_cost AS t FROM totals WHERE policy = 'naive') n",
+    "cost_sensitivity": f"WITH {PANEL}, {_sensitivity()}, summed AS (SELECT spoilage, policy, max(critical_ratio) AS critical_ratio, sum(greatest(demand - o, 0) * price * {_M}::DOUBLE + greatest(o - demand, 0) * price * {1 - _M!r}::DOUBLE * (spoilage + {_HOLD}::DOUBLE)) AS total_cost FROM cells GROUP BY 1, 2) SELECT spoilage, policy, round(critical_ratio, 6) AS critical_ratio, round(total_cost, 2) AS total_cost, round((first_value(total_cost) OVER (PARTITION BY spoilage ORDER BY policy <> 'naive') - total_cost) / nullif(first_value(total_cost) OVER (PARTITION BY spoilage ORDER BY policy <> 'naive'), 0), 6) AS saving_vs_naive FROM summed",
+    "attribution": f"WITH {PANEL}, ratio AS (SELECT avg(order_qty + 1e-9::DOUBLE) / avg(q[3] + 1e-9::DOUBLE) AS ratio FROM panel), " + _stack(**{"naive|as_forecast": "naive", "naive|newsvendor": "naive * (SELECT ratio FROM ratio)", "model|as_forecast": "q[3]", "model|newsvendor": "order_qty"}) + f", {_SIMULATED} SELECT split_part(policy, '|', 1) AS forecast, split_part(policy, '|', 2) AS rule, round(total_cost, 2) AS total_cost, round((max(total_cost) OVER () - total_cost) / nullif(max(total_cost) OVER (), 0), 6) AS saving_vs_worst FROM totals",
+    "service_level_sweep": f"WITH {PANEL}, swept AS (" + " UNION ALL ".join(f"SELECT {r}::DOUBLE AS critical_ratio, {_interpolate(r)} AS o, demand FROM panel" for r in (round(0.1 + i / 100, 2) for i in range(90))) + ") SELECT critical_ratio, round(sum(greatest(demand - o, 0)), 6) AS units_short, round(sum(greatest(o - demand, 0)), 6) AS units_left, round(avg(CASE WHEN demand - o > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS stockout_rate FROM swept GROUP BY 1",
+    "optimize_item": f"WITH {PANEL} SELECT item_id, target_date, round(sum(order_qty), 4) AS order_qty, sum(demand) AS demand, round(sum(expected_cost), 2) AS expected_cost, count(*) AS n_stores FROM policy2 WHERE item_id = 'Brand#1' AND fold = (SELECT max(fold) FROM policy2 WHERE item_id = 'Brand#1') GROUP BY 1, 2",
+    "hierarchy_actuals": f"WITH {TREE} SELECT * FROM acts",
+    "hierarchy_weights": f"WITH {LEVEL_SCORES} SELECT node, level, round(weight, 6) AS weight FROM weights",
+    "mint_reconcile": f"WITH {MINT} SELECT * REPLACE (round(yhat, 6) AS yhat, round(reconciled, 6) AS reconciled, round(clipped, 6) AS clipped) FROM reconciled",
+    "coherence_gap": f"WITH {MINT}, gaps AS (SELECT *, false AS reconciled FROM {_gap('yhat')} UNION ALL SELECT *, true AS reconciled FROM {_gap('reconciled')}) SELECT * REPLACE (round(mean_abs_gap, 4) AS mean_abs_gap, round(max_abs_gap, 4) AS max_abs_gap) FROM gaps",
+    "wrmsse": f"WITH {LEVEL_SCORES} SELECT model_name, fold, round(sum(rmsse * weight), 6) AS wrmsse, count(rmsse) AS n_series, count(*) - count(rmsse) AS n_excluded FROM node_scores JOIN weights USING (node) GROUP BY 1, 2",
+    "level_comparison": f"WITH {LEVEL_SCORES}, two AS (SELECT level, avg(rmsse) FILTER (model_name = 'base') AS base, avg(rmsse) FILTER (model_name = 'reconciled') AS reconciled FROM node_scores GROUP BY 1) SELECT level, round(base, 6) AS base, round(reconciled, 6) AS reconciled, round(reconciled - base, 6) AS delta, CASE WHEN reconciled < base THEN 'better' WHEN reconciled > base THEN 'worse' ELSE 'equal' END AS verdict FROM two",
+    "hierarchy_tree": f"WITH {FACT}, i AS (SELECT state_id, store_id, dept_id, item_id, CAST(sum(units) AS BIGINT) AS units FROM fact GROUP BY ALL), d AS (SELECT state_id, store_id, dept_id, CAST(sum(units) AS BIGINT) AS units, string_agg(item_id || ':' || units, ',' ORDER BY item_id) AS items FROM i GROUP BY 1, 2, 3) SELECT state_id, store_id, CAST(sum(units) AS BIGINT) AS units, string_agg(dept_id || ':' || units || '(' || items || ')', ';' ORDER BY dept_id) AS depts FROM d GROUP BY 1, 2",
+}

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.operators import demand
+from larder.functions.costs import CostModel
+from larder.operators import demand, ordering
 from larder.operators import forecasting as fc
+from larder.operators import hierarchy as tree
 from larder.plans.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,9 +33,9 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand.fact_sales(daily(spark, sf_dir))
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+def rounded(df: DataFrame, places: int = 6, exact: tuple[str, ...] = ("price",)) -> DataFrame:
     """Doubles to ``places``: sums in another order differ in the last bits. A price is one division of whole numbers, and stays."""
-    return df.select(*(F.round(c, places).alias(c) if t == "double" and c != "price" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(F.round(c, places).alias(c) if t == "double" and c not in exact else F.col(c) for c, t in df.dtypes))
 
 
 @query
@@ -206,3 +208,116 @@ def pinball_scores(spark, sf_dir):
 def hybrid_forecast(spark, sf_dir):
     panel, cut, naive = _naive(spark, sf_dir)
     return rounded(fc.hybrid(naive.unionByName(fc.tsb(panel, cut)), strata(spark, sf_dir)))
+
+
+COSTS = CostModel()
+
+
+def _panel(spark, sf_dir):
+    panel, rows = _quantiles(spark, sf_dir)
+    return panel, ordering.quantile_panel(fc.monotone(rows), panel)
+
+
+def _money(df):
+    """Sums of money to 2 places, others to 6."""
+    coarse = {"understock_cost", "waste_cost", "holding_cost", "total_cost"}
+    return df.select(*(F.round(c, 2 if c in coarse else 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+@query
+def order_policy(spark, sf_dir):
+    out = ordering.order_policy(_panel(spark, sf_dir)[1], COSTS)
+    return rounded(out.drop("expected_cost"), exact=("price", "cu", "co"))
+
+
+@query
+def money_table(spark, sf_dir):
+    panel, wide = _panel(spark, sf_dir)
+    return _money(ordering.money_table(wide, panel, COSTS))
+
+
+@query
+def cost_sensitivity(spark, sf_dir):
+    panel, wide = _panel(spark, sf_dir)
+    return _money(ordering.sensitivity(wide, panel, COSTS))
+
+
+@query
+def attribution(spark, sf_dir):
+    panel, wide = _panel(spark, sf_dir)
+    return _money(ordering.attribution(wide, panel, COSTS))
+
+
+@query
+def service_level_sweep(spark, sf_dir):
+    return _money(ordering.sweep(_panel(spark, sf_dir)[1]))
+
+
+@query
+def optimize_item(spark, sf_dir):
+    out = ordering.optimize_item(ordering.order_policy(_panel(spark, sf_dir)[1], COSTS), "Brand#1")
+    return out.withColumns({"order_qty": F.round("order_qty", 4), "expected_cost": F.round("expected_cost", 2)})
+
+
+@query
+def hierarchy_actuals(spark, sf_dir):
+    return tree.roll_up(fact(spark, sf_dir), ["units"])
+
+
+@query
+def hierarchy_weights(spark, sf_dir):
+    return rounded(tree.weights(fact(spark, sf_dir)))
+
+
+def _base(spark, sf_dir):
+    """Forecasts at all levels that don't add up: smoothed demand of each series, last week's sums above."""
+    panel, cut, _ = _naive(spark, sf_dir)
+    upper = fc.seasonal_naive(tree.roll_up(panel, ["units"]).where("level <> 'item'"), cut, ["node", "level"])
+    paths = panel.select(F.concat_ws("/", *tree.PATH).alias("node"), "item_id", "store_id").distinct()
+    lower = fc.tsb(panel, cut).join(F.broadcast(paths), ["item_id", "store_id"]).withColumn("level", F.lit("item"))  # one row a series, as the forecasts it names
+    columns = ["node", "level", F.lit("mixed").alias("model_name"), "fold", "target_date", "yhat"]
+    return panel, cut, upper.select(*columns).unionByName(lower.select(*columns))
+
+
+@query
+def mint_reconcile(spark, sf_dir):
+    return rounded(tree.reconcile(_base(spark, sf_dir)[2]))
+
+
+@query
+def coherence_gap(spark, sf_dir):
+    rows = tree.reconcile(_base(spark, sf_dir)[2])
+    both = tree.coherence(rows).withColumn("reconciled", F.lit(False)).unionByName(tree.coherence(rows, "reconciled").withColumn("reconciled", F.lit(True)))
+    return both.withColumns({"mean_abs_gap": F.round("mean_abs_gap", 4), "max_abs_gap": F.round("max_abs_gap", 4)})
+
+
+def _node_scores(spark, sf_dir):
+    panel, cut, base = _base(spark, sf_dir)
+    rows = tree.reconcile(base).select("node", "level", "fold", "target_date", F.explode(F.array(F.struct(F.lit("base").alias("model_name"), F.col("yhat")), F.struct(F.lit("reconciled").alias("model_name"), F.col("reconciled").alias("yhat")))).alias("x"))
+    rows = rows.select("node", "level", "fold", "target_date", "x.model_name", "x.yhat")
+    actual = tree.roll_up(panel, ["units"])
+    scales = fc.naive_scales(actual, cut, ["node", "level"])
+    errors = fc.errors(rows, actual, ["node", "level"])
+    one = errors.groupBy("node", "level", "fold", "model_name").agg(F.avg(F.col("error") * F.col("error")).alias("mse")).join(scales, ["node", "level", "fold"], "left")
+    return panel, one.withColumn("rmsse", F.sqrt(F.try_divide("mse", "scale_sq")))
+
+
+@query
+def wrmsse(spark, sf_dir):
+    panel, scores = _node_scores(spark, sf_dir)
+    return rounded(tree.wrmsse(scores, tree.weights(panel)))
+
+
+@query
+def level_comparison(spark, sf_dir):
+    two = _node_scores(spark, sf_dir)[1].groupBy("level").pivot("model_name", ["base", "reconciled"]).agg(F.avg("rmsse"))
+    delta = F.col("reconciled") - F.col("base")
+    return rounded(two.withColumns({"delta": delta, "verdict": F.when(delta < 0, "better").when(delta > 0, "worse").otherwise("equal")}))
+
+
+@query
+def hierarchy_tree(spark, sf_dir):
+    text = lambda c, f: F.array_join(F.transform(c, f), ",")
+    items = lambda d: text(d["items"], lambda i: F.concat_ws(":", i["item_id"], i["units"].cast("string")))
+    depts = F.array_join(F.transform("depts", lambda d: F.concat(d["dept_id"], F.lit(":"), d["units"].cast("string"), F.lit("("), items(d), F.lit(")"))), ";")
+    return tree.tree(fact(spark, sf_dir)).withColumn("depts", depts)
