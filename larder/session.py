@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows in an Arrow batch.
+BATCH_ROWS = 2000
 _HERE = Path(__file__).resolve().parent
 
 
@@ -23,6 +25,8 @@ def session(app: str = "larder", **conf: str) -> SparkSession:
 def ship(spark: SparkSession) -> SparkSession:
     """Gives the workers this package, wherever the driver imported it from; once for each context."""
     sc = spark.sparkContext
+    # texts come in batches of rows: few enough that a batch of long ones fits beside the others in a worker
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(sc, "_larder_shipped", False):
         return spark
     files = sorted(p for p in _HERE.rglob("*.py"))
