@@ -238,3 +238,81 @@ ORACLES |= {
     "level_comparison": f"WITH {LEVEL_SCORES}, two AS (SELECT level, avg(rmsse) FILTER (model_name = 'base') AS base, avg(rmsse) FILTER (model_name = 'reconciled') AS reconciled FROM node_scores GROUP BY 1) SELECT level, round(base, 6) AS base, round(reconciled, 6) AS reconciled, round(reconciled - base, 6) AS delta, CASE WHEN reconciled < base THEN 'better' WHEN reconciled > base THEN 'worse' ELSE 'equal' END AS verdict FROM two",
     "hierarchy_tree": f"WITH {FACT}, i AS (SELECT state_id, store_id, dept_id, item_id, CAST(sum(units) AS BIGINT) AS units FROM fact GROUP BY ALL), d AS (SELECT state_id, store_id, dept_id, CAST(sum(units) AS BIGINT) AS units, string_agg(item_id || ':' || units, ',' ORDER BY item_id) AS items FROM i GROUP BY 1, 2, 3) SELECT state_id, store_id, CAST(sum(units) AS BIGINT) AS units, string_agg(dept_id || ':' || units || '(' || items || ')', ';' ORDER BY dept_id) AS depts FROM d GROUP BY 1, 2",
 }
+
+from larder.operators import service as _service  # noqa: E402  (its fixed values)
+from larder.sources.rules import RULES as _RULES  # noqa: E402
+
+A = 14
+UPLOAD = DAILY + """,
+upload AS (SELECT event_type AS sku, CAST(ts AS DATE) AS date, value AS units_sold, NULL::DOUBLE AS unit_price FROM events
+  UNION ALL SELECT item_id, date, CAST(units AS DOUBLE), cents / 100.0::DOUBLE / units FROM daily),
+merged AS (SELECT sku, date, sum(CASE WHEN units_sold < 0 THEN 0 ELSE units_sold END) AS units_sold FROM upload WHERE date IS NOT NULL AND sku IS NOT NULL AND sku <> '' GROUP BY 1, 2),
+dense AS (SELECT g.sku, g.date, units_sold FROM (SELECT sku, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM merged GROUP BY sku) g LEFT JOIN merged USING (sku, date)),
+brands AS (SELECT * FROM dense WHERE sku LIKE 'Brand%'),
+gaps AS (SELECT *, date - lag(date) OVER (PARTITION BY sku ORDER BY date) - 1 AS gap FROM merged),
+spans AS (SELECT sku, CAST(max(date) - min(date) + 1 AS INT) AS n_days, count(*) AS n_obs, count(units_sold) AS n_nonnull, min(date) AS first_date, max(date) AS last_date, CAST(coalesce(max(gap), 0) AS INT) AS max_gap_days FROM gaps GROUP BY 1),
+verdicts AS (SELECT *, concat_ws('; ', CASE WHEN n_days < 90 THEN '90 days of history needed, ' || n_days || ' found' END,
+    CASE WHEN n_nonnull < 20 THEN '20 recorded days needed, ' || n_nonnull || ' found' || CASE WHEN n_obs <> n_nonnull THEN ' (from ' || n_obs || ' rows)' ELSE '' END END,
+    CASE WHEN max_gap_days > 14 THEN 'a ' || max_gap_days || '-day stretch with no rows at all; gaps over 14 days are not treated as zero-demand days' END) AS reasons FROM spans)"""
+
+
+def _origin() -> str:
+    v = "units_sold"
+    out = [f"lag({v}, {k - 1}) OVER w AS lag_{k}" for k in _service.LAGS]
+    for n in _service.WINDOWS:
+        f, least = f"OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)", max(2, n // 4)
+        out += [
+            f"CASE WHEN count({v}) {f} >= {least} THEN round(avg({v}) {f}, 6) END AS mean_{n}", f"CASE WHEN count({v}) {f} >= {least} THEN round(stddev_samp({v}) {f}, 6) END AS std_{n}",
+            f"CASE WHEN count(*) {f} >= {least} THEN round(avg(CASE WHEN {v} = 0 THEN 1.0::DOUBLE ELSE 0 END) {f}, 6) END AS zero_{n}",
+        ]
+    out += ["row_number() OVER w - 1 AS trend", f"CASE WHEN {v} IS NOT NULL THEN round(avg({v}) OVER (PARTITION BY sku, dayofweek(date), {v} IS NOT NULL ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) END AS same_weekday_4"]
+    return ", ".join(out)
+
+
+_FEASTS = ", ".join(f"('{k}', '{n}', {m}, {d}, {a}, {b}, {str(p).lower()})" for k, (n, m, d, a, b, p) in _service.FESTIVALS.items())
+FEASTS = f"""feast_days AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM daily),
+feasts AS (SELECT key, name, make_date(year, m, d) AS day, make_date(year, m, d) - a AS window_start, make_date(year, m, d) + b AS window_end, prior_only
+  FROM (SELECT DISTINCT year(date) AS year FROM feast_days), (VALUES {_FEASTS}) AS t(key, name, m, d, a, b, prior_only))"""
+OCCURRENCES = UPLOAD + ", " + FEASTS + """,
+near AS (SELECT b.sku, b.date, units_sold AS v, f.*, b.date >= window_start AND b.date < day AS lead, b.date BETWEEN day AND window_end AS tail FROM {series} b JOIN feasts f ON NOT prior_only AND b.date BETWEEN window_start - 31 AND window_end + 31 WHERE units_sold IS NOT NULL),
+based AS (SELECT *, (date < window_start - 3 OR date > window_end + 3) AND bool_or(lead) OVER (PARTITION BY sku, key, day, dayofweek(date)) AS base FROM near),
+occasions AS (SELECT sku, key, name, day, avg(v) FILTER (lead) AS lead_mean, avg(v) FILTER (base) AS baseline_mean, count(*) FILTER (lead) AS n_lead, count(*) FILTER (base) AS n_base, count(*) FILTER (tail AND v = 0) AS closed FROM based GROUP BY ALL),
+effects AS (SELECT sku, key, name, median(lead_mean / baseline_mean) AS multiplier, min(lead_mean / baseline_mean) AS low, max(lead_mean / baseline_mean) AS high, count(*) AS years, sum(closed) > 0 AS shut_on_day
+  FROM occasions WHERE n_lead >= 3 AND n_base >= 6 AND baseline_mean > 0 GROUP BY ALL)"""
+_NAMES_SQL = ", ".join(f"('{x}')" for x in ["Amul Milk 1L", "Plum Cake 500g", "Oil Lamp brass", "Holi Colours (gift pack)", "Chicken eggs", "National Flag, paper flag", "Dry Fruit Box 1kg", "soft drinks 2x", "Dates & milk", "unknown"])
+_TOKENS = "' ' || trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')) || ' '"
+MATCHES = f"""skus AS (SELECT DISTINCT p_brand AS sku FROM part UNION ALL SELECT * FROM (VALUES {_NAMES_SQL})),
+rules AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', '{d}', '{c}', {m}::DOUBLE, '{items}')" for i, (k, d, c, m, items) in enumerate(_RULES))}) AS t(n, festival_key, direction, category, multiplier, items)),
+phrases AS (SELECT n, festival_key, direction, category, multiplier, unnest(range(len(string_split(items, ',')))) AS nth, trim(unnest(string_split(items, ','))) AS keyword FROM rules),
+hits AS (SELECT sku, p.*, length(replace({_TOKENS.format('keyword')}, ' ', '')) AS size FROM skus JOIN phrases p ON contains({_TOKENS.format('sku')}, {_TOKENS.format('keyword')})),
+best AS (SELECT * FROM hits QUALIFY size = max(size) OVER (PARTITION BY sku, festival_key)),
+agreed AS (SELECT sku, festival_key, arg_min(keyword, n * 1000 + nth) AS keyword, arg_min(category, n * 1000 + nth) AS category, arg_min(multiplier, n * 1000 + nth) AS multiplier FROM best GROUP BY 1, 2 HAVING min(direction) = max(direction))"""
+TOTALS = UPLOAD + f""",
+sums AS (SELECT sku, units_sold, CASE WHEN count(*) OVER f = {A} THEN sum(units_sold) OVER f END AS total FROM brands WHERE units_sold IS NOT NULL WINDOW f AS (PARTITION BY sku ORDER BY date ROWS BETWEEN CURRENT ROW AND {A - 1} FOLLOWING)),
+totals AS (SELECT sku, coalesce(quantile_cont(total, {_LEVELS}), list_transform({_LEVELS}, lambda x: avg(units_sold) * {A})) AS q FROM sums GROUP BY 1),
+prices AS (SELECT sku, max_by(unit_price, date) AS p FROM (SELECT sku, date, max(unit_price) AS unit_price FROM upload GROUP BY 1, 2) WHERE unit_price > 0 GROUP BY 1)"""
+
+ORACLES |= {
+    "gate_verdicts": f"WITH {UPLOAD} SELECT *, reasons = '' AS admitted FROM verdicts",
+    "gate_report": f"WITH {UPLOAD} SELECT count(*) AS rows_read, count(*) FILTER (date IS NULL) AS rows_without_date, count(*) FILTER (date IS NOT NULL AND sku <> '') AS rows_used, count(*) FILTER (units_sold < 0) AS negative_units, count(*) FILTER (date IS NOT NULL AND sku <> '') - (SELECT count(*) FROM merged) AS rows_merged, CAST(NULL AS VARCHAR) AS fatal FROM upload",
+    "daily_densify": f"WITH {UPLOAD} SELECT sku, date, round(units_sold, 6) AS units_sold FROM dense",
+    "origin_features": f"WITH {UPLOAD} SELECT sku, date, units_sold, {_origin()} FROM brands WINDOW w AS (PARTITION BY sku ORDER BY date)",
+    "total_ahead": f"WITH {UPLOAD}, ahead AS (SELECT *, CASE WHEN count(units_sold) OVER f = {A} THEN sum(units_sold) OVER f END AS y, row_number() OVER (PARTITION BY sku ORDER BY date DESC) - 1 AS back, count(*) OVER (PARTITION BY sku) AS n FROM brands WINDOW f AS (PARTITION BY sku ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {A} FOLLOWING)) SELECT sku, date, units_sold, y FROM ahead WHERE back % greatest(CAST(ceil(n * {A} / 8000.0) AS BIGINT), 1) = 0",
+    "baseline_totals": f"WITH {TOTALS} SELECT sku, CAST(unnest(range(7)) AS INT) AS k, round(greatest(unnest(q), 0), 6) AS value FROM totals",
+    "service_orders": f"WITH {TOTALS}, o AS (SELECT sku, coalesce(p, 3.0::DOUBLE) AS price, list_transform(q, lambda x: greatest(x, 0)) AS q FROM totals LEFT JOIN prices USING (sku)), w AS (SELECT *, greatest(0.0::DOUBLE, {_interpolate(_ratio(_S))}) AS order_qty FROM o) SELECT sku, price, round(order_qty, 6) AS order_qty, round(" + " + ".join(f"{m!r}::DOUBLE * (greatest(q[{i}] - order_qty, 0) * price * {_M}::DOUBLE + greatest(order_qty - q[{i}], 0) * price * {1 - _M!r}::DOUBLE * {_S + _HOLD!r}::DOUBLE)" for i, m in enumerate(_masses(), 1)) + ", 2) AS expected_cost FROM w",
+    "resolve_price": f"WITH {TOTALS} SELECT sku, coalesce(p, 3.0::DOUBLE) AS price, p IS NULL AS assumed FROM (SELECT DISTINCT sku FROM upload) LEFT JOIN prices USING (sku)",
+    "choose_method": f"WITH {SCORED}, losses AS (SELECT item_id AS sku, model_name, greatest({_ratio(_S)!r}::DOUBLE * -error, {_ratio(_S) - 1!r}::DOUBLE * -error) AS loss FROM errors), two AS (SELECT sku, avg(loss) FILTER (model_name = 'tsb') AS model, avg(loss) FILTER (model_name = 'seasonal_naive') AS baseline FROM losses GROUP BY 1), judged AS (SELECT *, abs(model - baseline) / greatest(abs(model), abs(baseline), 1e-9) < 0.05 AS close FROM two) SELECT sku, round(model, 6) AS model, round(baseline, 6) AS baseline, CASE WHEN close OR baseline < model THEN 'baseline' ELSE 'model' END AS method, CASE WHEN close THEN 'too close to call' WHEN baseline < model THEN 'the baseline was better' ELSE 'the model was better' END AS reason FROM judged",
+    "fold_counts": f"WITH {UPLOAD}, n AS (SELECT sku, n_days, CAST(greatest(0, least(5, floor((n_days - 28) / {A}))) AS INT) AS n_folds FROM spans) SELECT *, CASE WHEN n_folds < 3 THEN 'Measured on ' || n_folds || ' backtest fold(s) only, so the figures are rough.' END AS caveat FROM n",
+    "festival_windows": f"WITH {DAILY}, {FEASTS} SELECT date, key, CAST(abs(date - day) AS INT) AS distance FROM feast_days JOIN feasts ON date BETWEEN window_start AND window_end QUALIFY row_number() OVER (PARTITION BY date ORDER BY abs(date - day), prior_only, key) = 1",
+    "festival_proximity": f"WITH {DAILY}, {FEASTS} SELECT date, CAST(least(coalesce((SELECT min(day) FROM feasts WHERE day >= date) - date, 45), 45) AS INT) AS days_to_next, CAST(least(coalesce(date - (SELECT max(day) FROM feasts WHERE day <= date), 45), 45) AS INT) AS days_since_last, CAST(EXISTS (SELECT 1 FROM feasts WHERE date BETWEEN window_start AND window_end) AS INT) AS in_window FROM feast_days",
+    "festival_uplift": "WITH " + OCCURRENCES.format(series="brands") + " SELECT sku, key, name, round(multiplier, 6) AS multiplier, round(low, 6) AS low, round(high, 6) AS high, years, shut_on_day FROM effects",
+    "keyword_match": f"WITH {MATCHES} SELECT * FROM agreed",
+    "keyword_coverage": f"WITH {MATCHES}, k AS (SELECT sku, string_agg(DISTINCT festival_key, ',' ORDER BY festival_key) AS festivals FROM agreed GROUP BY 1) SELECT sku, festivals, festivals IS NOT NULL AS matched FROM (SELECT DISTINCT sku FROM skus) LEFT JOIN k USING (sku)",
+    "festival_plan": "WITH " + OCCURRENCES.format(series="(SELECT * FROM brands WHERE date <= DATE '2000-12-10')") + f""", lasts AS (SELECT sku, max(date) AS last FROM brands WHERE date <= DATE '2000-12-10' GROUP BY 1), ahead AS (SELECT sku, last, last + h AS date FROM lasts, (SELECT CAST(unnest(range(1, {A + 1})) AS INT) AS h)),
+      owned AS (SELECT a.sku, a.date, multiplier FROM ahead a JOIN effects e USING (sku) JOIN feasts f ON f.key = e.key AND a.date >= window_start AND a.date < day QUALIFY row_number() OVER (PARTITION BY a.sku, a.date ORDER BY abs(a.date - day), prior_only, f.key) = 1),
+      summed AS (SELECT sku, last, avg(coalesce(multiplier, 1)) AS factor, count(multiplier) AS days_adjusted FROM ahead LEFT JOIN owned USING (sku, date) GROUP BY 1, 2)
+      SELECT sku, round(factor, 6) AS factor, days_adjusted, CASE WHEN days_adjusted > 0 THEN 'adjusted' WHEN EXISTS (SELECT 1 FROM feasts WHERE window_start <= last + {A + 14} AND window_end > last) THEN 'advisory' ELSE 'none' END AS state, abs(factor - 1) >= 0.01 AS material FROM summed""",
+    "retention": "SELECT l_returnflag, count(*) AS n_orphans FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS TIMESTAMP) >= TIMESTAMP '2001-01-01' - INTERVAL 730 DAY) GROUP BY 1",
+    "newest_rows": f"WITH {DAILY}, d AS (SELECT item_id, date, CAST(sum(units) AS BIGINT) AS units FROM daily GROUP BY 1, 2 HAVING sum(units) > 0) SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY date DESC) <= 3",
+    "latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS max, count(*) AS n FROM events GROUP BY 1",
+}

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder import schema as S
 from larder.functions.costs import CostModel
-from larder.operators import demand, ordering
+from larder.operators import demand, ordering, service
 from larder.operators import forecasting as fc
 from larder.operators import hierarchy as tree
 from larder.plans.oracles import ORACLES  # noqa: F401
+from larder.sources.files import newest
+from larder.sources.rules import default_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -321,3 +324,151 @@ def hierarchy_tree(spark, sf_dir):
     items = lambda d: text(d["items"], lambda i: F.concat_ws(":", i["item_id"], i["units"].cast("string")))
     depts = F.array_join(F.transform("depts", lambda d: F.concat(d["dept_id"], F.lit(":"), d["units"].cast("string"), F.lit("("), items(d), F.lit(")"))), ";")
     return tree.tree(fact(spark, sf_dir)).withColumn("depts", depts)
+
+
+# Service ----------------------------------------------------------------------------------------------------------------
+
+AHEAD = 14
+
+
+def _upload(spark, sf_dir):
+    """Two histories in one file, all text: events by type, 30 days long, and sales by brand."""
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("Product"), F.col("ts").cast("date").cast("string").alias("Day"), F.col("value").cast("string").alias("Qty"), F.lit(None).cast("string").alias("Price"))
+    brands = daily(spark, sf_dir).select(F.col("item_id").alias("Product"), F.col("date").cast("string").alias("Day"), F.col("units").cast("string").alias("Qty"), (F.col("cents") / 100 / F.col("units")).cast("string").alias("Price"))
+    return events.unionByName(brands)
+
+
+def _brands(spark, sf_dir):
+    return service.daily(service.usable(service.parse_upload(_upload(spark, sf_dir))).where("sku like 'Brand%'"))
+
+
+@query
+def gate_verdicts(spark, sf_dir):
+    return service.gate(_upload(spark, sf_dir)).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+@query
+def gate_report(spark, sf_dir):
+    return service.gate_report(_upload(spark, sf_dir))
+
+
+@query
+def daily_densify(spark, sf_dir):
+    return rounded(service.daily(service.usable(service.parse_upload(_upload(spark, sf_dir)))))
+
+
+@query
+def origin_features(spark, sf_dir):
+    return rounded(service.origin_features(_brands(spark, sf_dir)))
+
+
+@query
+def total_ahead(spark, sf_dir):
+    return service.strided(service.total_ahead(_brands(spark, sf_dir), AHEAD), AHEAD)
+
+
+@query
+def baseline_totals(spark, sf_dir):
+    out = service.baseline_totals(_brands(spark, sf_dir), AHEAD, S.LEVELS)
+    return rounded(out.select("sku", F.posexplode("quantiles").alias("k", "value")))
+
+
+@query
+def service_orders(spark, sf_dir):
+    parsed = service.parse_upload(_upload(spark, sf_dir)).where("sku like 'Brand%'")
+    prices = service.resolve_price(parsed.groupBy("sku", "date").agg(F.max("unit_price").alias("unit_price")))
+    return rounded(service.order_quantities(service.baseline_totals(_brands(spark, sf_dir), AHEAD, S.LEVELS), prices, COSTS, S.LEVELS).withColumn("expected_cost", F.round("expected_cost", 2)), exact=("price",))
+
+
+@query
+def resolve_price(spark, sf_dir):
+    return service.resolve_price(service.parse_upload(_upload(spark, sf_dir)).groupBy("sku", "date").agg(F.max("unit_price").alias("unit_price")))
+
+
+@query
+def choose_method(spark, sf_dir):
+    """Mean pinball loss of the hybrid's two sources, for each item."""
+    panel, cut, naive = _naive(spark, sf_dir)
+    rows = fc.errors(naive.unionByName(fc.tsb(panel, cut)), panel)
+    loss = F.greatest(F.lit(COSTS.critical_ratio()) * -F.col("error"), F.lit(COSTS.critical_ratio() - 1) * -F.col("error"))
+    one = rows.groupBy(F.col("item_id").alias("sku")).agg(F.avg(F.when(F.col("model_name") == "tsb", loss)).alias("model"), F.avg(F.when(F.col("model_name") == "seasonal_naive", loss)).alias("baseline"))
+    return rounded(service.choose_method(one))
+
+
+@query
+def fold_counts(spark, sf_dir):
+    days = service.gate(_upload(spark, sf_dir)).select("sku", "n_days", service.fold_count(F.col("n_days"), AHEAD).alias("n_folds"))
+    return days.withColumn("caveat", service.fold_caveat(F.col("n_folds")))
+
+
+def _festivals(spark, sf_dir):
+    days = _days(spark, sf_dir)
+    return days, service.festivals(days.select(F.year("date").alias("year")).distinct())
+
+
+@query
+def festival_windows(spark, sf_dir):
+    days, feasts = _festivals(spark, sf_dir)
+    return service.active(days, feasts)
+
+
+@query
+def festival_proximity(spark, sf_dir):
+    days, feasts = _festivals(spark, sf_dir)
+    return service.proximity(days, feasts)
+
+
+@query
+def festival_uplift(spark, sf_dir):
+    _, feasts = _festivals(spark, sf_dir)
+    return rounded(service.uplift(service.occurrences(_brands(spark, sf_dir), feasts)))
+
+
+# Names of products for the keyword rules, beside the brands, which no rule knows.
+NAMES = ["Amul Milk 1L", "Plum Cake 500g", "Oil Lamp brass", "Holi Colours (gift pack)", "Chicken eggs", "National Flag, paper flag", "Dry Fruit Box 1kg", "soft drinks 2x", "Dates & milk", "unknown"]
+
+
+def _skus(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.col("p_brand").alias("sku")).distinct()
+    return names.unionByName(spark.createDataFrame([(x,) for x in NAMES], "sku string"))
+
+
+@query
+def keyword_match(spark, sf_dir):
+    return service.keyword_matches(_skus(spark, sf_dir), default_rules(spark))
+
+
+@query
+def keyword_coverage(spark, sf_dir):
+    skus = _skus(spark, sf_dir)
+    out = service.keyword_coverage(skus, service.keyword_matches(skus, default_rules(spark)))
+    return out.withColumn("festivals", F.array_join("festivals", ","))
+
+
+@query
+def festival_plan(spark, sf_dir):
+    """Plans of all brands for the days from 10 December 2000 on, by what their own sales say of earlier years."""
+    _, feasts = _festivals(spark, sf_dir)
+    history = _brands(spark, sf_dir).where("date <= date'2000-12-10'")
+    effects = service.uplift(service.occurrences(history, feasts)).select("sku", "key", "multiplier")
+    last = history.groupBy("sku").agg(F.max("date").alias("last"))
+    return rounded(service.plan(last, feasts, effects, AHEAD))
+
+
+@query
+def retention(spark, sf_dir):
+    """Orders stand for datasets: those of the last two years stay, and lines without them are counted."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("created"))
+    kept = service.purge(orders, F.to_timestamp_ntz(F.lit("2001-01-01 00:00:00")), 730)
+    lost = service.orphans(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag"), kept, "o_orderkey")
+    return lost.groupBy("l_returnflag").agg(F.count("*").alias("n_orphans"))
+
+
+@query
+def newest_rows(spark, sf_dir):
+    return newest(fact(spark, sf_dir).groupBy("item_id", "date").agg(F.sum("units").alias("units")).where("units > 0"), ["item_id"], "date", 3)
+
+
+@query
+def latency_percentiles(spark, sf_dir):
+    return rounded(table(spark, sf_dir, "events").groupBy("event_type").agg(*(F.percentile("value", F.lit(q)).alias(f"p{round(100 * q)}") for q in (0.5, 0.95, 0.99)), F.max("value").alias("max"), F.count("*").alias("n")))
