@@ -35,7 +35,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def parts(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def parts(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``limit`` bytes each; a longer text has a range of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -108,7 +108,6 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The mix itself: each row of ``docs``, all its columns, as often as it is taken."""
     _, bound = thresholds(docs, weights, share, most, Scratch(docs.sparkSession, "mixing"))
-    bound = bound.select(F.col("s").alias("mix_s"), *(F.col(c).alias(f"mix_{c}") for c in ("whole", "bound")))
-    copies = F.col("mix_whole") + (F.shiftrightunsigned(_hash(), 64 - BITS * ROUNDS) < F.col("mix_bound")).cast("long")
-    rows = docs.join(bound, F.col("source").eqNullSafe(F.col("mix_s"))).withColumn("mix_copies", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
-    return rows.select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), _hash().alias("hash"))  # apart from the bounds' names
+    rows = rows.join(bound, F.col("source").eqNullSafe(F.col("s")))
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), _copies(F.col("hash")).cast("int")))).select("row.*")

@@ -262,10 +262,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     verdicts = _verdicts(docs).where("n_shingles > 0")
     go = verdicts.groupBy("k1", "k2").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
     go = scratch.save(go.select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), "kept"), "go")
-    one, two = (h.alias(n) for h, n in zip(_row_hashes(), ("near_k1", "near_k2"), strict=True))
-    rows = docs.select("*", one, two)
-    same = (F.col("near_k1") == F.col("g1")) & (F.col("near_k2") == F.col("g2"))
+    rows = docs.select(F.struct("*").alias("row"), *_row_hashes())  # apart from the names here
+    same = (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2"))
     out = rows.join(go, same, "left_anti")
-    again = rows.join(go.where("kept"), same, "left_semi").dropDuplicates(["near_k1", "near_k2"]) if not go.where("kept").isEmpty() else None
-    out = out if again is None else out.unionByName(again)
-    return out.select(*docs.columns)
+    if not go.where("kept").isEmpty():
+        out = out.unionByName(rows.join(go.where("kept"), same, "left_semi").dropDuplicates(["k1", "k2"]))
+    return out.select("row.*")
