@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder import schema as S
 from larder.functions.costs import CostModel
-from larder.operators import demand, ordering, service
+from larder.operators import demand, models, ordering, service
 from larder.operators import forecasting as fc
 from larder.operators import hierarchy as tree
 from larder.plans.oracles import ORACLES  # noqa: F401
@@ -472,3 +473,54 @@ def newest_rows(spark, sf_dir):
 @query
 def latency_percentiles(spark, sf_dir):
     return rounded(table(spark, sf_dir, "events").groupBy("event_type").agg(*(F.percentile("value", F.lit(q)).alias(f"p{round(100 * q)}") for q in (0.5, 0.95, 0.99)), F.max("value").alias("max"), F.count("*").alias("n")))
+
+
+# Learned models: their rows are not for SQL to tell --------------------------------------------------------------------
+
+
+def _fold_list(panel):
+    first, last = panel.agg(F.min("date"), F.max("date")).first()
+    found = fc.make_folds(last, first=first)
+    fc.check_no_leak(found)
+    return found
+
+
+@query
+def ets_forecast(spark, sf_dir):
+    panel = fact(spark, sf_dir)
+    return rounded(models.ets(panel, _fold_list(panel)))
+
+
+def _boosted(spark, sf_dir):
+    panel = fact(spark, sf_dir)
+    origin = _fold_list(panel)[-1][1]
+    rows = demand.features(panel)
+    recent = rows.where(F.col("date") >= F.date_sub(F.lit(origin), 365))
+    return panel, origin, *models.boosted(recent, origin)
+
+
+@query
+def boosted_forecast(spark, sf_dir):
+    _, origin, rows, _ = _boosted(spark, sf_dir)
+    return rounded(models.boosted_quantiles(rows, strata(spark, sf_dir), origin))
+
+
+@query
+def feature_importance(spark, sf_dir):
+    _, _, rows, model = _boosted(spark, sf_dir)
+    return rounded(models.importance(model, rows))
+
+
+@query
+def sku_jobs(spark, sf_dir):
+    """A fit of each product on its own; one that fails leaves a row that says why, and the others go on."""
+
+    def fit(key, rows):
+        seen = rows.sort_values("date")["units_sold"].dropna().to_numpy(float)
+        if len(seen) < 60:
+            raise ValueError(f"60 recorded days needed, {len(seen)} found")
+        path, sigma, _ = models.smooth(seen, [len(seen)], AHEAD)[0]
+        return pd.DataFrame([{"total": max(0.0, float(path.sum())), "sigma": sigma}])
+
+    days = service.daily(service.usable(service.parse_upload(_upload(spark, sf_dir))))
+    return rounded(days.groupBy("sku").applyInPandas(models.isolated(fit, ["total", "sigma"]), "sku string, status string, error string, total double, sigma double"))
