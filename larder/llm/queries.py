@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from larder.llm import chat, decontam, fuzzy_passages, licenses, mixing, near_dup, quality, suffix_dedup, token_counts, token_output
+from larder.llm.oracles import ORACLES  # noqa: F401
 from larder.llm.scratch import Scratch
 
 
@@ -68,4 +69,3 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {"op7_chat_formatting": chat.oracle()}
