@@ -267,3 +267,56 @@ def purge(datasets: DataFrame, now: Column, days: int) -> DataFrame:
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Rows whose parent is gone."""
     return children.join(parents.select(key), key, "left_anti")
+
+
+# Backtest of one product ------------------------------------------------------------------------------------------------
+
+
+def sku_folds(series: DataFrame, horizon: int) -> DataFrame:
+    """Folds of each product's own history: sku, fold, origin_date; products too short for any have none."""
+    spans = series.groupBy("sku").agg(F.count("*").alias("n_days"), F.max("date").alias("last"))
+    spans = spans.withColumn("n", fold_count(F.col("n_days"), horizon)).where("n > 0")
+    folds = spans.select("sku", "last", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("fold"))
+    return folds.select("sku", "fold", F.date_sub("last", ((F.col("n") - F.col("fold")) * horizon).cast("int")).alias("origin_date"))
+
+
+def sku_backtest(series: DataFrame, horizon: int, ratio: float, value: str = "units_sold") -> DataFrame:
+    """The baseline's error on each product's folds: sku, fold, mase (median path) and pinball (of the total, at the ratio).
+
+    Days without a value are left out: the last week is the last seven recorded days, and sums run over recorded days.
+    """
+    folds = sku_folds(series, horizon).withColumnRenamed("sku", "s")
+    seen = series.where(F.col(value).isNotNull()).select("sku", "date", F.col(value).cast("double").alias("v"))
+    train = seen.join(folds, (F.col("sku") == F.col("s")) & (F.col("date") <= F.col("origin_date"))).drop("s")
+    w = Window.partitionBy("sku", "fold").orderBy("date")
+    own = Window.partitionBy("sku", "fold")
+    frame = w.rowsBetween(0, horizon - 1)
+    train = train.withColumns({
+        "back": F.count(F.lit(1)).over(own) - F.row_number().over(w), "residual": F.col("v") - F.lag("v", 7).over(w), "change": F.abs(F.col("v") - F.lag("v").over(w)),
+        "total": F.when(F.count("v").over(frame) == horizon, F.sum("v").over(frame)), "sold": F.min(F.when(F.col("v") > 0, F.col("date"))).over(own)})
+    one = train.groupBy("sku", "fold", "origin_date").agg(
+        F.percentile("residual", F.lit(0.5)).alias("offset"), F.percentile("total", F.lit(round(ratio, 4))).alias("ordered"), F.avg(F.when(F.col("date") > F.col("sold"), F.col("change"))).alias("scale"),
+        F.array_sort(F.collect_list(F.when(F.col("back") < 7, F.struct(-F.col("back"), F.col("v").alias("v"))))).alias("week"))
+    one = one.where(F.size("week") == 7)
+    ahead = one.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")).withColumn("date", F.date_add("origin_date", F.col("h")))
+    ahead = ahead.withColumn("path", F.greatest(F.lit(0.0), F.col("week")[(F.col("h") - 1) % 7]["v"] + F.coalesce("offset", F.lit(0.0))))
+    rows = ahead.join(seen, ["sku", "date"]).groupBy("sku", "fold").agg(
+        F.avg(F.abs(F.col("v") - F.col("path"))).alias("mae"), F.sum("v").alias("realised"), F.max("scale").alias("scale"), F.max("ordered").alias("ordered"))
+    gap = F.col("realised") - F.greatest(F.lit(0.0), F.col("ordered"))
+    q = round(ratio, 4)
+    return rows.select("sku", "fold", F.when(F.col("scale") > 1e-12, F.col("mae") / F.col("scale")).alias("mase"), F.greatest(F.lit(q) * gap, F.lit(q - 1) * gap).alias("pinball"))
+
+
+def calendar_coverage(festivals: DataFrame, last_days: DataFrame, horizon: int) -> DataFrame:
+    """What the calendar can say about each product's window: bounds, and a note where the window runs past them."""
+    bounds = festivals.agg(F.min("day").alias("first_known"), F.max("day").alias("last_known"))
+    rows = last_days.crossJoin(F.broadcast(bounds)).withColumn("window_end", F.date_add("last", horizon))  # one row
+    note = F.when(F.col("window_end") > F.col("last_known"), F.format_string("the festival calendar ends on %s and cannot speak about %s", F.col("last_known").cast("string"), F.col("window_end").cast("string")))
+    return rows.select("sku", "first_known", "last_known", note.alias("note"))
+
+
+def plan_message(plan: DataFrame) -> DataFrame:
+    """A sentence on each plan."""
+    text = F.when(F.col("state") == "adjusted", F.format_string("The order is moved by a factor of %s: %d of the days ahead lie in a run-up.", F.format_number("factor", 2), F.col("days_adjusted"))).when(
+        F.col("state") == "advisory", "A festival falls in or near this window, but nothing is known of its effect on this product; the order is unchanged.").otherwise("No festival is near; the order is unchanged.")
+    return plan.withColumn("message", text)

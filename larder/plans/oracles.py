@@ -316,3 +316,19 @@ ORACLES |= {
     "newest_rows": f"WITH {DAILY}, d AS (SELECT item_id, date, CAST(sum(units) AS BIGINT) AS units FROM daily GROUP BY 1, 2 HAVING sum(units) > 0) SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY date DESC) <= 3",
     "latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS max, count(*) AS n FROM events GROUP BY 1",
 }
+
+ORACLES |= {
+    "festival_messages": f"""SELECT sku, state, CASE state WHEN 'adjusted' THEN 'The order is moved by a factor of ' || printf('%.2f', factor) || ': ' || days_adjusted || ' of the days ahead lie in a run-up.'
+      WHEN 'advisory' THEN 'A festival falls in or near this window, but nothing is known of its effect on this product; the order is unchanged.' ELSE 'No festival is near; the order is unchanged.' END AS message FROM ({ORACLES['festival_plan']})""",
+    "calendar_coverage": f"WITH {UPLOAD}, {FEASTS}, k AS (SELECT min(day) AS first_known, max(day) AS last_known FROM feasts), b AS (SELECT sku, max(date) + 60 AS e FROM brands GROUP BY 1) SELECT sku, first_known, last_known, CASE WHEN e > last_known THEN 'the festival calendar ends on ' || last_known || ' and cannot speak about ' || e END AS note FROM b, k",
+    "sku_backtest": f"""WITH {UPLOAD}, b AS (SELECT sku, count(*) AS n_days, max(date) AS last FROM brands GROUP BY 1), c AS (SELECT *, CAST(greatest(0, least(5, floor((n_days - 28) / {A}))) AS INT) AS n FROM b),
+      sku_folds AS (SELECT sku, fold, last - (n - fold) * {A} AS origin_date FROM (SELECT *, CAST(unnest(range(n)) AS INT) AS fold FROM c)),
+      seen AS (SELECT sku, date, units_sold AS v FROM brands WHERE units_sold IS NOT NULL),
+      train AS (SELECT s.sku, date, v, fold, origin_date, count(*) OVER p - row_number() OVER w AS back, v - lag(v, 7) OVER w AS residual, abs(v - lag(v) OVER w) AS change,
+        CASE WHEN count(v) OVER f = {A} THEN sum(v) OVER f END AS total, min(CASE WHEN v > 0 THEN date END) OVER p AS sold FROM seen s JOIN sku_folds o ON o.sku = s.sku AND date <= origin_date
+        WINDOW p AS (PARTITION BY s.sku, fold), w AS (PARTITION BY s.sku, fold ORDER BY date), f AS (PARTITION BY s.sku, fold ORDER BY date ROWS BETWEEN CURRENT ROW AND {A - 1} FOLLOWING)),
+      fits AS (SELECT sku, fold, origin_date, median(residual) AS o, quantile_cont(total, {round(_ratio(_S), 4)}) AS ordered, avg(change) FILTER (date > sold) AS scale, list(v ORDER BY date) FILTER (back < 7) AS week FROM train GROUP BY 1, 2, 3),
+      ahead AS (SELECT *, origin_date + h AS date, greatest(0.0::DOUBLE, week[(h - 1) % 7 + 1] + coalesce(o, 0)) AS path FROM fits, (SELECT CAST(unnest(range(1, {A + 1})) AS INT) AS h) WHERE len(week) = 7),
+      judged AS (SELECT sku, fold, avg(abs(v - path)) AS mae, sum(v) - greatest(0.0::DOUBLE, max(ordered)) AS gap, max(scale) AS scale FROM ahead JOIN seen USING (sku, date) GROUP BY 1, 2)
+      SELECT sku, fold, round(CASE WHEN scale > 1e-12 THEN mae / scale END, 6) AS mase, round(greatest({round(_ratio(_S), 4)}::DOUBLE * gap, {round(_ratio(_S), 4) - 1!r}::DOUBLE * gap), 6) AS pinball FROM judged""",
+}

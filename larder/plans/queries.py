@@ -456,6 +456,22 @@ def festival_plan(spark, sf_dir):
     return rounded(service.plan(last, feasts, effects, AHEAD))
 
 
+@query
+def festival_messages(spark, sf_dir):
+    return service.plan_message(festival_plan(spark, sf_dir)).select("sku", "state", "message")
+
+
+@query
+def calendar_coverage(spark, sf_dir):
+    _, feasts = _festivals(spark, sf_dir)
+    return service.calendar_coverage(feasts, _brands(spark, sf_dir).groupBy("sku").agg(F.max("date").alias("last")), 60)
+
+
+@query
+def sku_backtest(spark, sf_dir):
+    return rounded(service.sku_backtest(_brands(spark, sf_dir), AHEAD, COSTS.critical_ratio()))
+
+
 @query
 def retention(spark, sf_dir):
     """Orders stand for datasets: those of the last two years stay, and lines without them are counted."""
