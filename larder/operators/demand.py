@@ -34,11 +34,10 @@ def event_name(date: Column) -> Column:
     return out
 
 
-def densify(rows: DataFrame, keys: Sequence[str], first: Column | None = None, last: Column | None = None) -> DataFrame:
-    """Every observed key on every day between the first and last date: keys and date."""
+def densify(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every observed key on every day between the first and last date: keys and date. A key unfolds its days where it stands."""
     bounds = rows.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    days = bounds.select(F.explode(F.sequence(first if first is not None else F.col("lo"), last if last is not None else F.col("hi"))).alias("date"))
-    return rows.select(*keys).distinct().crossJoin(F.broadcast(days))  # one row a day, a few thousand in ten years
+    return rows.select(*keys).distinct().crossJoin(F.broadcast(bounds)).select(*keys, F.explode(F.sequence("lo", "hi")).alias("date"))  # one row
 
 
 def fact_sales(daily: DataFrame) -> DataFrame:
