@@ -264,6 +264,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     go = scratch.save(go.select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), "kept"), "go")
     rows = docs.select(F.struct("*").alias("row"), *_row_hashes())  # apart from the names here
     same = (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2"))
+    # documents are dealt by hash at any size: whether the other side is small enough to be sent whole depends on how many copies there are
+    go = go.hint("merge")
     out = rows.join(go, same, "left_anti")
     if not go.where("kept").isEmpty():
         out = out.unionByName(rows.join(go.where("kept"), same, "left_semi").dropDuplicates(["k1", "k2"]))
