@@ -181,7 +181,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     out = None
     for finder in _blocks(benchmark, coverage, block_words):
-        found = rows.mapInArrow(run_with(finder), DDL)
+        found = rows.mapInArrow(K.tidy(run_with(finder)), DDL)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -200,5 +200,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, blo
         return run
 
     for finder in _blocks(benchmark, coverage, block_words):
-        docs = docs.mapInArrow(run_with(finder), docs.schema)
+        docs = docs.mapInArrow(K.tidy(run_with(finder)), docs.schema)
     return docs

@@ -161,7 +161,7 @@ def _shingle_sets(docs: DataFrame, found: DataFrame) -> DataFrame:
                         give.append(n)
                 yield K.batch(schema, [classes[n] for n in give], [sets[n].view(np.int64) for n in give])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "class binary, shingles array<long>")
+    return docs.select(F.col("text").cast("string")).mapInArrow(K.tidy(run), "class binary, shingles array<long>")
 
 
 LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -228,7 +228,7 @@ def _verdicts(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near-dup")
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), *_row_hashes())
-    signed = scratch.save(rows.mapInArrow(_sign, "doc_id long, n_shingles long, class binary, keys array<long>, sketch binary, k1 long, k2 int"), "signed")
+    signed = scratch.save(rows.mapInArrow(K.tidy(_sign), "doc_id long, n_shingles long, class binary, keys array<long>, sketch binary, k1 long, k2 int"), "signed")
     found = clusters(signed, scratch)
     joined = components(links(docs, found, scratch), scratch)
     rows = signed.select("doc_id", "n_shingles", "class", "k1", "k2")

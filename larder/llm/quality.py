@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     labelled = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"))
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text")  # at most ``sample`` rows
-    got = rows.mapInArrow(_rows, "doc_id long, good int, bins array<int>, shares array<float>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    got = rows.mapInArrow(K.tidy(_rows), "doc_id long, good int, bins array<int>, shares array<float>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     good = got["good"].to_numpy().astype(float)
     if len(set(good.tolist())) < 2:
         return None
@@ -185,7 +185,7 @@ def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
         for b in batches:
             yield K.batch(OUT, b.column(0), *assess(b.column(1), spread.value, threshold))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DDL)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(K.tidy(run), DDL)
 
 
 def keep(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -197,4 +197,4 @@ def keep(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
         for b in batches:
             yield b.filter(pa.array(assess(b.column(place).cast(pa.string()), spread.value, threshold)[-1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.tidy(run), docs.schema)

@@ -224,7 +224,7 @@ def _texts(rows: DataFrame, bits: np.ndarray, buckets: int, rest: bool) -> DataF
             out = K.batch(TEXT, bucket, b.column(0), b.column(1), text, np.diff(at), sha)
             yield out if rest else out.filter(pa.array(named))
 
-    return rows.mapInArrow(run, TEXT_DDL)
+    return rows.mapInArrow(K.tidy(run), TEXT_DDL)
 
 
 SHARDED = pa.schema([("bucket", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("wants", pa.binary()), ("bytes", pa.binary())])
@@ -455,7 +455,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("hash"), text.alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES))
-    runs = rows.mapInArrow(_find_runs(buckets), BLOB_DDL)
+    runs = rows.mapInArrow(K.tidy(_find_runs(buckets)), BLOB_DDL)
     met = scratch.save(runs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(buckets), BLOB_DDL), "met")
     wants, marks = met.where(F.col("kind") == WANTS).select("bucket", "blob"), met.where(F.col("kind") == MARKS).select("bucket", "blob")
     texts = _texts(rows, _filter_bits(wants, WANT), buckets, rest=False)
