@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 #: Rows in an Arrow batch.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 _HERE = Path(__file__).resolve().parent
 
 
