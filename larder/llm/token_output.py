@@ -150,13 +150,20 @@ class WordEncoder:
         return ids, np.diff(stops, prepend=0)
 
     def _learn_runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        split = [_WORD.findall(x) for x in runs.to_pylist()]
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        words = pa.array(list(itertools.chain.from_iterable(split)), pa.string()).dictionary_encode()
+        # the pattern's words are letters, single digits and runs of others, but for what an apostrophe begins
+        odd = pc.or_(pc.match_substring(runs, "'"), pc.equal(pc.utf8_trim_whitespace(runs), "")).to_numpy(zero_copy_only=False)
+        order = np.concatenate((np.flatnonzero(~odd), np.flatnonzero(odd)))
+        spaced = pc.utf8_trim_whitespace(pc.replace_substring_regex(runs.filter(pa.array(~odd)), r"([0-9]|[^\p{L}0-9]+)", r" \1 "))
+        plain, others = pc.utf8_split_whitespace(spaced), [_WORD.findall(x) for x in runs.filter(pa.array(odd)).to_pylist()]
+        n = np.concatenate((pc.list_value_length(plain).to_numpy(zero_copy_only=False).astype(np.int64), np.fromiter(map(len, others), np.int64, len(others))))
+        words = pa.concat_arrays([plain.flatten(), pa.array(list(itertools.chain.from_iterable(others)), pa.string())]).dictionary_encode()
         self.words.shrink()
         at = self.words.places_of(words.dictionary, self._learn_words)[words.indices.to_numpy()]
         ids, size = gather(self.words.flat, self.words.start, at)
-        return ids, K.sums(size, np.concatenate(([0], np.cumsum(n))))
+        size = K.sums(size, np.concatenate(([0], np.cumsum(n))))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return gather(ids, np.concatenate(([0], np.cumsum(size))).astype(np.int32), back)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the number of ids of each."""
