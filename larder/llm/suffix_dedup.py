@@ -31,7 +31,7 @@ from larder.llm.scratch import Scratch
 
 LENGTH, GRAM = 100, 24
 #: Input bytes for a bucket, about, where shuffle partitions are fewer; records held by a task; contexts of one anchor in a shard.
-BUCKET_BYTES, HELD, SHARD = 64 << 20, 500_000, 20_000
+BUCKET_BYTES, HELD, SHARD = 64 << 20, 500_000, 4_000
 #: Bytes of one suffix array, about.
 ARRAY_BYTES = 1 << 19
 FILTER_BITS = 1 << 24
