@@ -80,7 +80,7 @@ def tile(doc: np.ndarray, item: np.ndarray, least: int = SEED, places: np.ndarra
             if free_d[i : i + n].all() and free_i[j : j + n].all():
                 free_d[i : i + n] = free_i[j : j + n] = False
                 tiles.append((i, j, n))
-        if search == least:
+        if search == least and not found:
             return tiles
         if free_i.sum() < least:
             return tiles
