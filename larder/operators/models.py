@@ -77,20 +77,25 @@ def assembled(features: DataFrame) -> DataFrame:
     return Pipeline(stages=stages).fit(filled).transform(filled)
 
 
-def boosted(features: DataFrame, origin: date, horizon: int = S.HORIZON, rounds: int = 10, days: int = 365):
-    """A model of units on the last ``days`` before the origin: (rows with ``yhat`` for all days, the model)."""
+def _past(rows: DataFrame, origin: date, days: int | None) -> DataFrame:
+    known = rows.where(F.col("date") <= F.lit(origin))
+    return known if days is None else known.where(F.col("date") >= F.date_sub(F.lit(origin), days))
+
+
+def boosted(features: DataFrame, origin: date, horizon: int = S.HORIZON, rounds: int = 10, days: int | None = None):
+    """A model of units on all rows up to the origin, or on the last ``days`` before it: (rows with ``yhat`` for all days, the model)."""
     from pyspark.ml.regression import GBTRegressor
 
     rows = assembled(features)
-    train = rows.where(F.col("date").between(F.date_sub(F.lit(origin), days), F.lit(origin))).select("x", F.col("units").cast("double").alias("units"))
+    train = _past(rows, origin, days).select("x", F.col("units").cast("double").alias("units"))
     model = GBTRegressor(featuresCol="x", labelCol="units", predictionCol="yhat", maxIter=rounds, maxDepth=5, maxBins=64, seed=S.SEED).fit(train)
     return model.transform(rows).withColumn("yhat", F.greatest(F.lit(0.0), "yhat")), model
 
 
-def boosted_quantiles(predicted: DataFrame, strata: DataFrame, origin: date, horizon: int = S.HORIZON, levels: Sequence[float] = S.LEVELS, days: int = 365) -> DataFrame:
+def boosted_quantiles(predicted: DataFrame, strata: DataFrame, origin: date, horizon: int = S.HORIZON, levels: Sequence[float] = S.LEVELS, days: int | None = None) -> DataFrame:
     """The point plus quantiles of its own errors before the origin, for each band of items; the library has no pinball loss."""
     rows = predicted.join(strata.select("item_id", "stratum"), "item_id", "left")
-    past = rows.where(F.col("date").between(F.date_sub(F.lit(origin), days), F.lit(origin)))
+    past = _past(rows, origin, days)
     offsets = past.groupBy("stratum").agg(F.percentile(F.col("units") - F.col("yhat"), F.array(*[F.lit(q) for q in levels])).alias("offsets")).withColumnRenamed("stratum", "band")
     ahead = rows.where((F.col("date") > F.lit(origin)) & (F.col("date") <= F.date_add(F.lit(origin), horizon))).join(F.broadcast(offsets), F.col("stratum").eqNullSafe(F.col("band")))  # a row a band
     x = F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in levels]).alias("q"), F.col("offsets").alias("o")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import pandas as pd
@@ -508,23 +509,23 @@ def ets_forecast(spark, sf_dir):
 
 
 def _boosted(spark, sf_dir):
+    """fold, origin, rows and model of each fold, fitted on all listed rows up to its origin."""
     panel = fact(spark, sf_dir)
-    origin = _fold_list(panel)[-1][1]
     rows = demand.features(panel)
-    recent = rows.where(F.col("date") >= F.date_sub(F.lit(origin), 365))
-    return panel, origin, *models.boosted(recent, origin)
+    return [(fold, origin, *models.boosted(rows, origin)) for fold, origin, *_ in _fold_list(panel)]
 
 
 @query
 def boosted_forecast(spark, sf_dir):
-    _, origin, rows, _ = _boosted(spark, sf_dir)
-    return rounded(models.boosted_quantiles(rows, strata(spark, sf_dir), origin))
+    bands = strata(spark, sf_dir)
+    found = [models.boosted_quantiles(rows, bands, origin).withColumn("fold", F.lit(fold)) for fold, origin, rows, _ in _boosted(spark, sf_dir)]
+    return rounded(functools.reduce(DataFrame.unionByName, found))
 
 
 @query
 def feature_importance(spark, sf_dir):
-    _, _, rows, model = _boosted(spark, sf_dir)
-    return rounded(models.importance(model, rows))
+    found = [models.importance(model, rows).withColumn("fold", F.lit(fold)) for fold, _, rows, model in _boosted(spark, sf_dir)]
+    return rounded(functools.reduce(DataFrame.unionByName, found))
 
 
 @query
