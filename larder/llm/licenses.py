@@ -1,11 +1,14 @@
 """License scans by an exact set-similarity join, in DataFrame functions alone.
 
-Text blocks (lines, and overlapping windows of long lines) are joined with license templates: a block matches a template if it holds at
-least ``THRESHOLD`` of the template's distinct words. The words of all templates are put in one global order, rarest in the corpus first.
-A template's prefix holds so many of its rarest words that a matching block must hold one of them; blocks without any are never
-compared (prefix filter), nor blocks with too few template words in all (length filter), nor those where too few words can follow the
-first shared one in either (positional filter). What is left is decided on the full sets. Each filter is exact, so every block that meets
-the threshold is found. The templates are a fixed small side, held as literals: no row moves, so no key can be hot.
+Text blocks, overlapping windows of the words of the whole text wherever its lines end, are joined with license templates: a block
+matches a template if it holds at least ``THRESHOLD`` of the template's distinct words, or all of them where there are fewer than
+``SHORT``. A window is twice as long as the templates it serves, so a notice that stands in one piece lies whole in one.
+
+The words of all templates are put in one global order, rarest in the corpus first, and a block's template words follow it. Blocks and
+templates are joined on the words of their prefixes: of so many first words that two sets without a common one there can't share enough
+(prefix filter). Blocks with too few template words in all go (length filter), and pairs where too few words can stand before and behind
+a shared one (positional filter). What is left is decided on the full sets. Each filter is exact, so every block that meets the threshold
+is found. The templates are a fixed small side; rows of the corpus move only if a block of theirs passes the filters.
 
 Defined cases: a null or empty text has no words, no labels and score 0; equal rows give equal results; every row of the input gives one
 row, also without doc_id; other columns are ignored. In an empty table word counts are 0 and the order is alphabetical.
@@ -20,30 +23,35 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.scratch import Scratch
+
 # Base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-# Opening sentences of public license texts.
+# Openings of public license texts and notices, in words of a-z and 0-9.
 TEMPLATES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
     "mit-line": "released under the mit license",
     "apache-2": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
     "apache-2-line": "licensed under the apache license version 2 0",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
+    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     "gpl-line": "this work is licensed under the gnu general public license version 3",
-    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "unlicense": "this is free and unencumbered software released into the public domain",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+    "cc0": "to the extent possible under law has waived all copyright and related or neighboring rights to this work",
     "cc-by-sa": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
     "cc-by-nc": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
     "cc-by-nc-line": "licensed under cc by nc 4 0",
 }
 THRESHOLD = 0.8
-#: Words of a window of a long line; windows overlap by half. No template is longer than half of it.
-WINDOW = 64
+#: A template of fewer distinct words must be held whole: one word may be all that tells it from another license.
+SHORT = 16
+#: Words of a window; windows overlap by half, and a template goes with the least window of twice its words.
+WIDTHS = (16, 32, 64)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BETWEEN_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def plain(text: Column) -> Column:
@@ -67,15 +75,14 @@ def word_order(docs: DataFrame, vocabulary: Sequence[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
 
 
-def _matches(block: Column, label: str, words: list[str], need: int) -> Column:
-    """Containment of one template in a block, or 0 below the threshold. ``block``: its template words in the global order."""
-    prefix = words[: len(words) - need + 1]
-    first = F.try_element_at(F.array_intersect(_strings(prefix), block), F.lit(1))
-    place = F.array_position(_strings(words), first)  # from 1; null without a shared prefix word
-    follow = F.least(F.lit(len(words)) - place, F.size(block) - F.array_position(block, first)) + 1
-    shared = F.size(F.array_intersect(_strings(words), block))
-    possible = (F.size(block) >= need) & (place > 0) & (follow >= need)
-    return F.when(possible, F.when(shared >= need, shared / F.lit(float(len(words)))))
+def need(words: Sequence[str], threshold: float) -> int:
+    """How many of a template's distinct words a block must hold."""
+    return len(words) if len(words) < SHORT else ceil(threshold * len(words) - 1e-9)
+
+
+def width(template: str) -> int:
+    n = 2 * len(template.split())
+    return next((w for w in WIDTHS if w >= n), 2 * n)
 
 
 def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -87,8 +94,7 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mappi
     order = word_order(docs, sorted({w for s in sets.values() for w in s}))
     rank = {w: i for i, w in enumerate(order)}
     sets = {name: sorted(s, key=rank.__getitem__) for name, s in sets.items()}
-    need = {name: ceil(threshold * len(s) - 1e-9) for name, s in sets.items()}
-    prefixes = sorted({w for name, s in sets.items() for w in s[: len(s) - need[name] + 1]}, key=rank.__getitem__)
+    prefixes = sorted({w for s in sets.values() for w in s[: len(s) - need(s, threshold) + 1]}, key=rank.__getitem__)
 
     # cheap for every row: words once (explode keeps them from being split again where they are used), their number, and one set test
     text = plain(F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -105,25 +111,45 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mappi
         return F.when(whole, at).otherwise(F.array().cast("array<int>"))
 
     none = F.array().cast("array<array<int>>")
-    rows = rows.select("doc_id", "n_words", "low", F.when(F.col("words").isNotNull(), F.array(*[places(p) for p in phrases])).otherwise(none).alias("places"))
+    none = F.array().cast("array<array<int>>")
+    rows = rows.select("doc_id", "n_words", "words", F.when(F.col("words").isNotNull(), F.array(*[places(p) for p in phrases])).otherwise(none).alias("places"))
     base = F.filter(F.transform(F.arrays_zip(F.col("places").alias("p"), _strings(list(phrases.values())).alias("l")), lambda x: F.when(F.size(x["p"]) > 0, x["l"])), F.isnotnull)
-    lines = F.split(F.regexp_replace("low", BETWEEN_IN_LINE, " "), "\n")
-    line_words = F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.split(F.trim(x), " +"))
-    window = F.transform(line_words, lambda words: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - WINDOW // 2, F.lit(1)), F.lit(WINDOW // 2)),
-        lambda i: F.array_intersect(_strings(order), F.slice(words, i, WINDOW))))
-    least = min(need.values(), default=1)
-    blocks = F.array_distinct(F.filter(F.flatten(window), lambda x: F.size(x) >= least))
-    rows = rows.select("doc_id", "n_words", F.array_sort(F.flatten("places")).alias("at"), F.array_sort(F.array_distinct(base)).alias("base"),
-                       F.when(F.col("low").isNotNull(), blocks).otherwise(F.array().cast("array<array<string>>")).alias("blocks"))
-    rows = rows.select("doc_id", "n_words", "at", "base", F.explode(F.array("blocks")).alias("blocks"))
-    found = F.flatten(F.transform("blocks", lambda b: F.filter(
-        F.array(*[F.struct(F.lit(name.removesuffix("-line")).alias("label"), _matches(b, name, s, need[name]).alias("share")) for name, s in sets.items()]),
-        lambda x: x["share"].isNotNull())))
-    rows = rows.select("doc_id", "n_words", "at", "base", (found if sets else F.array().cast("array<struct<label:string,share:double>>")).alias("found"))
-    labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("found", lambda x: x["label"]))))
-    score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0)))
+
+    def windows(w: int) -> Column:
+        """Template words of each window, in the global order, if any template of this width can have enough of them."""
+        least = min(need(sets[name], threshold) for name, text in templates.items() if width(text) == w)
+        at = F.sequence(F.lit(1), F.greatest(F.size("words") - w // 2, F.lit(1)), F.lit(w // 2))
+        held = F.array_distinct(F.filter(F.transform(at, lambda i: F.array_intersect(_strings(order), F.slice("words", i, w))), lambda x: F.size(x) >= least))
+        return F.transform(held, lambda x: F.struct(F.lit(w).alias("width"), x.alias("words")))
+
+    widths = sorted({width(text) for text in templates.values()})
+    empty = F.array().cast("array<struct<width:int,words:array<string>>>")
+    blocks = F.when(F.col("words").isNotNull(), F.concat(*[windows(w) for w in widths])).otherwise(empty) if widths else empty
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", F.array_sort(F.flatten("places")).alias("at"), F.array_sort(F.array_distinct(base)).alias("base"), blocks.alias("blocks"))
+    rows = Scratch(docs.sparkSession, "licenses").save(rows, "blocks")
+    found = _join(rows.where(F.size("blocks") > 0).select("row", F.posexplode("blocks").alias("nth", "block")), templates, sets, threshold)
+    rows = rows.drop("blocks").join(found.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left")
+    labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("found", F.array().cast("array<string>")))))
+    score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0)))
     return rows.select(
         "doc_id", "n_words", F.size("at").cast("long").alias("n_base"), (F.try_element_at("at", F.lit(1)) - 1).cast("long").alias("first_word"),
         (F.try_element_at("at", F.lit(-1)) - 1).cast("long").alias("last_word"), F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"),
     )
+
+
+def _join(blocks: DataFrame, templates: Mapping[str, str], sets: Mapping[str, list[str]], threshold: float) -> DataFrame:
+    """row, found (labels) and share (largest containment) of rows with a block that matches. ``blocks``: row, nth, block (width, words)."""
+    side = [F.struct(F.lit(name).alias("template"), F.lit(name.removesuffix("-line")).alias("label"), F.lit(width(templates[name])).alias("w"), F.lit(need(s, threshold)).alias("need"), _strings(s).alias("own")) for name, s in sets.items()]
+    if not side:
+        return blocks.select("row", F.array().cast("array<string>").alias("found"), F.lit(0.0).alias("share")).limit(0)
+    side = blocks.sparkSession.range(1).select(F.explode(F.array(*side)).alias("t")).select("t.*")  # the fixed templates
+    prefix = side.select("template", "w", "need", F.size("own").alias("size_own"), F.posexplode(F.slice("own", F.lit(1), F.size("own") - F.col("need") + 1)).alias("j", "word"))
+    words = blocks.select("row", "nth", "block", F.posexplode("block.words").alias("i", "token"))
+    size = F.size("block.words")
+    enough = (size >= F.col("need")) & (F.col("i") <= size - F.col("need"))  # length; the block's own prefix
+    possible = F.least("i", "j") + 1 + F.least(F.col("size_own") - F.col("j"), size - F.col("i")) - 1 >= F.col("need")
+    pairs = words.join(F.broadcast(prefix), (F.col("token") == F.col("word")) & (F.col("block.width") == F.col("w")) & enough & possible)
+    pairs = pairs.select("row", "nth", "template", "block.words").dropDuplicates(["row", "nth", "template"])
+    shared = F.size(F.array_intersect("own", "words"))
+    sure = pairs.join(F.broadcast(side.select(F.col("template").alias("t"), "label", "need", "own")), F.col("template") == F.col("t")).where(shared >= F.col("need"))
+    return sure.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(shared / F.size("own")).alias("share"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from larder.llm import chat, licenses
 
 _LOW = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
@@ -18,17 +16,18 @@ def license_scans() -> str:
     cut = "list_filter(regexp_split_to_array({0}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
     places = ", ".join(f"list_filter(range(1, len(words) - {len(p.split()) - 2}), lambda i: words[i:i + {len(p.split()) - 1}] = {_list(p.split())}) AS p{k}" for k, p in enumerate(phrases))
     base = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(phrases.values()))
-    shared = ", ".join(f"coalesce(list_max(list_transform(blocks, lambda b: len(list_intersect(b, {_list(t)})))), 0) AS s{k}" for k, t in enumerate(templates.values()))
-    need = [ceil(licenses.THRESHOLD * len(t) - 1e-9) for t in templates.values()]
+    widths = sorted({licenses.width(t) for t in licenses.TEMPLATES.values()})
+    blocks = ", ".join(f"list_transform(range(1, greatest(len(words) - {w // 2}, 1) + 1, {w // 2}), lambda i: words[i:i + {w - 1}]) AS blocks{w}" for w in widths)
+    shared = ", ".join(f"coalesce(list_max(list_transform(blocks{licenses.width(licenses.TEMPLATES[n])}, lambda b: len(list_intersect(b, {_list(t)})))), 0) AS s{k}" for k, (n, t) in enumerate(templates.items()))
+    need = [licenses.need(t, licenses.THRESHOLD) for t in templates.values()]
     found = ", ".join(f"CASE WHEN s{k} >= {n} THEN '{name.removesuffix('-line')}' END" for k, (name, n) in enumerate(zip(templates, need, strict=True)))
     score = ", ".join(f"CASE WHEN s{k} >= {n} THEN s{k} / {len(t)}.0::DOUBLE ELSE 0 END" for k, (t, n) in enumerate(zip(templates.values(), need, strict=True)))
     joined = "array_to_string(list_sort(list_distinct(list_filter({0}, lambda x: x IS NOT NULL))), ',')"
     at = " || ".join(f"p{k}" for k in range(len(phrases)))
-    half, width = licenses.WINDOW // 2, licenses.WINDOW
     return f"""
     WITH low AS (SELECT doc_id, {_LOW} AS low FROM documents),
-    cut AS (SELECT doc_id, {cut.format('low')} AS words, list_transform(string_split(low, chr(10)), lambda l: {cut.format('l')}) AS lines FROM low),
-    placed AS (SELECT doc_id, words, {places}, flatten(list_transform(lines, lambda l: list_transform(range(1, greatest(len(l) - {half}, 1) + 1, {half}), lambda i: l[i:i + {width - 1}]))) AS blocks FROM cut),
+    cut AS (SELECT doc_id, {cut.format('low')} AS words FROM low),
+    placed AS (SELECT doc_id, words, {places}, {blocks} FROM cut),
     scored AS (SELECT *, {at} AS starts, {shared} FROM placed)
     SELECT doc_id, len(words) AS n_words, len(starts) AS n_base, list_min(starts) - 1 AS first_word, list_max(starts) - 1 AS last_word, {joined.format(f'[{base}]')} AS base_labels,
       {joined.format(f'[{base}, {found}]')} AS labels, CASE WHEN len(starts) > 0 THEN 1.0::DOUBLE ELSE greatest({score}) END AS score FROM scored"""

@@ -63,14 +63,13 @@ def test_licenses(docs, rows, empty):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))
         at = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
         labels, score = {label for _, label in at}, 1.0 if at else 0.0
-        for line in re.split("\n", low(text)):
-            own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line)
-            for i in range(0, max(len(own) - licenses.WINDOW // 2, 1), licenses.WINDOW // 2):
-                for n, t in templates.items():
-                    share = len(t & set(own[i : i + licenses.WINDOW])) / len(t)
-                    if share >= licenses.THRESHOLD:
-                        labels.add(n.removesuffix("-line"))
-                        score = max(score, share)
+        for n, t in templates.items():
+            wide = licenses.width(licenses.TEMPLATES[n])
+            for i in range(0, max(len(w) - wide // 2, 1), wide // 2):
+                share = len(t & set(w[i : i + wide])) / len(t)
+                if share >= (licenses.THRESHOLD if len(t) >= licenses.SHORT else 1):
+                    labels.add(n.removesuffix("-line"))
+                    score = max(score, share)
         starts = [i for i, _ in at]
         plain[doc_id, len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at})), ",".join(sorted(labels)), score] += 1
     assert got == plain
