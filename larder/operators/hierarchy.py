@@ -89,6 +89,26 @@ def reconcile(base: DataFrame, method: str = "wls_struct", keys: Sequence[str] =
     return rows.select("node", "level", *keys, "yhat", found.alias("reconciled"), F.greatest(F.lit(0.0), found).alias("clipped"))
 
 
+def gaps(sums: DataFrame, value: str, tolerance: float = 1e-6, at: Sequence[str] = ("date",)) -> DataFrame:
+    """Pairs of levels with the number of parents that were compared with their children and of those that differ."""
+    kids = sums.withColumn("parent", parent_of(F.col("node"))).where("parent is not null").groupBy("parent", *at).agg(F.sum(value).alias("x"), F.max("level").alias("child_level"))
+    both = sums.withColumnRenamed("node", "parent").join(kids, ["parent", *at])
+    return both.groupBy(F.col("level").alias("parent_level"), "child_level").agg(F.count("*").alias("n_checked"), F.count_if(F.abs(F.col(value) - F.col("x")) > tolerance).alias("n_gaps"))
+
+
+def stored(reconciled: DataFrame) -> DataFrame:
+    """Reconciled rows as they are kept: the path as columns, null above their level, and values of at least 0."""
+    path = F.split("node", "/")
+    parts = [F.try_element_at(path, F.lit(i)).alias(c) for i, c in enumerate(PATH, 1)]
+    return reconciled.select("model_name", "fold", "target_date", "level", *parts, F.greatest(F.lit(0.0), "reconciled").alias("yhat"), F.lit(True).alias("reconciled"))
+
+
+def filled(rows: DataFrame, nodes: DataFrame, days: DataFrame) -> DataFrame:
+    """A row for every node and target day; what has no forecast gets 0, so that sums over children are whole."""
+    grid = nodes.crossJoin(F.broadcast(days))  # the days of a horizon
+    return grid.join(rows.select("node", "target_date", "yhat"), ["node", "target_date"], "left").withColumn("yhat", F.coalesce("yhat", F.lit(0.0)))
+
+
 def wrmsse(series_scores: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted RMSSE over the nodes that have one; weights are not scaled up for the others."""
     rows = series_scores.join(weights.drop("level"), "node")

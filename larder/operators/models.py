@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import date
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from larder import schema as S
 from larder.operators import forecasting as fc
@@ -19,62 +21,106 @@ Z = {0.1: -1.2815515655446004, 0.25: -0.6744897501960817, 0.5: 0.0, 0.75: 0.6744
 GRID = [(a, g) for a in (0.02, 0.05, 0.1, 0.2, 0.4) for g in (0.01, 0.05, 0.15)]
 
 
-def smooth(y: np.ndarray, origins: Sequence[int], horizon: int, season: int = S.SEASON) -> list[tuple[np.ndarray, float, float]]:
-    """Additive level and season without trend; for each origin (days of training) path, error deviation and level constant.
+def smooth(y: np.ndarray, origins: Sequence[int], horizon: int, season: int = S.SEASON) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Additive level and season without trend, of many series of one length at once (rows of ``y``).
 
-    All constants run through the series once; each origin takes those with the least squared error up to it.
+    For each origin (days of training) the paths, error deviations and level constants. All constants run through the series once; at
+    each origin a series takes those with the least squared error up to it.
     """
+    y = np.atleast_2d(np.asarray(y, float))
     alpha, gamma = (np.array(x) for x in zip(*GRID, strict=True))
-    first = y[: 2 * season] if len(y) >= 2 * season else y
-    level = np.full(len(GRID), first.mean() if len(first) else 0.0)
-    seasonal = np.array([first[i::season].mean() - first.mean() if len(first[i::season]) else 0.0 for i in range(season)])[:, None].repeat(len(GRID), 1)
-    sse, out, at = np.zeros(len(GRID)), {}, set(origins)
-    for t in range(len(y) + 1):
+    first = y[:, : 2 * season] if y.shape[1] >= 2 * season else y
+    mean = first.mean(axis=1) if first.shape[1] else np.zeros(len(y))
+    level = np.repeat(mean[:, None], len(GRID), axis=1)
+    seasonal = np.stack([np.repeat((first[:, i::season].mean(axis=1) - mean if first[:, i::season].shape[1] else np.zeros(len(y)))[:, None], len(GRID), axis=1) for i in range(season)])
+    sse, out, at, each = np.zeros_like(level), {}, set(origins), np.arange(len(y))
+    for t in range(y.shape[1] + 1):
         if t in at:
-            k = int(np.argmin(sse))
-            path = np.array([level[k] + seasonal[(t + h) % season, k] for h in range(horizon)])
-            out[t] = (path, float(np.sqrt(sse[k] / max(t, 1))), float(alpha[k]))
-        if t == len(y):
+            k = np.argmin(sse, axis=1)
+            path = np.stack([level[each, k] + seasonal[(t + h) % season][each, k] for h in range(horizon)], axis=1)
+            out[t] = (path, np.sqrt(sse[each, k] / max(t, 1)), alpha[k])
+        if t == y.shape[1]:
             break
-        s = seasonal[t % season]
-        error = y[t] - level - s
+        error = y[:, t, None] - level - seasonal[t % season]
         sse += error * error
         level = level + alpha * error
-        seasonal[t % season] = s + gamma * error
+        seasonal[t % season] += gamma * error
     return [out[t] for t in origins]
 
 
-def ets(fact: DataFrame, folds: list[tuple[int, date, date, date]], levels: Sequence[float] = S.LEVELS, horizon: int = S.HORIZON) -> DataFrame:
-    """Quantile rows of every series and fold; one group is one series, a few thousand days."""
-    rows = [(i, o) for i, o, *_ in folds]
+#: Series that are smoothed together, about.
+TOGETHER = 256
 
-    def run(key: tuple, days: pd.DataFrame) -> pd.DataFrame:
-        days = days.sort_values("date")
-        y, when = days["units"].to_numpy(float), days["date"].to_numpy()
-        ends = [int(np.searchsorted(when, np.datetime64(o) if when.dtype.kind == "M" else o, "right")) for _, o in rows]
+
+def ets(fact: DataFrame, folds: list[tuple[int, date]], levels: Sequence[float] = S.LEVELS, horizon: int = S.HORIZON) -> DataFrame:
+    """Quantile rows of every series and fold. Series go together by hash, some hundreds at a time, and those of one span in one pass."""
+
+    def run(days: pd.DataFrame) -> pd.DataFrame:
+        days = days.sort_values([*SERIES, "date"])
+        days["day"] = pd.to_datetime(days["date"])
         out = []
-        for (fold, origin), (path, sigma, alpha) in zip(rows, smooth(y, ends, horizon), strict=True):
-            for h in range(1, horizon + 1):
-                wide = sigma * np.sqrt(1 + (h - 1) * alpha * alpha)
-                out += [(fold, origin, (pd.Timestamp(origin) + pd.Timedelta(days=h)).date(), h, *key, q, max(0.0, path[h - 1] + Z[q] * wide)) for q in levels]
-        return pd.DataFrame(out, columns=["fold", "origin_date", "target_date", "horizon", *SERIES, "quantile", "yhat"])
+        spans = days.groupby(SERIES)["day"].agg(["min", "max", "count"])
+        for (start, _, n), same in spans.groupby(["min", "max", "count"]):
+            own = days.set_index(SERIES).loc[same.index]
+            y = own["units"].to_numpy(float).reshape(len(same), n)
+            when = own["day"].to_numpy().reshape(len(same), n)[0]
+            ends = [int(np.searchsorted(when, np.datetime64(o), "right")) for _, o in folds]
+            for (fold, origin), (path, sigma, alpha) in zip(folds, smooth(y, ends, horizon), strict=True):
+                step = np.arange(horizon)
+                wide = sigma[:, None] * np.sqrt(1 + step[None, :] * (alpha * alpha)[:, None])
+                z = np.array([Z[q] for q in levels])
+                value = np.maximum(0.0, path[:, :, None] + z[None, None, :] * wide[:, :, None])
+                shape = value.shape
+                i, h, q = (x.ravel() for x in np.indices(shape))
+                out.append(pd.DataFrame({
+                    "fold": fold, "origin_date": origin, "target_date": (pd.Timestamp(origin) + pd.to_timedelta(h + 1, "D")).date, "horizon": h + 1,
+                    "item_id": same.index.get_level_values(0).to_numpy()[i], "store_id": same.index.get_level_values(1).to_numpy()[i], "quantile": np.array(levels)[q], "yhat": value.ravel()}))
+        return pd.concat(out)
 
     ddl = "fold int, origin_date date, target_date date, horizon int, item_id string, store_id string, quantile double, yhat double"
-    return fact.select("date", *SERIES, "units").groupBy(*SERIES).applyInPandas(run, ddl).withColumn("model_name", F.lit("ets"))
+    groups = -(-fact.select(*SERIES).distinct().count() // TOGETHER) or 1
+    rows = fact.select("date", *SERIES, "units", F.pmod(F.xxhash64(*SERIES), F.lit(groups)).alias("together"))
+    return rows.groupBy("together").applyInPandas(run, ddl).withColumn("model_name", F.lit("ets"))
 
 
 FEATURES = [*(f"units_lag_{k}" for k in S.LAGS), *(f"units_roll_{f}_{n}" for n in S.WINDOWS for f in ("mean", "std", "max")), "zero_share_90", "days_since_last_sale", "price_rel_28", "days_since_event", "days_to_event", "month", "wday", "snap"]
 
 
+#: Series and departments go into the trees by hash, in so many bins: no list of them is gathered on the driver.
+HASHED = 32
+
+
 def assembled(features: DataFrame) -> DataFrame:
-    """A vector of the features, series as indices; -1 stands for a missing one, which a tree can split off."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    """A vector of the features, series by hash; -1 stands for a missing one, which a tree can split off."""
+    from pyspark.ml.feature import VectorAssembler
 
     names = ["item_id", "store_id", "dept_id"]
-    filled = features.withColumns({f"f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in FEATURES})
-    stages = [*(StringIndexer(inputCol=c, outputCol=f"f_{c}", handleInvalid="keep") for c in names), VectorAssembler(inputCols=[f"f_{c}" for c in (*FEATURES, *names)], outputCol="x")]
-    return Pipeline(stages=stages).fit(filled).transform(filled)
+    filled = features.withColumns({f"f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in FEATURES} | {f"f_{c}": F.pmod(F.xxhash64(c), F.lit(HASHED)).cast("double") for c in names})
+    return VectorAssembler(inputCols=[f"f_{c}" for c in (*FEATURES, *names)], outputCol="x").transform(filled)
+
+
+def forest(rows: DataFrame, origin: date, trees: int = 8, levels: Sequence[float] = S.LEVELS, horizon: int = S.HORIZON, days: int | None = None) -> tuple[DataFrame, object]:
+    """A forest fitted on all assembled rows up to the origin, and its quantile rows after it.
+
+    A leaf's quantiles are those of the units of the training rows in it, which is what the pinball loss asks of a constant; a row's are
+    the means over the trees. (forecast rows, model)
+    """
+    from pyspark.ml.regression import RandomForestRegressor
+
+    past = _past(rows, origin, days).select("x", F.col("units").cast("double").alias("units"))
+    model = RandomForestRegressor(featuresCol="x", labelCol="units", predictionCol="point", leafCol="leaf", numTrees=trees, maxDepth=6, maxBins=64, minInstancesPerNode=20, subsamplingRate=0.7, seed=S.SEED).fit(past)
+    from pyspark.ml.functions import vector_to_array
+
+    in_leaf = lambda df: model.transform(df).withColumn("leaf", vector_to_array("leaf"))
+    leaves = in_leaf(past).select("units", F.posexplode("leaf").alias("tree", "node")).groupBy("tree", "node").agg(F.percentile("units", F.array(*[F.lit(q) for q in levels])).alias("values"))
+    ahead = rows.where((F.col("date") > F.lit(origin)) & (F.col("date") <= F.date_add(F.lit(origin), horizon)))
+    ahead = in_leaf(ahead.select("date", *SERIES, "x")).select("date", *SERIES, F.posexplode("leaf").alias("tree", "node"))
+    ahead = ahead.join(F.broadcast(leaves), ["tree", "node"])  # trees times leaves, at most 8 times 64 rows
+    grid = F.posexplode(F.col("values")).alias("n", "value")
+    mean = ahead.select("date", *SERIES, grid).groupBy("date", *SERIES, "n").agg(F.avg("value").alias("yhat"))
+    level = F.element_at(F.array(*[F.lit(q) for q in levels]), F.col("n") + 1)
+    out = mean.select(F.lit("forest").alias("model_name"), F.lit(origin).alias("origin_date"), F.col("date").alias("target_date"), F.datediff("date", F.lit(origin)).alias("horizon"), *SERIES, level.alias("quantile"), F.greatest(F.lit(0.0), "yhat").alias("yhat"))
+    return out, model
 
 
 def _past(rows: DataFrame, origin: date, days: int | None) -> DataFrame:
@@ -82,11 +128,10 @@ def _past(rows: DataFrame, origin: date, days: int | None) -> DataFrame:
     return known if days is None else known.where(F.col("date") >= F.date_sub(F.lit(origin), days))
 
 
-def boosted(features: DataFrame, origin: date, horizon: int = S.HORIZON, rounds: int = 10, days: int | None = None):
-    """A model of units on all rows up to the origin, or on the last ``days`` before it: (rows with ``yhat`` for all days, the model)."""
+def boosted(rows: DataFrame, origin: date, horizon: int = S.HORIZON, rounds: int = 10, days: int | None = None):
+    """A model of units on all assembled rows up to the origin, or on the last ``days`` before it: (rows with ``yhat`` for all days, the model)."""
     from pyspark.ml.regression import GBTRegressor
 
-    rows = assembled(features)
     train = _past(rows, origin, days).select("x", F.col("units").cast("double").alias("units"))
     model = GBTRegressor(featuresCol="x", labelCol="units", predictionCol="yhat", maxIter=rounds, maxDepth=5, maxBins=64, seed=S.SEED).fit(train)
     return model.transform(rows).withColumn("yhat", F.greatest(F.lit(0.0), "yhat")), model
@@ -103,10 +148,32 @@ def boosted_quantiles(predicted: DataFrame, strata: DataFrame, origin: date, hor
         "model_name", "origin_date", "target_date", *SERIES, F.col("x.q").alias("quantile"), F.greatest(F.lit(0.0), F.col("yhat") + F.col("x.o")).alias("yhat"))
 
 
-def importance(model, predicted: DataFrame) -> DataFrame:
-    """Gain of each feature."""
+def importance(model, spark: SparkSession) -> DataFrame:
+    """Of each feature its gain, and its share of all splits."""
     names = [*FEATURES, "item_id", "store_id", "dept_id"]
-    return predicted.sparkSession.createDataFrame([(n, "gain", float(v)) for n, v in zip(names, model.featureImportances.toArray(), strict=True)], "feature string, method string, value double")
+    gain = model.featureImportances.toArray()
+    split = np.bincount([int(n) for n in re.findall(r"feature (\d+) <=", model.toDebugString)], minlength=len(names))
+    rows = [(n, m, float(v)) for m, values in (("gain", gain), ("split", split / max(1, split.sum()))) for n, v in zip(names, values, strict=True)]
+    return spark.createDataFrame(rows, "feature string, method string, value double")
+
+
+def permuted(model, rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """By how much the mean squared error rises when a feature's values are dealt out anew among the rows of a day: one pass for all features.
+
+    ``rows``: assembled, with ``units``. A row takes the value of the next row of its day by hash, so the draw is fixed.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    all_names = [*FEATURES, "item_id", "store_id", "dept_id"]
+    w = Window.partitionBy("date").orderBy(F.xxhash64(*SERIES), *SERIES)
+    x = rows.select("date", *SERIES, F.col("units").cast("double").alias("units"), vector_to_array("x").alias("v"))
+    x = x.withColumn("other", F.coalesce(F.lead("v").over(w), F.first("v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    swapped = lambda i: F.transform("v", lambda a, n: F.when(n == i, F.col("other")[i]).otherwise(a))
+    cases = F.array(F.struct(F.lit("").alias("feature"), F.col("v").alias("v")), *[F.struct(F.lit(n).alias("feature"), swapped(all_names.index(n)).alias("v")) for n in names])
+    cells = x.select("units", F.explode(cases).alias("c")).select("units", "c.feature", array_to_vector("c.v").alias("x"))
+    loss = model.transform(cells).groupBy("feature").agg(F.avg((F.col("units") - F.col(model.getPredictionCol())) ** 2).alias("mse"))
+    base = loss.where("feature = ''").select(F.col("mse").alias("base"))
+    return loss.where("feature <> ''").crossJoin(F.broadcast(base)).select("feature", F.lit("permutation").alias("method"), (F.col("mse") - F.col("base")).alias("value"))  # one row
 
 
 def isolated(fit, columns: Sequence[str]):

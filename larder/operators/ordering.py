@@ -117,4 +117,12 @@ def optimize_item(policy: DataFrame, item: str) -> DataFrame:
     return rows.groupBy("item_id", "target_date").agg(F.sum("order_qty").alias("order_qty"), F.sum("demand").alias("demand"), F.sum("expected_cost").alias("expected_cost"), F.count("*").alias("n_stores"))
 
 
-__all__ = ["attribution", "bin_masses", "level_columns", "money_table", "naive_orders", "optimize_item", "order_policy", "policies", "quantile_panel", "sensitivity", "simulate", "sweep"]
+def forecast_item(forecasts: DataFrame, item: str) -> DataFrame:
+    """One item's forecast of the latest fold, summed over stores."""
+    own = forecasts.where(F.col("item_id") == item)
+    latest = own.agg(F.max("fold").alias("latest"))
+    rows = own.join(F.broadcast(latest), F.col("fold") == F.col("latest"))  # one row
+    return rows.groupBy("item_id", "target_date", "horizon").agg(F.sum("yhat").alias("yhat"), F.count("*").alias("n_stores"))
+
+
+__all__ = ["attribution", "bin_masses", "forecast_item", "level_columns", "money_table", "naive_orders", "optimize_item", "order_policy", "policies", "quantile_panel", "sensitivity", "simulate", "sweep"]

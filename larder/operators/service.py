@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,6 +22,12 @@ LAGS, WINDOWS = (1, 2, 3, 7, 14, 28), (7, 14, 28, 91)
 BASELINE_DAYS, BUFFER_DAYS, MIN_BASELINE, MIN_LEAD = 28, 3, 6, 3
 CLIP_DAYS, LOOKAHEAD, MATERIAL = 45, 14, 0.01
 MARGIN = 0.05
+#: Shorter keywords say nothing of a product.
+MIN_KEYWORD = 3
+# What the gate says to a product that it refuses.
+TOO_SHORT = f"{MIN_DAYS} days of history needed, %d found"
+TOO_FEW = f"{MIN_OBSERVATIONS} recorded days needed, %d found"
+GAP_TOO_LONG = f"a %d-day stretch with no rows at all; gaps over {MAX_GAP} days are not treated as zero-demand days"
 
 
 def resolve_columns(columns: Sequence[str]) -> dict[str, str]:
@@ -61,12 +67,13 @@ def gate(raw: DataFrame) -> DataFrame:
     one = days.withColumn("gap", gap).groupBy("sku").agg(
         (F.datediff(F.max("date"), F.min("date")) + 1).alias("n_days"), F.count("*").alias("n_obs"), F.count("units_sold").alias("n_nonnull"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
         F.coalesce(F.max("gap"), F.lit(0)).alias("max_gap_days"))
-    rows = F.when(F.col("n_obs") != F.col("n_nonnull"), F.format_string(" (from %d rows)", F.col("n_obs"))).otherwise(F.lit(""))
-    reasons = F.array_compact(F.array(
-        F.when(F.col("n_days") < MIN_DAYS, F.format_string(f"{MIN_DAYS} days of history needed, %d found", F.col("n_days"))),
-        F.when(F.col("n_nonnull") < MIN_OBSERVATIONS, F.concat(F.format_string(f"{MIN_OBSERVATIONS} recorded days needed, %d found", F.col("n_nonnull")), rows)),
-        F.when(F.col("max_gap_days") > MAX_GAP, F.format_string(f"a %d-day stretch with no rows at all; gaps over {MAX_GAP} days are not treated as zero-demand days", F.col("max_gap_days")))))
-    return one.withColumn("reasons", reasons).withColumn("admitted", F.size("reasons") == 0)
+    blank = F.col("n_obs") - F.col("n_nonnull")
+    rules = F.array(*[F.struct(broken.alias("broken"), text.alias("text")) for broken, text in (
+        (F.col("n_days") < MIN_DAYS, F.format_string(TOO_SHORT, "n_days")),
+        (F.col("n_nonnull") < MIN_OBSERVATIONS, F.format_string(TOO_FEW + "%s", "n_nonnull", F.when(blank == 0, "").otherwise(F.format_string(" (from %d rows)", "n_obs")))),
+        (F.col("max_gap_days") > MAX_GAP, F.format_string(GAP_TOO_LONG, "max_gap_days")))])
+    reasons = F.transform(F.filter(rules, lambda x: x["broken"]), lambda x: x["text"])
+    return one.withColumns({"reasons": reasons, "admitted": ~F.exists(rules, lambda x: x["broken"])})
 
 
 def gate_report(raw: DataFrame) -> DataFrame:
@@ -164,11 +171,35 @@ def choose_method(scores: DataFrame) -> DataFrame:
 FESTIVALS = {"christmas": ("Christmas", 12, 25, 10, 1, False), "independence_day": ("Independence Day", 8, 15, 3, 0, True), "republic_day": ("Republic Day", 1, 26, 2, 0, True)}
 
 
+# Festivals of moving date: name, run-up days, days after, and the days as public calendars of India give them.
+MOVING = {
+    "diwali": ("Diwali", 14, 2, ("1995-10-23", "1996-11-10", "1997-10-30", "1998-10-19", "1999-11-07", "2000-10-26", "2001-11-14")),
+    "holi": ("Holi", 7, 1, ("1995-03-17", "1996-03-05", "1997-03-24", "1998-03-13", "1999-03-02", "2000-03-20", "2001-03-10")),
+    "maha_shivaratri": ("Maha Shivratri", 5, 1, ("1995-02-27", "1996-02-17", "1997-03-07", "1998-02-25", "1999-02-14", "2000-03-04", "2001-02-21")),
+    "raksha_bandhan": ("Raksha Bandhan", 5, 1, ("1995-08-10", "1996-08-28", "1997-08-18", "1998-08-08", "1999-08-26", "2000-08-15", "2001-08-04")),
+    "eid_al_fitr": ("Eid al-Fitr", 7, 1, ("1995-03-03", "1996-02-21", "1997-02-09", "1998-01-30", "1999-01-19", "2000-01-08", "2000-12-28", "2001-12-17")),
+}
+# The festivals of the other region: name, run-up days, days after, and days.
+US_FESTIVALS = {
+    "thanksgiving": ("Thanksgiving", 7, 1, ("2011-11-24", "2012-11-22", "2013-11-28", "2014-11-27", "2015-11-26", "2016-11-24")),
+    "christmas": ("Christmas", 10, 1, ("2011-12-25", "2012-12-25", "2013-12-25", "2014-12-25", "2015-12-25", "2016-12-25")),
+    "super_bowl": ("Super Bowl", 3, 0, ("2011-02-06", "2012-02-05", "2013-02-03", "2014-02-02", "2015-02-01", "2016-02-07")),
+}
+
+
+def dated(spark: SparkSession, table: dict[str, tuple[str, int, int, tuple[str, ...]]]) -> DataFrame:
+    """Festivals of a table of days: key, name, day, window_start, window_end, prior_only."""
+    rows = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(n).alias("name"), F.lit(d).cast("date").alias("day"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (n, a, b, days) in table.items() for d in days])
+    x = spark.range(1).select(F.explode(rows).alias("x")).select("x.*")
+    return x.select("key", "name", "day", F.date_sub("day", F.col("a")).alias("window_start"), F.date_add("day", F.col("b")).alias("window_end"), F.lit(False).alias("prior_only"))
+
+
 def festivals(years: DataFrame) -> DataFrame:
-    """key, name, day, window_start, window_end, prior_only for each year of ``years``. Festivals of moving date come as rows of the same shape."""
+    """key, name, day, window_start, window_end, prior_only for each year of ``years``; of moving date those that the table has."""
     rows = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(n).alias("name"), F.lit(m).alias("m"), F.lit(d).alias("d"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(p).alias("prior_only")) for k, (n, m, d, a, b, p) in FESTIVALS.items()])
     x = years.select("year", F.explode(rows).alias("x")).select("year", "x.*").withColumn("day", F.make_date("year", "m", "d"))
-    return x.select("key", "name", "day", F.date_sub("day", F.col("a")).alias("window_start"), F.date_add("day", F.col("b")).alias("window_end"), "prior_only")
+    fixed = x.select("key", "name", "day", F.date_sub("day", F.col("a")).alias("window_start"), F.date_add("day", F.col("b")).alias("window_end"), "prior_only")
+    return fixed.unionByName(dated(years.sparkSession, MOVING).join(years.select(F.col("year").alias("y")), F.year("day") == F.col("y"), "left_semi"))
 
 
 def active(days: DataFrame, festivals: DataFrame) -> DataFrame:
@@ -223,7 +254,7 @@ def keyword_matches(skus: DataFrame, rules: DataFrame) -> DataFrame:
     reference table; products are compared by phrase.
     """
     phrases = rules.select("row", "festival_key", "direction", "category", "suggested_multiplier", F.posexplode(F.split("items", ",")).alias("nth", "keyword"))
-    phrases = phrases.withColumns({"keyword": F.trim("keyword"), "phrase": tokens(F.col("keyword"))}).where("trim(phrase) <> ''")
+    phrases = phrases.withColumns({"keyword": F.trim("keyword"), "phrase": tokens(F.col("keyword"))}).where(F.char_length(F.trim("phrase")) >= MIN_KEYWORD)
     rows = skus.select("sku", tokens(F.col("sku")).alias("name")).join(F.broadcast(phrases), F.contains("name", "phrase"))  # rules: hundreds
     size = F.char_length(F.replace("phrase", F.lit(" "), F.lit("")))
     best = Window.partitionBy("sku", "festival_key")

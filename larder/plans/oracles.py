@@ -56,7 +56,7 @@ ORACLES: dict[str, str] = {
       count(DISTINCT date) AS n_dates, min(date) AS first_date, max(date) AS last_date, round(avg(CASE WHEN units = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS zero_share, round(avg(CASE WHEN price IS NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS unpriced_share FROM fact)""",
     "dim_calendar": f"WITH {CALENDAR} SELECT * FROM cal",
     "calendar_features": f"WITH {CALENDAR} SELECT date, event, days_since_event, days_to_event FROM dist",
-    "unpivot_sales": f"WITH {FACT} SELECT item_id, dept_id, store_id, strftime(date, '%Y-%m-%d') AS d, CAST(units AS BIGINT) AS units FROM fact WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-01-14'",
+    "unpivot_sales": f"WITH {FACT} SELECT item_id, dept_id, store_id, strftime(date, '%Y-%m-%d') AS d, CAST(units AS BIGINT) AS units FROM fact",
     "item_stratum": f"WITH {STRATA} SELECT item_id, dept_id, round(zero_share, 6) AS zero_share, stratum, stratum_name FROM named",
     "stratum_summary": f"WITH {STRATA} SELECT dept_id, stratum, count(*) AS n_items, round(min(zero_share), 6) AS min_zero_share, round(avg(zero_share), 6) AS avg_zero_share, round(max(zero_share), 6) AS max_zero_share FROM strata GROUP BY 1, 2",
     "stratified_sample": f"""WITH {STRATA}, ranked AS (SELECT *, row_number() OVER (PARTITION BY dept_id, stratum ORDER BY md5(item_id || '#{S.SEED}'), item_id) <= CASE WHEN stratum <= 1 THEN 2 ELSE 1 END AS chosen FROM strata),
@@ -248,7 +248,7 @@ upload AS (SELECT event_type AS sku, CAST(ts AS DATE) AS date, value AS units_so
   UNION ALL SELECT item_id, date, CAST(units AS DOUBLE), cents / 100.0::DOUBLE / units FROM daily),
 merged AS (SELECT sku, date, sum(CASE WHEN units_sold < 0 THEN 0 ELSE units_sold END) AS units_sold FROM upload WHERE date IS NOT NULL AND sku IS NOT NULL AND sku <> '' GROUP BY 1, 2),
 dense AS (SELECT g.sku, g.date, units_sold FROM (SELECT sku, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM merged GROUP BY sku) g LEFT JOIN merged USING (sku, date)),
-brands AS (SELECT * FROM dense WHERE sku LIKE 'Brand%'),
+brands AS (SELECT sku, date, round(units_sold, 6) AS units_sold FROM dense),
 gaps AS (SELECT *, date - lag(date) OVER (PARTITION BY sku ORDER BY date) - 1 AS gap FROM merged),
 spans AS (SELECT sku, CAST(max(date) - min(date) + 1 AS INT) AS n_days, count(*) AS n_obs, count(units_sold) AS n_nonnull, min(date) AS first_date, max(date) AS last_date, CAST(coalesce(max(gap), 0) AS INT) AS max_gap_days FROM gaps GROUP BY 1),
 verdicts AS (SELECT *, concat_ws('; ', CASE WHEN n_days < 90 THEN '90 days of history needed, ' || n_days || ' found' END,
@@ -270,9 +270,11 @@ def _origin() -> str:
 
 
 _FEASTS = ", ".join(f"('{k}', '{n}', {m}, {d}, {a}, {b}, {str(p).lower()})" for k, (n, m, d, a, b, p) in _service.FESTIVALS.items())
+_MOVING = ", ".join(f"('{k}', '{n}', DATE '{d}', {a}, {b})" for k, (n, a, b, days) in _service.MOVING.items() for d in days)
 FEASTS = f"""feast_days AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM daily),
 feasts AS (SELECT key, name, make_date(year, m, d) AS day, make_date(year, m, d) - a AS window_start, make_date(year, m, d) + b AS window_end, prior_only
-  FROM (SELECT DISTINCT year(date) AS year FROM feast_days), (VALUES {_FEASTS}) AS t(key, name, m, d, a, b, prior_only))"""
+  FROM (SELECT DISTINCT year(date) AS year FROM feast_days), (VALUES {_FEASTS}) AS t(key, name, m, d, a, b, prior_only)
+  UNION ALL SELECT key, name, day, day - a, day + b, false FROM (VALUES {_MOVING}) AS t(key, name, day, a, b) WHERE year(day) IN (SELECT year(date) FROM feast_days))"""
 OCCURRENCES = UPLOAD + ", " + FEASTS + """,
 near AS (SELECT b.sku, b.date, units_sold AS v, f.*, b.date >= window_start AND b.date < day AS lead, b.date BETWEEN day AND window_end AS tail FROM {series} b JOIN feasts f ON NOT prior_only AND b.date BETWEEN window_start - 31 AND window_end + 31 WHERE units_sold IS NOT NULL),
 based AS (SELECT *, (date < window_start - 3 OR date > window_end + 3) AND bool_or(lead) OVER (PARTITION BY sku, key, day, dayofweek(date)) AS base FROM near),
@@ -284,7 +286,7 @@ _TOKENS = "' ' || trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')) || '
 MATCHES = f"""skus AS (SELECT DISTINCT p_brand AS sku FROM part UNION ALL SELECT * FROM (VALUES {_NAMES_SQL})),
 rules AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', '{d}', '{c}', {m}::DOUBLE, '{items}')" for i, (k, d, c, m, items) in enumerate(_RULES))}) AS t(n, festival_key, direction, category, multiplier, items)),
 phrases AS (SELECT n, festival_key, direction, category, multiplier, unnest(range(len(string_split(items, ',')))) AS nth, trim(unnest(string_split(items, ','))) AS keyword FROM rules),
-hits AS (SELECT sku, p.*, length(replace({_TOKENS.format('keyword')}, ' ', '')) AS size FROM skus JOIN phrases p ON contains({_TOKENS.format('sku')}, {_TOKENS.format('keyword')})),
+hits AS (SELECT sku, p.*, length(replace({_TOKENS.format('keyword')}, ' ', '')) AS size FROM skus JOIN phrases p ON length(trim({_TOKENS.format('keyword')})) >= {_service.MIN_KEYWORD} AND contains({_TOKENS.format('sku')}, {_TOKENS.format('keyword')})),
 best AS (SELECT * FROM hits QUALIFY size = max(size) OVER (PARTITION BY sku, festival_key)),
 agreed AS (SELECT sku, festival_key, arg_min(keyword, n * 1000 + nth) AS keyword, arg_min(category, n * 1000 + nth) AS category, arg_min(multiplier, n * 1000 + nth) AS multiplier FROM best GROUP BY 1, 2 HAVING min(direction) = max(direction))"""
 TOTALS = UPLOAD + f""",
@@ -297,7 +299,7 @@ ORACLES |= {
     "gate_report": f"WITH {UPLOAD} SELECT count(*) AS rows_read, count(*) FILTER (date IS NULL) AS rows_without_date, count(*) FILTER (date IS NOT NULL AND sku <> '') AS rows_used, count(*) FILTER (units_sold < 0) AS negative_units, count(*) FILTER (date IS NOT NULL AND sku <> '') - (SELECT count(*) FROM merged) AS rows_merged, CAST(NULL AS VARCHAR) AS fatal FROM upload",
     "daily_densify": f"WITH {UPLOAD} SELECT sku, date, round(units_sold, 6) AS units_sold FROM dense",
     "origin_features": f"WITH {UPLOAD} SELECT sku, date, units_sold, {_origin()} FROM brands WINDOW w AS (PARTITION BY sku ORDER BY date)",
-    "total_ahead": f"WITH {UPLOAD}, ahead AS (SELECT *, CASE WHEN count(units_sold) OVER f = {A} THEN sum(units_sold) OVER f END AS y, row_number() OVER (PARTITION BY sku ORDER BY date DESC) - 1 AS back, count(*) OVER (PARTITION BY sku) AS n FROM brands WINDOW f AS (PARTITION BY sku ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {A} FOLLOWING)) SELECT sku, date, units_sold, y FROM ahead WHERE back % greatest(CAST(ceil(n * {A} / 8000.0) AS BIGINT), 1) = 0",
+    "total_ahead": f"WITH {UPLOAD}, ahead AS (SELECT *, CASE WHEN count(units_sold) OVER f = {A} THEN sum(units_sold) OVER f END AS y, row_number() OVER (PARTITION BY sku ORDER BY date DESC) - 1 AS back, count(*) OVER (PARTITION BY sku) AS n FROM brands WINDOW f AS (PARTITION BY sku ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {A} FOLLOWING)) SELECT sku, date, units_sold, round(y, 6) AS y FROM ahead WHERE back % greatest(CAST(ceil(n * {A} / 8000.0) AS BIGINT), 1) = 0",
     "baseline_totals": f"WITH {TOTALS} SELECT sku, CAST(unnest(range(7)) AS INT) AS k, round(greatest(unnest(q), 0), 6) AS value FROM totals",
     "service_orders": f"WITH {TOTALS}, o AS (SELECT sku, coalesce(p, 3.0::DOUBLE) AS price, list_transform(q, lambda x: greatest(x, 0)) AS q FROM totals LEFT JOIN prices USING (sku)), w AS (SELECT *, greatest(0.0::DOUBLE, {_interpolate(_ratio(_S))}) AS order_qty FROM o) SELECT sku, price, round(order_qty, 6) AS order_qty, round(" + " + ".join(f"{m!r}::DOUBLE * (greatest(q[{i}] - order_qty, 0) * price * {_M}::DOUBLE + greatest(order_qty - q[{i}], 0) * price * {1 - _M!r}::DOUBLE * {_S + _HOLD!r}::DOUBLE)" for i, m in enumerate(_masses(), 1)) + ", 2) AS expected_cost FROM w",
     "resolve_price": f"WITH {TOTALS} SELECT sku, coalesce(p, 3.0::DOUBLE) AS price, p IS NULL AS assumed FROM (SELECT DISTINCT sku FROM upload) LEFT JOIN prices USING (sku)",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -69,8 +70,16 @@ def calendar_features(spark, sf_dir):
 
 @query
 def unpivot_sales(spark, sf_dir):
-    days = [f"1998-01-{d:02d}" for d in range(1, 15)]
-    return demand.unpivot_sales(demand.wide_sales(fact(spark, sf_dir).where(F.col("date").between("1998-01-01", "1998-01-14")), days), ["item_id", "dept_id", "store_id"])
+    """All days: wide tables of a year each, as a wide table of every day has more columns than a plan should."""
+    panel = fact(spark, sf_dir)
+    first, last = panel.agg(F.year(F.min("date")), F.year(F.max("date"))).first()
+    if first is None:
+        return demand.unpivot_sales(demand.wide_sales(panel, ["2000-01-01"]), ["item_id", "dept_id", "store_id"])
+    years = []
+    for year in range(first, last + 1):
+        days = [str(date(year, 1, 1) + timedelta(days=i)) for i in range(366) if (date(year, 1, 1) + timedelta(days=i)).year == year]
+        years.append(demand.unpivot_sales(demand.wide_sales(panel.where(F.year("date") == year), days), ["item_id", "dept_id", "store_id"]))
+    return functools.reduce(DataFrame.unionByName, years)
 
 
 def strata(spark, sf_dir):
@@ -279,7 +288,7 @@ def _base(spark, sf_dir):
     panel, cut, _ = _naive(spark, sf_dir)
     upper = fc.seasonal_naive(tree.roll_up(panel, ["units"]).where("level <> 'item'"), cut, ["node", "level"])
     paths = panel.select(F.concat_ws("/", *tree.PATH).alias("node"), "item_id", "store_id").distinct()
-    lower = fc.tsb(panel, cut).join(F.broadcast(paths), ["item_id", "store_id"]).withColumn("level", F.lit("item"))  # one row a series, as the forecasts it names
+    lower = fc.tsb(panel, cut).join(paths, ["item_id", "store_id"]).withColumn("level", F.lit("item"))
     columns = ["node", "level", F.lit("mixed").alias("model_name"), "fold", "target_date", "yhat"]
     return panel, cut, upper.select(*columns).unionByName(lower.select(*columns))
 
@@ -341,7 +350,7 @@ def _upload(spark, sf_dir):
 
 
 def _brands(spark, sf_dir):
-    return service.daily(service.usable(service.parse_upload(_upload(spark, sf_dir))).where("sku like 'Brand%'"))
+    return service.daily(service.usable(service.parse_upload(_upload(spark, sf_dir))))
 
 
 @query
@@ -366,7 +375,7 @@ def origin_features(spark, sf_dir):
 
 @query
 def total_ahead(spark, sf_dir):
-    return service.strided(service.total_ahead(_brands(spark, sf_dir), AHEAD), AHEAD)
+    return rounded(service.strided(service.total_ahead(_brands(spark, sf_dir), AHEAD), AHEAD))
 
 
 @query
@@ -377,7 +386,7 @@ def baseline_totals(spark, sf_dir):
 
 @query
 def service_orders(spark, sf_dir):
-    parsed = service.parse_upload(_upload(spark, sf_dir)).where("sku like 'Brand%'")
+    parsed = service.parse_upload(_upload(spark, sf_dir))
     prices = service.resolve_price(parsed.groupBy("sku", "date").agg(F.max("unit_price").alias("unit_price")))
     return rounded(service.order_quantities(service.baseline_totals(_brands(spark, sf_dir), AHEAD, S.LEVELS), prices, COSTS, S.LEVELS).withColumn("expected_cost", F.round("expected_cost", 2)), exact=("price",))
 
@@ -496,10 +505,7 @@ def latency_percentiles(spark, sf_dir):
 
 
 def _fold_list(panel):
-    first, last = panel.agg(F.min("date"), F.max("date")).first()
-    found = fc.make_folds(last, first=first)
-    fc.check_no_leak(found)
-    return found
+    return fc.checked_folds(panel)
 
 
 @query
@@ -508,24 +514,67 @@ def ets_forecast(spark, sf_dir):
     return rounded(models.ets(panel, _fold_list(panel)))
 
 
-def _boosted(spark, sf_dir):
-    """fold, origin, rows and model of each fold, fitted on all listed rows up to its origin."""
+def _assembled(spark, sf_dir):
+    """The panel's folds, and its feature vectors, kept for the passes of all fits."""
     panel = fact(spark, sf_dir)
-    rows = demand.features(panel)
-    return [(fold, origin, *models.boosted(rows, origin)) for fold, origin, *_ in _fold_list(panel)]
+    return _fold_list(panel), models.assembled(demand.features(panel)).select("date", *fc.SERIES, "units", "x").persist()
+
+
+def _joined(parts):
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query
 def boosted_forecast(spark, sf_dir):
-    bands = strata(spark, sf_dir)
-    found = [models.boosted_quantiles(rows, bands, origin).withColumn("fold", F.lit(fold)) for fold, origin, rows, _ in _boosted(spark, sf_dir)]
-    return rounded(functools.reduce(DataFrame.unionByName, found))
+    bands, (cut, rows) = strata(spark, sf_dir), _assembled(spark, sf_dir)
+    return rounded(_joined(models.boosted_quantiles(models.boosted(rows, origin)[0], bands, origin).withColumn("fold", F.lit(fold)) for fold, origin in cut))
+
+
+def _forest(spark, sf_dir):
+    cut, rows = _assembled(spark, sf_dir)
+    return rows, [(fold, *models.forest(rows, origin)) for fold, origin in cut]
+
+
+@query
+def forest_forecast(spark, sf_dir):
+    return rounded(_joined(out.withColumn("fold", F.lit(fold)) for fold, out, _ in _forest(spark, sf_dir)[1]))
 
 
 @query
 def feature_importance(spark, sf_dir):
-    found = [models.importance(model, rows).withColumn("fold", F.lit(fold)) for fold, _, rows, model in _boosted(spark, sf_dir)]
-    return rounded(functools.reduce(DataFrame.unionByName, found))
+    """By gain and by splits for every fold; for the latest also by permutation over the last quarter, of the twelve greatest by gain."""
+    rows, fits = _forest(spark, sf_dir)
+    fold, _, model = fits[-1]
+    top = [r.feature for r in models.importance(model, spark).where("method = 'gain'").orderBy(F.desc("value"), "feature").limit(12).collect()]
+    late = rows.join(F.broadcast(rows.agg(F.date_sub(F.max("date"), 90).alias("from"))), F.col("date") > F.col("from"))  # one row
+    found = [models.importance(m, spark).withColumn("fold", F.lit(f)) for f, _, m in fits]
+    return rounded(_joined([*found, models.permuted(model, late, top).withColumn("fold", F.lit(fold))]))
+
+
+@query
+def top_features(spark, sf_dir):
+    """The twelve greatest by gain in the latest fold."""
+    cut, rows = _assembled(spark, sf_dir)
+    fold, origin = cut[-1]
+    return rounded(models.importance(models.forest(rows, origin)[1], spark).where("method = 'gain'").orderBy(F.desc("value"), "feature").limit(12).withColumn("fold", F.lit(fold)))
+
+
+@query
+def hybrid_learned(spark, sf_dir):
+    """Quantiles by band: dense and middling items from the forest, sparse ones from smoothing; values sorted over levels."""
+    panel = fact(spark, sf_dir)
+    smooth = models.ets(panel, _fold_list(panel))
+    both = smooth.unionByName(_joined(out.withColumn("fold", F.lit(fold)) for fold, out, _ in _forest(spark, sf_dir)[1]))
+    routed = fc.hybrid(both, strata(spark, sf_dir).select("item_id", "stratum_name"), {"dense": "forest", "mid": "forest", "sparse": "ets"})
+    return rounded(fc.monotone(routed))
+
+
+@query
+def model_backtest(spark, sf_dir):
+    """Pinball loss of learned models and of the baseline, on the same folds and levels."""
+    panel, base = _quantiles(spark, sf_dir)
+    learned = hybrid_learned(spark, sf_dir)
+    return rounded(fc.pinball(base.unionByName(learned.select(*base.columns)), panel))
 
 
 @query
@@ -537,7 +586,7 @@ def sku_jobs(spark, sf_dir):
         if len(seen) < 60:
             raise ValueError(f"60 recorded days needed, {len(seen)} found")
         path, sigma, _ = models.smooth(seen, [len(seen)], AHEAD)[0]
-        return pd.DataFrame([{"total": max(0.0, float(path.sum())), "sigma": sigma}])
+        return pd.DataFrame([{"total": max(0.0, float(path.sum())), "sigma": float(sigma[0])}])
 
     days = service.daily(service.usable(service.parse_upload(_upload(spark, sf_dir))))
     return rounded(days.groupBy("sku").applyInPandas(models.isolated(fit, ["total", "sigma"]), "sku string, status string, error string, total double, sigma double"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
 
@@ -44,16 +45,24 @@ def read_prices(spark: SparkSession, path: str, sales: DataFrame) -> DataFrame:
 
 
 def read_upload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """An uploaded CSV file as text, and the lines that could not be split."""
-    raw = spark.read.csv(path, header=True, inferSchema=False)
-    schema = raw.schema.add("_corrupt_record", "string")
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(path, header=True)
-    return rows.drop("_corrupt_record"), rows.where("_corrupt_record is not null").select("_corrupt_record")
+    """An uploaded CSV file as text columns, and the lines that could not be split into them; a file without a header is an error.
+
+    Bytes that are no UTF-8 become replacement characters, and a line with one counts as unreadable.
+    """
+    lines = spark.read.text(path)
+    head = lines.first()
+    if head is None or not head[0].strip():
+        raise ValueError("the file has no header")
+    names = spark.read.csv(path, header=True, inferSchema=False).columns
+    ddl = ", ".join(f"`{n.replace('`', '``')}` string" for n in (*names, "_corrupt_record"))
+    rows = lines.where((F.col("value") != head[0]) & (F.trim("value") != "")).select("value", F.from_csv("value", ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("x"))
+    bad = F.col("x._corrupt_record").isNotNull() | F.contains("value", F.lit("\ufffd"))
+    return rows.where(~bad).select(*(F.col(f"x.`{n}`") for n in names)), rows.where(bad).select(F.col("value").alias("_corrupt_record"))
 
 
-def content_id(*columns: str) -> Column:
-    """A digest of a row's content."""
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
+def content_id(content: Column) -> Column:
+    """A digest of a row's content, in hexadecimal digits."""
+    return F.sha2(content.cast("binary"), 256)
 
 
 def replace_scope(df: DataFrame, path: str, scope: Sequence[str]) -> None:
@@ -68,17 +77,25 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def publish(df: DataFrame, root: str) -> str:
-    """Writes a new version beside the old one, then points readers to it: the pointer is the last thing written."""
-    version = uuid.uuid4().hex
+    """Writes a new version beside the old ones. It counts from when its ``_SUCCESS`` file stands, the last thing written, and nothing
+    that readers look at is ever taken away: the version with the greatest name that is complete is the current one."""
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(f"{root}/versions/{version}")
-    spark = df.sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
     return version
 
 
+def current_version(spark: SparkSession, root: str) -> str:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/versions/*/_SUCCESS")
+    found = path.getFileSystem(conf).globStatus(path)
+    if not found:
+        raise FileNotFoundError(f"nothing is published below {root}")
+    return max(f.getPath().getParent().getName() for f in found)
+
+
 def read_current(spark: SparkSession, root: str) -> DataFrame:
     """The published version; a reader keeps it while a newer one is written."""
-    return spark.read.parquet(f"{root}/versions/{spark.read.text(f'{root}/current').first()[0]}")
+    return spark.read.parquet(f"{root}/versions/{current_version(spark, root)}")
 
 
 def newest(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
