@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from larder.llm import kernels as K
 
@@ -231,32 +232,26 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str) -> None:
     writer.parquet(path)
 
 
-def offsets(spark: SparkSession, path: str) -> dict[int, int]:
-    """Ids before each file; read from the counts alone. One entry per file."""
-    found = spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()
-    before, out = 0, {}
-    for part, n in sorted(found):
-        out[part] = before
-        before += n
-    return out
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """The files' rows with ``start``; ids before each file come from the counts alone, a row for each file."""
+    rows = spark.read.parquet(path)
+    files = rows.groupBy(F.col("part").alias("file")).agg(F.sum("n_tokens").alias("n"))
+    before = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    return rows.join(before, F.col("part") == F.col("file")).withColumn("start", F.col("local_start") + F.col("before"))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start and n_tokens of every document, without reading ids."""
-    before = offsets(spark, path)
-    shift = F.lit(0).cast("long")
-    if before:
-        shift = F.element_at(F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)]), F.col("part")).cast("long")
-    return spark.read.parquet(path).select("doc_id", (F.col("local_start") + shift).alias("start"), "n_tokens")
-
-
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids of every document, from the files."""
-    before = offsets(spark, path)
-    shift = F.lit(0).cast("long")
-    if before:
-        shift = F.element_at(F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)]), F.col("part")).cast("long")
-    return spark.read.parquet(path).select("doc_id", (F.col("local_start") + shift).alias("start"), "n_tokens", "ids")
+    return _placed(spark, path).select("doc_id", "start", "n_tokens")
+
+
+def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """doc_id, start, n_tokens and ids of every document, or of those from ``first`` to ``last``: the files are in order of doc_id, so
+    readers skip row groups and pages by their indexes."""
+    rows = _placed(spark, path).select("doc_id", "start", "n_tokens", "ids")
+    if first is not None:
+        rows = rows.where(F.col("doc_id") >= first)
+    return rows if last is None else rows.where(F.col("doc_id") <= last)
 
 
 def checksums(tokens: DataFrame) -> DataFrame:
