@@ -117,8 +117,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     """Fits the classifier on at most ``sample`` labelled rows; a fifth of them only calibrates. None without rows of both kinds."""
     labelled = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"))
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text")  # at most ``sample`` rows
-    got = rows.mapInArrow(K.tidy(_rows), "doc_id long, good int, bins array<int>, shares array<float>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "good")  # at most ``sample`` rows
+    rows = rows.agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "good", "t.text")  # of an id's texts always the same one
+    got = rows.mapInArrow(K.tidy(_rows), "doc_id long, good int, bins array<int>, shares array<float>").toArrow().sort_by("doc_id")
     good = got["good"].to_numpy().astype(float)
     if len(set(good.tolist())) < 2:
         return None
