@@ -1,4 +1,4 @@
-"""Connected components of a graph held as a table."""
+"""Connected components of a graph held as a table, and joins on keys of which one may be very common."""
 
 from __future__ import annotations
 
@@ -7,28 +7,50 @@ from pyspark.sql import functions as F
 
 from larder.llm.scratch import Scratch
 
+#: A key is hot if more than one in ``SHARE`` of the rows has it, so there are fewer than ``SHARE`` hot keys whatever the size of the table;
+#: its rows are dealt over ``PARTS`` tasks.
+SHARE, PARTS = 1000, 64
+
+
+def join_split(left: DataFrame, right: DataFrame, key: str, other: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on left[key] = right[other]; ``how``: inner or left. ``left`` is a table that is cheap to read twice.
+
+    Rows of a hot key of ``left`` are dealt by their own hash, and ``right``'s rows of that key, of which there are few, go to each part.
+    """
+    n = left.count()
+    if n <= 10 * SHARE:  # one task holds them all: the result is the same
+        return left.join(right, F.col(key) == F.col(other), how)
+    hot = F.broadcast(left.groupBy(F.col(key).alias("hot")).agg(F.count("*").alias("n_hot")).where(F.col("n_hot") > max(n // SHARE, 1)).select("hot"))  # fewer than SHARE rows
+    names = left.columns
+    dealt = left.join(hot, F.col(key) == F.col("hot"), "left").withColumn("part", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64(*names), F.lit(PARTS))).otherwise(F.lit(0)).cast("int")).drop("hot")
+    parts = F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = right.join(hot, F.col(other) == F.col("hot"), "left").withColumn("part_r", F.explode(parts)).drop("hot")
+    return dealt.join(copied, (F.col(key) == F.col(other)) & (F.col("part") == F.col("part_r")), how).drop("part", "part_r")
+
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, root: each node of ``edges`` (a, b) with the smallest node that it reaches.
+    """node, root: each node of ``edges`` (a, b) with the smallest node that it reaches. Edges with a null end join nothing.
 
-    Alternates large-star and small-star steps, each a partial aggregate and a join on the node, until nothing changes; the edges of
-    every round are written, and none are collected.
+    Alternates large-star and small-star steps, each a partial aggregate and a join on the node, until the edges don't change; those of
+    every round are written, and none are collected. A node with very many edges is dealt over several tasks.
     """
-    now = scratch.save(edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
-    nodes = now
+    first = now = scratch.save(edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
     state = None
     while True:
         # large-star: greater neighbours move to the least of a node's neighbours and itself
         both = now.union(now.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
         least = both.groupBy("lo").agg(F.min("hi").alias("m")).select(F.col("lo").alias("u"), F.least("lo", "m").alias("m"))
-        large = both.where("hi > lo").join(least, F.col("lo") == F.col("u")).select(F.col("m").alias("lo"), "hi").where("lo <> hi").distinct()
+        large = join_split(both.where("hi > lo"), least, "lo", "u").select(F.col("m").alias("lo"), "hi").where("lo <> hi").distinct()
+        large = scratch.save(large, "large")
         # small-star: lesser neighbours and the node itself move to the least of them
         least = large.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("u"), "m")
-        moved = large.join(least, F.col("hi") == F.col("u"))
+        moved = join_split(large, least, "hi", "u")
         small = moved.select(F.col("m").alias("x"), F.col("lo").alias("y")).union(least.select(F.col("m").alias("x"), F.col("u").alias("y"))).where("x <> y")
         new = scratch.save(small.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct(), "edges")
-        mark = new.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi") % 1000003), F.sum(F.xxhash64("hi") % 1000003)).first()
-        if now is not nodes:
+        whole = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20,0)"))
+        mark = new.agg(F.count("*"), whole("lo", "hi"), whole("hi"), whole("hi", "lo")).first()
+        scratch.drop(large)
+        if now is not first:
             scratch.drop(now)
         now = new
         if mark == state:

@@ -7,8 +7,8 @@ J = 0.75. Keys that one document alone holds are dropped before pairs are formed
 
 Texts with equal sets of shingles are one class, so copies cost one node. In each table, members are compared with its least and its
 greatest member by their MinHash values alone, at a loose bound; that gives clusters, which hold every pair worth a check. Inside a
-cluster all links are decided on full shingle sets by blocked matrix products, and only links that join parts are given out. So no
-table and no cluster is expanded into pairs, whatever its size; large clusters are dealt over pairs of blocks.
+cluster links are decided on full shingle sets by blocked matrix products, and only links that join parts are given out. So no table
+and no cluster is expanded into pairs, whatever its size; of a large cluster only blocks that are not joined yet meet.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; a text of 1 to 4 words has one shingle; repeated rows
 belong to one class; rows without doc_id are members of their class, but its id is the smallest doc_id in it (null if it has none);
@@ -17,6 +17,7 @@ belong to one class; rows without doc_id are members of their class, but its id
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm import kernels as K
-from larder.llm.graph import components
+from larder.llm.graph import components, join_split
 from larder.llm.scratch import Scratch
 
 WORDS = 5
@@ -100,6 +101,14 @@ def _alike(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def _sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the sketches x and y of both; a lead of very many pairs is dealt over several tasks."""
+    x, y = (nodes.select(F.col("class").alias(f"class_{s}"), F.col("sketch").alias(s)) for s in "xy")
+    one = join_split(pairs, x, "a", "class_x").select("a", "b", "x")
+    hot_b = join_split(pairs, y, "b", "class_y").select(F.col("a").alias("a2"), F.col("b").alias("b2"), "y")
+    return one.join(hot_b, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2"))).select("a", "b", "x", "y")
+
+
 def clusters(signed: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root, n_shingles: classes that may have links, with their cluster."""
     nodes = scratch.save(signed.where("n_shingles > 0").select("class", "n_shingles", "keys", "sketch").dropDuplicates(["class"]), "classes")
@@ -109,20 +118,17 @@ def clusters(signed: DataFrame, scratch: Scratch) -> DataFrame:
         F.collect_list(F.when(F.col("place") < KEYS, F.col("key"))).alias("g"), F.collect_list(F.when(F.col("place") >= KEYS, F.col("key"))).alias("h"))
     tables = live.select("class", F.explode("g").alias("g"), "h").select("class", "g", F.explode("h").alias("h")).select(F.xxhash64("g", "h").alias("t"), "class")
     tables = scratch.save(tables, "tables")
-    ends = tables.groupBy("t").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most")
-    pairs = tables.join(ends, "t").select("class", F.explode(F.array("least", "most")).alias("lead")).where("class <> lead")
+    ends = tables.groupBy(F.col("t").alias("te")).agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most")
+    pairs = join_split(tables, ends, "t", "te").select("class", F.explode(F.array("least", "most")).alias("lead")).where("class <> lead")
     pairs = scratch.save(pairs.select(F.least("class", "lead").alias("a"), F.greatest("class", "lead").alias("b")).distinct(), "pairs")
-    sketch = nodes.select("class", "sketch")
-    pairs = pairs.join(sketch.select(F.col("class").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("class").alias("b"), F.col("sketch").alias("y")), "b")
-    found = components(_alike(pairs), scratch)
+    found = components(_alike(_sketched(pairs, nodes)), scratch)
     # leads of different clusters that share a table: joined while their sketches agree
     while True:
         own = tables.join(found, F.col("class") == F.col("node"), "left").select("t", "class", F.coalesce("root", "class").alias("root"))
         lead = own.groupBy("t", "root").agg(F.min("class").alias("lead"), F.max("class").alias("last"))
         one = lead.groupBy("t").agg(F.min_by(F.struct("root", "lead"), F.struct("root", "lead")).alias("one"), F.count("*").alias("n")).where("n > 1").select("t", "one.*").toDF("t", "r", "a")
         more = lead.join(one, "t").where("root <> r").select("a", F.explode(F.array("lead", "last")).alias("b")).distinct()
-        more = more.join(sketch.select(F.col("class").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("class").alias("b"), F.col("sketch").alias("y")), "b")
-        more = scratch.save(_alike(more), "more")
+        more = scratch.save(_alike(_sketched(scratch.save(more, "leads"), nodes)), "more")
         if more.isEmpty():
             break
         found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), scratch)
@@ -210,17 +216,56 @@ def _block_links(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())}, schema=LINKS)
 
 
-def links(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b: links confirmed on full sets, enough to join all classes that are linked."""
+def _placed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (``by``, node, n_shingles) with the block of their group that each goes to, and the number of those blocks."""
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    size = found.groupBy("root").agg(blocks.alias("blocks")).withColumnRenamed("root", "r")
-    placed = found.join(size, F.col("root") == F.col("r")).select("node", "root", "blocks", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int").alias("block"))
+    size = rows.groupBy(*(F.col(c).alias(f"{c}_") for c in by)).agg(blocks.alias("blocks"))
+    same = [F.col(c) == F.col(f"{c}_") for c in by]
+    out = rows.join(size, functools.reduce(lambda x, y: x & y, same))
+    return out.select("node", *by, "blocks", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int").alias("block"))
+
+
+def links(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b: links confirmed on full sets, enough to join all classes that are linked.
+
+    First each block of a cluster is judged by itself. Where a cluster has several blocks, one class of each part that a block fell into
+    is compared with the others' next, which as a rule joins them all. What is still apart then is compared exactly: each block of a part
+    with each block of the others, never with those of its own part, so a large part costs no pairs of its blocks.
+    """
     sets = _shingle_sets(docs, found)
-    own = placed.join(sets, F.col("node") == F.col("class")).dropDuplicates(["class"])
-    # block i meets each block j >= i: as the left one there, as the right one where it is j
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), (F.col("block") <= j).alias("left")))
-    dealt = own.select("root", "class", "shingles", F.explode(pair).alias("p")).select("root", "p.i", "p.j", "p.left", "class", "shingles")
-    return scratch.save(dealt.groupBy("root", "i", "j").applyInArrow(_block_links, "a binary, b binary"), "links")
+    sets = scratch.save(sets.dropDuplicates(["class"]), "sets")
+    own = lambda placed: placed.join(sets, F.col("node") == F.col("class"))
+    alone = lambda placed: own(placed).select("root", "block", F.lit(True).alias("left"), "class", "shingles").groupBy("root", "block").applyInArrow(_block_links, "a binary, b binary")
+    placed = scratch.save(_placed(found, ["root"]), "placed")
+    done = scratch.save(alone(placed), "links")
+    wide = placed.where("blocks > 1")
+    if wide.isEmpty():
+        return done
+    size = found.select(F.col("node").alias("n"), "n_shingles")
+    parts = lambda: scratch.save(wide.join(components(done, scratch).select(F.col("node").alias("n"), F.col("root").alias("p")), F.col("node") == F.col("n"), "left").select("node", "root", "block", F.coalesce("p", "node").alias("part")), "parts")
+    leads = parts().groupBy("root", "block", "part").agg(F.min("node").alias("node")).join(size, F.col("node") == F.col("n")).select("node", "root", "n_shingles")
+    done = scratch.save(done.unionByName(alone(_placed(leads, ["root"]))), "links")
+    now = parts()
+    open_ = now.groupBy(F.col("root").alias("r")).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("r")
+    rest = scratch.save(now.join(open_, F.col("root") == F.col("r"), "left_semi").join(size, F.col("node") == F.col("n")).select("node", "root", "part", "n_shingles"), "rest")
+    if rest.isEmpty():
+        return done
+    # small parts share blocks, by hash; a large one has blocks of its own, which don't meet each other
+    n_part = rest.groupBy(F.col("root").alias("r"), F.col("part").alias("q")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    large = (F.col("n") > BLOCK // 2) | (F.col("w") > BLOCK_SHINGLES // 2)
+    kind = rest.join(n_part, (F.col("root") == F.col("r")) & (F.col("part") == F.col("q"))).select("node", "root", "n_shingles", F.when(large, F.col("part")).otherwise(F.lit(b"")).alias("side"))
+    cells = scratch.save(_placed(kind, ["root", "side"]), "cells")
+    kinds = cells.select("root", "side", "block").distinct()
+    a, b = kinds.toDF("root_a", "side_a", "block_a"), kinds.toDF("root_b", "side_b", "block_b")
+    # blocks of one cluster: pairs of blocks of different parts, and of the shared ones all
+    first = (F.col("side_a") < F.col("side_b")) | ((F.col("side_a") == F.lit(b"")) & (F.col("side_b") == F.lit(b"")) & (F.col("block_a") <= F.col("block_b")))
+    meet = scratch.save(a.join(b, (F.col("root_a") == F.col("root_b")) & first).withColumn("pair", F.xxhash64("root_a", "side_a", "block_a", "side_b", "block_b")), "meet")
+    sides = [meet.select(F.col("root_a").alias("r"), F.col(f"side_{s}").alias("s"), F.col(f"block_{s}").alias("k"), "pair", F.lit(s == "a").alias("left")) for s in "ab"]
+    both = sides[0].unionByName(sides[1])
+    both = both.groupBy("r", "s", "k", "pair").agg(F.max("left").alias("left"))  # a shared block that meets itself stands once
+    dealt = own(cells.join(both, (F.col("root") == F.col("r")) & (F.col("side") == F.col("s")) & (F.col("block") == F.col("k")))).select("root", "pair", "left", "class", "shingles")
+    more = scratch.save(dealt.groupBy("root", "pair").applyInArrow(_block_links, "a binary, b binary"), "links")
+    return done.unionByName(more)
 
 
 def _verdicts(docs: DataFrame) -> DataFrame:
@@ -238,7 +283,7 @@ def _verdicts(docs: DataFrame) -> DataFrame:
     named = owned.join(whole, F.col("root") == F.col("r"), "left").select(F.col("class").alias("c"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("all")).alias("component"), "n", "root")
     # a class of one row without links needs no join: its id is its own
     named = scratch.save(named.where("n > 1 or root is not null").select("c", "component"), "named")
-    out = rows.join(named, F.col("class") == F.col("c"), "left")
+    out = join_split(rows, named, "class", "c", "left")
     component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", "class", "k1", "k2", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

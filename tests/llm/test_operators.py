@@ -118,6 +118,57 @@ def test_blocks_of_a_large_cluster(spark, monkeypatch):
     assert sorted(tuple(r) for r in near_dup.near_duplicates(docs).collect()) == want
 
 
+def test_parts_of_a_cluster_that_blocks_do_not_join(spark, monkeypatch):
+    """Loosely alike texts in small blocks: parts that single blocks and their leads leave apart are still compared with each other."""
+    rnd = random.Random(11)
+    base = [str(rnd.random()) for _ in range(80)]
+    rows = []
+    for i in range(70):
+        share = (0.005, 0.02, 0.03, 0.05)[i % 4]
+        rows.append((i, " ".join(w if rnd.random() > share else str(rnd.random()) for w in base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(76)} for _, t in rows]
+    least = list(range(70))
+    for _ in range(70):
+        for i in range(70):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                    least[i] = least[j] = min(least[i], least[j])
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(least)) and len(set(least)) > 3
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    from larder.llm import graph
+
+    monkeypatch.setattr(graph, "SHARE", 4)
+    left = spark.createDataFrame([(i % 7 if i % 2 else 9, i) for i in range(400)] + [(None, 1)], "k long, v long")
+    right = spark.createDataFrame([(k, str(k)) for k in range(10)] + [(None, "n")], "q long, w string")
+    for how in ("inner", "left"):
+        assert Counter(map(tuple, graph.join_split(left, right, "k", "q", how).collect())) == Counter(map(tuple, left.join(right, left.k == right.q, how).collect()))
+
+
+def test_token_files_can_be_read_in_part(spark, docs, tmp_path):
+    """Page indexes stand in the files, list columns are dictionary- or delta-encoded, and a range of documents is pushed to the reader."""
+    import pyarrow.parquet as pq
+
+    out = f"{tmp_path}/ids"
+    token_output.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), 2, f"file://{out}")
+    files = [f for f in (tmp_path / "ids").glob("*.parquet") if pq.ParquetFile(f).metadata.num_rows]
+    for f in files:
+        group = pq.ParquetFile(f).metadata.row_group(0)
+        columns = {group.column(i).path_in_schema.split(".")[0]: group.column(i) for i in range(group.num_columns)}
+        assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+        assert set(columns["ids"].encodings) & {"RLE_DICTIONARY", "PLAIN_DICTIONARY", "DELTA_BINARY_PACKED"}
+    some = token_output.read_tokens(spark, f"file://{out}", 5, 9)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,5)" in plan and "LessThanOrEqual(doc_id,9)" in plan
+    whole = {(r.doc_id, r.start, tuple(r.ids)) for r in token_output.read_tokens(spark, f"file://{out}").collect()}
+    assert {(r.doc_id, r.start, tuple(r.ids)) for r in some.collect()} == {x for x in whole if x[0] is not None and 5 <= x[0] <= 9}
+    assert "ids" not in token_output.read_index(spark, f"file://{out}")._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+
+
 def test_suffix_dedup(docs, rows, empty):
     got = Counter(tuple(r) for r in suffix_dedup.dedup_substrings(docs).collect())
     assert suffix_dedup.dedup_substrings(empty).collect() == []
