@@ -10,6 +10,8 @@ from larder.llm.scratch import Scratch
 #: A key is hot if more than one in ``SHARE`` of the rows has it, so there are fewer than ``SHARE`` hot keys whatever the size of the table;
 #: its rows are dealt over ``PARTS`` tasks.
 SHARE, PARTS = 1000, 64
+#: Rows that one task may hold, whatever their keys: up to so many a join is left as it is.
+WHOLE = 1_000_000
 
 
 def join_split(left: DataFrame, right: DataFrame, key: str, other: str, how: str = "inner") -> DataFrame:
@@ -18,7 +20,7 @@ def join_split(left: DataFrame, right: DataFrame, key: str, other: str, how: str
     Rows of a hot key of ``left`` are dealt by their own hash, and ``right``'s rows of that key, of which there are few, go to each part.
     """
     n = left.count()
-    if n <= 10 * SHARE:  # one task holds them all: the result is the same
+    if n <= WHOLE:
         return left.join(right, F.col(key) == F.col(other), how)
     hot = F.broadcast(left.groupBy(F.col(key).alias("hot")).agg(F.count("*").alias("n_hot")).where(F.col("n_hot") > max(n // SHARE, 1)).select("hot"))  # fewer than SHARE rows
     names = left.columns
@@ -28,6 +30,10 @@ def join_split(left: DataFrame, right: DataFrame, key: str, other: str, how: str
     return dealt.join(copied, (F.col(key) == F.col(other)) & (F.col("part") == F.col("part_r")), how).drop("part", "part_r")
 
 
+def _join(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
+    return left.join(right, F.col(key) == F.col(other))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root: each node of ``edges`` (a, b) with the smallest node that it reaches. Edges with a null end join nothing.
 
@@ -35,21 +41,25 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     every round are written, and none are collected. A node with very many edges is dealt over several tasks.
     """
     first = now = scratch.save(edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
-    state = None
+    state, n = None, now.count()
     while True:
+        join = join_split if n > WHOLE else _join
         # large-star: greater neighbours move to the least of a node's neighbours and itself
         both = now.union(now.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
         least = both.groupBy("lo").agg(F.min("hi").alias("m")).select(F.col("lo").alias("u"), F.least("lo", "m").alias("m"))
-        large = join_split(both.where("hi > lo"), least, "lo", "u").select(F.col("m").alias("lo"), "hi").where("lo <> hi").distinct()
-        large = scratch.save(large, "large")
+        large = join(both.where("hi > lo"), least, "lo", "u").select(F.col("m").alias("lo"), "hi").where("lo <> hi").distinct()
+        if n > WHOLE:
+            large = scratch.save(large, "large")
         # small-star: lesser neighbours and the node itself move to the least of them
         least = large.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("u"), "m")
-        moved = join_split(large, least, "hi", "u")
+        moved = join(large, least, "hi", "u")
         small = moved.select(F.col("m").alias("x"), F.col("lo").alias("y")).union(least.select(F.col("m").alias("x"), F.col("u").alias("y"))).where("x <> y")
         new = scratch.save(small.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct(), "edges")
         whole = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20,0)"))
         mark = new.agg(F.count("*"), whole("lo", "hi"), whole("hi"), whole("hi", "lo")).first()
-        scratch.drop(large)
+        if n > WHOLE:
+            scratch.drop(large)
+        n = mark[0]
         if now is not first:
             scratch.drop(now)
         now = new

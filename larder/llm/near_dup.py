@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm import kernels as K
-from larder.llm.graph import components, join_split
+from larder.llm.graph import WHOLE, components, join_split
 from larder.llm.scratch import Scratch
 
 WORDS = 5
@@ -104,6 +104,8 @@ def _alike(pairs: DataFrame) -> DataFrame:
 def _sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) with the sketches x and y of both; a lead of very many pairs is dealt over several tasks."""
     x, y = (nodes.select(F.col("class").alias(f"class_{s}"), F.col("sketch").alias(s)) for s in "xy")
+    if pairs.count() <= WHOLE:
+        return pairs.join(x, F.col("a") == F.col("class_x")).join(y, F.col("b") == F.col("class_y")).select("a", "b", "x", "y")
     one = join_split(pairs, x, "a", "class_x").select("a", "b", "x")
     hot_b = join_split(pairs, y, "b", "class_y").select(F.col("a").alias("a2"), F.col("b").alias("b2"), "y")
     return one.join(hot_b, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2"))).select("a", "b", "x", "y")
@@ -233,14 +235,14 @@ def links(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     with each block of the others, never with those of its own part, so a large part costs no pairs of its blocks.
     """
     sets = _shingle_sets(docs, found)
-    sets = scratch.save(sets.dropDuplicates(["class"]), "sets")
-    own = lambda placed: placed.join(sets, F.col("node") == F.col("class"))
+    own = lambda placed: placed.join(sets, F.col("node") == F.col("class")).dropDuplicates(["class"])
     alone = lambda placed: own(placed).select("root", "block", F.lit(True).alias("left"), "class", "shingles").groupBy("root", "block").applyInArrow(_block_links, "a binary, b binary")
     placed = scratch.save(_placed(found, ["root"]), "placed")
-    done = scratch.save(alone(placed), "links")
     wide = placed.where("blocks > 1")
     if wide.isEmpty():
-        return done
+        return scratch.save(alone(placed), "links")
+    sets = scratch.save(sets.dropDuplicates(["class"]), "sets")  # read several times
+    done = scratch.save(alone(placed), "links")
     size = found.select(F.col("node").alias("n"), "n_shingles")
     parts = lambda: scratch.save(wide.join(components(done, scratch).select(F.col("node").alias("n"), F.col("root").alias("p")), F.col("node") == F.col("n"), "left").select("node", "root", "block", F.coalesce("p", "node").alias("part")), "parts")
     leads = parts().groupBy("root", "block", "part").agg(F.min("node").alias("node")).join(size, F.col("node") == F.col("n")).select("node", "root", "n_shingles")
@@ -263,7 +265,7 @@ def links(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     sides = [meet.select(F.col("root_a").alias("r"), F.col(f"side_{s}").alias("s"), F.col(f"block_{s}").alias("k"), "pair", F.lit(s == "a").alias("left")) for s in "ab"]
     both = sides[0].unionByName(sides[1])
     both = both.groupBy("r", "s", "k", "pair").agg(F.max("left").alias("left"))  # a shared block that meets itself stands once
-    dealt = own(cells.join(both, (F.col("root") == F.col("r")) & (F.col("side") == F.col("s")) & (F.col("block") == F.col("k")))).select("root", "pair", "left", "class", "shingles")
+    dealt = cells.join(both, (F.col("root") == F.col("r")) & (F.col("side") == F.col("s")) & (F.col("block") == F.col("k"))).join(sets, F.col("node") == F.col("class")).select("root", "pair", "left", "class", "shingles")
     more = scratch.save(dealt.groupBy("root", "pair").applyInArrow(_block_links, "a binary, b binary"), "links")
     return done.unionByName(more)
 
