@@ -139,22 +139,6 @@ def test_parts_of_a_cluster_that_blocks_do_not_join(spark, monkeypatch):
     assert got == dict(enumerate(least)) and len(set(least)) > 3
 
 
-def test_hot_keys_are_split(spark, monkeypatch):
-    from larder.llm import graph
-
-    monkeypatch.setattr(graph, "SHARE", 4)
-    monkeypatch.setattr(graph, "WHOLE", 10)
-    left = spark.createDataFrame([(i % 7 if i % 2 else 9, i) for i in range(400)] + [(None, 1)], "k long, v long")
-    right = spark.createDataFrame([(k, str(k)) for k in range(10)] + [(None, "n")], "q long, w string")
-    for how in ("inner", "left"):
-        assert Counter(map(tuple, graph.join_split(left, right, "k", "q", how).collect())) == Counter(map(tuple, left.join(right, left.k == right.q, how).collect()))
-    from larder.llm.scratch import Scratch
-
-    edges = spark.createDataFrame([(1, i) for i in range(2, 90)] + [(200, i) for i in range(201, 230)] + [(229, 230)], "a long, b long")
-    roots = {r.node: r.root for r in graph.components(edges, Scratch(spark, "test")).collect()}
-    assert roots == {i: 1 for i in range(1, 90)} | {i: 200 for i in range(200, 231)}
-
-
 def test_token_files_can_be_read_in_part(spark, docs, tmp_path):
     """Page indexes stand in the files, list columns are dictionary- or delta-encoded, and a range of documents is pushed to the reader."""
     import pyarrow.parquet as pq
