@@ -5,7 +5,7 @@ again and again, found by running Karp-Rabin hashes, until none has ``SEED`` wor
 coverage; as tiles may stand anywhere, a reordered passage counts like one in order. At ``COVERAGE`` the document is contaminated.
 
 The benchmark goes to the workers in blocks of bounded size, each against all documents; documents are not shuffled, so a passage that
-very many of them hold burdens no single task.
+very many of them hold burdens no single task. Equal items are one in a block, with their number, so copies do not make it larger.
 
 Defined cases: words are runs other than ASCII white space, A-Z as a-z; an item of fewer than ``SEED`` words has one seed, its whole
 sequence, and is covered where a document holds it; null or empty texts match nothing; a null doc_id or item_id is given out as it is;
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm import kernels as K
+from larder.llm.scratch import Scratch
 
 SEED = 5
 COVERAGE = 0.5
@@ -120,8 +121,8 @@ def _hash(h: np.ndarray, k: int) -> np.ndarray:
 class Finder:
     """Finds documents that hold items of a block of the benchmark; seeds are made on the worker, once."""
 
-    def __init__(self, rows: list, coverage: float):
-        self.rows, self.coverage, self._seeds = rows, coverage, None
+    def __init__(self, rows: list, coverage: float, copies: list[int] | None = None):
+        self.rows, self.coverage, self.copies, self._seeds = rows, coverage, copies, None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_seeds": None}
@@ -153,17 +154,19 @@ class Finder:
                     tiles = tile(own, item, SEED, np.array(p))
                     tiled = sum(x[2] for x in tiles)
                     if tiled >= self.coverage * len(item):
-                        yield i + d, items[n][0], len(item), len(tiles), tiled, max(x[2] for x in tiles), tiled / len(item)
+                        for _ in range(self.copies[n] if self.copies else 1):
+                            yield i + d, items[n][0], len(item), len(tiles), tiled, max(x[2] for x in tiles), tiled / len(item)
 
 
 def _blocks(benchmark: DataFrame, coverage: float, block_words: int) -> Iterator[Finder]:
     """Finders of the whole benchmark; a block is read to the driver and sent out whole, and its size is bounded."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    items = benchmark.groupBy(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).agg(F.count("*").alias("n"))
     n_words = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
     blocks = -(-n_words // block_words) or 1
     for n in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
-        yield Finder([tuple(r) for r in own.collect()], coverage)
+        rows = own.orderBy("item_id", "text").collect()
+        yield Finder([(r.item_id, r.text) for r in rows], coverage, [r.n for r in rows])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -179,11 +182,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
         return run
 
-    out = None
+    scratch, out, last = Scratch(docs.sparkSession, "decontamination"), None, None
     for finder in _blocks(benchmark, coverage, block_words):
-        found = rows.mapInArrow(K.tidy(run_with(finder)), DDL)
-        out = found if out is None else out.unionByName(found)
-    return out
+        if last is not None:  # pairs of a block are written before the next is read: the driver holds one at a time
+            last = scratch.save(last, "pairs")
+            out = last if out is None else out.unionByName(last)
+        last = rows.mapInArrow(K.tidy(run_with(finder)), DDL)
+    return last if out is None else out.unionByName(last)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
