@@ -11,8 +11,9 @@ method, in step for all contexts. Suffixes that agree in ``LENGTH`` bytes stand
 very many contexts is dealt over several shards; each pair of those is merged by binary search of one's strings in the other's array.
 
 Defined cases: a null text is empty; texts under ``LENGTH`` bytes lose nothing; earlier means smaller doc_id (null last), then, among
-rows that share a doc_id, smaller text hash, then earlier start; rows equal in both are one document, each with its result. Other columns
-are ignored. Hashes of anchors and contexts have 64 bits each, and both must agree.
+rows that share a doc_id, smaller hash of 32 bits of the text, then earlier start; rows equal in both are one document, each with its
+result. Rows without doc_id are ordered and told apart by 64 bits of a text hash; they stand where doc_ids within 2**32 of the largest
+long would, so no smaller doc_id comes after them. Other columns are ignored. Hashes of anchors and contexts have 64 bits each, and both must agree.
 """
 
 from __future__ import annotations
@@ -126,8 +127,11 @@ def _blobs(kind: int, rows: np.ndarray, bucket: np.ndarray, n: int) -> Iterator[
         yield K.batch(BLOB, used[i : i + 64], [kind] * len(used[i : i + 64]), [rows[x:y].tobytes() for x, y in zip(start[i : i + 64], end[i : i + 64], strict=True)])
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(NONE).to_numpy(zero_copy_only=False)
+def _ids(column: pa.Array, hashes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What tells rows apart: doc_id and 32 bits of the text's hash. Rows without doc_id take an id made of the other 32 bits, after all others."""
+    low, high = (hashes.to_numpy().astype(np.int64) & 0xFFFFFFFF), (hashes.to_numpy().astype(np.int64) >> 32) & 0xFFFFFFFF
+    doc = column.fill_null(NONE).to_numpy(zero_copy_only=False)
+    return np.where(column.is_null().to_numpy(zero_copy_only=False), NONE - high, doc), low
 
 
 def _find_runs(buckets: int):
@@ -142,7 +146,7 @@ def _find_runs(buckets: int):
             yield from _blobs(MARKS, marks, _bucket(marks["doc"], marks["text"], buckets), buckets)
 
         for b in batches:
-            doc, texts = _ids(b.column(0)), b.column(1).to_numpy()
+            doc, texts = _ids(b.column(0), b.column(1))
             all_data, all_at = K.text_bytes(b.column(2))
             for i, j in K.parts(all_at):
                 at = all_at[i : j + 1] - all_at[i]
@@ -214,9 +218,10 @@ def _texts(rows: DataFrame, bits: np.ndarray, buckets: int, rest: bool) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = spread.value
         for b in batches:
-            at = _bucket(_ids(b.column(0)), b.column(1).to_numpy(), FILTER_BITS)
+            own = _ids(b.column(0), b.column(1))
+            at = _bucket(*own, FILTER_BITS)
             named = bits[at // 8] >> (at % 8).astype(np.uint8) & 1 == 1
-            bucket = _bucket(_ids(b.column(0)), b.column(1).to_numpy(), buckets)
+            bucket = _bucket(*own, buckets)
             data, at = K.text_bytes(b.column(2))
             raw = memoryview(data)
             sha = [None if x or not rest else hashlib.sha256(raw[i:j]).hexdigest() for x, i, j in zip(named, at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -227,6 +232,13 @@ def _texts(rows: DataFrame, bits: np.ndarray, buckets: int, rest: bool) -> DataF
     return rows.mapInArrow(K.tidy(run), TEXT_DDL)
 
 
+def _row_ids(texts: pa.Table) -> list[tuple[int, int]]:
+    if not len(texts):
+        return []
+    doc, low = _ids(texts["doc_id"].combine_chunks(), texts["hash"].combine_chunks())
+    return list(zip(doc.tolist(), low.tolist(), strict=True))
+
+
 SHARDED = pa.schema([("bucket", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("wants", pa.binary()), ("bytes", pa.binary())])
 
 
@@ -236,7 +248,7 @@ def _contexts(buckets: int):
     def run(texts: pa.Table, blobs: pa.Table) -> pa.Table:
         wants = np.concatenate([np.zeros(0, WANT)] + [np.frombuffer(x, WANT) for x in blobs["blob"].to_pylist()])
         data, at = K.text_bytes(texts["text"])
-        key = {(d, h): n for n, (d, h) in enumerate(zip(_ids(texts["doc_id"].combine_chunks()).tolist(), texts["hash"].to_pylist(), strict=True))} if len(texts) else {}
+        key = {x: n for n, x in enumerate(_row_ids(texts))}
         own = np.array([key.get((d, h), -1) for d, h in zip(wants["doc"].tolist(), wants["text"].tolist(), strict=True)], np.int64)
         wants, own = wants[own >= 0], own[own >= 0]
         begin = at[own] + wants["at"]
@@ -431,8 +443,7 @@ def _cut(texts: pa.Table, blobs: pa.Table) -> pa.Table:
     own = {(int(marks["doc"][x]), int(marks["text"][x])): marks[x:y] for x, y in zip(new.tolist(), np.append(new[1:], len(marks)).tolist(), strict=True)}
     n, spans, digest = [], [], texts["sha"].to_pylist()
     data, at = K.text_bytes(texts["text"])
-    ids = _ids(texts["doc_id"].combine_chunks()).tolist() if len(texts) else []
-    for k, (d, h) in enumerate(zip(ids, texts["hash"].to_pylist(), strict=True)):
+    for k, (d, h) in enumerate(_row_ids(texts)):
         raw = data[at[k] : at[k + 1]]
         begin, end = removed(own.get((d, h), marks[:0]), len(raw)) if digest[k] is None else ((), ())
         n.append(int(np.sum(end) - np.sum(begin)))
@@ -452,7 +463,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("hash"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("hash"), text.alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES))
     runs = rows.mapInArrow(K.tidy(_find_runs(buckets)), BLOB_DDL)
