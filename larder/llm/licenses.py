@@ -110,7 +110,6 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mappi
         whole = (F.size("words") >= len(parts)) & (F.size(F.array_intersect("words", _strings(parts))) == len(set(parts)))
         return F.when(whole, at).otherwise(F.array().cast("array<int>"))
 
-    none = F.array().cast("array<array<int>>")
     none = F.array().cast("array<array<int>>")
     rows = rows.select("doc_id", "n_words", "words", F.when(F.col("words").isNotNull(), F.array(*[places(p) for p in phrases])).otherwise(none).alias("places"))
     base = F.filter(F.transform(F.arrays_zip(F.col("places").alias("p"), _strings(list(phrases.values())).alias("l")), lambda x: F.when(F.size(x["p"]) > 0, x["l"])), F.isnotnull)
