@@ -132,8 +132,8 @@ def clusters(signed: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _filter_bits(found: DataFrame) -> np.ndarray:
     """A bit for each hash of a clustered class; at most 2 MB, whatever the input."""
-    at = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)) + 1  # buckets of bits are numbered from 1
-    rows = found.groupBy(F.bitmap_bucket_number(at).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    bucket, place = _bit(F.col("node"))
+    rows = found.groupBy(bucket.alias("n")).agg(F.bitmap_construct_agg(place).alias("bits")).collect()
     out = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
     for n, bits in rows:
         out[(n - 1) * 4096 : n * 4096] = np.frombuffer(bits, np.uint8)
@@ -256,17 +256,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all their columns, with one document of each component; of rows equal in doc_id and text one stays.
 
-    Rows are told apart by 96 bits of hashes of doc_id and text.
+    Rows are told apart by 96 bits of hashes of doc_id and text. Rows that go, or stand more than once, set bits of a filter of 2 MB; the
+    others are not shuffled, but for those that share a bit.
     """
     scratch = Scratch(docs.sparkSession, "near-dup")
     verdicts = _verdicts(docs).where("n_shingles > 0")
     go = verdicts.groupBy("k1", "k2").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
     go = scratch.save(go.select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), "kept"), "go")
     rows = docs.select(F.struct("*").alias("row"), *_row_hashes())  # apart from the names here
+    bucket, place = _bit(F.col("k1"))
+    bits = go.select(_bit(F.col("g1"))[0].alias("n"), _bit(F.col("g1"))[1].alias("at")).groupBy("n").agg(F.bitmap_construct_agg("at").alias("bits"))
+    rows = rows.withColumns({"bucket": bucket, "at": place}).join(F.broadcast(bits), F.col("bucket") == F.col("n"), "left")  # FILTER_BITS at most
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    named = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0, F.lit(False))
+    rows = rows.select("row", "k1", "k2", named.alias("named"))
     same = (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2"))
-    # documents are dealt by hash at any size: whether the other side is small enough to be sent whole depends on how many copies there are
-    go = go.hint("merge")
-    out = rows.join(go, same, "left_anti")
+    # a row whose bit is not set stays where it is; only rows that may be named are moved
+    out = rows.where("not named").select("row").unionByName(rows.where("named").join(go, same, "left_anti").select("row"))
     if not go.where("kept").isEmpty():
-        out = out.unionByName(rows.join(go.where("kept"), same, "left_semi").dropDuplicates(["k1", "k2"]))
+        out = out.unionByName(rows.where("named").join(go.where("kept"), same, "left_semi").dropDuplicates(["k1", "k2"]).select("row"))
     return out.select("row.*")
+
+
+def _bit(key: Column) -> tuple[Column, Column]:
+    """Bucket and place of a key's bit in a filter of ``FILTER_BITS``; buckets are numbered from 1."""
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    return F.bitmap_bucket_number(at), F.bitmap_bit_position(at)
