@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larder import schema as S
 from larder.functions.costs import grid_with
-from larder.operators import demand, ordering, results, service
+from larder.operators import demand, ordering, products, results, service
 from larder.operators import forecasting as fc
 from larder.operators import hierarchy as tree
 from larder.plans import oracles as O
@@ -282,6 +282,78 @@ def health(spark, sf_dir):
     return rows.agg((F.count("*") > 0).alias("healthy"), F.count("*").alias("n_rows"), F.max("origin_date").alias("newest_origin"))
 
 
+# One product from model to order ------------------------------------------------------------------------------------------
+
+_Q = round(Q.COSTS.critical_ratio(), 4)
+
+
+def _learned(origins: str, levels: str, p: str) -> str:
+    """SQL of the leaves over the origins of a table: daily and total quantiles."""
+    return f"""{p}past AS (SELECT r.*, fold, origin_date FROM learning r JOIN {origins} o ON o.sku = r.sku AND date <= origin_date),
+  {p}one AS (SELECT sku, fold, origin_date, quantile_cont(v, {levels}) AS whole, max_by(rising, date) AS before FROM {p}past GROUP BY 1, 2, 3),
+  {p}leaves AS (SELECT sku, fold, weekday, before, quantile_cont(v, {levels}) AS leaf FROM {p}past GROUP BY 1, 2, 3, 4),
+  {p}ahead AS (SELECT *, CAST(origin_date + h AS DATE) AS date, isodow(origin_date + h) AS weekday FROM {p}one, (SELECT CAST(unnest(range(1, {A + 1})) AS INT) AS h)),
+  {p}daily AS (SELECT sku, fold, a.origin_date, a.date, coalesce(leaf, whole) AS q FROM {p}ahead a LEFT JOIN {p}leaves USING (sku, fold, weekday, before)),
+  {p}leaf_totals AS (SELECT sku, fold, rising AS before, quantile_cont(total, {levels}) AS leaf FROM {p}past WHERE ends <= origin_date GROUP BY 1, 2, 3),
+  {p}whole_totals AS (SELECT sku, fold, quantile_cont(total, {levels}) AS t FROM {p}past WHERE ends <= origin_date GROUP BY 1, 2),
+  {p}totals AS (SELECT sku, fold, coalesce(leaf, t) AS q FROM {p}one LEFT JOIN {p}leaf_totals USING (sku, fold, before) LEFT JOIN {p}whole_totals USING (sku, fold))"""
+
+
+_LEARNING = f"""recorded AS (SELECT sku, date, CAST(units_sold AS DOUBLE) AS v FROM brands WHERE units_sold IS NOT NULL),
+  marked AS (SELECT *, isodow(date) AS weekday, round(avg(v) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) > round(avg(v) OVER (w ROWS BETWEEN 90 PRECEDING AND CURRENT ROW), 6) AS rising,
+    CASE WHEN count(v) OVER (w ROWS BETWEEN 1 FOLLOWING AND {A} FOLLOWING) = {A} THEN sum(v) OVER (w ROWS BETWEEN 1 FOLLOWING AND {A} FOLLOWING) END AS total, lead(date, {A}) OVER w AS ends FROM recorded WINDOW w AS (PARTITION BY sku ORDER BY date)),
+  learning AS (SELECT *, coalesce(lag(rising, {A}) OVER (PARTITION BY sku ORDER BY date), false) AS before FROM marked)"""
+
+_TESTED = f"""{_LEARNING}, lengths AS (SELECT sku, count(*) AS n_days, max(date) AS last FROM brands GROUP BY 1), numbers AS (SELECT *, CAST(greatest(0, least(5, floor((n_days - 28) / {A}))) AS INT) AS n FROM lengths),
+  cuts AS (SELECT sku, fold, last - (n - fold) * {A} AS origin_date FROM (SELECT *, CAST(unnest(range(n)) AS INT) AS fold FROM numbers)), {_learned("cuts", f"[0.5::DOUBLE, {_Q}::DOUBLE]", "m_")},
+  met AS (SELECT sku, fold, avg(abs(v - q[1])) AS mae, sum(v) AS realised FROM m_daily JOIN recorded USING (sku, date) GROUP BY 1, 2),
+  tested AS (SELECT sku, fold, round(mae, 6) AS mae, round(greatest({_Q}::DOUBLE * (realised - q[2]), {_Q - 1!r}::DOUBLE * (realised - q[2])), 9) AS pinball FROM met LEFT JOIN m_totals USING (sku, fold))"""
+
+
+@query(f"WITH {O.UPLOAD}, {_TESTED} SELECT sku, fold, mae, pinball FROM tested")
+def sku_model_backtest(spark, sf_dir):
+    """The learned model on each product's own folds."""
+    out = products.backtest(Q._brands(spark, sf_dir), A, Q.COSTS.critical_ratio())
+    return out.withColumns({"mae": F.round("mae", 6), "pinball": F.round("pinball", 9)})  # a quantile times a ratio has eight places
+
+
+def _methods(spark, sf_dir):
+    return products.chosen(Q._brands(spark, sf_dir).select("sku").distinct(), sku_model_backtest(spark, sf_dir), Q.sku_backtest(spark, sf_dir))
+
+
+_METHODS = f"""{_TESTED}, base_tests AS ({O.ORACLES['sku_backtest']}), pair AS (SELECT sku, m.model, b.baseline FROM (SELECT DISTINCT sku FROM brands) LEFT JOIN (SELECT sku, avg(pinball) AS model FROM tested GROUP BY 1) m USING (sku) LEFT JOIN (SELECT sku, avg(pinball) AS baseline FROM base_tests GROUP BY 1) b USING (sku)),
+  tried AS (SELECT *, abs(model - baseline) / greatest(abs(model), abs(baseline), 1e-9) < 0.05 AS close FROM pair),
+  methods AS (SELECT sku, model, baseline, CASE WHEN model IS NULL OR close OR baseline < model THEN 'baseline' ELSE 'model' END AS method, CASE WHEN model IS NULL THEN 'the model could not be fitted' WHEN close THEN 'too close to call' WHEN baseline < model THEN 'the baseline was better' ELSE 'the model was better' END AS reason FROM tried)"""
+
+
+@query(f"WITH {O.UPLOAD}, {_METHODS} SELECT sku, round(model, 4) AS model, round(baseline, 4) AS baseline, method, reason FROM methods")
+def sku_methods(spark, sf_dir):
+    """Model or baseline for each product, by its own backtests."""
+    return Q.rounded(_methods(spark, sf_dir), 4)
+
+
+@query(f"""WITH {O.UPLOAD}, {_LEARNING}, ends_ AS (SELECT sku, 0 AS fold, max(date) AS origin_date FROM recorded GROUP BY 1), {_learned("ends_", O._LEVELS, "f_")}
+  SELECT sku, date, list_transform(q, lambda x: round(x, 6)) AS quantiles FROM f_daily""")
+def sku_daily_quantiles(spark, sf_dir):
+    """Quantiles of each day ahead of each product's last recorded day."""
+    rows = products.learning_rows(Q._brands(spark, sf_dir), A)
+    daily = products.learned(rows, rows.groupBy("sku").agg(F.lit(0).alias("fold"), F.max("date").alias("origin_date")), A, S.LEVELS)[0]
+    return daily.select("sku", "date", F.transform("quantiles", lambda x: F.round(x, 6)).alias("quantiles"))
+
+
+_ORDERS = O.ORACLES["service_orders"].removeprefix(f"WITH {O.TOTALS}, ").replace("FROM totals", "FROM picked")
+
+
+@query(f"""WITH {O.TOTALS}, {_METHODS}, ends_ AS (SELECT sku, 0 AS fold, max(date) AS origin_date FROM recorded GROUP BY 1), {_learned("ends_", O._LEVELS, "f_")},
+  picked AS (SELECT sku, CASE WHEN method = 'model' THEN coalesce(f_totals.q, totals.q) ELSE totals.q END AS q FROM totals JOIN methods USING (sku) LEFT JOIN f_totals USING (sku)), ordered AS (WITH {_ORDERS})
+  SELECT sku, method, reason, price, order_qty, expected_cost FROM ordered JOIN methods USING (sku)""")
+def forecast_sku(spark, sf_dir):
+    """Each product from its uploaded history to an order: model and baseline tested on its folds, the better one fitted on all of it."""
+    prices = Q.resolve_price(spark, sf_dir)
+    out = products.forecast(Q._brands(spark, sf_dir), _methods(spark, sf_dir), prices, Q.COSTS, A, S.LEVELS)
+    return Q.rounded(out.withColumn("expected_cost", F.round("expected_cost", 2)))
+
+
 # Reports ----------------------------------------------------------------------------------------------------------------
 
 
