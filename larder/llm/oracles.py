@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import chat, licenses
+from larder.llm import chat, hard_negatives, licenses
 
 _LOW = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
 
@@ -59,4 +59,35 @@ def substring_dedup(length: int = 100) -> str:
     SELECT raw.doc_id, len(raw.x) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, raw.x))) AS kept_sha256 FROM raw LEFT JOIN cut USING (doc_id)"""
 
 
-ORACLES = {"op1_license_scans": license_scans(), "op5_near_dedup": near_dedup(), "op7_chat_formatting": chat.oracle(), "op10_substring_dedup": substring_dedup()}
+def embedding_dedup(cosine: float = 0.95) -> str:
+    return f"""
+    WITH RECURSIVE raw AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    fine AS (SELECT * FROM raw WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+    links AS (SELECT a.r AS a, b.r AS b FROM fine a JOIN fine b ON a.r <> b.r AND len(a.x) = len(b.x) WHERE CASE WHEN len(a.x) = len(b.x) THEN list_cosine_similarity(a.x, b.x) >= {cosine} END),
+    reach(r, x) AS (SELECT r, r FROM raw UNION SELECT b, x FROM reach JOIN links ON a = r),
+    least AS (SELECT reach.r, min(vec_id) AS component_id FROM reach JOIN raw ON raw.r = reach.x GROUP BY 1),
+    n AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY 1)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM raw JOIN least USING (r) LEFT JOIN n USING (r)"""
+
+
+def periodic_runs() -> str:
+    crc = "xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda t: ascii(t)::BIGINT), lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"
+    return f"""
+    WITH cut AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, {crc} AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    sized AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 AND h % 10 = 0 THEN (h // 10) % len(w) END AS a FROM cut),
+    docs AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM sized),
+    words AS MATERIALIZED (SELECT r, n, unnest(w) AS word, unnest(range(n)) AS i FROM docs),
+    same AS (SELECT x.r, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+    islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM same),
+    stretches AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY r, q, k HAVING count(*) + q >= greatest(24, 3 * q)),
+    runs AS (SELECT r, start, length, min(q) AS period FROM stretches GROUP BY ALL),
+    lists AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY r),
+    best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+    dropped AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+    kept AS (SELECT words.r, string_agg(word, ' ' ORDER BY words.i) AS text FROM words LEFT JOIN dropped ON words.r = dropped.r AND words.i = dropped.i WHERE dropped.r IS NULL GROUP BY 1)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+    FROM docs LEFT JOIN lists USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""
+
+
+ORACLES = {"op1_license_scans": license_scans(), "op5_near_dedup": near_dedup(), "op7_chat_formatting": chat.oracle(), "op10_substring_dedup": substring_dedup(),
+           "op11_embedding_dedup": embedding_dedup(), "op12_hard_negatives": hard_negatives.ORACLE, "op13_periodic_runs": periodic_runs()}

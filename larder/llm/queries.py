@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larder.llm import chat, decontam, fuzzy_passages, licenses, mixing, near_dup, quality, suffix_dedup, token_counts, token_output
+from larder.llm import chat, decontam, embedding_dedup, fuzzy_passages, hard_negatives, licenses, mixing, near_dup, periodic_runs, quality, suffix_dedup, token_counts, token_output
 from larder.llm.oracles import ORACLES  # noqa: F401
 from larder.llm.scratch import Scratch
 
@@ -57,6 +58,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.relabelled(hard_negatives.taking_part(table(spark, sf_dir, "embeddings")))
+    return hard_negatives.mine(rows, F.expr("vec_id % 100 = 0"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_license_scans": op1_license_scans,
     "op2_fuzzy_passages": op2_fuzzy_passages,
@@ -68,4 +82,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_embedding_dedup": op11_embedding_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_periodic_runs": op13_periodic_runs,
 }
