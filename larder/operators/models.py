@@ -1,16 +1,14 @@
-"""Learned models: exponential smoothing of each series, and a global boosted model with empirical quantiles."""
+"""Learned models: exponential smoothing of each series, features of trees, and a forest with the quantiles of its leaves."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from datetime import date
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from larder import schema as S
 from larder.operators import forecasting as fc
@@ -86,6 +84,18 @@ def ets(fact: DataFrame, folds: list[tuple[int, date]], levels: Sequence[float]
 FEATURES = [*(f"units_lag_{k}" for k in S.LAGS), *(f"units_roll_{f}_{n}" for n in S.WINDOWS for f in ("mean", "std", "max")), "zero_share_90", "days_since_last_sale", "price_rel_28", "days_since_event", "days_to_event", "month", "wday", "snap"]
 
 
+#: What boosted trees learn from: the same, and what an item, a store and a department sold on average up to the first origin.
+BOOSTED_FEATURES = [*FEATURES, "item_mean", "store_mean", "dept_mean"]
+
+
+def with_means(features: DataFrame, until: date) -> DataFrame:
+    """Features with the mean units of each row's item, store and department up to a day; null for those that are new after it."""
+    past = features.where(F.col("date") <= F.lit(until))
+    for name, key in (("item_mean", "item_id"), ("store_mean", "store_id"), ("dept_mean", "dept_id")):
+        features = features.join(past.groupBy(F.col(key).alias("k")).agg(F.avg("units").alias(name)), F.col(key) == F.col("k"), "left").drop("k")
+    return features
+
+
 #: Series and departments go into the trees by hash, in so many bins: no list of them is gathered on the driver.
 HASHED = 32
 
@@ -128,54 +138,6 @@ def _past(rows: DataFrame, origin: date, days: int | None) -> DataFrame:
     return known if days is None else known.where(F.col("date") >= F.date_sub(F.lit(origin), days))
 
 
-def boosted(rows: DataFrame, origin: date, horizon: int = S.HORIZON, rounds: int = 10, days: int | None = None):
-    """A model of units on all assembled rows up to the origin, or on the last ``days`` before it: (rows with ``yhat`` for all days, the model)."""
-    from pyspark.ml.regression import GBTRegressor
-
-    train = _past(rows, origin, days).select("x", F.col("units").cast("double").alias("units"))
-    model = GBTRegressor(featuresCol="x", labelCol="units", predictionCol="yhat", maxIter=rounds, maxDepth=5, maxBins=64, seed=S.SEED).fit(train)
-    return model.transform(rows).withColumn("yhat", F.greatest(F.lit(0.0), "yhat")), model
-
-
-def boosted_quantiles(predicted: DataFrame, strata: DataFrame, origin: date, horizon: int = S.HORIZON, levels: Sequence[float] = S.LEVELS, days: int | None = None) -> DataFrame:
-    """The point plus quantiles of its own errors before the origin, for each band of items; the library has no pinball loss."""
-    rows = predicted.join(strata.select("item_id", "stratum"), "item_id", "left")
-    past = _past(rows, origin, days)
-    offsets = past.groupBy("stratum").agg(F.percentile(F.col("units") - F.col("yhat"), F.array(*[F.lit(q) for q in levels])).alias("offsets")).withColumnRenamed("stratum", "band")
-    ahead = rows.where((F.col("date") > F.lit(origin)) & (F.col("date") <= F.date_add(F.lit(origin), horizon))).join(F.broadcast(offsets), F.col("stratum").eqNullSafe(F.col("band")))  # a row a band
-    x = F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in levels]).alias("q"), F.col("offsets").alias("o")))
-    return ahead.select(F.lit("boosted").alias("model_name"), F.lit(origin).alias("origin_date"), F.col("date").alias("target_date"), *SERIES, "yhat", x.alias("x")).select(
-        "model_name", "origin_date", "target_date", *SERIES, F.col("x.q").alias("quantile"), F.greatest(F.lit(0.0), F.col("yhat") + F.col("x.o")).alias("yhat"))
-
-
-def importance(model, spark: SparkSession) -> DataFrame:
-    """Of each feature its gain, and its share of all splits."""
-    names = [*FEATURES, "item_id", "store_id", "dept_id"]
-    gain = model.featureImportances.toArray()
-    split = np.bincount([int(n) for n in re.findall(r"feature (\d+) <=", model.toDebugString)], minlength=len(names))
-    rows = [(n, m, float(v)) for m, values in (("gain", gain), ("split", split / max(1, split.sum()))) for n, v in zip(names, values, strict=True)]
-    return spark.createDataFrame(rows, "feature string, method string, value double")
-
-
-def permuted(model, rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    """By how much the mean squared error rises when a feature's values are dealt out anew among the rows of a day: one pass for all features.
-
-    ``rows``: assembled, with ``units``. A row takes the value of the next row of its day by hash, so the draw is fixed.
-    """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    all_names = [*FEATURES, "item_id", "store_id", "dept_id"]
-    w = Window.partitionBy("date").orderBy(F.xxhash64(*SERIES), *SERIES)
-    x = rows.select("date", *SERIES, F.col("units").cast("double").alias("units"), vector_to_array("x").alias("v"))
-    x = x.withColumn("other", F.coalesce(F.lead("v").over(w), F.first("v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    swapped = lambda i: F.transform("v", lambda a, n: F.when(n == i, F.col("other")[i]).otherwise(a))
-    cases = F.array(F.struct(F.lit("").alias("feature"), F.col("v").alias("v")), *[F.struct(F.lit(n).alias("feature"), swapped(all_names.index(n)).alias("v")) for n in names])
-    cells = x.select("units", F.explode(cases).alias("c")).select("units", "c.feature", array_to_vector("c.v").alias("x"))
-    loss = model.transform(cells).groupBy("feature").agg(F.avg((F.col("units") - F.col(model.getPredictionCol())) ** 2).alias("mse"))
-    base = loss.where("feature = ''").select(F.col("mse").alias("base"))
-    return loss.where("feature <> ''").crossJoin(F.broadcast(base)).select("feature", F.lit("permutation").alias("method"), (F.col("mse") - F.col("base")).alias("value"))  # one row
-
-
 def isolated(fit, columns: Sequence[str]):
     """A grouped function whose failure on one product gives a row that says so, instead of ending the job: sku, status, error and its columns."""
 

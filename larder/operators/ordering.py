@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder import schema as S
-from larder.functions.costs import FALLBACK_PRICE, CostModel, bin_masses, expected_cost, interpolate
+from larder.functions.costs import FALLBACK_PRICE, CostModel, expected_cost, interpolate
 from larder.operators.forecasting import SERIES, wide_quantiles
 
 
@@ -16,10 +16,19 @@ def level_columns(levels: Sequence[float] = S.LEVELS) -> list[Column]:
     return [F.col(f"`{q}`") for q in levels]
 
 
+def _actuals(fact: DataFrame) -> DataFrame:
+    return fact.select(*SERIES, F.col("date").alias("target_date"), F.col("units").cast("double").alias("demand"), F.coalesce("price", F.lit(FALLBACK_PRICE)).alias("price"))
+
+
 def quantile_panel(monotone: DataFrame, fact: DataFrame, levels: Sequence[float] = S.LEVELS) -> DataFrame:
     """A row for each forecast day: a column for each level, demand, and price (a fixed one where none is known)."""
-    actual = fact.select(*SERIES, F.col("date").alias("target_date"), F.col("units").cast("double").alias("demand"), F.coalesce("price", F.lit(FALLBACK_PRICE)).alias("price"))
-    return wide_quantiles(monotone, levels).join(actual, [*SERIES, "target_date"])
+    return wide_quantiles(monotone, levels).join(_actuals(fact), [*SERIES, "target_date"])
+
+
+def array_panel(rows: DataFrame, fact: DataFrame, levels: Sequence[float] = S.LEVELS) -> DataFrame:
+    """The same of forecasts that hold all levels of a row in an array (``values``, sorted): no group and no pivot."""
+    wide = rows.select("model_name", "fold", *SERIES, "target_date", "horizon", *(F.col("values")[i].alias(str(q)) for i, q in enumerate(levels)))
+    return wide.join(_actuals(fact), [*SERIES, "target_date"])
 
 
 def order_policy(panel: DataFrame, costs: CostModel) -> DataFrame:
@@ -125,4 +134,4 @@ def forecast_item(forecasts: DataFrame, item: str) -> DataFrame:
     return rows.groupBy("item_id", "target_date", "horizon").agg(F.sum("yhat").alias("yhat"), F.count("*").alias("n_stores"))
 
 
-__all__ = ["attribution", "bin_masses", "forecast_item", "level_columns", "money_table", "naive_orders", "optimize_item", "order_policy", "policies", "quantile_panel", "sensitivity", "simulate", "sweep"]
+__all__ = ["array_panel", "attribution", "forecast_item", "level_columns", "money_table", "naive_orders", "optimize_item", "order_policy", "policies", "quantile_panel", "sensitivity", "simulate", "sweep"]

@@ -32,9 +32,14 @@ def resolve_uplift(pairs: DataFrame, measured: DataFrame, priors: DataFrame) ->
 
 
 def result_rows(backtests: DataFrame, orders: DataFrame) -> DataFrame:
-    """One record for each ordered product: number of folds, finite means and half the range over folds of each loss, method and status."""
-    mean = lambda c: F.avg(F.when(~F.isnan(c), F.col(c)))
-    spread = lambda c: (F.max(c) - F.min(c)) / 2
+    """One record for each ordered product: number of folds, finite means and half the range over folds of each loss, method and status.
+
+    Losses count in whole millionths and are divided once, halves up: no order of summation changes a record.
+    """
+    whole = lambda c: F.round(F.when(~F.isnan(c), F.col(c)) * 1_000_000).cast("long")
+    halves = lambda top, n: F.floor((2 * top + n) / (2 * n)) / F.lit(1e6)
+    mean = lambda c: F.when(F.count(whole(c)) > 0, halves(F.sum(whole(c)), F.count(whole(c))))
+    spread = lambda c: halves(F.max(whole(c)) - F.min(whole(c)), F.lit(2))
     one = backtests.groupBy("sku").agg(F.count("*").cast("int").alias("n_folds"), mean("mase").alias("mase"), mean("pinball").alias("pinball"), spread("mase").alias("mase_spread"), spread("pinball").alias("pinball_spread"))
     rows = orders.join(one, "sku", "left").withColumn("n_folds", F.coalesce("n_folds", F.lit(0)))
     status = F.when(F.col("order_qty").isNull(), "failed").otherwise("done")
@@ -68,6 +73,21 @@ def worst_rejected(verdicts: DataFrame, n: int = 5) -> DataFrame:
     return verdicts.where("not admitted").orderBy("n_days", "sku").limit(n)
 
 
+def placed(rows: DataFrame, order: Sequence[str | Column], scratch: str) -> DataFrame:
+    """All rows with their ``place``, 1 first: sorted in ranges, each of which starts after the number of rows before it.
+
+    ``scratch``: where the ranges are written, so that they stay as they are.
+    """
+    ranged = rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
+    ranged.write.parquet(scratch)
+    ranged = rows.sparkSession.read.schema(ranged.schema).parquet(scratch)
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select(F.col("range").alias("r"), F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a range
+    out = ranged.join(F.broadcast(before), F.col("range") == F.col("r"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return out.withColumn("place", place.cast("int")).drop("range", "r", "before")
+
+
 def ranked(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """Rows with their ``place``, 1 first, among those of equal keys."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

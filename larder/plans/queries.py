@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from larder import schema as S
 from larder.functions.costs import CostModel
-from larder.operators import demand, models, ordering, service
+from larder.operators import boosting, demand, models, ordering, service
 from larder.operators import forecasting as fc
 from larder.operators import hierarchy as tree
 from larder.plans.oracles import ORACLES  # noqa: F401
 from larder.sources.files import newest
 from larder.sources.rules import default_rules
+from larder.sources.stored import fingerprint, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -31,12 +32,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SOURCES = ("lineitem", "part", "supplier", "nation", "region")
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], by: list[str], sort: list[str]) -> DataFrame:
+    """A table made once of the tables of sales, bucketed."""
+    return stored(spark, name, [f"{sf_dir}/{t}.parquet" for t in SOURCES], build, by, sort)
+
+
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demand.daily_sales(*(table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier", "nation", "region")))
+    return _stored(spark, sf_dir, "daily", lambda: demand.daily_sales(*(table(spark, sf_dir, t) for t in SOURCES)), demand.SERIES, [*demand.SERIES, "date"])
 
 
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demand.fact_sales(daily(spark, sf_dir))
+    return _stored(spark, sf_dir, "panel", lambda: demand.fact_sales(daily(spark, sf_dir)), demand.SERIES, [*demand.SERIES, "date"])
+
+
+def rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units at all levels of the tree."""
+    return _stored(spark, sf_dir, "levels", lambda: tree.roll_up(fact(spark, sf_dir), ["units"]), ["node"], ["node", "date"])
 
 
 def rounded(df: DataFrame, places: int = 6, exact: tuple[str, ...] = ("price",)) -> DataFrame:
@@ -228,8 +242,9 @@ COSTS = CostModel()
 
 
 def _panel(spark, sf_dir):
-    panel, rows = _quantiles(spark, sf_dir)
-    return panel, ordering.quantile_panel(fc.monotone(rows), panel)
+    panel, cut, naive = _naive(spark, sf_dir)
+    rows = fc.quantile_arrays(naive, fc.residual_quantiles(panel, cut))
+    return panel, ordering.array_panel(fc.monotone_arrays(rows), panel)
 
 
 def _money(df):
@@ -275,7 +290,7 @@ def optimize_item(spark, sf_dir):
 
 @query
 def hierarchy_actuals(spark, sf_dir):
-    return tree.roll_up(fact(spark, sf_dir), ["units"])
+    return rolled(spark, sf_dir)
 
 
 @query
@@ -286,7 +301,7 @@ def hierarchy_weights(spark, sf_dir):
 def _base(spark, sf_dir):
     """Forecasts at all levels that don't add up: smoothed demand of each series, last week's sums above."""
     panel, cut, _ = _naive(spark, sf_dir)
-    upper = fc.seasonal_naive(tree.roll_up(panel, ["units"]).where("level <> 'item'"), cut, ["node", "level"])
+    upper = fc.seasonal_naive(rolled(spark, sf_dir).where("level <> 'item'"), cut, ["node", "level"])
     paths = panel.select(F.concat_ws("/", *tree.PATH).alias("node"), "item_id", "store_id").distinct()
     lower = fc.tsb(panel, cut).join(paths, ["item_id", "store_id"]).withColumn("level", F.lit("item"))
     columns = ["node", "level", F.lit("mixed").alias("model_name"), "fold", "target_date", "yhat"]
@@ -309,7 +324,7 @@ def _node_scores(spark, sf_dir):
     panel, cut, base = _base(spark, sf_dir)
     rows = tree.reconcile(base).select("node", "level", "fold", "target_date", F.explode(F.array(F.struct(F.lit("base").alias("model_name"), F.col("yhat")), F.struct(F.lit("reconciled").alias("model_name"), F.col("reconciled").alias("yhat")))).alias("x"))
     rows = rows.select("node", "level", "fold", "target_date", "x.model_name", "x.yhat")
-    actual = tree.roll_up(panel, ["units"])
+    actual = rolled(spark, sf_dir)
     scales = fc.naive_scales(actual, cut, ["node", "level"])
     errors = fc.errors(rows, actual, ["node", "level"])
     one = errors.groupBy("node", "level", "fold", "model_name").agg(F.avg(F.col("error") * F.col("error")).alias("mse")).join(scales, ["node", "level", "fold"], "left")
@@ -515,19 +530,56 @@ def ets_forecast(spark, sf_dir):
 
 
 def _assembled(spark, sf_dir):
-    """The panel's folds, and its feature vectors, kept for the passes of all fits."""
+    """The panel's folds, and its feature vectors, written for the passes of all fits."""
     panel = fact(spark, sf_dir)
-    return _fold_list(panel), models.assembled(demand.features(panel)).select("date", *fc.SERIES, "units", "x").persist()
+    vectors = lambda: models.assembled(demand.features(panel)).select("date", *fc.SERIES, "units", "x")
+    return _fold_list(panel), stored(spark, "vectors", [f"{sf_dir}/{t}.parquet" for t in SOURCES], vectors)
 
 
 def _joined(parts):
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+#: Trees of each boosted model, their depth, and by how much a tree counts.
+ROUNDS, DEPTH, RATE = 24, 4, 0.25
+#: Training rows over which Shapley values are averaged.
+SHAP_ROWS = 20_000
+_FITS: dict[str, boosting.Boosted] = {}
+
+
+def _boosted(spark, sf_dir) -> boosting.Boosted:
+    """Models of every fold and level, and of every fold's mean, fitted once for an input in an application."""
+    key = f"{spark.sparkContext.applicationId}/{fingerprint(spark, [f'{sf_dir}/{t}.parquet' for t in SOURCES])}"
+    if key not in _FITS:
+        panel = fact(spark, sf_dir)
+        cut = _fold_list(panel)
+        rows = models.with_means(demand.features(panel), cut[0][1])
+        asked = [boosting.Model(fold, origin, q) for fold, origin in cut for q in (*S.LEVELS, None)]
+        _FITS[key] = boosting.fit(rows, ["date", *fc.SERIES], models.BOOSTED_FEATURES, "units", asked, ROUNDS, DEPTH, RATE)
+    return _FITS[key]
+
+
+def _boosted_rows(spark, sf_dir):
+    out = boosting.predictions(_boosted(spark, sf_dir), ["date", *fc.SERIES], S.HORIZON)
+    return out.select(F.lit("boosted").alias("model_name"), "fold", "origin_date", F.col("date").alias("target_date"), F.datediff("date", "origin_date").alias("horizon"), *fc.SERIES, F.col("level").alias("quantile"), "yhat")
+
+
 @query
 def boosted_forecast(spark, sf_dir):
-    bands, (cut, rows) = strata(spark, sf_dir), _assembled(spark, sf_dir)
-    return rounded(_joined(models.boosted_quantiles(models.boosted(rows, origin)[0], bands, origin).withColumn("fold", F.lit(fold)) for fold, origin in cut))
+    """Quantiles by pinball loss, a model for each fold and level."""
+    return rounded(_boosted_rows(spark, sf_dir).where("quantile is not null"))
+
+
+@query
+def boosted_point(spark, sf_dir):
+    """The mean by Tweedie deviance, a model for each fold."""
+    return rounded(_boosted_rows(spark, sf_dir).where("quantile is null").drop("quantile"))
+
+
+@query
+def boosted_crossings(spark, sf_dir):
+    """How often separately fitted levels cross."""
+    return rounded(fc.crossing_rate(_boosted_rows(spark, sf_dir).where("quantile is not null")))
 
 
 def _forest(spark, sf_dir):
@@ -540,41 +592,41 @@ def forest_forecast(spark, sf_dir):
     return rounded(_joined(out.withColumn("fold", F.lit(fold)) for fold, out, _ in _forest(spark, sf_dir)[1]))
 
 
+def _importance(spark, sf_dir):
+    fitted = _boosted(spark, sf_dir)
+    return boosting.importance(fitted, [m for m, model in enumerate(fitted.models) if model.level is None], SHAP_ROWS, S.SEED)
+
+
 @query
 def feature_importance(spark, sf_dir):
-    """By gain and by splits for every fold; for the latest also by permutation over the last quarter, of the twelve greatest by gain."""
-    rows, fits = _forest(spark, sf_dir)
-    fold, _, model = fits[-1]
-    top = [r.feature for r in models.importance(model, spark).where("method = 'gain'").orderBy(F.desc("value"), "feature").limit(12).collect()]
-    late = rows.join(F.broadcast(rows.agg(F.date_sub(F.max("date"), 90).alias("from"))), F.col("date") > F.col("from"))  # one row
-    found = [models.importance(m, spark).withColumn("fold", F.lit(f)) for f, _, m in fits]
-    return rounded(_joined([*found, models.permuted(model, late, top).withColumn("fold", F.lit(fold))]))
+    """Of every fold's model of the mean: gain, number of splits, and mean size of Shapley values over a sample of its training rows."""
+    return rounded(_importance(spark, sf_dir))
 
 
 @query
 def top_features(spark, sf_dir):
-    """The twelve greatest by gain in the latest fold."""
-    cut, rows = _assembled(spark, sf_dir)
-    fold, origin = cut[-1]
-    return rounded(models.importance(models.forest(rows, origin)[1], spark).where("method = 'gain'").orderBy(F.desc("value"), "feature").limit(12).withColumn("fold", F.lit(fold)))
+    """The twelve greatest by Shapley values in the latest fold."""
+    rows = _importance(spark, sf_dir).where("method = 'shap_mean_abs'")
+    latest = rows.agg(F.max("fold").alias("latest"))
+    return rounded(rows.join(F.broadcast(latest), F.col("fold") == F.col("latest")).drop("latest").orderBy(F.desc("value"), "feature").limit(12))  # one row
 
 
 @query
 def hybrid_learned(spark, sf_dir):
-    """Quantiles by band: dense and middling items from the forest, sparse ones from smoothing; values sorted over levels."""
+    """Quantiles by band: dense and middling items from boosted trees, sparse ones from smoothing; values sorted over levels."""
     panel = fact(spark, sf_dir)
     smooth = models.ets(panel, _fold_list(panel))
-    both = smooth.unionByName(_joined(out.withColumn("fold", F.lit(fold)) for fold, out, _ in _forest(spark, sf_dir)[1]))
-    routed = fc.hybrid(both, strata(spark, sf_dir).select("item_id", "stratum_name"), {"dense": "forest", "mid": "forest", "sparse": "ets"})
+    both = smooth.unionByName(_boosted_rows(spark, sf_dir).where("quantile is not null"))
+    routed = fc.hybrid(both, strata(spark, sf_dir).select("item_id", "stratum_name"), {"dense": "boosted", "mid": "boosted", "sparse": "ets"})
     return rounded(fc.monotone(routed))
 
 
 @query
 def model_backtest(spark, sf_dir):
-    """Pinball loss of learned models and of the baseline, on the same folds and levels."""
+    """Pinball loss of boosted trees, of the hybrid and of the baseline, on the same folds and levels."""
     panel, base = _quantiles(spark, sf_dir)
-    learned = hybrid_learned(spark, sf_dir)
-    return rounded(fc.pinball(base.unionByName(learned.select(*base.columns)), panel))
+    learned = [x.select(*base.columns) for x in (hybrid_learned(spark, sf_dir), _boosted_rows(spark, sf_dir).where("quantile is not null"))]
+    return rounded(fc.pinball(_joined([base, *learned]), panel))
 
 
 @query

@@ -60,13 +60,11 @@ def sales_csv(spark, sf_dir):
 
 @query(f"WITH {O.UPLOAD} SELECT sku, date, round(units_sold, 6) AS units_sold FROM merged UNION ALL SELECT 'unreadable lines', NULL, 2.0::DOUBLE")
 def upload_csv(spark, sf_dir):
-    """An uploaded file with two broken lines: the rows that could be read, by day, and the number of others."""
+    """An upload of several files with two broken lines: the rows that could be read, by day, and the number of others."""
     path = fresh(spark, "upload")
-    good = Q._upload(spark, sf_dir).select(F.concat_ws(",", "Product", "Day", "Qty", F.coalesce("Price", F.lit(""))).alias("value"))
-    broken = spark.range(2).select(F.concat(F.lit("broken,line,"), F.col("id").cast("string"), F.lit(",1,2,3")).alias("value"))
-    head = spark.range(1).select(F.lit("Product,Day,Qty,Price").alias("value"))
-    lines = head.unionByName(good).unionByName(broken).repartition(1).sortWithinPartitions(~F.col("value").startswith("Product,"))
-    lines.write.text(path)  # one upload is one file, its header first
+    Q._upload(spark, sf_dir).select("Product", "Day", "Qty", "Price").write.csv(path, header=True, emptyValue="")  # each file with its header
+    broken = F.concat(F.lit("broken,line,"), F.col("id").cast("string"), F.lit(",1,2,3"))
+    spark.range(0, 3, 1, 1).select(F.when(F.col("id") == 0, "Product,Day,Qty,Price").otherwise(broken).alias("value")).write.mode("append").text(path)  # three lines
     rows, bad = files.read_upload(spark, path)
     days = service.merge_days(service.usable(service.parse_upload(rows)))
     return Q.rounded(days.unionByName(bad.agg(F.lit("unreadable lines").alias("sku"), F.lit(None).cast("date").alias("date"), F.count("*").cast("double").alias("units_sold"))))
@@ -224,8 +222,10 @@ def _records(spark, sf_dir):
 
 
 _RECORDS = f"""orders_ AS ({O.ORACLES['service_orders']}), tests_ AS ({O.ORACLES['sku_backtest']}),
-  one AS (SELECT sku, CAST(count(*) AS INT) AS n_folds, avg(mase) AS mase, avg(pinball) AS pinball, (max(mase) - min(mase)) / 2 AS mase_spread, (max(pinball) - min(pinball)) / 2 AS pinball_spread FROM tests_ GROUP BY 1),
-  records AS (SELECT o.sku, order_qty, expected_cost, coalesce(n_folds, 0) AS n_folds, round(mase, 6) AS mase, round(pinball, 6) AS pinball, round(mase_spread, 6) AS mase_spread, round(pinball_spread, 6) AS pinball_spread,
+  whole AS (SELECT sku, CAST(round(mase * 1000000) AS BIGINT) AS m, CAST(round(pinball * 1000000) AS BIGINT) AS p FROM tests_),
+  one AS (SELECT sku, CAST(count(*) AS INT) AS n_folds, ((2 * sum(m) + count(m)) // (2 * count(m))) / 1e6 AS mase, ((2 * sum(p) + count(p)) // (2 * count(p))) / 1e6 AS pinball,
+    ((2 * (max(m) - min(m)) + 2) // 4) / 1e6 AS mase_spread, ((2 * (max(p) - min(p)) + 2) // 4) / 1e6 AS pinball_spread FROM whole GROUP BY 1),
+  records AS (SELECT o.sku, order_qty, expected_cost, coalesce(n_folds, 0) AS n_folds, CAST(mase AS DOUBLE) AS mase, CAST(pinball AS DOUBLE) AS pinball, CAST(mase_spread AS DOUBLE) AS mase_spread, CAST(pinball_spread AS DOUBLE) AS pinball_spread,
     CASE WHEN n_folds IS NULL THEN 'not measured' WHEN mase < 1 THEN 'better than yesterday''s value' ELSE 'no better than yesterday''s value' END AS method_label, CASE WHEN order_qty IS NULL THEN 'failed' ELSE 'done' END AS status FROM orders_ o LEFT JOIN one USING (sku))"""
 
 
@@ -237,8 +237,8 @@ def result_rows(spark, sf_dir):
 @query(f"WITH {_RECORDS} SELECT sku, order_qty, CAST(row_number() OVER (ORDER BY order_qty DESC, sku) AS INT) AS place FROM records")
 def ranked_orders(spark, sf_dir):
     """Products by order, largest first."""
-    rows = Q.rounded(_records(spark, sf_dir)).select("sku", "order_qty", F.lit(0).alias("all"))
-    return results.ranked(rows, ["all"], F.desc("order_qty"), "sku").drop("all").orderBy("place")
+    rows = Q.rounded(_records(spark, sf_dir)).select("sku", "order_qty")
+    return results.placed(rows, [F.desc("order_qty"), F.col("sku")], fresh(spark, "ranked"))
 
 
 @query("WITH " + O.OCCURRENCES.format(series="brands") + " SELECT sku, key, round(multiplier, 6) AS multiplier, CAST(row_number() OVER (PARTITION BY sku ORDER BY round(abs(multiplier - 1), 6) DESC, key) AS INT) AS place FROM effects")

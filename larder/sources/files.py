@@ -45,7 +45,8 @@ def read_prices(spark: SparkSession, path: str, sales: DataFrame) -> DataFrame:
 
 
 def read_upload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """An uploaded CSV file as text columns, and the lines that could not be split into them; a file without a header is an error.
+    """An uploaded CSV file, or a folder of parts that each begin with the header, as text columns, and the lines that could not be split
+    into them; a file without a header is an error.
 
     Bytes that are no UTF-8 become replacement characters, and a line with one counts as unreadable.
     """
