@@ -23,6 +23,8 @@ from larder.llm.scratch import Scratch
 
 OPEN, CLOSE = "<|", "|>"
 CONTEXT = ("system",)
+#: Characters of a text by which turns of one number and role are dealt over ranges.
+START = 256
 
 
 def _safe(text: Column) -> Column:
@@ -35,8 +37,9 @@ def render(turns: DataFrame, context: Sequence[str] = CONTEXT) -> DataFrame:
     text, speaker = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit("unknown"))
     said = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), speaker.alias("speaker"), text.alias("text"))
     order = [F.col("turn").asc_nulls_last(), F.col("speaker"), F.col("text")]
-    # ranges of turns: a long conversation spans several, and the running sums of each range start from those before it
-    said = said.repartitionByRange("conv_id", F.col("turn").asc_nulls_last(), "speaker", F.xxhash64("text")).withColumn("range", F.spark_partition_id())
+    # ranges of turns: a long conversation spans several, and the running sums of each range start from those before it; the start of a
+    # text keeps the order of whole texts, and those with an equal start stay in one range
+    said = said.repartitionByRange("conv_id", F.col("turn").asc_nulls_last(), "speaker", F.substring("text", 1, START)).withColumn("range", F.spark_partition_id())
     said = scratch.save(said, "turns")
     own = said.where(~F.col("speaker").isin(*context)).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
     rows = said.join(own, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
