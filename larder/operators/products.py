@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,16 +12,21 @@ from larder.functions.costs import CostModel
 from larder.operators import service
 
 SHORT, LONG = 7, 91
+# Days and windows without which no model is fitted.
+MIN_DAYS, MIN_TOTALS = 60, 24
 
 
 def learning_rows(series: DataFrame, horizon: int, value: str = "units_sold") -> DataFrame:
     """A row for each recorded day: v, weekday, rising (the short mean is above the long one), before (so it was a horizon earlier, which a
-    forecast of this day may know), total (of the next ``horizon`` recorded days) and ends (the last of them)."""
+    forecast of this day may know), total (of the next ``horizon`` recorded days), ends (the last of them) and change (from the recorded day
+    before, of days after the first sale)."""
     w = Window.partitionBy("sku").orderBy("date")
     mean = lambda n: F.round(F.avg("v").over(w.rowsBetween(-(n - 1), 0)), 6)
     ahead = w.rowsBetween(1, horizon)
     rows = series.where(F.col(value).isNotNull()).select("sku", "date", F.col(value).cast("double").alias("v"))
     rows = rows.withColumns({"weekday": F.weekday("date"), "rising": mean(SHORT) > mean(LONG), "total": F.when(F.count("v").over(ahead) == horizon, F.sum("v").over(ahead)), "ends": F.lead("date", horizon).over(w)})
+    first = F.min(F.when(F.col("v") > 0, F.col("date"))).over(Window.partitionBy("sku"))
+    rows = rows.withColumn("change", F.when(F.col("date") > first, F.abs(F.col("v") - F.lag("v").over(w))))
     return rows.withColumn("before", F.coalesce(F.lag("rising", horizon).over(w), F.lit(False)))
 
 
@@ -29,15 +34,17 @@ def learned(rows: DataFrame, origins: DataFrame, horizon: int, levels: Sequence[
     """Quantiles of each day ahead and of the whole window, for each product and fold of ``origins`` (sku, fold, origin_date).
 
     A leaf is a weekday and a trend, for totals a trend alone; its quantiles are those of the days in it up to the origin. A leaf without
-    days takes those of all days; totals that end after the origin are not learned from. (daily, totals)
+    days takes those of all days; totals that end after the origin are not learned from. With fewer than ``MIN_DAYS`` days or
+    ``MIN_TOTALS`` totals before the origin there is no model, and no row. (daily with the scale of its product and fold, totals)
     """
     own = origins.withColumnRenamed("sku", "s")
     past = rows.join(own, (F.col("sku") == F.col("s")) & (F.col("date") <= F.col("origin_date"))).drop("s")
     values = lambda c: F.percentile(c, F.array(*[F.lit(q) for q in levels]))
-    one = past.groupBy("sku", "fold", "origin_date").agg(values("v").alias("whole"), F.max_by("rising", "date").alias("before"))
+    one = past.groupBy("sku", "fold", "origin_date").agg(values("v").alias("whole"), F.max_by("rising", "date").alias("before"), F.avg("change").alias("scale"), F.count("*").alias("n_days"), F.count_if(F.col("ends") <= F.col("origin_date")).alias("n_totals"))
+    one = one.where((F.col("n_days") >= MIN_DAYS) & (F.col("n_totals") >= MIN_TOTALS)).drop("n_days", "n_totals")
     leaves = past.groupBy("sku", "fold", "weekday", "before").agg(values("v").alias("leaf"))
     ahead = one.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")).withColumn("date", F.date_add("origin_date", F.col("h"))).withColumn("weekday", F.weekday("date"))
-    daily = ahead.join(leaves, ["sku", "fold", "weekday", "before"], "left").select("sku", "fold", "origin_date", "date", F.coalesce("leaf", "whole").alias("quantiles"))
+    daily = ahead.join(leaves, ["sku", "fold", "weekday", "before"], "left").select("sku", "fold", "origin_date", "date", "scale", F.coalesce("leaf", "whole").alias("quantiles"))
     done = past.where(F.col("ends") <= F.col("origin_date"))
     now = one.select("sku", "fold", F.col("before").alias("rising"))
     totals = now.join(done.groupBy("sku", "fold", "rising").agg(values("total").alias("leaf")), ["sku", "fold", "rising"], "left").join(done.groupBy("sku", "fold").agg(values("total").alias("whole")), ["sku", "fold"], "left")
@@ -45,26 +52,60 @@ def learned(rows: DataFrame, origins: DataFrame, horizon: int, levels: Sequence[
 
 
 def backtest(series: DataFrame, horizon: int, ratio: float) -> DataFrame:
-    """The model's error on each product's folds: sku, fold, mae (of the daily median) and pinball (of the total, at the ratio)."""
+    """The model's error on each product's folds: sku, fold, mae and mase (of the daily median) and pinball (of the total, at the ratio)."""
     q = round(ratio, 4)
     rows = learning_rows(series, horizon)
     daily, totals = learned(rows, service.sku_folds(series, horizon), horizon, (0.5, q))
-    seen = daily.join(rows.select("sku", "date", "v"), ["sku", "date"]).groupBy("sku", "fold").agg(F.avg(F.abs(F.col("v") - F.col("quantiles")[0])).alias("mae"), F.sum("v").alias("realised"))
+    seen = daily.join(rows.select("sku", "date", "v"), ["sku", "date"]).groupBy("sku", "fold").agg(F.avg(F.abs(F.col("v") - F.col("quantiles")[0])).alias("mae"), F.max("scale").alias("scale"), F.sum("v").alias("realised"))
     gap = F.col("realised") - F.col("quantiles")[1]
-    return seen.join(totals, ["sku", "fold"], "left").select("sku", "fold", "mae", F.greatest(F.lit(q) * gap, F.lit(q - 1) * gap).alias("pinball"))
+    mase = F.when(F.col("scale") > 1e-12, F.col("mae") / F.col("scale"))
+    return seen.join(totals, ["sku", "fold"], "left").select("sku", "fold", "mae", mase.alias("mase"), F.greatest(F.lit(q) * gap, F.lit(q - 1) * gap).alias("pinball"))
 
 
-def chosen(skus: DataFrame, model: DataFrame, baseline: DataFrame) -> DataFrame:
-    """The method of each product by mean pinball loss over its folds; one without a backtest of the model has the baseline."""
-    mean = lambda df, name: df.groupBy("sku").agg(F.avg("pinball").alias(name))
-    return service.choose_method(skus.join(mean(model, "model"), "sku", "left").join(mean(baseline, "baseline"), "sku", "left"))
+def _sums(tests: DataFrame, name: str) -> DataFrame:
+    """Losses in whole millionths, so that no order of summation changes a choice or its text."""
+    whole = lambda c: F.floor(F.col(c) * 1_000_000 + 0.5)
+    return tests.groupBy("sku").agg(F.sum(whole("pinball")).alias(f"{name}_p"), F.count("pinball").alias(f"{name}_n"), F.sum(whole("mase")).alias(f"{name}_m"), F.count("mase").alias(f"{name}_k"))
 
 
-def forecast(series: DataFrame, methods: DataFrame, prices: DataFrame, costs: CostModel, horizon: int, levels: Sequence[float]) -> DataFrame:
-    """Each product's order from the distribution of its chosen method, fitted on its whole history."""
+def _three(total: Column, n: Column) -> Column:
+    """A mean of millionths with three places, halves up."""
+    t = F.floor((2 * total + 1000 * n) / (2000 * n))
+    return F.concat(F.floor(t / 1000).cast("string"), F.lit("."), F.lpad((t % 1000).cast("string"), 3, "0"))
+
+
+def chosen(folds: DataFrame, model: DataFrame, baseline: DataFrame) -> DataFrame:
+    """The method of each product (``folds``: sku, n_folds) by mean pinball loss over its folds, and a sentence with the figures.
+
+    A product whose model could be fitted in no fold has the baseline, and so has one whose losses differ by less than the margin.
+    """
+    rows = folds.join(_sums(model, "m"), "sku", "left").join(_sums(baseline, "b"), "sku", "left")
+    mean = lambda x: F.when(F.col(f"{x}_n") > 0, F.col(f"{x}_p") / (F.col(f"{x}_n") * F.lit(1e6)))
+    rows = service.choose_method(rows.withColumns({"model": mean("m"), "baseline": mean("b")})).withColumn("code", F.col("reason"))
+    mp, bp = _three(F.col("m_p"), F.col("m_n")), _three(F.col("b_p"), F.col("b_n"))
+    day = lambda x: F.when(F.col(f"{x}_k") > 0, _three(F.col(f"{x}_m"), F.col(f"{x}_k"))).otherwise("unknown")
+    n = F.least("m_n", "b_n")
+    over = F.concat(F.lit(" over "), n.cast("string"), F.lit(" fold(s)"), F.when(n < F.col("n_folds"), F.concat(F.lit(" of "), F.col("n_folds").cast("string"), F.lit(", the others too early for a model"))).otherwise(""), F.lit("."))
+    daily = F.concat(F.lit(" Daily error, scaled: model "), day("m"), F.lit(", repeated week "), day("b"), F.lit("."))
+    turned = F.when((F.col("m_k") > 0) & (F.col("b_k") > 0) & (F.col("b_m") * F.col("m_k") < F.col("m_m") * F.col("b_k")), " Day by day the repeated week was closer; the loss of the order decides.").otherwise("")
+    text = F.when(F.col("code") == service.NOT_FITTED, "No fold had enough history for a model, so the repeated week is used.").when(
+        F.col("code") == service.CLOSE, F.concat(F.lit("Too close to call, so the simpler repeated week is used: order loss "), mp, F.lit(" by the model and "), bp, F.lit(" by the repeated week"), over, daily)).when(
+        F.col("method") == "baseline", F.concat(F.lit("The repeated week orders better: loss "), bp, F.lit(" against "), mp, F.lit(" by the model"), over, daily)).otherwise(
+        F.concat(F.lit("The model orders better: loss "), mp, F.lit(" against "), bp, F.lit(" by the repeated week"), over, daily, turned))
+    measured = F.when(F.col("code") == service.NOT_FITTED, F.coalesce("b_n", F.lit(0))).otherwise(n)
+    caveat = service.fold_caveat(measured)
+    return rows.select("sku", "model", "baseline", "method", F.concat(text, F.coalesce(F.concat(F.lit(" "), caveat), F.lit(""))).alias("reason"))
+
+
+def forecast(series: DataFrame, methods: DataFrame, prices: DataFrame, costs: CostModel, horizon: int, levels: Sequence[float], plans: DataFrame) -> DataFrame:
+    """Each product's order from the distribution of its chosen method, fitted on its whole history, and moved by its festival plan
+    (``plans``: sku, factor, state). The cost is that of the order as moved. A model that can't be fitted now gives way to the baseline."""
     rows = learning_rows(series, horizon)
     last = rows.groupBy("sku").agg(F.lit(0).alias("fold"), F.max("date").alias("origin_date"))
     fitted = learned(rows, last, horizon, levels)[1].select("sku", F.col("quantiles").alias("fitted"))
     both = service.baseline_totals(series, horizon, levels).join(fitted, "sku", "left").join(methods, "sku")
-    totals = both.select("sku", F.when(F.col("method") == "model", F.coalesce("fitted", "quantiles")).otherwise(F.col("quantiles")).alias("quantiles"))
-    return service.order_quantities(totals, prices, costs, levels).join(methods, "sku").select("sku", "method", "reason", "price", "order_qty", "expected_cost")
+    method = F.when((F.col("method") == "model") & F.col("fitted").isNotNull(), "model").otherwise("baseline")
+    both = both.withColumn("method", method)
+    totals = both.select("sku", "method", "reason", F.when(F.col("method") == "model", F.col("fitted")).otherwise(F.col("quantiles")).alias("quantiles"))
+    orders = service.order_quantities(totals.select("sku", "quantiles"), prices, costs, levels, plans)
+    return orders.join(totals.select("sku", "method", "reason"), "sku").select("sku", "method", "reason", "price", "order_before", "factor", "state", "order_qty", "expected_cost")

@@ -24,10 +24,10 @@ CLIP_DAYS, LOOKAHEAD, MATERIAL = 45, 14, 0.01
 MARGIN = 0.05
 #: Shorter keywords say nothing of a product.
 MIN_KEYWORD = 3
-# What the gate says to a product that it refuses.
-TOO_SHORT = f"{MIN_DAYS} days of history needed, %d found"
-TOO_FEW = f"{MIN_OBSERVATIONS} recorded days needed, %d found"
-GAP_TOO_LONG = f"a %d-day stretch with no rows at all; gaps over {MAX_GAP} days are not treated as zero-demand days"
+#: What the gate says to a product that it refuses.
+TOO_SHORT = f"its history spans %d days, under the least of {MIN_DAYS}"
+TOO_FEW = f"%d days have an amount, under the least of {MIN_OBSERVATIONS}"
+GAP_TOO_LONG = f"nothing was recorded for %d days on end, over the most of {MAX_GAP}"
 
 
 def resolve_columns(columns: Sequence[str]) -> dict[str, str]:
@@ -70,7 +70,7 @@ def gate(raw: DataFrame) -> DataFrame:
     blank = F.col("n_obs") - F.col("n_nonnull")
     rules = F.array(*[F.struct(broken.alias("broken"), text.alias("text")) for broken, text in (
         (F.col("n_days") < MIN_DAYS, F.format_string(TOO_SHORT, "n_days")),
-        (F.col("n_nonnull") < MIN_OBSERVATIONS, F.format_string(TOO_FEW + "%s", "n_nonnull", F.when(blank == 0, "").otherwise(F.format_string(" (from %d rows)", "n_obs")))),
+        (F.col("n_nonnull") < MIN_OBSERVATIONS, F.format_string(TOO_FEW + "%s", "n_nonnull", F.when(blank == 0, "").otherwise(F.format_string(" (in %d rows)", "n_obs")))),
         (F.col("max_gap_days") > MAX_GAP, F.format_string(GAP_TOO_LONG, "max_gap_days")))])
     reasons = F.transform(F.filter(rules, lambda x: x["broken"]), lambda x: x["text"])
     return one.withColumns({"reasons": reasons, "admitted": ~F.exists(rules, lambda x: x["broken"])})
@@ -140,12 +140,19 @@ def resolve_price(parsed: DataFrame) -> DataFrame:
     return one.select("sku", F.coalesce("p", F.lit(FALLBACK_PRICE)).alias("price"), F.col("p").isNull().alias("assumed"))
 
 
-def order_quantities(totals: DataFrame, prices: DataFrame, costs: CostModel, levels: Sequence[float]) -> DataFrame:
-    """Order and expected cost of each product from the distribution of its total."""
+def order_quantities(totals: DataFrame, prices: DataFrame, costs: CostModel, levels: Sequence[float], plans: DataFrame | None = None) -> DataFrame:
+    """Order and expected cost of each product from the distribution of its total.
+
+    With ``plans`` (sku, factor, state) the order is moved by the factor, and ``order_before`` is what it was.
+    """
     values = [F.col("quantiles")[i] for i in range(len(levels))]
     rows = totals.join(prices, "sku", "left").withColumn("price", F.coalesce("price", F.lit(FALLBACK_PRICE)))
-    rows = rows.withColumn("order_qty", F.greatest(F.lit(0.0), interpolate(levels, values, costs.critical_ratio())))
-    return rows.select("sku", "price", "order_qty", expected_cost(levels, values, F.col("order_qty"), costs.under(F.col("price")), costs.over(F.col("price"))).alias("expected_cost"))
+    rows = rows.withColumn("order_before", F.greatest(F.lit(0.0), interpolate(levels, values, costs.critical_ratio())))
+    more = ["order_before", "factor", "state"] if plans is not None else []
+    if plans is not None:
+        rows = rows.join(plans.select("sku", "factor", "state"), "sku", "left").na.fill({"factor": 1.0, "state": "none"})
+    rows = rows.withColumn("order_qty", F.col("order_before") * F.col("factor") if plans is not None else F.col("order_before"))
+    return rows.select("sku", "price", *more, "order_qty", expected_cost(levels, values, F.col("order_qty"), costs.under(F.col("price")), costs.over(F.col("price"))).alias("expected_cost"))
 
 
 def fold_count(n_days: Column, horizon: int) -> Column:
@@ -153,7 +160,11 @@ def fold_count(n_days: Column, horizon: int) -> Column:
 
 
 def fold_caveat(n_folds: Column) -> Column:
-    return F.when(n_folds < 3, F.format_string("Measured on %d backtest fold(s) only, so the figures are rough.", n_folds))
+    """What to keep in mind where fewer than three folds were measured."""
+    return F.when(n_folds <= 0, "Nothing could be measured on its own history.").when(n_folds == 1, "One fold alone was measured, which may be luck.").when(n_folds == 2, "Two folds alone were measured, so the figures are rough.")
+
+
+NOT_FITTED, CLOSE = "the model could not be fitted", "too close to call"
 
 
 def choose_method(scores: DataFrame) -> DataFrame:
@@ -161,7 +172,7 @@ def choose_method(scores: DataFrame) -> DataFrame:
     scale = F.greatest(F.abs("model"), F.abs("baseline"), F.lit(1e-9))
     close = F.abs(F.col("model") - F.col("baseline")) / scale < MARGIN
     method = F.when(F.col("model").isNull() | close | (F.col("baseline") < F.col("model")), "baseline").otherwise("model")
-    reason = F.when(F.col("model").isNull(), "the model could not be fitted").when(close, "too close to call").when(F.col("baseline") < F.col("model"), "the baseline was better").otherwise("the model was better")
+    reason = F.when(F.col("model").isNull(), NOT_FITTED).when(close, CLOSE).when(F.col("baseline") < F.col("model"), "the baseline was better").otherwise("the model was better")
     return scores.withColumns({"method": method, "reason": reason})
 
 
@@ -250,12 +261,18 @@ def tokens(text: Column) -> Column:
 def keyword_matches(skus: DataFrame, rules: DataFrame) -> DataFrame:
     """The rule that speaks for a product at each festival: the longest phrase in its name; none if equally long ones disagree.
 
-    Rules: festival_key, direction, category, items (comma list), suggested_multiplier and ``row`` (their order). They are a small
-    reference table; products are compared by phrase.
+    Rules: festival_key, direction, category, items (comma list), suggested_multiplier and ``row`` (their order). A phrase is looked up by
+    the one of its words that fewest products have, an equal join, and then read in the names that have the word.
     """
     phrases = rules.select("row", "festival_key", "direction", "category", "suggested_multiplier", F.posexplode(F.split("items", ",")).alias("nth", "keyword"))
     phrases = phrases.withColumns({"keyword": F.trim("keyword"), "phrase": tokens(F.col("keyword"))}).where(F.char_length(F.trim("phrase")) >= MIN_KEYWORD)
-    rows = skus.select("sku", tokens(F.col("sku")).alias("name")).join(F.broadcast(phrases), F.contains("name", "phrase"))  # rules: hundreds
+    words = lambda c: F.array_distinct(F.split(F.trim(c), " "))
+    names = skus.select("sku", tokens(F.col("sku")).alias("name"))
+    index = names.select("sku", "name", F.explode(words("name")).alias("word"))
+    often = index.groupBy("word").agg(F.count("*").alias("n"))
+    texts = phrases.select("phrase").distinct().select("phrase", F.explode(words("phrase")).alias("word"))
+    rarest = texts.join(often, "word", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("x")).where("x.n > 0").select("phrase", F.col("x.word").alias("word"))
+    rows = index.join(phrases.join(rarest, "phrase"), "word").where(F.contains("name", "phrase"))
     size = F.char_length(F.replace("phrase", F.lit(" "), F.lit("")))
     best = Window.partitionBy("sku", "festival_key")
     rows = rows.withColumn("size", size).withColumn("top", F.max("size").over(best)).where("size = top")
@@ -349,5 +366,5 @@ def calendar_coverage(festivals: DataFrame, last_days: DataFrame, horizon: int)
 def plan_message(plan: DataFrame) -> DataFrame:
     """A sentence on each plan."""
     text = F.when(F.col("state") == "adjusted", F.format_string("The order is moved by a factor of %s: %d of the days ahead lie in a run-up.", F.format_number("factor", 2), F.col("days_adjusted"))).when(
-        F.col("state") == "advisory", "A festival falls in or near this window, but nothing is known of its effect on this product; the order is unchanged.").otherwise("No festival is near; the order is unchanged.")
+        F.col("state") == "advisory", "There is a festival in these days or soon after, and no figure for what it does to this product; the order stays.").otherwise("No festival is near; the order stays.")
     return plan.withColumn("message", text)

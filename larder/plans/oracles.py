@@ -243,6 +243,8 @@ from larder.operators import service as _service  # noqa: E402  (its fixed value
 from larder.sources.rules import RULES as _RULES  # noqa: E402
 
 A = 14
+#: What to keep in mind where few folds were measured.
+CAVEAT = "CASE WHEN {0} <= 0 THEN 'Nothing could be measured on its own history.' WHEN {0} = 1 THEN 'One fold alone was measured, which may be luck.' WHEN {0} = 2 THEN 'Two folds alone were measured, so the figures are rough.' END"
 UPLOAD = DAILY + """,
 upload AS (SELECT event_type AS sku, CAST(ts AS DATE) AS date, value AS units_sold, NULL::DOUBLE AS unit_price FROM events
   UNION ALL SELECT item_id, date, CAST(units AS DOUBLE), cents / 100.0::DOUBLE / units FROM daily),
@@ -251,9 +253,9 @@ dense AS (SELECT g.sku, g.date, units_sold FROM (SELECT sku, CAST(unnest(generat
 brands AS (SELECT sku, date, round(units_sold, 6) AS units_sold FROM dense),
 gaps AS (SELECT *, date - lag(date) OVER (PARTITION BY sku ORDER BY date) - 1 AS gap FROM merged),
 spans AS (SELECT sku, CAST(max(date) - min(date) + 1 AS INT) AS n_days, count(*) AS n_obs, count(units_sold) AS n_nonnull, min(date) AS first_date, max(date) AS last_date, CAST(coalesce(max(gap), 0) AS INT) AS max_gap_days FROM gaps GROUP BY 1),
-verdicts AS (SELECT *, concat_ws('; ', CASE WHEN n_days < 90 THEN '90 days of history needed, ' || n_days || ' found' END,
-    CASE WHEN n_nonnull < 20 THEN '20 recorded days needed, ' || n_nonnull || ' found' || CASE WHEN n_obs <> n_nonnull THEN ' (from ' || n_obs || ' rows)' ELSE '' END END,
-    CASE WHEN max_gap_days > 14 THEN 'a ' || max_gap_days || '-day stretch with no rows at all; gaps over 14 days are not treated as zero-demand days' END) AS reasons FROM spans)"""
+verdicts AS (SELECT *, concat_ws('; ', CASE WHEN n_days < 90 THEN 'its history spans ' || n_days || ' days, under the least of 90' END,
+    CASE WHEN n_nonnull < 20 THEN n_nonnull || ' days have an amount, under the least of 20' || CASE WHEN n_obs <> n_nonnull THEN ' (in ' || n_obs || ' rows)' ELSE '' END END,
+    CASE WHEN max_gap_days > 14 THEN 'nothing was recorded for ' || max_gap_days || ' days on end, over the most of 14' END) AS reasons FROM spans)"""
 
 
 def _origin() -> str:
@@ -304,7 +306,7 @@ ORACLES |= {
     "service_orders": f"WITH {TOTALS}, o AS (SELECT sku, coalesce(p, 3.0::DOUBLE) AS price, list_transform(q, lambda x: greatest(x, 0)) AS q FROM totals LEFT JOIN prices USING (sku)), w AS (SELECT *, greatest(0.0::DOUBLE, {_interpolate(_ratio(_S))}) AS order_qty FROM o) SELECT sku, price, round(order_qty, 6) AS order_qty, round(" + " + ".join(f"{m!r}::DOUBLE * (greatest(q[{i}] - order_qty, 0) * price * {_M}::DOUBLE + greatest(order_qty - q[{i}], 0) * price * {1 - _M!r}::DOUBLE * {_S + _HOLD!r}::DOUBLE)" for i, m in enumerate(_masses(), 1)) + ", 2) AS expected_cost FROM w",
     "resolve_price": f"WITH {TOTALS} SELECT sku, coalesce(p, 3.0::DOUBLE) AS price, p IS NULL AS assumed FROM (SELECT DISTINCT sku FROM upload) LEFT JOIN prices USING (sku)",
     "choose_method": f"WITH {SCORED}, losses AS (SELECT item_id AS sku, model_name, greatest({_ratio(_S)!r}::DOUBLE * -error, {_ratio(_S) - 1!r}::DOUBLE * -error) AS loss FROM errors), two AS (SELECT sku, avg(loss) FILTER (model_name = 'tsb') AS model, avg(loss) FILTER (model_name = 'seasonal_naive') AS baseline FROM losses GROUP BY 1), judged AS (SELECT *, abs(model - baseline) / greatest(abs(model), abs(baseline), 1e-9) < 0.05 AS close FROM two) SELECT sku, round(model, 6) AS model, round(baseline, 6) AS baseline, CASE WHEN close OR baseline < model THEN 'baseline' ELSE 'model' END AS method, CASE WHEN close THEN 'too close to call' WHEN baseline < model THEN 'the baseline was better' ELSE 'the model was better' END AS reason FROM judged",
-    "fold_counts": f"WITH {UPLOAD}, n AS (SELECT sku, n_days, CAST(greatest(0, least(5, floor((n_days - 28) / {A}))) AS INT) AS n_folds FROM spans) SELECT *, CASE WHEN n_folds < 3 THEN 'Measured on ' || n_folds || ' backtest fold(s) only, so the figures are rough.' END AS caveat FROM n",
+    "fold_counts": f"WITH {UPLOAD}, n AS (SELECT sku, n_days, CAST(greatest(0, least(5, floor((n_days - 28) / {A}))) AS INT) AS n_folds FROM spans) SELECT *, {CAVEAT.format('n_folds')} AS caveat FROM n",
     "festival_windows": f"WITH {DAILY}, {FEASTS} SELECT date, key, CAST(abs(date - day) AS INT) AS distance FROM feast_days JOIN feasts ON date BETWEEN window_start AND window_end QUALIFY row_number() OVER (PARTITION BY date ORDER BY abs(date - day), prior_only, key) = 1",
     "festival_proximity": f"WITH {DAILY}, {FEASTS} SELECT date, CAST(least(coalesce((SELECT min(day) FROM feasts WHERE day >= date) - date, 45), 45) AS INT) AS days_to_next, CAST(least(coalesce(date - (SELECT max(day) FROM feasts WHERE day <= date), 45), 45) AS INT) AS days_since_last, CAST(EXISTS (SELECT 1 FROM feasts WHERE date BETWEEN window_start AND window_end) AS INT) AS in_window FROM feast_days",
     "festival_uplift": "WITH " + OCCURRENCES.format(series="brands") + " SELECT sku, key, name, round(multiplier, 6) AS multiplier, round(low, 6) AS low, round(high, 6) AS high, years, shut_on_day FROM effects",
@@ -321,7 +323,7 @@ ORACLES |= {
 
 ORACLES |= {
     "festival_messages": f"""SELECT sku, state, CASE state WHEN 'adjusted' THEN 'The order is moved by a factor of ' || printf('%.2f', factor) || ': ' || days_adjusted || ' of the days ahead lie in a run-up.'
-      WHEN 'advisory' THEN 'A festival falls in or near this window, but nothing is known of its effect on this product; the order is unchanged.' ELSE 'No festival is near; the order is unchanged.' END AS message FROM ({ORACLES['festival_plan']})""",
+      WHEN 'advisory' THEN 'There is a festival in these days or soon after, and no figure for what it does to this product; the order stays.' ELSE 'No festival is near; the order stays.' END AS message FROM ({ORACLES['festival_plan']})""",
     "calendar_coverage": f"WITH {UPLOAD}, {FEASTS}, k AS (SELECT min(day) AS first_known, max(day) AS last_known FROM feasts), b AS (SELECT sku, max(date) + 60 AS e FROM brands GROUP BY 1) SELECT sku, first_known, last_known, CASE WHEN e > last_known THEN 'the festival calendar ends on ' || last_known || ' and cannot speak about ' || e END AS note FROM b, k",
     "sku_backtest": f"""WITH {UPLOAD}, b AS (SELECT sku, count(*) AS n_days, max(date) AS last FROM brands GROUP BY 1), c AS (SELECT *, CAST(greatest(0, least(5, floor((n_days - 28) / {A}))) AS INT) AS n FROM b),
       sku_folds AS (SELECT sku, fold, last - (n - fold) * {A} AS origin_date FROM (SELECT *, CAST(unnest(range(n)) AS INT) AS fold FROM c)),

@@ -290,10 +290,10 @@ _Q = round(Q.COSTS.critical_ratio(), 4)
 def _learned(origins: str, levels: str, p: str) -> str:
     """SQL of the leaves over the origins of a table: daily and total quantiles."""
     return f"""{p}past AS (SELECT r.*, fold, origin_date FROM learning r JOIN {origins} o ON o.sku = r.sku AND date <= origin_date),
-  {p}one AS (SELECT sku, fold, origin_date, quantile_cont(v, {levels}) AS whole, max_by(rising, date) AS before FROM {p}past GROUP BY 1, 2, 3),
+  {p}one AS (SELECT sku, fold, origin_date, quantile_cont(v, {levels}) AS whole, max_by(rising, date) AS before, avg(change) AS scale FROM {p}past GROUP BY 1, 2, 3 HAVING count(*) >= 60 AND count(*) FILTER (ends <= origin_date) >= 24),
   {p}leaves AS (SELECT sku, fold, weekday, before, quantile_cont(v, {levels}) AS leaf FROM {p}past GROUP BY 1, 2, 3, 4),
   {p}ahead AS (SELECT *, CAST(origin_date + h AS DATE) AS date, isodow(origin_date + h) AS weekday FROM {p}one, (SELECT CAST(unnest(range(1, {A + 1})) AS INT) AS h)),
-  {p}daily AS (SELECT sku, fold, a.origin_date, a.date, coalesce(leaf, whole) AS q FROM {p}ahead a LEFT JOIN {p}leaves USING (sku, fold, weekday, before)),
+  {p}daily AS (SELECT sku, fold, a.origin_date, a.date, a.scale, coalesce(leaf, whole) AS q FROM {p}ahead a LEFT JOIN {p}leaves USING (sku, fold, weekday, before)),
   {p}leaf_totals AS (SELECT sku, fold, rising AS before, quantile_cont(total, {levels}) AS leaf FROM {p}past WHERE ends <= origin_date GROUP BY 1, 2, 3),
   {p}whole_totals AS (SELECT sku, fold, quantile_cont(total, {levels}) AS t FROM {p}past WHERE ends <= origin_date GROUP BY 1, 2),
   {p}totals AS (SELECT sku, fold, coalesce(leaf, t) AS q FROM {p}one LEFT JOIN {p}leaf_totals USING (sku, fold, before) LEFT JOIN {p}whole_totals USING (sku, fold))"""
@@ -301,29 +301,52 @@ def _learned(origins: str, levels: str, p: str) -> str:
 
 _LEARNING = f"""recorded AS (SELECT sku, date, CAST(units_sold AS DOUBLE) AS v FROM brands WHERE units_sold IS NOT NULL),
   marked AS (SELECT *, isodow(date) AS weekday, round(avg(v) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) > round(avg(v) OVER (w ROWS BETWEEN 90 PRECEDING AND CURRENT ROW), 6) AS rising,
-    CASE WHEN count(v) OVER (w ROWS BETWEEN 1 FOLLOWING AND {A} FOLLOWING) = {A} THEN sum(v) OVER (w ROWS BETWEEN 1 FOLLOWING AND {A} FOLLOWING) END AS total, lead(date, {A}) OVER w AS ends FROM recorded WINDOW w AS (PARTITION BY sku ORDER BY date)),
+    CASE WHEN count(v) OVER (w ROWS BETWEEN 1 FOLLOWING AND {A} FOLLOWING) = {A} THEN sum(v) OVER (w ROWS BETWEEN 1 FOLLOWING AND {A} FOLLOWING) END AS total, lead(date, {A}) OVER w AS ends,
+    CASE WHEN date > min(CASE WHEN v > 0 THEN date END) OVER (PARTITION BY sku) THEN abs(v - lag(v) OVER w) END AS change FROM recorded WINDOW w AS (PARTITION BY sku ORDER BY date)),
   learning AS (SELECT *, coalesce(lag(rising, {A}) OVER (PARTITION BY sku ORDER BY date), false) AS before FROM marked)"""
 
 _TESTED = f"""{_LEARNING}, lengths AS (SELECT sku, count(*) AS n_days, max(date) AS last FROM brands GROUP BY 1), numbers AS (SELECT *, CAST(greatest(0, least(5, floor((n_days - 28) / {A}))) AS INT) AS n FROM lengths),
   cuts AS (SELECT sku, fold, last - (n - fold) * {A} AS origin_date FROM (SELECT *, CAST(unnest(range(n)) AS INT) AS fold FROM numbers)), {_learned("cuts", f"[0.5::DOUBLE, {_Q}::DOUBLE]", "m_")},
-  met AS (SELECT sku, fold, avg(abs(v - q[1])) AS mae, sum(v) AS realised FROM m_daily JOIN recorded USING (sku, date) GROUP BY 1, 2),
-  tested AS (SELECT sku, fold, round(mae, 6) AS mae, round(greatest({_Q}::DOUBLE * (realised - q[2]), {_Q - 1!r}::DOUBLE * (realised - q[2])), 9) AS pinball FROM met LEFT JOIN m_totals USING (sku, fold))"""
+  met AS (SELECT sku, fold, avg(abs(v - q[1])) AS mae, max(scale) AS scale, sum(v) AS realised FROM m_daily JOIN recorded USING (sku, date) GROUP BY 1, 2),
+  tested AS (SELECT sku, fold, round(mae, 6) AS mae, round(CASE WHEN scale > 1e-12 THEN mae / scale END, 6) AS mase, round(greatest({_Q}::DOUBLE * (realised - q[2]), {_Q - 1!r}::DOUBLE * (realised - q[2])), 9) AS pinball FROM met LEFT JOIN m_totals USING (sku, fold))"""
 
 
-@query(f"WITH {O.UPLOAD}, {_TESTED} SELECT sku, fold, mae, pinball FROM tested")
+@query(f"WITH {O.UPLOAD}, {_TESTED} SELECT sku, fold, mae, mase, pinball FROM tested")
 def sku_model_backtest(spark, sf_dir):
     """The learned model on each product's own folds."""
     out = products.backtest(Q._brands(spark, sf_dir), A, Q.COSTS.critical_ratio())
-    return out.withColumns({"mae": F.round("mae", 6), "pinball": F.round("pinball", 9)})  # a quantile times a ratio has eight places
+    return out.withColumns({"mae": F.round("mae", 6), "mase": F.round("mase", 6), "pinball": F.round("pinball", 9)})  # a quantile times a ratio has eight places
 
 
 def _methods(spark, sf_dir):
-    return products.chosen(Q._brands(spark, sf_dir).select("sku").distinct(), sku_model_backtest(spark, sf_dir), Q.sku_backtest(spark, sf_dir))
+    brands = Q._brands(spark, sf_dir)
+    folds = brands.groupBy("sku").agg(service.fold_count(F.count("*"), A).alias("n_folds"))
+    return products.chosen(folds, sku_model_backtest(spark, sf_dir), Q.sku_backtest(spark, sf_dir))
 
 
-_METHODS = f"""{_TESTED}, base_tests AS ({O.ORACLES['sku_backtest']}), pair AS (SELECT sku, m.model, b.baseline FROM (SELECT DISTINCT sku FROM brands) LEFT JOIN (SELECT sku, avg(pinball) AS model FROM tested GROUP BY 1) m USING (sku) LEFT JOIN (SELECT sku, avg(pinball) AS baseline FROM base_tests GROUP BY 1) b USING (sku)),
+def _three(total: str, n: str) -> str:
+    t = f"((2 * {total} + 1000 * {n}) // (2000 * {n}))"
+    return f"({t} // 1000) || '.' || lpad(CAST({t} % 1000 AS VARCHAR), 3, '0')"
+
+
+def _test_sums(table: str, x: str) -> str:
+    whole = "CAST(floor({} * 1000000 + 0.5) AS BIGINT)"
+    return f"(SELECT sku, sum({whole.format('pinball')}) AS {x}_p, count(pinball) AS {x}_n, sum({whole.format('mase')}) AS {x}_m, count(mase) AS {x}_k FROM {table} GROUP BY 1)"
+
+
+_OVER = "' over ' || least(m_n, b_n) || ' fold(s)' || CASE WHEN least(m_n, b_n) < n_folds THEN ' of ' || n_folds || ', the others too early for a model' ELSE '' END || '.'"
+_DAILY_ERROR = f"' Daily error, scaled: model ' || CASE WHEN m_k > 0 THEN {_three('m_m', 'm_k')} ELSE 'unknown' END || ', repeated week ' || CASE WHEN b_k > 0 THEN {_three('b_m', 'b_k')} ELSE 'unknown' END || '.'"
+_METHODS = f"""{_TESTED}, base_tests AS ({O.ORACLES['sku_backtest']}),
+  pair AS (SELECT sku, n AS n_folds, m.* EXCLUDE (sku), b.* EXCLUDE (sku), CASE WHEN m_n > 0 THEN m_p / (m_n * 1e6::DOUBLE) END AS model, CASE WHEN b_n > 0 THEN b_p / (b_n * 1e6::DOUBLE) END AS baseline
+    FROM numbers LEFT JOIN {_test_sums('tested', 'm')} m USING (sku) LEFT JOIN {_test_sums('base_tests', 'b')} b USING (sku)),
   tried AS (SELECT *, abs(model - baseline) / greatest(abs(model), abs(baseline), 1e-9) < 0.05 AS close FROM pair),
-  methods AS (SELECT sku, model, baseline, CASE WHEN model IS NULL OR close OR baseline < model THEN 'baseline' ELSE 'model' END AS method, CASE WHEN model IS NULL THEN 'the model could not be fitted' WHEN close THEN 'too close to call' WHEN baseline < model THEN 'the baseline was better' ELSE 'the model was better' END AS reason FROM tried)"""
+  methods AS (SELECT sku, model, baseline, CASE WHEN model IS NULL OR close OR baseline < model THEN 'baseline' ELSE 'model' END AS method,
+    CASE WHEN model IS NULL THEN 'No fold had enough history for a model, so the repeated week is used.'
+      WHEN close THEN 'Too close to call, so the simpler repeated week is used: order loss ' || {_three('m_p', 'm_n')} || ' by the model and ' || {_three('b_p', 'b_n')} || ' by the repeated week' || {_OVER} || {_DAILY_ERROR}
+      WHEN baseline < model THEN 'The repeated week orders better: loss ' || {_three('b_p', 'b_n')} || ' against ' || {_three('m_p', 'm_n')} || ' by the model' || {_OVER} || {_DAILY_ERROR}
+      ELSE 'The model orders better: loss ' || {_three('m_p', 'm_n')} || ' against ' || {_three('b_p', 'b_n')} || ' by the repeated week' || {_OVER} || {_DAILY_ERROR}
+        || CASE WHEN m_k > 0 AND b_k > 0 AND b_m * m_k < m_m * b_k THEN ' Day by day the repeated week was closer; the loss of the order decides.' ELSE '' END END
+    || coalesce(' ' || CASE WHEN model IS NULL THEN {O.CAVEAT.format('coalesce(b_n, 0)')} ELSE {O.CAVEAT.format('least(m_n, b_n)')} END, '') AS reason FROM tried)"""
 
 
 @query(f"WITH {O.UPLOAD}, {_METHODS} SELECT sku, round(model, 4) AS model, round(baseline, 4) AS baseline, method, reason FROM methods")
@@ -341,16 +364,27 @@ def sku_daily_quantiles(spark, sf_dir):
     return daily.select("sku", "date", F.transform("quantiles", lambda x: F.round(x, 6)).alias("quantiles"))
 
 
-_ORDERS = O.ORACLES["service_orders"].removeprefix(f"WITH {O.TOTALS}, ").replace("FROM totals", "FROM picked")
+_ORDERS = O.ORACLES["service_orders"].removeprefix(f"WITH {O.TOTALS}, ").replace("FROM totals", "FROM picked").replace(" AS order_qty FROM o)", " AS order_before FROM o), moved AS (SELECT w.*, factor, state, order_before * factor AS order_qty FROM w JOIN planned USING (sku))").replace(
+    "AS expected_cost FROM w", "AS expected_cost, round(order_before, 6) AS order_before, round(factor, 6) AS factor, state FROM moved")
+_PLANNED = O.OCCURRENCES.format(series="brands").removeprefix(f"{O.UPLOAD}, ") + f""",
+  plan_last AS (SELECT sku, max(date) AS last FROM brands GROUP BY 1), plan_days AS (SELECT sku, last, last + h AS date FROM plan_last, (SELECT CAST(unnest(range(1, {A + 1})) AS INT) AS h)),
+  plan_owned AS (SELECT a.sku, a.date, multiplier FROM plan_days a JOIN effects e USING (sku) JOIN feasts f ON f.key = e.key AND a.date >= window_start AND a.date < day QUALIFY row_number() OVER (PARTITION BY a.sku, a.date ORDER BY abs(a.date - day), prior_only, f.key) = 1),
+  planned AS (SELECT sku, avg(coalesce(multiplier, 1)) AS factor, CASE WHEN count(multiplier) > 0 THEN 'adjusted' WHEN EXISTS (SELECT 1 FROM feasts WHERE window_start <= last + {A + 14} AND window_end > last) THEN 'advisory' ELSE 'none' END AS state
+    FROM plan_days LEFT JOIN plan_owned USING (sku, date) GROUP BY sku, last)"""
 
 
-@query(f"""WITH {O.TOTALS}, {_METHODS}, ends_ AS (SELECT sku, 0 AS fold, max(date) AS origin_date FROM recorded GROUP BY 1), {_learned("ends_", O._LEVELS, "f_")},
-  picked AS (SELECT sku, CASE WHEN method = 'model' THEN coalesce(f_totals.q, totals.q) ELSE totals.q END AS q FROM totals JOIN methods USING (sku) LEFT JOIN f_totals USING (sku)), ordered AS (WITH {_ORDERS})
-  SELECT sku, method, reason, price, order_qty, expected_cost FROM ordered JOIN methods USING (sku)""")
+@query(f"""WITH {O.TOTALS}, {_PLANNED}, {_METHODS}, ends_ AS (SELECT sku, 0 AS fold, max(date) AS origin_date FROM recorded GROUP BY 1), {_learned("ends_", O._LEVELS, "f_")},
+  served AS (SELECT sku, reason, CASE WHEN method = 'model' AND f_totals.q IS NOT NULL THEN 'model' ELSE 'baseline' END AS method, f_totals.q AS fq FROM methods LEFT JOIN f_totals USING (sku)),
+  picked AS (SELECT sku, CASE WHEN method = 'model' THEN fq ELSE q END AS q FROM totals JOIN served USING (sku)), ordered AS (WITH {_ORDERS})
+  SELECT sku, method, reason, price, order_before, factor, state, order_qty, expected_cost FROM ordered JOIN served USING (sku)""")
 def forecast_sku(spark, sf_dir):
-    """Each product from its uploaded history to an order: model and baseline tested on its folds, the better one fitted on all of it."""
-    prices = Q.resolve_price(spark, sf_dir)
-    out = products.forecast(Q._brands(spark, sf_dir), _methods(spark, sf_dir), prices, Q.COSTS, A, S.LEVELS)
+    """Each product from its uploaded history to an order: model and baseline tested on its folds, the better one fitted on all of it, and
+    the order moved by what festivals ahead did to its sales before."""
+    brands, prices = Q._brands(spark, sf_dir), Q.resolve_price(spark, sf_dir)
+    _, feasts = Q._festivals(spark, sf_dir)
+    effects = service.uplift(service.occurrences(brands, feasts)).select("sku", "key", "multiplier")
+    plans = service.plan(brands.groupBy("sku").agg(F.max("date").alias("last")), feasts, effects, A)
+    out = products.forecast(brands, _methods(spark, sf_dir), prices, Q.COSTS, A, S.LEVELS, plans)
     return Q.rounded(out.withColumn("expected_cost", F.round("expected_cost", 2)))
 
 

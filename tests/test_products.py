@@ -39,6 +39,27 @@ def test_products_without_days_or_folds(spark):
     """A product without recorded days has no forecast; one too short for folds keeps the baseline."""
     empty = spark.createDataFrame([("a", date(2000, 1, 1), None)], "sku string, date date, units_sold double")
     assert products.learning_rows(empty, 14).collect() == [] and products.backtest(empty, 14, 0.4).collect() == []
-    loss = spark.createDataFrame([], "sku string, fold int, pinball double")
-    row = products.chosen(empty.select("sku"), loss, loss).collect()[0]
-    assert (row.method, row.reason) == ("baseline", "the model could not be fitted")
+    loss = spark.createDataFrame([], "sku string, fold int, mase double, pinball double")
+    row = products.chosen(empty.selectExpr("sku", "0 as n_folds"), loss, loss).collect()[0]
+    assert (row.method, row.reason) == ("baseline", "No fold had enough history for a model, so the repeated week is used. Nothing could be measured on its own history.")
+
+
+def test_reasons_have_figures_and_folds(spark):
+    folds = spark.createDataFrame([(s, 4) for s in "abcd"], "sku string, n_folds int")
+    tests = lambda rows: spark.createDataFrame(rows, "sku string, fold int, mase double, pinball double")
+    model = tests([("a", 2, 0.5, 1.0), ("a", 3, 0.7, 1.0005), ("b", 3, 2.0, 2.0), ("c", 1, 1.0, 1.01), ("c", 2, 1.0, 1.01), ("c", 3, 1.0, 1.01)])
+    base = tests([*(("a", k, 0.4, 3.0) for k in range(4)), *(("b", k, None, 1.0) for k in range(4)), *(("c", k, 1.0, 1.0) for k in range(4)), ("d", 0, 1.0, 1.0)])
+    got = {r.sku: (r.method, r.reason) for r in products.chosen(folds, model, base).collect()}
+    assert got["a"] == ("model", "The model orders better: loss 1.000 against 3.000 by the repeated week over 2 fold(s) of 4, the others too early for a model. Daily error, scaled: model 0.600, repeated week 0.400. Day by day the repeated week was closer; the loss of the order decides. Two folds alone were measured, so the figures are rough.")
+    assert got["b"] == ("baseline", "The repeated week orders better: loss 1.000 against 2.000 by the model over 1 fold(s) of 4, the others too early for a model. Daily error, scaled: model 2.000, repeated week unknown. One fold alone was measured, which may be luck.")
+    assert got["c"][0] == "baseline" and got["c"][1].startswith("Too close to call, so the simpler repeated week is used: order loss 1.010 by the model and 1.000 by the repeated week over 3 fold(s) of 4")
+    assert got["d"] == ("baseline", "No fold had enough history for a model, so the repeated week is used. One fold alone was measured, which may be luck.")
+
+
+def test_no_model_without_enough_days(spark):
+    start = date(2000, 1, 3)
+    for n, horizon, fitted in ((59, 14, 0), (60, 14, 14), (60, 37, 0), (61, 37, 37)):  # 60 days, and 24 windows that have ended
+        days = [("a", start + timedelta(i), float(i % 5)) for i in range(n)]
+        table = products.learning_rows(spark.createDataFrame(days, "sku string, date date, units_sold double"), horizon)
+        origins = spark.createDataFrame([("a", 0, days[-1][1])], "sku string, fold int, origin_date date")
+        assert products.learned(table, origins, horizon, (0.5,))[0].count() == fitted
