@@ -10,7 +10,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 PATH = ["state_id", "store_id", "dept_id", "item_id"]
 LEVELS = ["state", "store", "dept", "item"]
@@ -61,32 +60,30 @@ def reconcile(base: DataFrame, method: str = "wls_struct", keys: Sequence[str] =
     """Coherent forecasts nearest to ``base`` (node, level, keys, yhat): ``wls_struct`` weighs a node by its leaves, ``ols`` equally.
 
     Up: a leaf has z = its forecast and s = its variance; a node has the sums of its children's z and s, and combines its own forecast and
-    the sum by precision. Down: the root takes z, and a child's share of its parent's correction is its s over the sum of s. A node's
-    descendants share its path, so both ways are sums over windows of one partitioning: the rows move once, whatever the depth.
+    the sum by precision. Down: the root takes z, and a child's share of its parent's correction is its s over the sum of s. Each step
+    up is a sum by parent, partial before it is shuffled, and each step down a join on the parent, so no task holds more than it would
+    of any other sum or join, however many nodes a day or a state has. ``base`` is read at each level, and should be a stored table.
     """
     if method not in ("wls_struct", "ols"):
         raise ValueError(f"unknown method {method}")
-    path = F.split("node", "/")
-    rows = base.select("node", "level", *keys, F.col("yhat").cast("double").alias("yhat"), *(F.try_element_at(path, F.lit(i)).alias(f"p{i}") for i in (1, 2, 3)))
-    rows = rows.repartition(*keys, "p1")
-    depths = (3, 2, 1)  # department, store, state
-    own = {d: Window.partitionBy(*keys, *(f"p{i}" for i in range(1, d + 1))) for d in depths}
-    is_level = lambda d: F.col("level") == LEVELS[d - 1]
-    leaf = is_level(4)
-    first: dict[str, Column] = {}
-    for d in depths:
-        first |= {f"y{d}": F.max(F.when(is_level(d), F.col("yhat"))).over(own[d]), f"n{d}": F.count_if(leaf).over(own[d]).cast("double")}
-    rows = rows.withColumns(first).withColumns({"z4": F.when(leaf, F.col("yhat")), "s4": F.when(leaf, F.lit(1.0))})
-    for d in depths:
-        rows = rows.withColumns({f"zs{d}": F.sum(F.when(is_level(d + 1), F.col(f"z{d + 1}"))).over(own[d]), f"ss{d}": F.sum(F.when(is_level(d + 1), F.col(f"s{d + 1}"))).over(own[d])})
-        w = F.col(f"n{d}") if method == "wls_struct" else F.lit(1.0)
-        rows = rows.withColumn(f"s{d}", F.try_divide(F.lit(1.0), F.try_divide(F.lit(1.0), w) + F.try_divide(F.lit(1.0), F.col(f"ss{d}"))))
-        rows = rows.withColumn(f"z{d}", F.col(f"s{d}") * (F.try_divide(F.col(f"y{d}"), w) + F.try_divide(F.col(f"zs{d}"), F.col(f"ss{d}"))))
-    rows = rows.withColumn("r1", F.col("z1"))
-    for d in (2, 3, 4):
-        rows = rows.withColumn(f"r{d}", F.col(f"z{d}") + F.try_divide(F.col(f"s{d}"), F.col(f"ss{d - 1}")) * (F.col(f"r{d - 1}") - F.col(f"zs{d - 1}")))
-    found = F.when(is_level(1), F.col("r1")).when(is_level(2), F.col("r2")).when(is_level(3), F.col("r3")).otherwise(F.col("r4"))
-    return rows.select("node", "level", *keys, "yhat", found.alias("reconciled"), F.greatest(F.lit(0.0), found).alias("clipped"))
+    keys, top = list(keys), len(LEVELS)
+    rows = base.select("node", "level", *keys, F.col("yhat").cast("double").alias("yhat"))
+    own = {d: rows.where(F.col("level") == level) for d, level in enumerate(LEVELS, 1)}
+    up = {top: own[top].withColumns({"z": F.col("yhat"), "s": F.lit(1.0), "n": F.lit(1.0), "zs": F.lit(None).cast("double"), "ss": F.lit(None).cast("double")})}
+    for d in range(top - 1, 0, -1):
+        kids = up[d + 1].groupBy(*keys, parent_of(F.col("node")).alias("node")).agg(F.sum("z").alias("zs"), F.sum("s").alias("ss"), F.sum("n").alias("n"))
+        at = own[d].join(kids, [*keys, "node"], "left")
+        w = F.col("n") if method == "wls_struct" else F.lit(1.0)
+        at = at.withColumn("s", F.try_divide(F.lit(1.0), F.try_divide(F.lit(1.0), w) + F.try_divide(F.lit(1.0), F.col("ss"))))
+        up[d] = at.withColumn("z", F.col("s") * (F.try_divide(F.col("yhat"), w) + F.try_divide(F.col("zs"), F.col("ss")))).select(*up[top].columns)
+    down = up[1].withColumn("r", F.col("z"))
+    found = down
+    for d in range(2, top + 1):
+        parents = down.select(*keys, F.col("node").alias("parent"), F.col("r").alias("above"), F.col("zs").alias("zs_above"), F.col("ss").alias("ss_above"))
+        at = up[d].withColumn("parent", parent_of(F.col("node"))).join(parents, [*keys, "parent"], "left")
+        down = at.withColumn("r", F.col("z") + F.try_divide(F.col("s"), F.col("ss_above")) * (F.col("above") - F.col("zs_above"))).select(*up[top].columns, "r")
+        found = found.unionByName(down)
+    return found.select("node", "level", *keys, "yhat", F.col("r").alias("reconciled"), F.greatest(F.lit(0.0), "r").alias("clipped"))
 
 
 def gaps(sums: DataFrame, value: str, tolerance: float = 1e-6, at: Sequence[str] = ("date",)) -> DataFrame:

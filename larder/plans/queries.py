@@ -298,14 +298,20 @@ def hierarchy_weights(spark, sf_dir):
     return rounded(tree.weights(fact(spark, sf_dir)))
 
 
-def _base(spark, sf_dir):
+def _mixed(spark, sf_dir):
     """Forecasts at all levels that don't add up: smoothed demand of each series, last week's sums above."""
     panel, cut, _ = _naive(spark, sf_dir)
     upper = fc.seasonal_naive(rolled(spark, sf_dir).where("level <> 'item'"), cut, ["node", "level"])
-    paths = panel.select(F.concat_ws("/", *tree.PATH).alias("node"), "item_id", "store_id").distinct()
-    lower = fc.tsb(panel, cut).join(paths, ["item_id", "store_id"]).withColumn("level", F.lit("item"))
+    lower = fc.tsb(panel, cut)
+    lower = lower.join(panel.select(*tree.PATH).distinct().select(F.concat_ws("/", *tree.PATH).alias("node"), "item_id", "store_id"), ["item_id", "store_id"]).withColumn("level", F.lit("item"))
     columns = ["node", "level", F.lit("mixed").alias("model_name"), "fold", "target_date", "yhat"]
-    return panel, cut, upper.select(*columns).unionByName(lower.select(*columns))
+    return upper.select(*columns).unionByName(lower.select(*columns))
+
+
+def _base(spark, sf_dir):
+    """The panel, its folds and the stored base forecasts."""
+    panel = fact(spark, sf_dir)
+    return panel, fc.folds(panel), _stored(spark, sf_dir, "base", lambda: _mixed(spark, sf_dir), ["node"], ["node", "fold", "target_date"])
 
 
 @query
