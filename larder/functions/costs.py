@@ -50,15 +50,18 @@ def grid_with(levels: Sequence[float], ratio: float) -> tuple[float, ...]:
     return tuple(sorted({*levels, round(float(ratio), 4)}))
 
 
-def interpolate(levels: Sequence[float], values: Sequence[Column], target: float) -> Column:
-    """Linear interpolation between the two levels round ``target``; outside the grid there is no answer, and that is an error."""
+def bracket(levels: Sequence[float], target: float) -> tuple[int, float]:
+    """The place of the level at or below ``target``, and how far it is towards the next; outside the grid there is none, an error."""
     if not levels[0] <= target <= levels[-1]:
         raise ValueError(f"{target} lies outside the grid {levels[0]} to {levels[-1]}")
     k = next(i for i, q in enumerate(levels) if q >= target)
-    if levels[k] == target:
-        return values[k]
-    w = (target - levels[k - 1]) / (levels[k] - levels[k - 1])
-    return values[k - 1] + F.lit(w) * (values[k] - values[k - 1])
+    return (k, 0.0) if levels[k] == target else (k - 1, (target - levels[k - 1]) / (levels[k] - levels[k - 1]))
+
+
+def interpolate(levels: Sequence[float], values: Sequence[Column], target: float) -> Column:
+    """Linear interpolation between the two levels round ``target``; outside the grid there is no answer, and that is an error."""
+    k, w = bracket(levels, target)
+    return values[k] + F.lit(w) * (values[k + 1] - values[k]) if w else values[k]
 
 
 def bin_masses(levels: Sequence[float]) -> list[float]:

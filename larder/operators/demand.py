@@ -134,18 +134,25 @@ def features(fact: DataFrame, horizon: int = S.HORIZON) -> DataFrame:
     """
     w = Window.partitionBy(*SERIES).orderBy("date")
     sold = F.when(F.col("units") > 0, F.col("date"))
+    # Spark adds to one running buffer from the start, while it sums a sliding frame anew for each row: so sums of frames are differences
+    # of running sums, which are whole numbers and exact
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    u = F.col("units").cast("long")
+    fact = fact.withColumns({"_n": F.row_number().over(w), "_s": F.sum(u).over(run), "_q": F.sum(u * u).over(run), "_z": F.count_if(u == 0).over(run)})
     columns: dict[str, Column] = {f"units_lag_{k}": F.lag("units", horizon + k).over(w) for k in S.LAGS}
+    frame_sum = lambda c, n: F.lag(c, horizon).over(w) - F.coalesce(F.lag(c, horizon + n).over(w), F.lit(0))
     for n in S.WINDOWS:
-        frame = w.rowsBetween(-(horizon + n - 1), -horizon)
-        columns |= {f"units_roll_mean_{n}": F.avg("units").over(frame), f"units_roll_std_{n}": F.stddev_samp("units").over(frame), f"units_roll_max_{n}": F.max("units").over(frame)}
-    columns["zero_share_90"] = F.avg(F.when(F.col("units") == 0, 1.0).otherwise(0.0)).over(w.rowsBetween(-(horizon + 89), -horizon))
-    # from the start: Spark adds to one running buffer here, while a long sliding frame is summed anew for each row
+        many = F.least(F.lit(n), F.col("_n") - horizon)
+        s, q = frame_sum("_s", n), frame_sum("_q", n)
+        columns |= {f"units_roll_mean_{n}": F.when(many > 0, s / many), f"units_roll_std_{n}": F.when(many > 1, F.sqrt((many * q - s * s) / (many * (many - 1))))}
+        columns[f"units_roll_max_{n}"] = F.max("units").over(w.rowsBetween(-(horizon + n - 1), -horizon))
+    columns["zero_share_90"] = F.when(F.col("_n") > horizon, frame_sum("_z", 90) / F.least(F.lit(90), F.col("_n") - horizon))
     columns["days_since_last_sale"] = F.datediff("date", F.max(sold).over(w.rowsBetween(Window.unboundedPreceding, -horizon))) - horizon
     columns["price_rel_28"] = F.try_divide("price", F.avg("price").over(w.rowsBetween(-27, 0)))
     columns["price_changed"] = ~F.col("price").eqNullSafe(F.lag("price", 1).over(w))
     columns["is_listed"] = F.col("price").isNotNull()
     columns["first_listed_date"] = F.min(F.when(F.col("price").isNotNull(), F.col("date"))).over(Window.partitionBy(*SERIES))
-    out = fact.withColumns(columns).where("date >= first_listed_date").drop("first_listed_date", "snap", "event")
+    out = fact.withColumns(columns).where("date >= first_listed_date").drop("first_listed_date", "snap", "event", "_n", "_s", "_q", "_z")
     days = event_distances(calendar(densify(fact, ["state_id"]).select("date")))
     return out.join(F.broadcast(days), "date").withColumn("horizon", F.lit(horizon))  # one row a day
 

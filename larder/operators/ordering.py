@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder import schema as S
-from larder.functions.costs import FALLBACK_PRICE, CostModel, expected_cost, interpolate
+from larder.functions.costs import FALLBACK_PRICE, CostModel, bracket, expected_cost, interpolate
 from larder.operators.forecasting import SERIES, wide_quantiles
 
 
@@ -112,8 +112,13 @@ def attribution(panel: DataFrame, fact: DataFrame, costs: CostModel) -> DataFram
 
 def sweep(panel: DataFrame, ratios: Sequence[float] = tuple(round(0.1 + i / 100, 2) for i in range(90))) -> DataFrame:
     """Units short and left and stockout share at each service level: the panel is expanded inside the task and summed before it moves."""
-    cells = [F.struct(F.lit(r).alias("critical_ratio"), interpolate(S.LEVELS, level_columns(), r).alias("q")) for r in ratios]
-    rows = panel.select("demand", F.explode(F.array(*cells)).alias("x")).select("demand", "x.*")
+    # each ratio between two levels: the lower one's place, and how far it is towards the next
+    cells = []
+    for r in ratios:
+        i, w = bracket(S.LEVELS, r)
+        cells.append(f"named_struct('r', {r!r}D, 'i', {i}, 'w', {w!r}D)")
+    grid = F.expr(f"transform(array({', '.join(cells)}), x -> named_struct('critical_ratio', x.r, 'q', v[x.i] + x.w * (v[least(x.i + 1, {len(S.LEVELS) - 1})] - v[x.i])))")
+    rows = panel.select("demand", F.array(*level_columns()).alias("v")).select("demand", F.explode(grid).alias("x")).select("demand", "x.*")
     short, left = F.greatest(F.col("demand") - F.col("q"), F.lit(0.0)), F.greatest(F.col("q") - F.col("demand"), F.lit(0.0))
     return rows.groupBy("critical_ratio").agg(F.sum(short).alias("units_short"), F.sum(left).alias("units_left"), F.avg((short > 0).cast("double")).alias("stockout_rate"))
 
