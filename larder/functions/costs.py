@@ -50,6 +50,11 @@ def grid_with(levels: Sequence[float], ratio: float) -> tuple[float, ...]:
     return tuple(sorted({*levels, round(float(ratio), 4)}))
 
 
+def nearest(levels: Sequence[float], target: float) -> int:
+    """The place of the level nearest to ``target``; of two, the first."""
+    return min(range(len(levels)), key=lambda i: (abs(levels[i] - target), i))
+
+
 def bracket(levels: Sequence[float], target: float) -> tuple[int, float]:
     """The place of the level at or below ``target``, and how far it is towards the next; outside the grid there is none, an error."""
     if not levels[0] <= target <= levels[-1]:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larder.functions.almanac import moving_days
 from larder.functions.costs import FALLBACK_PRICE, CostModel, expected_cost, interpolate
 
 # Names that uploads use for a column, and the thresholds of the gate.
@@ -182,35 +183,33 @@ def choose_method(scores: DataFrame) -> DataFrame:
 FESTIVALS = {"christmas": ("Christmas", 12, 25, 10, 1, False), "independence_day": ("Independence Day", 8, 15, 3, 0, True), "republic_day": ("Republic Day", 1, 26, 2, 0, True)}
 
 
-# Festivals of moving date: name, run-up days, days after, and the days as public calendars of India give them.
-MOVING = {
-    "diwali": ("Diwali", 14, 2, ("1995-10-23", "1996-11-10", "1997-10-30", "1998-10-19", "1999-11-07", "2000-10-26", "2001-11-14")),
-    "holi": ("Holi", 7, 1, ("1995-03-17", "1996-03-05", "1997-03-24", "1998-03-13", "1999-03-02", "2000-03-20", "2001-03-10")),
-    "maha_shivaratri": ("Maha Shivratri", 5, 1, ("1995-02-27", "1996-02-17", "1997-03-07", "1998-02-25", "1999-02-14", "2000-03-04", "2001-02-21")),
-    "raksha_bandhan": ("Raksha Bandhan", 5, 1, ("1995-08-10", "1996-08-28", "1997-08-18", "1998-08-08", "1999-08-26", "2000-08-15", "2001-08-04")),
-    "eid_al_fitr": ("Eid al-Fitr", 7, 1, ("1995-03-03", "1996-02-21", "1997-02-09", "1998-01-30", "1999-01-19", "2000-01-08", "2000-12-28", "2001-12-17")),
-}
-# The festivals of the other region: name, run-up days, days after, and days.
-US_FESTIVALS = {
-    "thanksgiving": ("Thanksgiving", 7, 1, ("2011-11-24", "2012-11-22", "2013-11-28", "2014-11-27", "2015-11-26", "2016-11-24")),
-    "christmas": ("Christmas", 10, 1, ("2011-12-25", "2012-12-25", "2013-12-25", "2014-12-25", "2015-12-25", "2016-12-25")),
-    "super_bowl": ("Super Bowl", 3, 0, ("2011-02-06", "2012-02-05", "2013-02-03", "2014-02-02", "2015-02-01", "2016-02-07")),
-}
+# Festivals of moving date: name, run-up days, days after. Their days follow from moon and sun.
+MOVING = {"diwali": ("Diwali", 14, 2), "holi": ("Holi", 7, 1), "maha_shivaratri": ("Maha Shivratri", 5, 1), "raksha_bandhan": ("Raksha Bandhan", 5, 1), "eid_al_fitr": ("Eid al-Fitr", 7, 1)}
+# Festivals of the other region: name, run-up days, days after.
+US_FESTIVALS = {"thanksgiving": ("Thanksgiving", 7, 1), "christmas": ("Christmas", 10, 1), "super_bowl": ("Super Bowl", 3, 0)}
 
 
-def dated(spark: SparkSession, table: dict[str, tuple[str, int, int, tuple[str, ...]]]) -> DataFrame:
-    """Festivals of a table of days: key, name, day, window_start, window_end, prior_only."""
-    rows = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(n).alias("name"), F.lit(d).cast("date").alias("day"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (n, a, b, days) in table.items() for d in days])
-    x = spark.range(1).select(F.explode(rows).alias("x")).select("x.*")
-    return x.select("key", "name", "day", F.date_sub("day", F.col("a")).alias("window_start"), F.date_add("day", F.col("b")).alias("window_end"), F.lit(False).alias("prior_only"))
+def _windows(days: DataFrame, table: dict[str, tuple[str, int, int]]) -> DataFrame:
+    """Festivals (key, day) with name, window_start, window_end, prior_only."""
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("name"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (n, a, b) in table.items()])
+    x = days.withColumn("x", F.filter(rows, lambda r: r["k"] == F.col("key"))[0])
+    return x.select("key", "x.name", "day", F.date_sub("day", F.col("x.a")).alias("window_start"), F.date_add("day", F.col("x.b")).alias("window_end"), F.lit(False).alias("prior_only"))
+
+
+def us_festivals(years: DataFrame) -> DataFrame:
+    """Festivals of the United States in each year: the fourth Thursday of November, the first Sunday of February, 25 December."""
+    at = lambda m, d: F.make_date("year", F.lit(m), F.lit(d))
+    rules = {"thanksgiving": F.date_add(F.next_day(at(10, 31), "Thu"), 21), "super_bowl": F.next_day(at(1, 31), "Sun"), "christmas": at(12, 25)}
+    x = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), day.alias("day")) for k, day in rules.items()]))
+    return _windows(years.select(x.alias("x")).select("x.*"), US_FESTIVALS)
 
 
 def festivals(years: DataFrame) -> DataFrame:
-    """key, name, day, window_start, window_end, prior_only for each year of ``years``; of moving date those that the table has."""
+    """key, name, day, window_start, window_end, prior_only for each year of ``years``; moving dates come from the almanac, for any year."""
     rows = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(n).alias("name"), F.lit(m).alias("m"), F.lit(d).alias("d"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(p).alias("prior_only")) for k, (n, m, d, a, b, p) in FESTIVALS.items()])
     x = years.select("year", F.explode(rows).alias("x")).select("year", "x.*").withColumn("day", F.make_date("year", "m", "d"))
     fixed = x.select("key", "name", "day", F.date_sub("day", F.col("a")).alias("window_start"), F.date_add("day", F.col("b")).alias("window_end"), "prior_only")
-    return fixed.unionByName(dated(years.sparkSession, MOVING).join(years.select(F.col("year").alias("y")), F.year("day") == F.col("y"), "left_semi"))
+    return fixed.unionByName(_windows(moving_days(years), MOVING))
 
 
 def active(days: DataFrame, festivals: DataFrame) -> DataFrame:

@@ -272,7 +272,13 @@ def _origin() -> str:
 
 
 _FEASTS = ", ".join(f"('{k}', '{n}', {m}, {d}, {a}, {b}, {str(p).lower()})" for k, (n, m, d, a, b, p) in _service.FESTIVALS.items())
-_MOVING = ", ".join(f"('{k}', '{n}', DATE '{d}', {a}, {b})" for k, (n, a, b, days) in _service.MOVING.items() for d in days)
+# Days of moving festivals in the years of the data, as public holiday lists of India give them; the almanac must agree.
+KNOWN_DAYS = {
+    "diwali": ("1995-10-23", "1996-11-10", "1997-10-30", "1998-10-19", "1999-11-07", "2000-10-26", "2001-11-14"), "holi": ("1995-03-17", "1996-03-05", "1997-03-24", "1998-03-13", "1999-03-02", "2000-03-20", "2001-03-10"),
+    "maha_shivaratri": ("1995-02-27", "1996-02-17", "1997-03-07", "1998-02-25", "1999-02-14", "2000-03-04", "2001-02-21"), "raksha_bandhan": ("1995-08-10", "1996-08-28", "1997-08-18", "1998-08-08", "1999-08-26", "2000-08-15", "2001-08-04"),
+    "eid_al_fitr": ("1995-03-03", "1996-02-21", "1997-02-09", "1998-01-30", "1999-01-19", "2000-01-08", "2000-12-28", "2001-12-17"),
+}
+_MOVING = ", ".join(f"('{k}', '{_service.MOVING[k][0]}', DATE '{d}', {_service.MOVING[k][1]}, {_service.MOVING[k][2]})" for k, days in KNOWN_DAYS.items() for d in days)
 FEASTS = f"""feast_days AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM daily),
 feasts AS (SELECT key, name, make_date(year, m, d) AS day, make_date(year, m, d) - a AS window_start, make_date(year, m, d) + b AS window_end, prior_only
   FROM (SELECT DISTINCT year(date) AS year FROM feast_days), (VALUES {_FEASTS}) AS t(key, name, m, d, a, b, prior_only)

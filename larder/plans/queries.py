@@ -69,7 +69,9 @@ def panel_summary(spark, sf_dir):
 
 
 def _days(spark, sf_dir):
-    return demand.densify(daily(spark, sf_dir).withColumn("all", F.lit(1)), ["all"]).select("date")
+    """Every day of the data, a row each."""
+    days = lambda: demand.densify(daily(spark, sf_dir).withColumn("all", F.lit(1)), ["all"]).select("date")
+    return stored(spark, "days", [f"{sf_dir}/{t}.parquet" for t in SOURCES], days)
 
 
 @query
@@ -635,16 +637,17 @@ def model_backtest(spark, sf_dir):
     return rounded(fc.pinball(_joined([base, *learned]), panel))
 
 
+def sku_fit(key, rows):
+    """The smoothed total ahead of one product, and the deviation of its errors."""
+    seen = rows.sort_values("date")["units_sold"].dropna().to_numpy(float)
+    if len(seen) < 60:
+        raise ValueError(f"60 recorded days needed, {len(seen)} found")
+    path, sigma, _ = models.smooth(seen, [len(seen)], AHEAD)[0]
+    return pd.DataFrame([{"total": max(0.0, float(path.sum())), "sigma": float(sigma[0])}])
+
+
 @query
 def sku_jobs(spark, sf_dir):
     """A fit of each product on its own; one that fails leaves a row that says why, and the others go on."""
-
-    def fit(key, rows):
-        seen = rows.sort_values("date")["units_sold"].dropna().to_numpy(float)
-        if len(seen) < 60:
-            raise ValueError(f"60 recorded days needed, {len(seen)} found")
-        path, sigma, _ = models.smooth(seen, [len(seen)], AHEAD)[0]
-        return pd.DataFrame([{"total": max(0.0, float(path.sum())), "sigma": float(sigma[0])}])
-
     days = service.daily(service.usable(service.parse_upload(_upload(spark, sf_dir))))
-    return rounded(days.groupBy("sku").applyInPandas(models.isolated(fit, ["total", "sigma"]), "sku string, status string, error string, total double, sigma double"))
+    return rounded(days.groupBy("sku").applyInPandas(models.isolated(sku_fit, ["total", "sigma"]), "sku string, status string, error string, total double, sigma double"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder import schema as S
-from larder.functions.costs import grid_with
+from larder.functions.costs import grid_with, nearest
 from larder.operators import demand, ordering, products, results, service
 from larder.operators import forecasting as fc
 from larder.operators import hierarchy as tree
 from larder.plans import oracles as O
 from larder.plans import queries as Q
 from larder.sources import files
+from larder.sources.jobs import Jobs
+from larder.sources.manifest import Published
 from larder.sources.rules import default_rules
 from larder.sources.shared import fresh
 
@@ -144,13 +146,18 @@ def tree_check(spark, sf_dir):
 _GRID = sorted({*S.LEVELS, round(Q.COSTS.critical_ratio(), 4)})
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::INT, {q}::DOUBLE, {q == round(Q.COSTS.critical_ratio(), 4)})" for i, q in enumerate(_GRID)) + ") AS t(place, level, is_ratio)")
+@query(f"""WITH {O.UPLOAD}, g AS (SELECT * FROM (VALUES {", ".join(f"({i}::INT, {q}::DOUBLE)" for i, q in enumerate(_GRID))}) AS t(place, level)), near AS (SELECT place FROM g ORDER BY abs(level - {round(Q.COSTS.critical_ratio(), 4)!r}::DOUBLE), place LIMIT 1),
+  w AS (SELECT sku, CASE WHEN count(*) OVER f = {A} THEN sum(units_sold) OVER f END AS total FROM brands WHERE units_sold IS NOT NULL WINDOW f AS (PARTITION BY sku ORDER BY date ROWS BETWEEN CURRENT ROW AND {A - 1} FOLLOWING)),
+  t AS (SELECT sku, quantile_cont(total, [{", ".join(f"{q}::DOUBLE" for q in _GRID)}]) AS q FROM w GROUP BY 1)
+  SELECT sku, place, level, place = (SELECT place FROM near) AS is_ratio, round(greatest(q[place + 1], 0), 6) AS value FROM t, g WHERE q IS NOT NULL""")
 def quantile_grid(spark, sf_dir):
-    """The levels that a model is fitted at, with the critical ratio among them, and which of them it is."""
-    levels = grid_with(S.LEVELS, Q.COSTS.critical_ratio())
-    rows = spark.range(1).select(F.posexplode(F.array(*[F.lit(q) for q in levels])).alias("place", "level"))
-    gap = F.abs(F.col("level") - F.lit(round(Q.COSTS.critical_ratio(), 4)))
-    return rows.crossJoin(F.broadcast(rows.agg(F.min(gap).alias("least")))).select("place", "level", (gap == F.col("least")).alias("is_ratio"))  # one row
+    """Each product's total at every level that a model is fitted at, the critical ratio among them, and which of them is nearest to it."""
+    levels, ratio = grid_with(S.LEVELS, Q.COSTS.critical_ratio()), round(Q.COSTS.critical_ratio(), 4)
+    brands = Q._brands(spark, sf_dir)
+    long = brands.where("units_sold is not null").groupBy("sku").agg(F.count("*").alias("n")).where(F.col("n") >= A).select("sku")
+    rows = service.baseline_totals(brands, A, levels).join(long, "sku", "left_semi").select("sku", F.posexplode("quantiles").alias("place", "value"))
+    level = F.element_at(F.array(*[F.lit(q) for q in levels]), F.col("place") + 1)
+    return Q.rounded(rows.select("sku", "place", level.alias("level"), (F.col("place") == nearest(levels, ratio)).alias("is_ratio"), "value"), exact=("level",))
 
 
 @query(f"WITH {O.DAILY} SELECT date, CAST(isodow(date) - 1 AS INT) AS day_of_week, CAST(day(date) AS INT) AS day_of_month, CAST(month(date) AS INT) AS month, CAST(isodow(date) >= 6 AS INT) AS is_weekend FROM (SELECT DISTINCT date FROM daily)")
@@ -212,9 +219,12 @@ def festival_plan_by_rule(spark, sf_dir):
     return Q.rounded(service.plan(last, feasts, known.where("multiplier is not null").select("sku", "key", "multiplier"), A))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{n}', DATE '{d}', DATE '{d}' - {a}, DATE '{d}' + {b}, false)" for k, (n, a, b, days) in service.US_FESTIVALS.items() for d in days) + ") AS t(key, name, day, window_start, window_end, prior_only)")
+@query(f"""WITH {O.DAILY}, y AS (SELECT DISTINCT year(date) AS y FROM daily), d AS (SELECT 'christmas' AS key, 'Christmas' AS name, make_date(y, 12, 25) AS day, 10 AS a, 1 AS b FROM y
+  UNION ALL SELECT 'thanksgiving', 'Thanksgiving', make_date(y, 11, 1) + CAST((11 - isodow(make_date(y, 11, 1))) % 7 + 21 AS INT), 7, 1 FROM y UNION ALL SELECT 'super_bowl', 'Super Bowl', make_date(y, 2, 1) + CAST(7 - isodow(make_date(y, 2, 1)) AS INT), 3, 0 FROM y)
+  SELECT key, name, day, day - a AS window_start, day + b AS window_end, false AS prior_only FROM d""")
 def festivals_us(spark, sf_dir):
-    return service.dated(spark, service.US_FESTIVALS)
+    """Festivals of the other region in the years of the data."""
+    return service.us_festivals(Q._days(spark, sf_dir).select(F.year("date").alias("year")).distinct())
 
 
 def _records(spark, sf_dir):
@@ -388,6 +398,35 @@ def forecast_sku(spark, sf_dir):
     return Q.rounded(out.withColumn("expected_cost", F.round("expected_cost", 2)))
 
 
+@query(f"""WITH {O.UPLOAD}, n AS (SELECT sku, count(units_sold) AS n FROM dense GROUP BY 1)
+  SELECT 'tonight' AS job, sku, CASE WHEN n < 60 THEN 'failed' ELSE 'done' END AS status, CASE WHEN sku LIKE 'Brand#1%' THEN 4 ELSE 2 END::INT AS version, CASE WHEN n < 60 THEN 'ValueError: 60 recorded days needed, ' || n || ' found' END AS note FROM n""")
+def job_states(spark, sf_dir):
+    """A job over all products that is cut off once: an attempt takes some products and never ends, and the next one takes them up again."""
+    days = service.daily(service.usable(service.parse_upload(Q._upload(spark, sf_dir))))
+    jobs = Jobs(spark, fresh(spark, "jobs"))
+    jobs.submit("tonight", days.select("sku").where("sku like 'Brand#1%'"))
+    jobs.advance("tonight", "running", "first")
+    jobs.submit("tonight", days.select("sku"))
+    jobs.resume("tonight", ["first"])
+    jobs.run("tonight", days, Q.sku_fit, ["total", "sigma"], "sku string, status string, error string, total double, sigma double")
+    return jobs.latest().select("job", "sku", "status", "version", "note")
+
+
+@query(f"""WITH m AS ({O.ORACLES['money_table']}), o AS ({O.ORACLES['order_policy']}), w AS (SELECT * FROM m WHERE policy = 'newsvendor')
+  SELECT count(*) AS n_orders, round(sum(order_qty), 4) AS ordered, (SELECT n_rows FROM w) AS n_scored, (SELECT total_cost FROM w) AS total_cost, 1 AS refresh FROM o""")
+def published_set(spark, sf_dir):
+    """Orders and their score published together, and read while the next refresh has written its orders and not its score."""
+    out = Published(spark, fresh(spark, "published-set"))
+    done = out.commit(out.stage(policy=Q.order_policy(spark, sf_dir).withColumn("refresh", F.lit(1)), money=Q.money_table(spark, sf_dir)), 0)
+    tables = out.read()
+    out.stage(policy=tables["policy"].withColumn("order_qty", F.col("order_qty") * 2).withColumn("refresh", F.lit(2)))  # no reader sees it
+    now = out.read()
+    score = now["money"].where("policy = 'newsvendor'").select(F.col("n_rows").alias("n_scored"), "total_cost")
+    sums = now["policy"].groupBy("refresh").agg(F.count("*").alias("n_orders"), F.round(F.sum("order_qty"), 4).alias("ordered"))
+    assert done == 1
+    return sums.crossJoin(F.broadcast(score)).select("n_orders", "ordered", "n_scored", "total_cost", "refresh")  # one row each
+
+
 # Reports ----------------------------------------------------------------------------------------------------------------
 
 
