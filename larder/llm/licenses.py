@@ -8,7 +8,8 @@ The words of all templates are put in one global order, rarest in the corpus fir
 templates are joined on the words of their prefixes: of so many first words that two sets without a common one there can't share enough
 (prefix filter). Blocks with too few template words in all go (length filter), and pairs where too few words can stand before and behind
 a shared one (positional filter). What is left is decided on the full sets. Each filter is exact, so every block that meets the threshold
-is found. The templates are a fixed small side; rows of the corpus move only if a block of theirs passes the filters.
+is found. Of licenses whose notices differ in a word or two, a block counts for one only if it holds the words that tell it and none that
+tell another (``TELLING``); the words of a match may stand in any order. The templates are a fixed small side; rows of the corpus move only if a block of theirs passes the filters.
 
 Defined cases: a null or empty text has no words, no labels and score 0; equal rows give equal results; every row of the input gives one
 row, also without doc_id; other columns are ignored. In an empty table word counts are 0 and the order is alphabetical.
@@ -36,15 +37,24 @@ TEMPLATES = {
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     "gpl-line": "this work is licensed under the gnu general public license version 3",
+    "lgpl": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "agpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
     "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "hpnd": "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted provided that the above copyright notice appear in all copies",
     "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
     "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
     "cc0": "to the extent possible under law has waived all copyright and related or neighboring rights to this work",
     "cc-by-sa": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
     "cc-by-nc": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
     "cc-by-nc-line": "licensed under cc by nc 4 0",
+    "cc-by-nc-sa": "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
 }
+# Words that tell licenses of nearly equal words apart: those that a block must hold, and those that it must not.
+TELLING = {
+    "gpl": ((), ("lesser", "affero")), "gpl-line": ((), ("lesser", "affero")), "lgpl": (("lesser",), ()), "agpl": (("affero",), ()), "isc": ((), ("documentation",)), "hpnd": (("documentation",), ()),
+    "cc-by-sa": (("sharealike",), ("noncommercial", "noderivatives")), "cc-by-nc": (("noncommercial",), ("sharealike", "noderivatives")), "cc-by-nc-line": ((), ("sa", "nd")), "cc-by-nc-sa": (("noncommercial", "sharealike"), ("noderivatives",)),
+}
 THRESHOLD = 0.8
 #: A template of fewer distinct words must be held whole: one word may be all that tells it from another license.
 SHORT = 16
@@ -85,13 +95,14 @@ def width(template: str) -> int:
     return next((w for w in WIDTHS if w >= n), 2 * n)
 
 
-def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD, telling: Mapping[str, tuple[Sequence[str], Sequence[str]]] = TELLING) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     A template's name up to ``-line`` is its label. ``score`` is the largest containment found, 1 with a base phrase.
     """
     sets = {name: sorted(set(text.split())) for name, text in templates.items()}
-    order = word_order(docs, sorted({w for s in sets.values() for w in s}))
+    marks = {w for name in templates for words in telling.get(name, ((), ())) for w in words}
+    order = word_order(docs, sorted({*marks, *(w for s in sets.values() for w in s)}))
     rank = {w: i for i, w in enumerate(order)}
     sets = {name: sorted(s, key=rank.__getitem__) for name, s in sets.items()}
     prefixes = sorted({w for s in sets.values() for w in s[: len(s) - need(s, threshold) + 1]}, key=rank.__getitem__)
@@ -126,7 +137,7 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mappi
     blocks = F.when(F.col("words").isNotNull(), F.concat(*[windows(w) for w in widths])).otherwise(empty) if widths else empty
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", F.array_sort(F.flatten("places")).alias("at"), F.array_sort(F.array_distinct(base)).alias("base"), blocks.alias("blocks"))
     rows = Scratch(docs.sparkSession, "licenses").save(rows, "blocks")
-    found = _join(rows.where(F.size("blocks") > 0).select("row", F.posexplode("blocks").alias("nth", "block")), templates, sets, threshold)
+    found = _join(rows.where(F.size("blocks") > 0).select("row", F.posexplode("blocks").alias("nth", "block")), templates, sets, threshold, telling)
     rows = rows.drop("blocks").join(found.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left")
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("found", F.array().cast("array<string>")))))
     score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0)))
@@ -136,9 +147,10 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mappi
     )
 
 
-def _join(blocks: DataFrame, templates: Mapping[str, str], sets: Mapping[str, list[str]], threshold: float) -> DataFrame:
+def _join(blocks: DataFrame, templates: Mapping[str, str], sets: Mapping[str, list[str]], threshold: float, telling: Mapping[str, tuple[Sequence[str], Sequence[str]]]) -> DataFrame:
     """row, found (labels) and share (largest containment) of rows with a block that matches. ``blocks``: row, nth, block (width, words)."""
-    side = [F.struct(F.lit(name).alias("template"), F.lit(name.removesuffix("-line")).alias("label"), F.lit(width(templates[name])).alias("w"), F.lit(need(s, threshold)).alias("need"), _strings(s).alias("own")) for name, s in sets.items()]
+    side = [F.struct(F.lit(name).alias("template"), F.lit(name.removesuffix("-line")).alias("label"), F.lit(width(templates[name])).alias("w"), F.lit(need(s, threshold)).alias("need"), _strings(s).alias("own"),
+                     *(_strings(w).alias(c) for c, w in zip(("must", "bars"), telling.get(name, ((), ())), strict=True))) for name, s in sets.items()]
     if not side:
         return blocks.select("row", F.array().cast("array<string>").alias("found"), F.lit(0.0).alias("share")).limit(0)
     side = blocks.sparkSession.range(1).select(F.explode(F.array(*side)).alias("t")).select("t.*")  # the fixed templates
@@ -150,5 +162,6 @@ def _join(blocks: DataFrame, templates: Mapping[str, str], sets: Mapping[str, li
     pairs = words.join(F.broadcast(prefix), (F.col("token") == F.col("word")) & (F.col("block.width") == F.col("w")) & enough & possible)
     pairs = pairs.select("row", "nth", "template", "block.words").dropDuplicates(["row", "nth", "template"])
     shared = F.size(F.array_intersect("own", "words"))
-    sure = pairs.join(F.broadcast(side.select(F.col("template").alias("t"), "label", "need", "own")), F.col("template") == F.col("t")).where(shared >= F.col("need"))
+    sure = pairs.join(F.broadcast(side.select(F.col("template").alias("t"), "label", "need", "own", "must", "bars")), F.col("template") == F.col("t")).where(shared >= F.col("need"))
+    sure = sure.where((F.size(F.array_intersect("must", "words")) == F.size("must")) & ~F.arrays_overlap("bars", "words"))
     return sure.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(shared / F.size("own")).alias("share"))

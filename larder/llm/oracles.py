@@ -18,7 +18,9 @@ def license_scans() -> str:
     base = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(phrases.values()))
     widths = sorted({licenses.width(t) for t in licenses.TEMPLATES.values()})
     blocks = ", ".join(f"list_transform(range(1, greatest(len(words) - {w // 2}, 1) + 1, {w // 2}), lambda i: words[i:i + {w - 1}]) AS blocks{w}" for w in widths)
-    shared = ", ".join(f"coalesce(list_max(list_transform(blocks{licenses.width(licenses.TEMPLATES[n])}, lambda b: len(list_intersect(b, {_list(t)})))), 0) AS s{k}" for k, (n, t) in enumerate(templates.items()))
+    strings = lambda words: f"{_list(words)}::VARCHAR[]"
+    told = lambda n: f"list_filter(blocks{licenses.width(licenses.TEMPLATES[n])}, lambda b: list_has_all(b, {strings(licenses.TELLING[n][0])}) AND NOT list_has_any(b, {strings(licenses.TELLING[n][1])}))" if n in licenses.TELLING else f"blocks{licenses.width(licenses.TEMPLATES[n])}"
+    shared = ", ".join(f"coalesce(list_max(list_transform({told(n)}, lambda b: len(list_intersect(b, {_list(t)})))), 0) AS s{k}" for k, (n, t) in enumerate(templates.items()))
     need = [licenses.need(t, licenses.THRESHOLD) for t in templates.values()]
     found = ", ".join(f"CASE WHEN s{k} >= {n} THEN '{name.removesuffix('-line')}' END" for k, (name, n) in enumerate(zip(templates, need, strict=True)))
     score = ", ".join(f"CASE WHEN s{k} >= {n} THEN s{k} / {len(t)}.0::DOUBLE ELSE 0 END" for k, (t, n) in enumerate(zip(templates.values(), need, strict=True)))

@@ -66,7 +66,11 @@ def test_licenses(docs, rows, empty):
         for n, t in templates.items():
             wide = licenses.width(licenses.TEMPLATES[n])
             for i in range(0, max(len(w) - wide // 2, 1), wide // 2):
-                share = len(t & set(w[i : i + wide])) / len(t)
+                held = set(w[i : i + wide])
+                share = len(t & held) / len(t)
+                must, bars = licenses.TELLING.get(n, ((), ()))
+                if not held.issuperset(must) or held & set(bars):
+                    continue
                 if share >= (licenses.THRESHOLD if len(t) >= licenses.SHORT else 1):
                     labels.add(n.removesuffix("-line"))
                     score = max(score, share)
