@@ -192,7 +192,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs``, all their columns, that hold no benchmark item."""
+    """The rows of ``docs``, all their columns, that hold no benchmark item.
+
+    What a block of the benchmark leaves is written before the next block is read, so the driver holds one at a time.
+    """
     place = docs.columns.index("text")
 
     def run_with(finder: Finder):
@@ -204,6 +207,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, blo
 
         return run
 
-    for finder in _blocks(benchmark, coverage, block_words):
-        docs = docs.mapInArrow(K.tidy(run_with(finder)), docs.schema)
-    return docs
+    scratch, left = Scratch(docs.sparkSession, "decontamination"), None
+    for n, finder in enumerate(_blocks(benchmark, coverage, block_words)):
+        if left is not None:
+            before, docs = docs, scratch.save(left, "clean")
+            if n > 1:
+                scratch.drop(before)
+        left = docs.mapInArrow(K.tidy(run_with(finder)), docs.schema)
+    return left
