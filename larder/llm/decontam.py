@@ -9,7 +9,8 @@ very many of them hold burdens no single task. Equal items are one in a block, w
 
 Defined cases: words are runs other than ASCII white space, A-Z as a-z; an item of fewer than ``SEED`` words has one seed, its whole
 sequence, and is covered where a document holds it; null or empty texts match nothing; a null doc_id or item_id is given out as it is;
-equal rows give equal results; a repeated item counts as each of its rows. Other columns are ignored.
+equal rows give equal results; a repeated item counts as each of its rows; very long texts are searched whole; an empty table of documents or items gives no pairs. Other
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ the budget ends is refined by the next bits, until it is one hash. What shares t
 range, and as many of them are taken as the budget still holds. No other document is sorted or leaves its row.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last; rows that differ in any column (of a type that can be
-hashed) have hashes of their own, so which of equal rows is taken can't be seen; a source without words has target 0; an empty table gives
+hashed) have hashes of their own, so which of equal rows is taken can't be seen; a source without words has target 0; very long texts are counted whole; an empty table gives
 an empty result; other columns count for the hash alone.
 """
 

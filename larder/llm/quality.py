@@ -1,7 +1,8 @@
 """Quality rules: fixed base rules, then a calibrated logistic regression on hashed word and character n-grams.
 
 Defined cases: a null or empty text has no words and fails the base rules; equal rows get equal verdicts; without labelled rows of
-both kinds the base rules alone decide; other columns are ignored; every row of the input gives one row, a null ``doc_id`` too.
+both kinds the base rules alone decide; other columns are ignored; every row of the input gives one row, a null ``doc_id`` too; very
+long texts are judged whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations

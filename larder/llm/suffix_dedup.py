@@ -13,7 +13,8 @@ very many contexts is dealt over several shards; each pair of those is merged by
 Defined cases: a null text is empty; texts under ``LENGTH`` bytes lose nothing; earlier means smaller doc_id (null last), then, among
 rows that share a doc_id, smaller hash of 32 bits of the text, then earlier start; rows equal in both are one document, each with its
 result. Rows without doc_id are ordered and told apart by 64 bits of a text hash; they stand where doc_ids within 2**32 of the largest
-long would, so no smaller doc_id comes after them. Other columns are ignored. Hashes of anchors and contexts have 64 bits each, and both must agree.
+long would, so no smaller doc_id comes after them. Other columns are ignored. Hashes of anchors and contexts have 64 bits each, and both must agree. Very
+long texts are read whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations

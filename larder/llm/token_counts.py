@@ -10,7 +10,8 @@ No piece holds a space mark after another character, so each such place resets t
 needs of its entry state only what stands before its first reset: (open head, tokens between resets, open tail). Maps compose
 associatively; chunks of a long text are composed pairwise in a tree, as a parallel prefix scan does.
 
-Defined cases: a null text counts as empty and has 0 tokens; repeated rows count each; other columns are ignored.
+Defined cases: a null text counts as empty and has 0 tokens; repeated rows count each; other columns are ignored; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ pages have set sizes, and the page indexes that Parquet writes let a reader skip
 columns of their own, so offsets are read without touching ids.
 
 Defined cases: a null text is empty and holds the end id alone; a null doc_id comes last; documents with one doc_id are ordered by a
-hash of their text, then by the text; an empty table gives empty files; other columns are ignored.
+hash of their text, then by the text; very long texts are encoded whole; an empty table gives empty files; other
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ def shingles(words):
 
 
 def test_pairs_among_texts_with_common_passages(spark):
-    """120 pairs at a similarity of 0.75 to 0.8, each beside texts that share 20 to 60 % with it and with all others: all links are found."""
+    """120 pairs at a similarity of 0.75 to 0.8, each beside texts that share 15 to 65 % of their words with it and with all others: all links are found."""
     rnd = random.Random(9)
     word = lambda: f"w{rnd.randrange(10**6)}"
     rows, links = [], []
