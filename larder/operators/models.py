@@ -46,12 +46,70 @@ def smooth(y: np.ndarray, origins: Sequence[int], horizon: int, season: int = S.
     return [out[t] for t in origins]
 
 
+# Forms of smoothing (trend: none, additive, damped; season or not), the constants that are tried, and the damping.
+FORMS = tuple((trend, season) for trend in ("none", "additive", "damped") for season in (False, True))
+ALPHA, BETA, GAMMA, DAMPING = (0.02, 0.05, 0.1, 0.2, 0.4), (0.002, 0.01, 0.05), (0.01, 0.05, 0.15), 0.9
+
+
+def form_grid() -> tuple[np.ndarray, ...]:
+    """Every form with every choice of its constants: form, level, trend and season constant, damping, and number of fitted values."""
+    rows = []
+    for k, (trend, season) in enumerate(FORMS):
+        for a in ALPHA:
+            for b in BETA if trend != "none" else (0.0,):
+                for g in GAMMA if season else (0.0,):
+                    # constants, first states (a season sums to zero) and the deviation
+                    n = 1 + 1 + 1 + 2 * (trend != "none") + (trend == "damped") + (1 + S.SEASON - 1) * season
+                    rows.append((k, a, b, g, {"none": 0.0, "additive": 1.0, "damped": DAMPING}[trend], n))
+    return tuple(np.array(c) for c in zip(*rows, strict=True))
+
+
+def selected(y: np.ndarray, origins: Sequence[int], horizon: int, season: int = S.SEASON) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Smoothing of many series of one length at once, each at each origin in the form and with the constants of the least AICc up to it.
+
+    All forms have additive errors. All choices run through the series once. For each origin (days of training): the paths, the
+    deviations by day ahead, the forms (places in ``FORMS``) and their AICc. The AICc is that of Gaussian errors, but for a constant.
+    """
+    y = np.atleast_2d(np.asarray(y, float))
+    form, alpha, beta, gamma, phi, n_values = form_grid()
+    seasonal = np.array([FORMS[k][1] for k in form])
+    first = y[:, : 2 * season] if y.shape[1] >= 2 * season else y
+    mean = first.mean(axis=1) if first.shape[1] else np.zeros(len(y))
+    many = len(form)
+    level, slope = np.repeat(mean[:, None], many, axis=1), np.zeros((len(y), many))
+    # the mean of each weekday of the first weeks, less the mean of those
+    start = np.stack([first[:, i::season].mean(axis=1) if first[:, i::season].shape[1] else mean for i in range(season)])
+    start = start - start.mean(axis=0)
+    states = np.where(seasonal, np.repeat(start[:, :, None], many, axis=2), 0.0)
+    sse, out, at, each = np.zeros_like(level), {}, set(origins), np.arange(len(y))
+    for t in range(y.shape[1] + 1):
+        if t in at:
+            with np.errstate(divide="ignore"):
+                fit = t * np.log(np.maximum(sse, 1e-12) / max(t, 1)) + 2 * n_values + np.where(t - n_values - 1 > 0, 2 * n_values * (n_values + 1) / np.maximum(t - n_values - 1, 1), np.inf)
+            k = np.argmin(np.where(np.isfinite(fit), fit, np.finfo(float).max), axis=1)  # the first form where none can be told
+            step = np.arange(1, horizon + 1)
+            damp = np.cumsum(phi[k][:, None] ** step, axis=1)  # what a slope adds by each day ahead
+            path = level[each, k][:, None] + slope[each, k][:, None] * damp + np.stack([states[(t + h) % season][each, k] for h in range(horizon)], axis=1)
+            c = alpha[k][:, None] + beta[k][:, None] * damp + gamma[k][:, None] * (step % season == 0)
+            spread = np.sqrt(1 + np.concatenate((np.zeros((len(y), 1)), np.cumsum(c * c, axis=1)[:, :-1]), axis=1))
+            out[t] = (path, np.sqrt(sse[each, k] / max(t, 1))[:, None] * spread, form[k], fit[each, k])
+        if t == y.shape[1]:
+            break
+        now = states[t % season]
+        ahead = level + phi * slope
+        error = y[:, t, None] - ahead - now
+        sse += error * error
+        level, slope = ahead + alpha * error, phi * slope + beta * error
+        states[t % season] = now + gamma * error
+    return [out[t] for t in origins]
+
+
 #: Series that are smoothed together, about.
 TOGETHER = 256
 
 
-def ets(fact: DataFrame, folds: list[tuple[int, date]], levels: Sequence[float] = S.LEVELS, horizon: int = S.HORIZON) -> DataFrame:
-    """Quantile rows of every series and fold. Series go together by hash, some hundreds at a time, and those of one span in one pass."""
+def _together(fact: DataFrame, folds: list[tuple[int, date]], rows_of, ddl: str) -> DataFrame:
+    """What ``rows_of`` (series, values, ends) makes of series that go together by hash, some hundreds at a time, those of one span in one pass."""
 
     def run(days: pd.DataFrame) -> pd.DataFrame:
         days = days.sort_values([*SERIES, "date"])
@@ -63,22 +121,55 @@ def ets(fact: DataFrame, folds: list[tuple[int, date]], levels: Sequence[float]
             y = own["units"].to_numpy(float).reshape(len(same), n)
             when = own["day"].to_numpy().reshape(len(same), n)[0]
             ends = [int(np.searchsorted(when, np.datetime64(o), "right")) for _, o in folds]
-            for (fold, origin), (path, sigma, alpha) in zip(folds, smooth(y, ends, horizon), strict=True):
-                step = np.arange(horizon)
-                wide = sigma[:, None] * np.sqrt(1 + step[None, :] * (alpha * alpha)[:, None])
-                z = np.array([Z[q] for q in levels])
-                value = np.maximum(0.0, path[:, :, None] + z[None, None, :] * wide[:, :, None])
-                shape = value.shape
-                i, h, q = (x.ravel() for x in np.indices(shape))
-                out.append(pd.DataFrame({
-                    "fold": fold, "origin_date": origin, "target_date": (pd.Timestamp(origin) + pd.to_timedelta(h + 1, "D")).date, "horizon": h + 1,
-                    "item_id": same.index.get_level_values(0).to_numpy()[i], "store_id": same.index.get_level_values(1).to_numpy()[i], "quantile": np.array(levels)[q], "yhat": value.ravel()}))
+            out += rows_of(same.index, y, ends)
         return pd.concat(out)
 
-    ddl = "fold int, origin_date date, target_date date, horizon int, item_id string, store_id string, quantile double, yhat double"
     groups = -(-fact.select(*SERIES).distinct().count() // TOGETHER) or 1
     rows = fact.select("date", *SERIES, "units", F.pmod(F.xxhash64(*SERIES), F.lit(groups)).alias("together"))
-    return rows.groupBy("together").applyInPandas(run, ddl).withColumn("model_name", F.lit("ets"))
+    return rows.groupBy("together").applyInPandas(run, ddl)
+
+
+QUANTILE_ROWS = "fold int, origin_date date, target_date date, horizon int, item_id string, store_id string, quantile double, yhat double"
+
+
+def _quantile_rows(index, fold: int, origin: date, path: np.ndarray, wide: np.ndarray, levels: Sequence[float]) -> pd.DataFrame:
+    """A row for each series, day ahead and level, from paths and deviations."""
+    z = np.array([Z[q] for q in levels])
+    value = np.maximum(0.0, path[:, :, None] + z[None, None, :] * wide[:, :, None])
+    i, h, q = (x.ravel() for x in np.indices(value.shape))
+    return pd.DataFrame({
+        "fold": fold, "origin_date": origin, "target_date": (pd.Timestamp(origin) + pd.to_timedelta(h + 1, "D")).date, "horizon": h + 1,
+        "item_id": index.get_level_values(0).to_numpy()[i], "store_id": index.get_level_values(1).to_numpy()[i], "quantile": np.array(levels)[q], "yhat": value.ravel()})
+
+
+def ets(fact: DataFrame, folds: list[tuple[int, date]], levels: Sequence[float] = S.LEVELS, horizon: int = S.HORIZON) -> DataFrame:
+    """Quantile rows of every series and fold, in one form of smoothing: level and season."""
+
+    def rows_of(index, y: np.ndarray, ends: list[int]) -> list[pd.DataFrame]:
+        step = np.arange(horizon)
+        return [_quantile_rows(index, fold, origin, path, sigma[:, None] * np.sqrt(1 + step[None, :] * (alpha * alpha)[:, None]), levels)
+                for (fold, origin), (path, sigma, alpha) in zip(folds, smooth(y, ends, horizon), strict=True)]
+
+    return _together(fact, folds, rows_of, QUANTILE_ROWS).withColumn("model_name", F.lit("ets"))
+
+
+def ets_selected(fact: DataFrame, folds: list[tuple[int, date]], levels: Sequence[float] = S.LEVELS, horizon: int = S.HORIZON) -> DataFrame:
+    """Quantile rows of every series and fold, each in the form of the least AICc."""
+
+    def rows_of(index, y: np.ndarray, ends: list[int]) -> list[pd.DataFrame]:
+        return [_quantile_rows(index, fold, origin, path, wide, levels) for (fold, origin), (path, wide, _, _) in zip(folds, selected(y, ends, horizon), strict=True)]
+
+    return _together(fact, folds, rows_of, QUANTILE_ROWS).withColumn("model_name", F.lit("ets_selected"))
+
+
+def chosen_forms(fact: DataFrame, folds: list[tuple[int, date]]) -> DataFrame:
+    """The form of smoothing of each series and fold: fold, item_id, store_id, trend, season, aicc."""
+
+    def rows_of(index, y: np.ndarray, ends: list[int]) -> list[pd.DataFrame]:
+        return [pd.DataFrame({"fold": fold, "item_id": index.get_level_values(0), "store_id": index.get_level_values(1), "trend": [FORMS[k][0] for k in form], "season": [FORMS[k][1] for k in form], "aicc": aicc})
+                for (fold, _), (_, _, form, aicc) in zip(folds, selected(y, ends, 1), strict=True)]
+
+    return _together(fact, folds, rows_of, "fold int, item_id string, store_id string, trend string, season boolean, aicc double")
 
 
 FEATURES = [*(f"units_lag_{k}" for k in S.LAGS), *(f"units_roll_{f}_{n}" for n in S.WINDOWS for f in ("mean", "std", "max")), "zero_share_90", "days_since_last_sale", "price_rel_28", "days_since_event", "days_to_event", "month", "wday", "snap"]

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.functions.costs import CostModel
-from larder.operators import service
+from larder.operators import boosting, results, service
 
 SHORT, LONG = 7, 91
 # Days and windows without which no model is fitted.
@@ -62,6 +63,52 @@ def backtest(series: DataFrame, horizon: int, ratio: float) -> DataFrame:
     return seen.join(totals, ["sku", "fold"], "left").select("sku", "fold", "mae", mase.alias("mase"), F.greatest(F.lit(q) * gap, F.lit(q - 1) * gap).alias("pinball"))
 
 
+# What boosted trees of products know of an origin, and of a day ahead of it.
+KNOWN = [*(f"lag_{k}" for k in service.LAGS), *(f"{f}_{n}" for n in service.WINDOWS for f in ("mean", "std", "zero")), "trend", "same_weekday_4"]
+AHEAD = ["horizon", "day_of_week", "day_of_month", "month", "is_weekend"]
+
+
+def boosted(series: DataFrame, horizon: int, levels: Sequence[float], folds: int = 5, rounds: int = 8, depth: int = 3, rate: float = 0.35, least: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Quantiles by boosted trees, of all products together and at two grains: each day ahead of a fold's origin, and the whole window.
+
+    Products end on different days; they are laid side by side so that all end on one, and a fold's origin lies ``back`` windows before it.
+    A fold learns from days, and from windows, that end by its origin. A product with fewer than ``MIN_DAYS`` days or ``MIN_TOTALS``
+    windows to learn from has no row in that fold. (sku, back, date, y, quantiles), (sku, back, quantiles); quantiles sorted, at least 0.
+    """
+    ends = series.groupBy("sku").agg(F.max("date").alias("end"))
+    last = ends.agg(F.max("end")).first()[0]
+    if last is None:
+        raise ValueError("no product has a day")
+    models = [boosting.Model(b, last - timedelta(days=b * horizon), q) for b in range(1, folds + 1) for q in levels]
+    shift = F.datediff(F.lit(last), "end")
+    days = results.supervised(series, horizon, folds=folds).withColumnRenamed("origin_date", "known").withColumn("own", F.col("target_date"))
+    wins = service.total_ahead(service.origin_features(series), horizon).withColumnRenamed("date", "known").withColumn("own", F.date_add("known", horizon))
+    out = []
+    for rows, names, least_rows in ((days, [*KNOWN, *AHEAD], MIN_DAYS), (wins, KNOWN, MIN_TOTALS)):
+        rows = rows.join(ends, "sku").withColumns({"date": F.date_add("own", shift), "known": F.date_add("known", shift)})
+        fitted = boosting.fit(rows, ["sku", "own", "known", "date"], names, "y", models, rounds, depth, rate, least)
+        n = fitted.rows.where("y is not null").crossJoin(F.broadcast(rows.sparkSession.createDataFrame(sorted({(m.fold, m.last) for m in models}), "back int, until int"))).where("day <= until")  # a few folds
+        enough = n.groupBy("sku", "back").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows).select("sku", "back")
+        found = boosting.predictions(fitted, ["sku", "own", "known", "date"], horizon).where(F.col("known") == F.col("origin_date")).withColumnRenamed("fold", "back")
+        found = found.groupBy("sku", "back", "own").agg(F.array_sort(F.collect_list("yhat")).alias("quantiles"))  # a level each
+        out.append(found.join(enough, ["sku", "back"], "left_semi"))
+    daily, totals = out
+    both = daily.select("sku", "back").distinct().join(totals.select("sku", "back"), ["sku", "back"])
+    seen = series.select("sku", F.col("date").alias("own"), F.col("units_sold").cast("double").alias("y"))
+    daily = daily.join(seen, ["sku", "own"]).join(both, ["sku", "back"], "left_semi").select("sku", "back", F.col("own").alias("date"), "y", "quantiles")
+    return daily, totals.join(both, ["sku", "back"], "left_semi").select("sku", "back", "quantiles")
+
+
+def boosted_backtest(series: DataFrame, horizon: int, ratio: float, **settings) -> DataFrame:
+    """The error of boosted trees on each product's folds, as ``backtest`` has it: sku, back, mae (of the daily median), pinball (of the total)."""
+    q = round(ratio, 4)
+    daily, totals = boosted(series, horizon, (0.5, q) if q > 0.5 else (q, 0.5), **settings)
+    median, order = (0, 1) if q > 0.5 else (1, 0)
+    seen = daily.where("y is not null").groupBy("sku", "back").agg(F.avg(F.abs(F.col("y") - F.col("quantiles")[median])).alias("mae"), F.sum("y").alias("realised"))
+    gap = F.col("realised") - F.col("quantiles")[order]
+    return seen.join(totals, ["sku", "back"]).select("sku", "back", "mae", F.greatest(F.lit(q) * gap, F.lit(q - 1) * gap).alias("pinball"))
+
+
 def _sums(tests: DataFrame, name: str) -> DataFrame:
     """Losses in whole millionths, so that no order of summation changes a choice or its text."""
     whole = lambda c: F.floor(F.col(c) * 1_000_000 + 0.5)

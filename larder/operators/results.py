@@ -60,10 +60,12 @@ def gate_warnings(raw: DataFrame) -> DataFrame:
     """Warnings on an uploaded file, one row each, and whether it can be used at all: kind, n, message, usable."""
     report = service.gate_report(raw)
     admitted = service.gate(raw).agg(F.count_if("admitted").alias("admitted"))
+    votes = service.date_votes(raw).select(F.when(F.col("mixed"), F.least("n_day_first", "n_month_first")).otherwise(0).alias("n_mixed"), F.when(F.col("ambiguous"), F.col("n_either")).otherwise(0).alias("n_ambiguous"))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("n"), F.lit(t).alias("t")) for k, c, t in (
+        ("mixed", "n_mixed", "date(s) are written with the day and the month the other way round than most"), ("ambiguous", "n_ambiguous", "date(s) could be read day first or month first, and nothing in the file tells which"),
         ("dates", "rows_without_date", "row(s) without a readable date were left out"), ("merged", "rows_merged", "row(s) of a day that another row has too were added up"),
         ("negative", "negative_units", "negative amount(s) were read as 0"))])
-    rows = report.crossJoin(F.broadcast(admitted)).withColumn("x", F.explode(kinds))  # one row each
+    rows = report.crossJoin(F.broadcast(admitted)).crossJoin(F.broadcast(votes)).withColumn("x", F.explode(kinds))  # one row each
     usable = F.col("fatal").isNull() & (F.col("admitted") > 0)
     return rows.select("x.kind", "x.n", F.when(F.col("x.n") > 0, F.concat_ws(" ", F.col("x.n").cast("string"), "x.t")).alias("message"), usable.alias("usable"))
 
@@ -93,9 +95,9 @@ def ranked(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def supervised(series: DataFrame, horizon: int, value: str = "units_sold") -> DataFrame:
+def supervised(series: DataFrame, horizon: int, value: str = "units_sold", folds: int = 0) -> DataFrame:
     """A row for each origin and day ahead: what is known at the origin, the calendar of the target day, and what was sold on it."""
-    origins = service.strided(service.origin_features(series, value), horizon)
+    origins = service.strided(service.origin_features(series, value), horizon, folds=folds)
     ahead = origins.withColumnRenamed("date", "origin_date").withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("date", F.date_add("origin_date", F.col("horizon")))
     target = series.where(F.col(value).isNotNull()).select("sku", "date", F.col(value).alias("y"))
     rows = ahead.drop(value).join(target, ["sku", "date"]).withColumnRenamed("date", "target_date")

@@ -17,7 +17,8 @@ ALIASES = {
     "units_sold": ("units_sold", "units", "qty", "quantity", "sales", "demand", "y"), "unit_price": ("unit_price", "price", "sell_price", "selling_price"),
 }
 MIN_DAYS, MIN_OBSERVATIONS, MAX_GAP = 90, 20, 14
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy", "dd-MM-yyyy", "yyyyMMdd")
+DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyyMMdd")
+DAY_FIRST, MONTH_FIRST = ("dd/MM/yyyy", "dd-MM-yyyy"), ("MM/dd/yyyy", "MM-dd-yyyy")
 # Lags and windows of the service's features, days of a festival's baseline and buffer, and least observations.
 LAGS, WINDOWS = (1, 2, 3, 7, 14, 28), (7, 14, 28, 91)
 BASELINE_DAYS, BUFFER_DAYS, MIN_BASELINE, MIN_LEAD = 28, 3, 6, 3
@@ -40,11 +41,34 @@ def resolve_columns(columns: Sequence[str]) -> dict[str, str]:
     return found
 
 
-def parse_upload(raw: DataFrame) -> DataFrame:
-    """sku, date, units_sold, unit_price, all rows: what can't be read is null."""
+def date_votes(raw: DataFrame) -> DataFrame:
+    """One row on how a file writes its days: how many values only day first can read (a first part over 12), only month first, either,
+    or neither; which order the file is read in (the one with more votes, day first if equal), whether both have votes (``mixed``), and
+    whether none has and some value could be read both ways (``ambiguous``)."""
+    text = F.trim(F.col(resolve_columns(raw.columns)["date"]).cast("string"))
+    part = lambda n: F.expr(f"try_cast(regexp_extract(d, '^([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-][0-9]{{4}}$', {n}) as int)")
+    rows = raw.select(text.alias("d")).withColumns({"a": part(1), "b": part(2)})
+    two = F.col("a").between(1, 31) & F.col("b").between(1, 31)
+    one = rows.agg(
+        F.count_if(two & (F.col("a") > 12) & (F.col("b") <= 12)).alias("n_day_first"), F.count_if(two & (F.col("b") > 12) & (F.col("a") <= 12)).alias("n_month_first"),
+        F.count_if(two & (F.col("a") <= 12) & (F.col("b") <= 12) & (F.col("a") != F.col("b"))).alias("n_either"), F.count_if(F.col("d").isNotNull() & ~F.coalesce(two, F.lit(False))).alias("n_other"))
+    mixed = (F.col("n_day_first") > 0) & (F.col("n_month_first") > 0)
+    return one.withColumns({"month_first": F.col("n_month_first") > F.col("n_day_first"), "mixed": mixed, "ambiguous": (F.col("n_day_first") + F.col("n_month_first") == 0) & (F.col("n_either") > 0)})
+
+
+def parse_upload(raw: DataFrame, votes: DataFrame | None = None) -> DataFrame:
+    """sku, date, units_sold, unit_price, all rows: what can't be read is null.
+
+    A date with two parts before its year is read day first, or in the order that ``votes`` names for the whole file; a value that this
+    order can't read is read in the other.
+    """
     names = resolve_columns(raw.columns)
     text = F.col(names["date"]).cast("string")
-    day = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)).cast("date") for f in DATE_FORMATS))
+    read = lambda formats: [F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats]
+    day = F.coalesce(*read(DATE_FORMATS), *read(DAY_FIRST), *read(MONTH_FIRST))
+    if votes is not None:
+        day = F.when(F.col("_month_first"), F.coalesce(*read(DATE_FORMATS), *read(MONTH_FIRST), *read(DAY_FIRST))).otherwise(day)
+        raw = raw.crossJoin(F.broadcast(votes.select(F.col("month_first").alias("_month_first"))))  # one row
     number = lambda c: F.expr(f"try_cast(`{c}` as double)")
     price = number(names["unit_price"]) if "unit_price" in names else F.lit(None).cast("double")
     return raw.select(F.trim(F.col(names["sku"]).cast("string")).alias("sku"), day.alias("date"), number(names["units_sold"]).alias("units_sold"), price.alias("unit_price"))
@@ -118,11 +142,13 @@ def total_ahead(series: DataFrame, horizon: int, value: str = "units_sold") -> D
     return series.withColumn("y", F.when(F.count(value).over(frame) == horizon, F.sum(value).over(frame)))
 
 
-def strided(origins: DataFrame, horizon: int, most: int = 8000) -> DataFrame:
-    """Every k-th origin of a product, counted from its last, so that there are at most ``most`` rows of training."""
+def strided(origins: DataFrame, horizon: int, most: int = 8000, folds: int = 0) -> DataFrame:
+    """Every k-th origin of a product, counted from its last, so that there are at most ``most`` rows of training; the origins of
+    ``folds`` folds, a horizon apart, stay too."""
     w = Window.partitionBy("sku")
     rows = origins.withColumns({"back": F.row_number().over(w.orderBy(F.desc("date"))) - 1, "n": F.count(F.lit(1)).over(w)})
-    return rows.where(F.col("back") % F.greatest(F.ceil(F.col("n") * horizon / most), F.lit(1)) == 0).drop("back", "n")
+    fold = (F.col("back") % horizon == 0) & F.col("back").between(horizon, folds * horizon)
+    return rows.where((F.col("back") % F.greatest(F.ceil(F.col("n") * horizon / most), F.lit(1)) == 0) | fold).drop("back", "n")
 
 
 def baseline_totals(series: DataFrame, horizon: int, levels: Sequence[float], value: str = "units_sold") -> DataFrame:

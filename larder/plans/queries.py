@@ -537,6 +537,21 @@ def ets_forecast(spark, sf_dir):
     return rounded(models.ets(panel, _fold_list(panel)))
 
 
+@query
+def ets_selected(spark, sf_dir):
+    """Smoothing in the form that each series asks for."""
+    panel = fact(spark, sf_dir)
+    return rounded(models.ets_selected(panel, _fold_list(panel)))
+
+
+@query
+def smoothing_forms(spark, sf_dir):
+    """How many series of each fold take each form, and their mean AICc."""
+    panel = fact(spark, sf_dir)
+    rows = models.chosen_forms(panel, _fold_list(panel))
+    return rounded(rows.groupBy("fold", "trend", "season").agg(F.count("*").alias("n_series"), F.avg("aicc").alias("mean_aicc")), 4)
+
+
 def _assembled(spark, sf_dir):
     """The panel's folds, and its feature vectors, written for the passes of all fits."""
     panel = fact(spark, sf_dir)

@@ -265,7 +265,7 @@ def chart_series(spark, sf_dir):
     return Q.rounded(results.chart_series(series, service.baseline_totals(series, A, S.LEVELS), 30))
 
 
-@query(f"""WITH r AS ({O.ORACLES['gate_report']}), v AS ({O.ORACLES['gate_verdicts']}), x AS (SELECT 'dates' AS kind, rows_without_date AS n, 'row(s) without a readable date were left out' AS t FROM r UNION ALL SELECT 'merged', rows_merged, 'row(s) of a day that another row has too were added up' FROM r
+@query(f"""WITH r AS ({O.ORACLES['gate_report']}), v AS ({O.ORACLES['gate_verdicts']}), x AS (SELECT 'mixed' AS kind, 0 AS n, '' AS t UNION ALL SELECT 'ambiguous', 0, '' UNION ALL SELECT 'dates' AS kind, rows_without_date AS n, 'row(s) without a readable date were left out' AS t FROM r UNION ALL SELECT 'merged', rows_merged, 'row(s) of a day that another row has too were added up' FROM r
   UNION ALL SELECT 'negative', negative_units, 'negative amount(s) were read as 0' FROM r) SELECT kind, n, CASE WHEN n > 0 THEN n || ' ' || t END AS message, (SELECT fatal IS NULL FROM r) AND (SELECT count(*) FILTER (admitted) > 0 FROM v) AS usable FROM x""")
 def gate_warnings(spark, sf_dir):
     return results.gate_warnings(Q._upload(spark, sf_dir))
@@ -328,6 +328,14 @@ def sku_model_backtest(spark, sf_dir):
     return out.withColumns({"mae": F.round("mae", 6), "mase": F.round("mase", 6), "pinball": F.round("pinball", 9)})  # a quantile times a ratio has eight places
 
 
+def sku_boosted_backtest(spark, sf_dir):
+    """Boosted trees at both grains on each product's own folds; tests hold them against brute force."""
+    return Q.rounded(products.boosted_backtest(Q._brands(spark, sf_dir), A, Q.COSTS.critical_ratio()))
+
+
+QUERIES["sku_boosted_backtest"] = sku_boosted_backtest
+
+
 def _methods(spark, sf_dir):
     brands = Q._brands(spark, sf_dir)
     folds = brands.groupBy("sku").agg(service.fold_count(F.count("*"), A).alias("n_folds"))
@@ -427,6 +435,32 @@ def published_set(spark, sf_dir):
     return sums.crossJoin(F.broadcast(score)).select("n_orders", "ordered", "n_scored", "total_cost", "refresh")  # one row each
 
 
+_MIXED = f"""{O.UPLOAD}, styled AS (SELECT sku, CASE WHEN sku LIKE 'Brand%' THEN strftime(date, '%m/%d/%Y') ELSE strftime(date, '%d-%m-%Y') END AS d FROM upload),
+  parts AS (SELECT *, TRY_CAST(regexp_extract(d, '^([0-9]+)[/-]([0-9]+)[/-]', 1) AS INT) AS a, TRY_CAST(regexp_extract(d, '^([0-9]+)[/-]([0-9]+)[/-]', 2) AS INT) AS b FROM styled),
+  votes AS (SELECT count(*) FILTER (a > 12) AS n_day_first, count(*) FILTER (b > 12) AS n_month_first, count(*) FILTER (a <= 12 AND b <= 12 AND a <> b) AS n_either, count(*) FILTER (d IS NOT NULL AND a IS NULL) AS n_other FROM parts)"""
+
+
+def _styled(spark, sf_dir):
+    """An upload whose brands write the month first and whose events write the day first."""
+    day = F.to_date("Day")
+    return Q._upload(spark, sf_dir).withColumn("Day", F.when(F.col("Product").startswith("Brand"), F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "dd-MM-yyyy")))
+
+
+@query(f"WITH {_MIXED} SELECT *, n_month_first > n_day_first AS month_first, n_day_first > 0 AND n_month_first > 0 AS mixed, n_day_first + n_month_first = 0 AND n_either > 0 AS ambiguous FROM votes")
+def date_votes(spark, sf_dir):
+    return service.date_votes(_styled(spark, sf_dir))
+
+
+@query(f"""WITH {_MIXED}, read AS (SELECT sku, CASE WHEN (SELECT n_month_first > n_day_first FROM votes) THEN coalesce(try_strptime(d, '%m/%d/%Y'), try_strptime(d, '%m-%d-%Y'), try_strptime(d, '%d/%m/%Y'), try_strptime(d, '%d-%m-%Y'))
+    ELSE coalesce(try_strptime(d, '%d/%m/%Y'), try_strptime(d, '%d-%m-%Y'), try_strptime(d, '%m/%d/%Y'), try_strptime(d, '%m-%d-%Y')) END AS t FROM styled)
+  SELECT sku, count(*) AS n_rows, count(t) AS n_read, CAST(min(t) AS DATE) AS first_date, CAST(max(t) AS DATE) AS last_date FROM read GROUP BY 1""")
+def dates_by_vote(spark, sf_dir):
+    """What each product's days become when the whole file votes on the order of day and month."""
+    raw = _styled(spark, sf_dir)
+    rows = service.parse_upload(raw, service.date_votes(raw))
+    return rows.groupBy("sku").agg(F.count("*").alias("n_rows"), F.count("date").alias("n_read"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
 # Reports ----------------------------------------------------------------------------------------------------------------
 
 
@@ -444,6 +478,26 @@ def level_report(spark, sf_dir):
     return Q.level_comparison(spark, sf_dir).withColumn("place", place).orderBy("place")
 
 
+@query(f"""WITH x AS ({O.ORACLES['pinball_scores']}), s AS (SELECT model_name, metric, sum(CAST(round(value * 1000000) AS BIGINT)) AS total, count(*) AS n_folds FROM x WHERE metric LIKE 'pinball_q%' AND ends_with(metric, '5') GROUP BY 1, 2)
+  SELECT model_name, metric, CAST(((2 * total + 10 * n_folds) // (20 * n_folds)) / 1e5 AS DOUBLE) AS value, n_folds FROM s""")
+def pinball_report(spark, sf_dir):
+    """Mean loss over folds, five places, of the metrics whose name begins with the loss's and ends with a 5."""
+    rows = Q.pinball_scores(spark, sf_dir).where(F.col("metric").startswith("pinball_q") & F.col("metric").endswith("5"))
+    total = F.sum(F.round(F.col("value") * 1_000_000).cast("long"))
+    one = rows.groupBy("model_name", "metric").agg(total.alias("total"), F.count("*").alias("n_folds"))
+    return one.select("model_name", "metric", (F.floor((2 * F.col("total") + 10 * F.col("n_folds")) / (20 * F.col("n_folds"))) / F.lit(1e5)).alias("value"), "n_folds")
+
+
+@query(f"""WITH x AS ({O.ORACLES['coherence_gap']}) SELECT parent_level || ' > ' || child_level AS step, CAST(fold AS INT) AS fold, max(mean_abs_gap) FILTER (NOT reconciled) AS before, max(mean_abs_gap) FILTER (reconciled) AS after FROM x WHERE fold = (SELECT max(fold) FROM x) GROUP BY 1, 2""")
+def coherence_report(spark, sf_dir):
+    """Gaps between parents and children before and after reconciling, of the latest fold."""
+    rows = Q.coherence_gap(spark, sf_dir)
+    latest = rows.agg(F.max("fold").alias("latest"))
+    rows = rows.join(F.broadcast(latest), F.col("fold") == F.col("latest"))  # one row
+    gap = lambda done: F.max(F.when(F.col("reconciled") == done, F.col("mean_abs_gap")))
+    return rows.groupBy(F.concat_ws(" > ", "parent_level", "child_level").alias("step"), "fold").agg(gap(False).alias("before"), gap(True).alias("after"))
+
+
 @query(f"WITH {O.FOLDS}, n AS (SELECT fold, item_id, store_id, target_date, CAST(units AS DOUBLE) AS yhat FROM targets JOIN fact ON date = origin_date - 7 + (horizon - 1) % 7 + 1) SELECT item_id, store_id, target_date, yhat FROM n WHERE fold = (SELECT max(fold) FROM n) ORDER BY md5(item_id || '#' || store_id || '#' || target_date), item_id, store_id LIMIT 100")
 def latest_sample(spark, sf_dir):
     """A hundred forecasts of the latest fold, chosen by a digest, so always the same."""

@@ -63,3 +63,24 @@ def test_no_model_without_enough_days(spark):
         table = products.learning_rows(spark.createDataFrame(days, "sku string, date date, units_sold double"), horizon)
         origins = spark.createDataFrame([("a", 0, days[-1][1])], "sku string, fold int, origin_date date")
         assert products.learned(table, origins, horizon, (0.5,))[0].count() == fitted
+
+
+def test_boosted_products_do_not_look_ahead(spark):
+    """Two grains and three folds of two products that end on different days; what follows an origin changes nothing that was learned by it."""
+    rnd = np.random.default_rng(5)
+    rows = [(s, date(2000, 1, 3) + timedelta(i + off), float(rnd.poisson(3 + 6 * (i % 7 == 5)))) for s, off in (("a", 0), ("b", 40)) for i in range(200)]
+    rows += [("short", date(2000, 8, 1) + timedelta(i), 1.0) for i in range(30)]
+    later = [(s, d, v + 500 if d > date(2000, 1, 3) + timedelta(199 - 14 + (40 if s == "b" else 0)) and s != "short" else v) for s, d, v in rows]
+    settings = {"folds": 3, "rounds": 6, "depth": 3, "rate": 0.5}
+    found = []
+    for r in (rows, later):
+        daily, totals = products.boosted(spark.createDataFrame(r, "sku string, date date, units_sold double"), 14, (0.1, 0.5, 0.9), **settings)
+        found.append(({(x.sku, x.back, x.date): (x.y, x.quantiles) for x in daily.collect()}, {(x.sku, x.back): x.quantiles for x in totals.collect()}))
+    (daily, totals), (changed, totals_changed) = found
+    assert totals == totals_changed and {k: q for k, (_, q) in daily.items()} == {k: q for k, (_, q) in changed.items()}
+    assert set(totals) == {(s, b) for s in "ab" for b in (1, 2, 3)} and len(daily) == 2 * 3 * 14  # the short one has too few days
+    assert all(x == sorted(x) and len(x) == 3 and x[0] >= 0 for x in [q for _, q in daily.values()] + list(totals.values()))
+    busy = [abs(y - q[1]) for (_, _, d), (y, q) in daily.items()]
+    flat = np.median([v for _, _, v in rows])
+    assert np.mean(busy) < np.mean([abs(y - flat) for y, _ in daily.values()])  # it has learned the busy day
+    assert all(10 < q[1] < 140 for q in totals.values())
