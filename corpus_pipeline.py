@@ -1,8 +1,8 @@
 """A corpus from raw documents to token ids: five stages, each an operator of ``larder.llm`` over all that the one before kept.
 
 Defined cases, all stages but the last giving rows of documents as they were, all columns with them, whatever their names: a null or empty
-text fails the quality rules and goes at the first stage; where a later stage meets one (run by itself), near-dedup, decontamination and
-the mix keep it, as it has no words to find or to count, and token ids give it the end id alone. A null doc_id stays null to the end, where
+text fails the quality rules and goes at the first stage; where a later stage meets one (run by itself), near-dedup and decontamination keep
+it, the mix may leave it out, as it has no words to count, and token ids give it the end id alone. A null doc_id stays null to the end, where
 such rows come last. Rows equal in doc_id and text are one document to near-dedup, and one of them stays; of near duplicates the one with
 the smallest doc_id stays. A null source is a source of its own. Nulls in other columns mean nothing. Very long texts are read whole. An
 empty table of documents gives an empty result, and so does one whose documents all go; an empty benchmark or no labels take nothing away
