@@ -106,6 +106,19 @@ def filled(rows: DataFrame, nodes: DataFrame, days: DataFrame) -> DataFrame:
     return grid.join(rows.select("node", "target_date", "yhat"), ["node", "target_date"], "left").withColumn("yhat", F.coalesce("yhat", F.lit(0.0)))
 
 
+def whole_base(rows: DataFrame, nodes: DataFrame, ahead: DataFrame) -> DataFrame:
+    """Base forecasts that reconciliation can take: each node on each target day of each fold once, whatever the models gave.
+
+    ``rows``: node, fold, target_date, yhat, of any models, at any levels. ``ahead``: fold, target_date, as many rows as folds times days of
+    a horizon. A node that no model spoke of on a day, as a series that was not listed at the origin, gets 0 and is marked ``filled``;
+    so does a null forecast. A node with several forecasts of a day is an error of the caller and gets several rows; forecasts of
+    unknown nodes or of other days are left out.
+    """
+    grid = nodes.select("node", "level").crossJoin(F.broadcast(ahead.select("fold", "target_date")))
+    found = grid.join(rows.select("node", "fold", "target_date", "yhat"), ["node", "fold", "target_date"], "left")
+    return found.select("node", "level", "fold", "target_date", F.coalesce(F.col("yhat").cast("double"), F.lit(0.0)).alias("yhat"), F.col("yhat").isNull().alias("filled"))
+
+
 def wrmsse(series_scores: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted RMSSE over the nodes that have one; weights are not scaled up for the others."""
     rows = series_scores.join(weights.drop("level"), "node")

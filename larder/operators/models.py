@@ -108,28 +108,33 @@ def selected(y: np.ndarray, origins: Sequence[int], horizon: int, season: int =
 TOGETHER = 256
 
 
-def _together(fact: DataFrame, folds: list[tuple[int, date]], rows_of, ddl: str) -> DataFrame:
+def _together(fact: DataFrame, folds: list[tuple[int, date]], rows_of, ddl: str, keys: Sequence[str] = SERIES) -> DataFrame:
     """What ``rows_of`` (series, values, ends) makes of series that go together by hash, some hundreds at a time, those of one span in one pass."""
 
+    keys = list(keys)
+
     def run(days: pd.DataFrame) -> pd.DataFrame:
-        days = days.sort_values([*SERIES, "date"])
+        days = days.sort_values([*keys, "date"])
         days["day"] = pd.to_datetime(days["date"])
         out = []
-        spans = days.groupby(SERIES)["day"].agg(["min", "max", "count"])
+        spans = days.groupby(keys)["day"].agg(["min", "max", "count"])
         for (start, _, n), same in spans.groupby(["min", "max", "count"]):
-            own = days.set_index(SERIES).loc[same.index]
+            own = days.set_index(keys).loc[same.index]
             y = own["units"].to_numpy(float).reshape(len(same), n)
             when = own["day"].to_numpy().reshape(len(same), n)[0]
             ends = [int(np.searchsorted(when, np.datetime64(o), "right")) for _, o in folds]
             out += rows_of(same.index, y, ends)
         return pd.concat(out)
 
-    groups = -(-fact.select(*SERIES).distinct().count() // TOGETHER) or 1
-    rows = fact.select("date", *SERIES, "units", F.pmod(F.xxhash64(*SERIES), F.lit(groups)).alias("together"))
+    groups = -(-fact.select(*keys).distinct().count() // TOGETHER) or 1
+    rows = fact.select("date", *keys, "units", F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("together"))
     return rows.groupBy("together").applyInPandas(run, ddl)
 
 
-QUANTILE_ROWS = "fold int, origin_date date, target_date date, horizon int, item_id string, store_id string, quantile double, yhat double"
+
+
+def _quantile_ddl(keys: Sequence[str]) -> str:
+    return f"fold int, origin_date date, target_date date, horizon int, {', '.join(f'{k} string' for k in keys)}, quantile double, yhat double"
 
 
 def _quantile_rows(index, fold: int, origin: date, path: np.ndarray, wide: np.ndarray, levels: Sequence[float]) -> pd.DataFrame:
@@ -139,18 +144,18 @@ def _quantile_rows(index, fold: int, origin: date, path: np.ndarray, wide: np.nd
     i, h, q = (x.ravel() for x in np.indices(value.shape))
     return pd.DataFrame({
         "fold": fold, "origin_date": origin, "target_date": (pd.Timestamp(origin) + pd.to_timedelta(h + 1, "D")).date, "horizon": h + 1,
-        "item_id": index.get_level_values(0).to_numpy()[i], "store_id": index.get_level_values(1).to_numpy()[i], "quantile": np.array(levels)[q], "yhat": value.ravel()})
+        **{k: index.get_level_values(k).to_numpy()[i] for k in index.names}, "quantile": np.array(levels)[q], "yhat": value.ravel()})
 
 
-def ets(fact: DataFrame, folds: list[tuple[int, date]], levels: Sequence[float] = S.LEVELS, horizon: int = S.HORIZON) -> DataFrame:
-    """Quantile rows of every series and fold, in one form of smoothing: level and season."""
+def ets(fact: DataFrame, folds: list[tuple[int, date]], levels: Sequence[float] = S.LEVELS, horizon: int = S.HORIZON, keys: Sequence[str] = SERIES) -> DataFrame:
+    """Quantile rows of every series (or node, or what else ``keys`` tell apart) and fold, in one form of smoothing: level and season."""
 
     def rows_of(index, y: np.ndarray, ends: list[int]) -> list[pd.DataFrame]:
         step = np.arange(horizon)
         return [_quantile_rows(index, fold, origin, path, sigma[:, None] * np.sqrt(1 + step[None, :] * (alpha * alpha)[:, None]), levels)
                 for (fold, origin), (path, sigma, alpha) in zip(folds, smooth(y, ends, horizon), strict=True)]
 
-    return _together(fact, folds, rows_of, QUANTILE_ROWS).withColumn("model_name", F.lit("ets"))
+    return _together(fact, folds, rows_of, _quantile_ddl(keys), keys).withColumn("model_name", F.lit("ets"))
 
 
 def ets_selected(fact: DataFrame, folds: list[tuple[int, date]], levels: Sequence[float] = S.LEVELS, horizon: int = S.HORIZON) -> DataFrame:
@@ -159,7 +164,7 @@ def ets_selected(fact: DataFrame, folds: list[tuple[int, date]], levels: Sequenc
     def rows_of(index, y: np.ndarray, ends: list[int]) -> list[pd.DataFrame]:
         return [_quantile_rows(index, fold, origin, path, wide, levels) for (fold, origin), (path, wide, _, _) in zip(folds, selected(y, ends, horizon), strict=True)]
 
-    return _together(fact, folds, rows_of, QUANTILE_ROWS).withColumn("model_name", F.lit("ets_selected"))
+    return _together(fact, folds, rows_of, _quantile_ddl(SERIES)).withColumn("model_name", F.lit("ets_selected"))
 
 
 def chosen_forms(fact: DataFrame, folds: list[tuple[int, date]]) -> DataFrame:

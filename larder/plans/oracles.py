@@ -195,18 +195,20 @@ def _sensitivity() -> str:
 
 _PATHS = ["state_id", "state_id || '/' || store_id", "state_id || '/' || store_id || '/' || dept_id", "state_id || '/' || store_id || '/' || dept_id || '/' || item_id"]
 _NAMES = ["state", "store", "dept", "item"]
-TREE = TSB + ",\nacts AS (" + " UNION ALL ".join(f"SELECT {p} AS node, '{n}' AS level, date, CAST(sum(units) AS BIGINT) AS units FROM fact GROUP BY 1, 2, 3" for p, n in zip(_PATHS, _NAMES, strict=True)) + """),
-paths AS (SELECT DISTINCT item_id, store_id, """ + _PATHS[3] + """ AS node FROM fact),
+NODES = TSB + ",\nacts AS (" + " UNION ALL ".join(f"SELECT {p} AS node, '{n}' AS level, date, CAST(sum(units) AS BIGINT) AS units FROM fact GROUP BY 1, 2, 3" for p, n in zip(_PATHS, _NAMES, strict=True)) + """),
+paths AS (SELECT DISTINCT item_id, store_id, """ + _PATHS[3] + """ AS node FROM fact)"""
+TREE = NODES + """,
 base AS (SELECT node, level, fold, target_date, CAST(units AS DOUBLE) AS yhat FROM targets JOIN acts ON date = origin_date - 7 + (horizon - 1) % 7 + 1 WHERE level <> 'item'
   UNION ALL SELECT node, 'item', fold, target_date, yhat FROM tsb JOIN paths USING (item_id, store_id))"""
 _P = "regexp_replace(node, '/[^/]*$', '')"
-MINT = TREE + """,
+RECONCILED = """,
 up_item AS (SELECT node, fold, target_date, yhat, yhat AS z, 1.0::DOUBLE AS s, 1.0::DOUBLE AS leaves, NULL::DOUBLE AS c, NULL::DOUBLE AS cs FROM base WHERE level = 'item'),""" + ",".join(f"""
 up_{n} AS (SELECT *, s * (yhat / leaves + c / cs) AS z FROM (SELECT b.node, b.fold, b.target_date, b.yhat, leaves, c, cs, 1 / (1 / leaves + 1 / cs) AS s FROM base b
   JOIN (SELECT {_P} AS node, fold, target_date, sum(z) AS c, sum(s) AS cs, sum(leaves) AS leaves FROM up_{below} GROUP BY 1, 2, 3) k USING (node, fold, target_date)))""" for n, below in zip(_NAMES[2::-1], _NAMES[:0:-1], strict=True)) + """,
 down_state AS (SELECT *, z AS y FROM up_state)""" + "".join(f""",
 down_{n} AS (SELECT u.*, u.z + u.s / p.cs * (p.y - p.c) AS y FROM up_{n} u JOIN down_{above} p ON p.node = {_P.replace('node', 'u.node')} AND p.fold = u.fold AND p.target_date = u.target_date)""" for above, n in zip(_NAMES[:-1], _NAMES[1:], strict=True)) + """,
 reconciled AS (""" + " UNION ALL ".join(f"SELECT node, '{n}' AS level, 'mixed' AS model_name, fold, target_date, yhat, y AS reconciled, greatest(0.0::DOUBLE, y) AS clipped FROM down_{n}" for n in _NAMES) + ")"
+MINT = TREE + RECONCILED
 
 
 def _gap(value: str) -> str:

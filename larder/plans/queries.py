@@ -328,6 +328,32 @@ def coherence_gap(spark, sf_dir):
     return both.withColumns({"mean_abs_gap": F.round("mean_abs_gap", 4), "max_abs_gap": F.round("max_abs_gap", 4)})
 
 
+def _whole_base(spark, sf_dir):
+    """Smoothed departments, stores and states, and each series' demand if it was listed at the origin; 0 for those that were not."""
+
+    def build():
+        panel, sums = fact(spark, sf_dir), rolled(spark, sf_dir)
+        cut = fc.folds(panel)
+        upper = models.ets(sums.where("level <> 'item'"), _fold_list(panel), (0.5,), keys=["node", "level"])
+        named = panel.groupBy(*tree.PATH).agg(F.min(F.when(F.col("price").isNotNull(), F.col("date"))).alias("listed")).select(F.concat_ws("/", *tree.PATH).alias("node"), "item_id", "store_id", "listed")
+        lower = fc.tsb(panel, cut).join(named, ["item_id", "store_id"]).where("listed <= origin_date")
+        columns = ["node", "fold", "target_date", "yhat"]
+        return tree.whole_base(upper.select(*columns).unionByName(lower.select(*columns)), sums.select("node", "level").distinct(), fc.targets(cut))
+
+    return _stored(spark, sf_dir, "whole_base", build, ["node"], ["node", "fold", "target_date"])
+
+
+@query
+def base_forecasts(spark, sf_dir):
+    return rounded(_whole_base(spark, sf_dir))
+
+
+@query
+def reconciled_base(spark, sf_dir):
+    """Whole base forecasts made to add up, those of unlisted series with them."""
+    return rounded(tree.reconcile(_whole_base(spark, sf_dir), keys=["fold", "target_date"]))
+
+
 def _node_scores(spark, sf_dir):
     panel, cut, base = _base(spark, sf_dir)
     rows = tree.reconcile(base).select("node", "level", "fold", "target_date", F.explode(F.array(F.struct(F.lit("base").alias("model_name"), F.col("yhat")), F.struct(F.lit("reconciled").alias("model_name"), F.col("reconciled").alias("yhat")))).alias("x"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larder import schema as S
 from larder.functions.costs import grid_with, nearest
-from larder.operators import demand, ordering, products, results, service
+from larder.operators import demand, models, ordering, products, results, service
 from larder.operators import forecasting as fc
 from larder.operators import hierarchy as tree
 from larder.plans import oracles as O
@@ -537,23 +537,37 @@ def runs(spark, sf_dir):
 # Smoothing ----------------------------------------------------------------------------------------------------------------
 
 
-def _ets() -> str:
-    """A state is a list: level, season of the next seven days, squared error. It is folded over the days, from origin to origin."""
-    from larder.operators.models import GRID, Z
+# A state is a list: level, season of the next seven days, squared error. It is folded over the days.
+_STEP = "list_reduce({days}, lambda a, x: [a[1] + alpha * (x[1] - a[1] - a[2]), a[3], a[4], a[5], a[6], a[7], a[8], a[2] + gamma * (x[1] - a[1] - a[2]), a[9] + (x[1] - a[1] - a[2]) * (x[1] - a[1] - a[2])], {start})"
+_START = "[mean, " + ", ".join(f"(y[{i}][1] + y[{i + 7}][1]) / 2 - mean" for i in range(1, 8)) + ", 0.0::DOUBLE]"
+_GRID = ", ".join(f"({i}, {a}::DOUBLE, {g}::DOUBLE)" for i, (a, g) in enumerate(models.GRID))
 
-    step = "list_reduce({days}, lambda a, x: [a[1] + alpha * (x[1] - a[1] - a[2]), a[3], a[4], a[5], a[6], a[7], a[8], a[2] + gamma * (x[1] - a[1] - a[2]), a[9] + (x[1] - a[1] - a[2]) * (x[1] - a[1] - a[2])], {start})"
-    grid = ", ".join(f"({i}, {a}::DOUBLE, {g}::DOUBLE)" for i, (a, g) in enumerate(GRID))
-    folds = ["s0 AS (SELECT item_id, store_id, k, alpha, gamma, y, n - 140 AS t, " + step.format(days="y[1:n - 140]", start="start") + " AS state FROM began)"]
-    folds += [f"s{i} AS (SELECT * REPLACE (t + {S.HORIZON} AS t, {step.format(days=f'y[t + 1:t + {S.HORIZON}]', start='state')} AS state) FROM s{i - 1})" for i in range(1, S.N_FOLDS)]
-    best = " UNION ALL ".join(f"SELECT {i} AS fold, item_id, store_id, t, arg_min(state, (state[9], k)) AS state, arg_min(alpha, (state[9], k)) AS alpha FROM s{i} GROUP BY ALL" for i in range(S.N_FOLDS))
-    levels = ", ".join(f"({q}::DOUBLE, {z!r}::DOUBLE)" for q, z in Z.items())
-    return f"""WITH {O.FACT}, ys AS (SELECT item_id, store_id, list([CAST(units AS DOUBLE)] ORDER BY date) AS y, CAST(count(*) AS INT) AS n, max(date) AS last FROM fact GROUP BY 1, 2),
-      firsts AS (SELECT *, list_avg(list_transform(y[1:14], lambda x: x[1])) AS mean FROM ys), grid(k, alpha, gamma) AS (VALUES {grid}),
-      began AS (SELECT item_id, store_id, y, n, last, k, alpha, gamma, [mean, {", ".join(f"(y[{i}][1] + y[{i + 7}][1]) / 2 - mean" for i in range(1, 8))}, 0.0::DOUBLE] AS start FROM firsts, grid),
+
+def _ets(series: str, keys: str, quantiles: tuple[float, ...] = S.LEVELS) -> str:
+    """Smoothing of the series of a table, from origin to origin."""
+    folds = [f"s0 AS (SELECT {keys}, k, alpha, gamma, y, n - 140 AS t, " + _STEP.format(days="y[1:n - 140]", start="start") + " AS state FROM began)"]
+    folds += [f"s{i} AS (SELECT * REPLACE (t + {S.HORIZON} AS t, {_STEP.format(days=f'y[t + 1:t + {S.HORIZON}]', start='state')} AS state) FROM s{i - 1})" for i in range(1, S.N_FOLDS)]
+    best = " UNION ALL ".join(f"SELECT {i} AS fold, {keys}, t, arg_min(state, (state[9], k)) AS state, arg_min(alpha, (state[9], k)) AS alpha FROM s{i} GROUP BY ALL" for i in range(S.N_FOLDS))
+    levels = ", ".join(f"({q}::DOUBLE, {z!r}::DOUBLE)" for q, z in models.Z.items() if q in quantiles)
+    return f"""WITH ys AS (SELECT {keys}, list([CAST(units AS DOUBLE)] ORDER BY date) AS y, CAST(count(*) AS INT) AS n, max(date) AS last FROM {series} GROUP BY {keys}),
+      firsts AS (SELECT *, list_avg(list_transform(y[1:14], lambda x: x[1])) AS mean FROM ys), grid(k, alpha, gamma) AS (VALUES {_GRID}),
+      began AS (SELECT {keys}, y, n, last, k, alpha, gamma, {_START} AS start FROM firsts, grid),
       {", ".join(folds)}, best AS ({best}), z(quantile, z) AS (VALUES {levels}), ahead AS (SELECT CAST(unnest(range(1, {S.HORIZON + 1})) AS INT) AS horizon)
-      SELECT 'ets' AS model_name, CAST(fold AS INT) AS fold, l.last - {S.HORIZON} * ({S.N_FOLDS} - fold) AS origin_date, l.last - {S.HORIZON} * ({S.N_FOLDS} - fold) + horizon AS target_date, horizon, b.item_id, b.store_id, quantile,
-        round(greatest(0.0::DOUBLE, state[1] + state[2 + (horizon - 1) % 7] + z * sqrt(state[9] / t) * sqrt(1 + (horizon - 1) * alpha * alpha)), 6) AS yhat
-      FROM best b JOIN ys l USING (item_id, store_id), z, ahead"""
+      SELECT 'ets' AS model_name, CAST(fold AS INT) AS fold, l.last - {S.HORIZON} * ({S.N_FOLDS} - fold) AS origin_date, l.last - {S.HORIZON} * ({S.N_FOLDS} - fold) + horizon AS target_date, horizon, {", ".join("b." + k for k in keys.split(", "))}, quantile,
+        greatest(0.0::DOUBLE, state[1] + state[2 + (horizon - 1) % 7] + z * sqrt(state[9] / t) * sqrt(1 + (horizon - 1) * alpha * alpha)) AS yhat
+      FROM best b JOIN ys l USING ({keys}), z, ahead"""
+
+
+ORACLES["ets_forecast"] = f"WITH {O.FACT} SELECT * REPLACE (round(yhat, 6) AS yhat) FROM ({_ets('fact', 'item_id, store_id')})"
 
+_WHOLE_BASE = f"""{O.NODES}, smoothed AS ({_ets("(SELECT * FROM acts WHERE level <> 'item')", "node, level", (0.5,))}), listed AS (SELECT item_id, store_id, min(date) AS listed FROM fact WHERE price IS NOT NULL GROUP BY 1, 2),
+  spoken AS (SELECT node, fold, target_date, yhat FROM smoothed UNION ALL SELECT node, fold, target_date, yhat FROM tsb JOIN paths USING (item_id, store_id) JOIN listed USING (item_id, store_id) JOIN folds USING (fold) WHERE listed <= folds.origin_date),
+  base AS (SELECT n.node, n.level, CAST(t.fold AS INT) AS fold, t.target_date, coalesce(yhat, 0.0::DOUBLE) AS yhat, yhat IS NULL AS filled FROM (SELECT DISTINCT node, level FROM acts) n CROSS JOIN targets t LEFT JOIN spoken s ON s.node = n.node AND s.fold = t.fold AND s.target_date = t.target_date)"""
+ORACLES["base_forecasts"] = f"WITH {_WHOLE_BASE} SELECT * REPLACE (round(yhat, 6) AS yhat) FROM base"
+ORACLES["reconciled_base"] = f"WITH {_WHOLE_BASE}{O.RECONCILED} SELECT * EXCLUDE (model_name) REPLACE (round(yhat, 6) AS yhat, round(reconciled, 6) AS reconciled, round(clipped, 6) AS clipped) FROM reconciled"
 
-ORACLES["ets_forecast"] = _ets()
+ORACLES["sku_jobs"] = f"""WITH {O.UPLOAD}, ys AS (SELECT sku, list([CAST(units_sold AS DOUBLE)] ORDER BY date) FILTER (units_sold IS NOT NULL) AS y, CAST(count(units_sold) AS INT) AS n FROM dense GROUP BY 1),
+  began AS (SELECT *, list_avg(list_transform(y[1:14], lambda x: x[1])) AS mean FROM ys WHERE n >= 60), grid(k, alpha, gamma) AS (VALUES {_GRID}),
+  ran AS (SELECT sku, n, k, {_STEP.format(days='y', start=_START)} AS state FROM began, grid), best AS (SELECT sku, n, arg_min(state, (state[9], k)) AS state FROM ran GROUP BY 1, 2)
+  SELECT sku, CASE WHEN ys.n < 60 THEN 'failed' ELSE 'done' END AS status, CASE WHEN ys.n < 60 THEN 'ValueError: 60 recorded days needed, ' || ys.n || ' found' END AS error,
+    CASE WHEN state IS NOT NULL THEN round(greatest(0.0::DOUBLE, {A} * state[1] + {A // 7} * list_sum(state[2:8])), 6) END AS total, round(sqrt(state[9] / ys.n), 6) AS sigma FROM ys LEFT JOIN best USING (sku)"""
