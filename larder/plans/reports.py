@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder import schema as S
-from larder.functions.costs import grid_with, nearest
-from larder.operators import demand, models, ordering, products, results, service
+from larder.functions.costs import bin_masses, grid_with, nearest
+from larder.operators import demand, models, ordering, products, requests, results, service
 from larder.operators import forecasting as fc
 from larder.operators import hierarchy as tree
 from larder.plans import oracles as O
@@ -488,6 +488,43 @@ def pinball_report(spark, sf_dir):
     return one.select("model_name", "metric", (F.floor((2 * F.col("total") + 10 * F.col("n_folds")) / (20 * F.col("n_folds"))) / F.lit(1e5)).alias("value"), "n_folds")
 
 
+_ASKED = f"""asked AS (SELECT p_partkey AS request_id, CASE WHEN p_partkey % 17 = 0 THEN 'Brand' ELSE p_brand END AS item_id, CAST(CASE WHEN p_partkey % 7 < 5 THEN p_partkey % 7 WHEN p_partkey % 7 = 5 THEN 4 ELSE 6 END AS INT) AS fold,
+    CAST(CASE WHEN p_partkey % 11 = 0 THEN {S.HORIZON} ELSE p_size % 32 END AS INT) AS horizon, CAST(p_partkey % 23 AS DOUBLE) / 20 AS margin, CAST(p_partkey % 13 AS DOUBLE) / 10 AS spoilage, {Q.COSTS.holding}::DOUBLE AS holding FROM part),
+  costed AS (SELECT *, margin > 0 AND margin < 1 AND spoilage <= 1 AS good, margin / nullif(margin + (1 - margin) * (spoilage + holding), 0) AS r FROM asked),
+  judged AS (SELECT * EXCLUDE (good, r), CASE WHEN good THEN r END AS critical_ratio, nullif(concat_ws('; ', CASE WHEN item_id NOT IN (SELECT item_id FROM fact) THEN 'no such item' END, CASE WHEN fold NOT IN (SELECT fold FROM folds) THEN 'no such fold' END,
+    CASE WHEN horizon NOT BETWEEN 1 AND {S.HORIZON} THEN 'the horizon must lie in 1 to {S.HORIZON}' END, CASE WHEN NOT (margin > 0 AND margin < 1) THEN 'the margin must lie between 0 and 1' END, CASE WHEN spoilage > 1 THEN 'spoilage must lie in 0 to 1' END,
+    CASE WHEN good AND NOT r BETWEEN {S.LEVELS[0]} AND {S.LEVELS[-1]} THEN 'the critical ratio lies outside the quantiles' END), '') AS fault FROM costed)"""
+_BENT = "CASE " + " ".join(f"WHEN critical_ratio <= {b} THEN q[{i}] + (critical_ratio - {a}::DOUBLE) / {b - a!r}::DOUBLE * (q[{i + 1}] - q[{i}])" for i, (a, b) in enumerate(zip(S.LEVELS[:-1], S.LEVELS[1:], strict=True), 1)) + " END"
+_LOSS = " + ".join(f"{m!r}::DOUBLE * price * (greatest(q[{i}] - o, 0) * margin + greatest(o - q[{i}], 0) * (1 - margin) * (spoilage + holding))" for i, m in enumerate(bin_masses(S.LEVELS), 1))
+
+
+@query(f"""WITH {O.PANEL}, {_ASKED}, met AS (SELECT j.*, store_id, p.demand, price, q, {_BENT} AS o FROM judged j JOIN panel p USING (item_id, fold) JOIN folds USING (fold) WHERE fault IS NULL AND target_date - origin_date <= j.horizon),
+  summed AS (SELECT request_id, count(DISTINCT store_id) AS n_stores, sum(o) AS order_qty, sum(demand) AS demand, sum({_LOSS}) AS expected_cost FROM met GROUP BY 1)
+  SELECT request_id, item_id, fold, horizon, margin, spoilage, holding, round(critical_ratio, 6) AS critical_ratio, fault, n_stores, round(order_qty, 4) AS order_qty, demand, round(expected_cost, 2) AS expected_cost FROM judged LEFT JOIN summed USING (request_id)""")
+def asked_orders(spark, sf_dir):
+    """A request for each part: its brand's order over some days of a fold at costs of its own; many ask for what there is not."""
+    key = F.col("p_partkey")
+    asked = Q.table(spark, sf_dir, "part").select(
+        key.alias("request_id"), F.when(key % 17 == 0, "Brand").otherwise(F.col("p_brand")).alias("item_id"), F.when(key % 7 < 5, key % 7).when(key % 7 == 6, 6).cast("int").alias("fold"),
+        F.when(key % 11 != 0, F.col("p_size") % 32).cast("int").alias("horizon"), ((key % 23) / 20).alias("margin"), ((key % 13) / 10).alias("spoilage"), F.lit(None).cast("double").alias("holding"))
+    facts, panel = Q._panel(spark, sf_dir)
+    known = requests.checked(asked, fc.folds(facts), facts, Q.COSTS)
+    out = requests.answers(known, requests.sums_ahead(panel))
+    return out.withColumns({"critical_ratio": F.round("critical_ratio", 6), "order_qty": F.round("order_qty", 4), "expected_cost": F.round("expected_cost", 2)})
+
+
+@query(f"WITH x AS ({O.ORACLES['fold_metrics']}) SELECT * FROM x WHERE model_name = 'tsb' AND fold BETWEEN 2 AND 4 AND metric IN ('mase', 'rmsse')")
+def backtest_answer(spark, sf_dir):
+    """Scores of one model, of the later folds and of two metrics."""
+    return requests.matching(Q.fold_metrics(spark, sf_dir), model_name="tsb", fold=(2, 4), metric=["mase", "rmsse"])
+
+
+@query(f"WITH x AS ({O.ORACLES['mint_reconcile']}) SELECT * FROM x WHERE level = 'item' AND fold = 4 AND starts_with(node, 'ALL/ASIA/')")
+def hierarchy_answer(spark, sf_dir):
+    """Reconciled forecasts of one level below one store, of the latest fold."""
+    return requests.matching(Q.mint_reconcile(spark, sf_dir), level="item", fold=4, node="ALL/ASIA/*")
+
+
 @query(f"""WITH x AS ({O.ORACLES['coherence_gap']}) SELECT parent_level || ' > ' || child_level AS step, CAST(fold AS INT) AS fold, max(mean_abs_gap) FILTER (NOT reconciled) AS before, max(mean_abs_gap) FILTER (reconciled) AS after FROM x WHERE fold = (SELECT max(fold) FROM x) GROUP BY 1, 2""")
 def coherence_report(spark, sf_dir):
     """Gaps between parents and children before and after reconciling, of the latest fold."""
