@@ -38,18 +38,23 @@ def learned(rows: DataFrame, origins: DataFrame, horizon: int, levels: Sequence[
     days takes those of all days; totals that end after the origin are not learned from. With fewer than ``MIN_DAYS`` days or
     ``MIN_TOTALS`` totals before the origin there is no model, and no row. (daily with the scale of its product and fold, totals)
     """
-    own = origins.withColumnRenamed("sku", "s")
-    past = rows.join(own, (F.col("sku") == F.col("s")) & (F.col("date") <= F.col("origin_date"))).drop("s")
-    values = lambda c: F.percentile(c, F.array(*[F.lit(q) for q in levels]))
-    one = past.groupBy("sku", "fold", "origin_date").agg(values("v").alias("whole"), F.max_by("rising", "date").alias("before"), F.avg("change").alias("scale"), F.count("*").alias("n_days"), F.count_if(F.col("ends") <= F.col("origin_date")).alias("n_totals"))
+    rows = service.with_origins(rows, origins).withColumn("span", service.span(F.col("date")))
+    mark = lambda kind, value, where, weekday, trend: F.struct(F.lit(kind).alias("kind"), where.alias("span"), value.alias("value"), weekday.alias("weekday"), trend.alias("trend"))
+    none, no_trend = F.lit(None).cast("int"), F.lit(None).cast("boolean")
+    marks = [mark("day", F.col("v"), F.col("span"), F.col("weekday"), F.col("before")), mark("total", F.col("total"), service.span(F.col("ends")), none, F.col("rising")), mark("change", F.col("change"), F.col("span"), none, no_trend)]
+    past = service.value_counts(rows, marks, ["weekday", "trend"], F.max("date").alias("last"), F.max_by("rising", "date").alias("rising"))
+    grid = F.array(*[F.lit(q) for q in levels])
+    of = lambda kind, c="value": F.when(F.col("kind") == kind, F.col(c))
+    one = past.groupBy("sku", "fold", "origin_date").agg(
+        F.percentile(of("day"), grid, F.col("n")).alias("whole"), F.percentile(of("total"), grid, F.col("n")).alias("whole_total"), F.max_by("rising", of("day", "last")).alias("before"),
+        F.try_divide(F.sum(of("change") * F.col("n")), F.sum(of("change", "n"))).alias("scale"), F.sum(of("day", "n")).alias("n_days"), F.sum(of("total", "n")).alias("n_totals"))
     one = one.where((F.col("n_days") >= MIN_DAYS) & (F.col("n_totals") >= MIN_TOTALS)).drop("n_days", "n_totals")
-    leaves = past.groupBy("sku", "fold", "weekday", "before").agg(values("v").alias("leaf"))
+    leaves = past.where("kind = 'day'").groupBy("sku", "fold", "weekday", F.col("trend").alias("before")).agg(F.percentile("value", grid, F.col("n")).alias("leaf"))
     ahead = one.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")).withColumn("date", F.date_add("origin_date", F.col("h"))).withColumn("weekday", F.weekday("date"))
     daily = ahead.join(leaves, ["sku", "fold", "weekday", "before"], "left").select("sku", "fold", "origin_date", "date", "scale", F.coalesce("leaf", "whole").alias("quantiles"))
-    done = past.where(F.col("ends") <= F.col("origin_date"))
-    now = one.select("sku", "fold", F.col("before").alias("rising"))
-    totals = now.join(done.groupBy("sku", "fold", "rising").agg(values("total").alias("leaf")), ["sku", "fold", "rising"], "left").join(done.groupBy("sku", "fold").agg(values("total").alias("whole")), ["sku", "fold"], "left")
-    return daily, totals.select("sku", "fold", F.coalesce("leaf", "whole").alias("quantiles"))
+    own = past.where("kind = 'total'").groupBy("sku", "fold", F.col("trend").alias("before")).agg(F.percentile("value", grid, F.col("n")).alias("leaf"))
+    totals = one.select("sku", "fold", "before", "whole_total").join(own, ["sku", "fold", "before"], "left")
+    return daily, totals.select("sku", "fold", F.coalesce("leaf", "whole_total").alias("quantiles"))
 
 
 def backtest(series: DataFrame, horizon: int, ratio: float) -> DataFrame:

@@ -353,23 +353,53 @@ def sku_folds(series: DataFrame, horizon: int) -> DataFrame:
     return folds.select("sku", "fold", F.date_sub("last", ((F.col("n") - F.col("fold")) * horizon).cast("int")).alias("origin_date"))
 
 
+def with_origins(rows: DataFrame, folds: DataFrame) -> DataFrame:
+    """Rows with the ``origins`` (origin_date, fold) of their product, in order; products without folds are left out."""
+    own = folds.groupBy("sku").agg(F.array_sort(F.collect_list(F.struct("origin_date", "fold"))).alias("origins"))  # a few folds
+    return rows.join(own, "sku")
+
+
+def span(day: Column) -> Column:
+    """Where a day lies between the origins: how many of them come before it. The folds from that place on train on it."""
+    return F.size(F.filter("origins", lambda o: o["origin_date"] < day))
+
+
+def value_counts(rows: DataFrame, marks: Sequence[Column], by: Sequence[str], *more: Column) -> DataFrame:
+    """Values of marks (structs of kind, span, value and ``by``), counted once for each span, then given to every fold that trains on it.
+
+    ``rows`` have ``origins``. So a day is read once, and what folds get are counts of values: few where units are whole numbers, and
+    never more than days. A row for each fold and counted value: sku, fold, origin_date, kind, value, ``by``, n, and the aggregates ``more``.
+    """
+    x = rows.withColumn("mark", F.explode(F.array(*marks))).where(F.col("mark.value").isNotNull() & (F.col("mark.span") < F.size("origins")))
+    names = ["kind", "span", "value", *by]
+    parts = x.select(*rows.columns, *(F.col(f"mark.{c}").alias(f"m_{c}") for c in names)).groupBy("sku", *(F.col(f"m_{c}").alias(c) for c in names)).agg(F.count("*").alias("n"), F.any_value("origins").alias("origins"), *more)
+    kept = [c for c in parts.columns if c not in ("span", "origins")]
+    each = parts.withColumn("o", F.explode(F.slice("origins", F.col("span") + 1, F.size("origins"))))
+    return each.select(*kept, "o.fold", "o.origin_date")
+
+
 def sku_backtest(series: DataFrame, horizon: int, ratio: float, value: str = "units_sold") -> DataFrame:
     """The baseline's error on each product's folds: sku, fold, mase (median path) and pinball (of the total, at the ratio).
 
     Days without a value are left out: the last week is the last seven recorded days, and sums run over recorded days.
     """
-    folds = sku_folds(series, horizon).withColumnRenamed("sku", "s")
-    seen = series.where(F.col(value).isNotNull()).select("sku", "date", F.col(value).cast("double").alias("v"))
-    train = seen.join(folds, (F.col("sku") == F.col("s")) & (F.col("date") <= F.col("origin_date"))).drop("s")
-    w = Window.partitionBy("sku", "fold").orderBy("date")
-    own = Window.partitionBy("sku", "fold")
+    w = Window.partitionBy("sku").orderBy("date")
     frame = w.rowsBetween(0, horizon - 1)
-    train = train.withColumns({
-        "back": F.count(F.lit(1)).over(own) - F.row_number().over(w), "residual": F.col("v") - F.lag("v", 7).over(w), "change": F.abs(F.col("v") - F.lag("v").over(w)),
-        "total": F.when(F.count("v").over(frame) == horizon, F.sum("v").over(frame)), "sold": F.min(F.when(F.col("v") > 0, F.col("date"))).over(own)})
-    one = train.groupBy("sku", "fold", "origin_date").agg(
-        F.percentile("residual", F.lit(0.5)).alias("offset"), F.percentile("total", F.lit(round(ratio, 4))).alias("ordered"), F.avg(F.when(F.col("date") > F.col("sold"), F.col("change"))).alias("scale"),
-        F.array_sort(F.collect_list(F.when(F.col("back") < 7, F.struct(-F.col("back"), F.col("v").alias("v"))))).alias("week"))
+    seen = series.where(F.col(value).isNotNull()).select("sku", "date", F.col(value).cast("double").alias("v"))
+    sold = F.min(F.when(F.col("v") > 0, F.col("date"))).over(Window.partitionBy("sku"))
+    rows = seen.withColumns({
+        "at": F.row_number().over(w), "residual": F.col("v") - F.lag("v", 7).over(w), "change": F.when(F.col("date") > sold, F.abs(F.col("v") - F.lag("v").over(w))),
+        "total": F.when(F.count("v").over(frame) == horizon, F.sum("v").over(frame)), "ends": F.lead("date", horizon - 1).over(w)})
+    rows = with_origins(rows, sku_folds(series, horizon)).withColumn("span", span(F.col("date")))
+    rows = rows.withColumn("back", F.row_number().over(Window.partitionBy("sku", "span").orderBy(F.desc("date"))))
+    mark = lambda kind, value, where=F.col("span"), at=None: F.struct(F.lit(kind).alias("kind"), where.alias("span"), value.alias("value"), F.lit(at).cast("int").alias("at"))
+    week = F.struct(F.lit("week").alias("kind"), F.col("span"), F.when(F.col("back") <= 7, F.col("v")).alias("value"), F.col("at"))  # seven a span
+    counts = value_counts(rows, [mark("residual", F.col("residual")), mark("change", F.col("change")), mark("total", F.col("total"), span(F.col("ends"))), week], ["at"])
+    of = lambda kind, c="value": F.when(F.col("kind") == kind, F.col(c))
+    one = counts.groupBy("sku", "fold", "origin_date").agg(
+        F.percentile(of("residual"), F.lit(0.5), F.col("n")).alias("offset"), F.percentile(of("total"), F.lit(round(ratio, 4)), F.col("n")).alias("ordered"),
+        F.try_divide(F.sum(of("change") * F.col("n")), F.sum(of("change", "n"))).alias("scale"),
+        F.slice(F.array_sort(F.collect_list(F.when(F.col("kind") == "week", F.struct("at", F.col("value").alias("v"))))), -7, 7).alias("week"))
     one = one.where(F.size("week") == 7)
     ahead = one.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")).withColumn("date", F.date_add("origin_date", F.col("h")))
     ahead = ahead.withColumn("path", F.greatest(F.lit(0.0), F.col("week")[(F.col("h") - 1) % 7]["v"] + F.coalesce("offset", F.lit(0.0))))
