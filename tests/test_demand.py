@@ -162,9 +162,9 @@ def test_gate(spark):
     days = lambda sku, n, skip=(): [(sku, str(date(2024, 1, 1) + timedelta(days=i)), "1", "2.5") for i in range(n) if i not in skip]
     rows = [*days("short", 21), *days("good", 120), *days("gap", 120, range(50, 65)), ("good", "2024-01-05", "4", None), ("good", "nonsense", "1", None), ("", "2024-01-01", "1", None), (" good ", "05/01/2024", "-3", None), ("void", "2024-01-01", None, None), ("void", "2024-01-01", "x", None)]
     got = {r.sku: r for r in service.gate(upload(spark, rows)).collect()}
-    assert got["short"].reasons == ["90 days of history needed, 21 found"] and not got["short"].admitted
+    assert got["short"].reasons == [service.TOO_SHORT % 21] and not got["short"].admitted
     assert got["good"].admitted and got["good"].n_obs == 120 and got["gap"].max_gap_days == 15 and not got["gap"].admitted
-    assert got["void"].n_nonnull == 0 and "20 recorded days needed, 0 found (from 1 rows)" in got["void"].reasons
+    assert got["void"].n_nonnull == 0 and service.TOO_FEW % 0 in got["void"].reasons
     report = service.gate_report(upload(spark, rows)).first()
     assert report.rows_without_date == 1 and report.negative_units == 1 and report.rows_merged == 3 and report.fatal is None
     assert service.gate_report(upload(spark, [("a", "?", "1", None)])).first().fatal == "most dates can't be read"
@@ -191,7 +191,10 @@ def test_festivals_and_keywords(spark):
     days = spark.createDataFrame([(date(2022, 12, 1) + timedelta(days=i),) for i in range(40)], "date date")
     assert {r.date for r in service.active(days, feasts).collect()} == {date(2022, 12, 15) + timedelta(days=i) for i in range(12)}
     near = {r.date: r for r in service.proximity(days, feasts).collect()}
-    assert near[date(2022, 12, 5)].days_to_next == 20 and near[date(2022, 12, 26)].days_since_last == 1 and near[date(2022, 12, 1)].days_since_last == 45
+    assert near[date(2022, 12, 5)].days_to_next == 20 and near[date(2022, 12, 26)].days_since_last == 1
+    assert near[date(2022, 12, 1)].days_since_last == 38  # Diwali fell on 24 October
+    fixed = service.proximity(days, feasts.where("key in ('christmas', 'independence_day', 'republic_day')"))
+    assert fixed.where("date = '2022-12-01'").first().days_since_last == 45  # clipped
     units = [(("s", date(2022, 11, 1) + timedelta(days=i), 6.0 if date(2022, 12, 15) <= date(2022, 11, 1) + timedelta(days=i) < date(2022, 12, 25) else 2.0)) for i in range(100)]
     series = spark.createDataFrame(units, "sku string, date date, units_sold double")
     effect = service.uplift(service.occurrences(series, feasts)).first()
