@@ -164,7 +164,7 @@ def test_gate(spark):
     got = {r.sku: r for r in service.gate(upload(spark, rows)).collect()}
     assert got["short"].reasons == [service.TOO_SHORT % 21] and not got["short"].admitted
     assert got["good"].admitted and got["good"].n_obs == 120 and got["gap"].max_gap_days == 15 and not got["gap"].admitted
-    assert got["void"].n_nonnull == 0 and service.TOO_FEW % 0 in got["void"].reasons
+    assert got["void"].n_nonnull == 0 and service.TOO_FEW % 0 + " (in 1 rows)" in got["void"].reasons
     report = service.gate_report(upload(spark, rows)).first()
     assert report.rows_without_date == 1 and report.negative_units == 1 and report.rows_merged == 3 and report.fatal is None
     assert service.gate_report(upload(spark, [("a", "?", "1", None)])).first().fatal == "most dates can't be read"
