@@ -31,12 +31,13 @@ def learning_rows(series: DataFrame, horizon: int, value: str = "units_sold") ->
     return rows.withColumn("before", F.coalesce(F.lag("rising", horizon).over(w), F.lit(False)))
 
 
-def learned(rows: DataFrame, origins: DataFrame, horizon: int, levels: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+def learned(rows: DataFrame, origins: DataFrame, horizon: int, levels: Sequence[float], guarded: bool = True) -> tuple[DataFrame, DataFrame]:
     """Quantiles of each day ahead and of the whole window, for each product and fold of ``origins`` (sku, fold, origin_date).
 
     A leaf is a weekday and a trend, for totals a trend alone; its quantiles are those of the days in it up to the origin. A leaf without
-    days takes those of all days; totals that end after the origin are not learned from. With fewer than ``MIN_DAYS`` days or
-    ``MIN_TOTALS`` totals before the origin there is no model, and no row. (daily with the scale of its product and fold, totals)
+    days takes those of all days; totals that end after the origin are not learned from. If ``guarded``, with fewer than ``MIN_DAYS`` days
+    or ``MIN_TOTALS`` totals before the origin there is no model, and no row; else each product with a day has rows, and null totals where
+    it has no window. (daily with the scale of its product and fold, totals)
     """
     rows = service.with_origins(rows, origins).withColumn("span", service.span(F.col("date")))
     mark = lambda kind, value, where, weekday, trend: F.struct(F.lit(kind).alias("kind"), where.alias("span"), value.alias("value"), weekday.alias("weekday"), trend.alias("trend"))
@@ -48,7 +49,9 @@ def learned(rows: DataFrame, origins: DataFrame, horizon: int, levels: Sequence[
     one = past.groupBy("sku", "fold", "origin_date").agg(
         F.percentile(of("day"), grid, F.col("n")).alias("whole"), F.percentile(of("total"), grid, F.col("n")).alias("whole_total"), F.max_by("rising", of("day", "last")).alias("before"),
         F.try_divide(F.sum(of("change") * F.col("n")), F.sum(of("change", "n"))).alias("scale"), F.sum(of("day", "n")).alias("n_days"), F.sum(of("total", "n")).alias("n_totals"))
-    one = one.where((F.col("n_days") >= MIN_DAYS) & (F.col("n_totals") >= MIN_TOTALS)).drop("n_days", "n_totals")
+    if guarded:
+        one = one.where((F.col("n_days") >= MIN_DAYS) & (F.col("n_totals") >= MIN_TOTALS))
+    one = one.drop("n_days", "n_totals")
     leaves = past.where("kind = 'day'").groupBy("sku", "fold", "weekday", F.col("trend").alias("before")).agg(F.percentile("value", grid, F.col("n")).alias("leaf"))
     ahead = one.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")).withColumn("date", F.date_add("origin_date", F.col("h"))).withColumn("weekday", F.weekday("date"))
     daily = ahead.join(leaves, ["sku", "fold", "weekday", "before"], "left").select("sku", "fold", "origin_date", "date", "scale", F.coalesce("leaf", "whole").alias("quantiles"))

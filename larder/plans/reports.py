@@ -297,10 +297,13 @@ def health(spark, sf_dir):
 _Q = round(Q.COSTS.critical_ratio(), 4)
 
 
-def _learned(origins: str, levels: str, p: str) -> str:
+_GUARD = " HAVING count(*) >= 60 AND count(*) FILTER (ends <= origin_date) >= 24"
+
+
+def _learned(origins: str, levels: str, p: str, guard: str = _GUARD) -> str:
     """SQL of the leaves over the origins of a table: daily and total quantiles."""
     return f"""{p}past AS (SELECT r.*, fold, origin_date FROM learning r JOIN {origins} o ON o.sku = r.sku AND date <= origin_date),
-  {p}one AS (SELECT sku, fold, origin_date, quantile_cont(v, {levels}) AS whole, max_by(rising, date) AS before, avg(change) AS scale FROM {p}past GROUP BY 1, 2, 3 HAVING count(*) >= 60 AND count(*) FILTER (ends <= origin_date) >= 24),
+  {p}one AS (SELECT sku, fold, origin_date, quantile_cont(v, {levels}) AS whole, max_by(rising, date) AS before, avg(change) AS scale FROM {p}past GROUP BY 1, 2, 3{guard}),
   {p}leaves AS (SELECT sku, fold, weekday, before, quantile_cont(v, {levels}) AS leaf FROM {p}past GROUP BY 1, 2, 3, 4),
   {p}ahead AS (SELECT *, CAST(origin_date + h AS DATE) AS date, isodow(origin_date + h) AS weekday FROM {p}one, (SELECT CAST(unnest(range(1, {A + 1})) AS INT) AS h)),
   {p}daily AS (SELECT sku, fold, a.origin_date, a.date, a.scale, coalesce(leaf, whole) AS q FROM {p}ahead a LEFT JOIN {p}leaves USING (sku, fold, weekday, before)),
@@ -373,12 +376,12 @@ def sku_methods(spark, sf_dir):
     return Q.rounded(_methods(spark, sf_dir), 4)
 
 
-@query(f"""WITH {O.UPLOAD}, {_LEARNING}, ends_ AS (SELECT sku, 0 AS fold, max(date) AS origin_date FROM recorded GROUP BY 1), {_learned("ends_", O._LEVELS, "f_")}
+@query(f"""WITH {O.UPLOAD}, {_LEARNING}, ends_ AS (SELECT sku, 0 AS fold, max(date) AS origin_date FROM recorded GROUP BY 1), {_learned("ends_", O._LEVELS, "f_", "")}
   SELECT sku, date, list_transform(q, lambda x: round(x, 6)) AS quantiles FROM f_daily""")
 def sku_daily_quantiles(spark, sf_dir):
-    """Quantiles of each day ahead of each product's last recorded day."""
+    """Quantiles of each day ahead of each product's last recorded day, of every product that has one."""
     rows = products.learning_rows(Q._brands(spark, sf_dir), A)
-    daily = products.learned(rows, rows.groupBy("sku").agg(F.lit(0).alias("fold"), F.max("date").alias("origin_date")), A, S.LEVELS)[0]
+    daily = products.learned(rows, rows.groupBy("sku").agg(F.lit(0).alias("fold"), F.max("date").alias("origin_date")), A, S.LEVELS, guarded=False)[0]
     return daily.select("sku", "date", F.transform("quantiles", lambda x: F.round(x, 6)).alias("quantiles"))
 
 
