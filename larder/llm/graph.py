@@ -4,35 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from larder.llm.scratch import Scratch
 
 
+def _both(edges: DataFrame) -> DataFrame:
+    ends = F.array(F.struct("lo", "hi"), F.struct(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
+    return edges.select(F.explode(ends).alias("e")).select("e.lo", "e.hi")
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one lesser neighbour at most, and one with a lesser neighbour has no greater one."""
+    ends = _both(edges).groupBy("lo").agg(F.count_if(F.col("hi") < F.col("lo")).alias("less"), F.count_if(F.col("hi") > F.col("lo")).alias("more"))
+    return ends.agg(F.count_if((F.col("less") > 1) | ((F.col("less") > 0) & (F.col("more") > 0)))).first()[0] == 0
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root: each node of ``edges`` (a, b) with the smallest node that it reaches.
 
-    Alternates large-star and small-star steps, each a partial aggregate and a join on the node, until nothing changes; the edges of
-    every round are written, and none are collected.
+    Alternates large-star and small-star steps, each a window over the node, until all are stars; the edges of every round are written,
+    and none are collected.
     """
     now = scratch.save(edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
-    nodes = now
-    state = None
-    while True:
+    first = now
+    while not _stars(now):
         # large-star: greater neighbours move to the least of a node's neighbours and itself
-        both = now.union(now.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
-        least = both.groupBy("lo").agg(F.min("hi").alias("m")).select(F.col("lo").alias("u"), F.least("lo", "m").alias("m"))
-        large = both.where("hi > lo").join(least, F.col("lo") == F.col("u")).select(F.col("m").alias("lo"), "hi").where("lo <> hi").distinct()
+        least = F.least("lo", F.min("hi").over(Window.partitionBy("lo")))
+        large = _both(now).select("lo", "hi", least.alias("m")).where("hi > lo").select(F.col("m").alias("lo"), "hi")
         # small-star: lesser neighbours and the node itself move to the least of them
-        least = large.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("u"), "m")
-        moved = large.join(least, F.col("hi") == F.col("u"))
-        small = moved.select(F.col("m").alias("x"), F.col("lo").alias("y")).union(least.select(F.col("m").alias("x"), F.col("u").alias("y"))).where("x <> y")
-        new = scratch.save(small.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct(), "edges")
-        mark = new.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi") % 1000003), F.sum(F.xxhash64("hi") % 1000003)).first()
-        if now is not nodes:
+        small = large.select(F.min("lo").over(Window.partitionBy("hi")).alias("m"), F.array("lo", "hi").alias("ends"))
+        new = scratch.save(small.select(F.col("m").alias("lo"), F.explode("ends").alias("hi")).where("lo <> hi").distinct(), "edges")
+        if now is not first:
             scratch.drop(now)
         now = new
-        if mark == state:
-            break
-        state = mark
-    roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).union(now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))).distinct()
-    return scratch.save(roots, "components")
+    return scratch.save(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct().union(now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))), "components")

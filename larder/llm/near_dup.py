@@ -100,6 +100,15 @@ def _alike(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def _merged(found: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, root after more edges: only roots are put together anew."""
+    own = lambda s: found.select(F.col("node").alias(f"n{s}"), F.col("root").alias(f"r{s}"))
+    roots = more.join(own("a"), F.col("a") == F.col("na"), "left").join(own("b"), F.col("b") == F.col("nb"), "left")
+    joined = components(roots.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), scratch)
+    moved = found.join(joined.select(F.col("node").alias("n"), F.col("root").alias("r")), F.col("root") == F.col("n"), "left")
+    return moved.select("node", F.coalesce("r", "root").alias("root")).union(joined.join(found.select("node"), "node", "left_anti"))
+
+
 def clusters(signed: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root, n_shingles: classes that may have links, with their cluster."""
     nodes = scratch.save(signed.where("n_shingles > 0").select("class", "n_shingles", "keys", "sketch").dropDuplicates(["class"]), "classes")
@@ -125,7 +134,7 @@ def clusters(signed: DataFrame, scratch: Scratch) -> DataFrame:
         more = scratch.save(_alike(more), "more")
         if more.isEmpty():
             break
-        found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), scratch)
+        found = scratch.save(_merged(found, more, scratch), "found")
     scratch.drop(tables)
     return scratch.save(found.join(nodes.select("class", "n_shingles"), F.col("node") == F.col("class")).select("node", "root", "n_shingles"), "clusters")
 
