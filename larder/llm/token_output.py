@@ -35,8 +35,8 @@ OPTIONS = {
 }
 #: Words, and runs, held with their ids by one worker, and words learnt in one call.
 MOST, CALL = 400_000, 300
-#: Text encoded at once, about: the more, the fewer times a word is looked up.
-BATCH_BYTES = 6 << 20
+#: Text encoded at once, about: the more, the fewer times a word is looked up, and the more memory a worker takes beside the others.
+BATCH_BYTES = 2 << 20
 #: Characters whose words, lower case and normal form need no more than the pattern below: letters of the Latin script that lower
 #: to one letter, digits, ASCII, and common punctuation. A text with any other one is given to the tokenizer whole.
 _OTHER = "[^\t\n\r\x20-\x7e\u00a1\u00ab\u00bb\u00bf-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e\u2013\u2014\u2018-\u201d\u2026]"
@@ -204,25 +204,31 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
+def _token_rows(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, part: int) -> Iterator[pa.RecordBatch]:
+    """Rows of one file. What a batch leaves behind is given back before the next one."""
+    if tokenizer not in _loaded:
+        _loaded[tokenizer] = WordEncoder(tokenizer)
+    before = 0
+    for b in _joined(batches):
+        _, at = K.text_bytes(b.column(1))
+        for i, j in K.parts(at, BATCH_BYTES):
+            ids, n = _loaded[tokenizer].encode(b.column(1).slice(i, j - i), end)
+            K.release()
+            start = before + np.cumsum(n) - n
+            before += int(n.sum())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids, pa.int32()))
+            out = K.batch(FILE, np.full(j - i, part, np.int32), b.column(0).slice(i, j - i), start, n, lists)
+            for k in range(0, j - i, 1000):
+                yield out.slice(k, 1000)
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str) -> None:
     """Encodes every text and writes the files. ``tokenizer``: path of a tokenizers file on every executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if tokenizer not in _loaded:
-            _loaded[tokenizer] = WordEncoder(tokenizer)
-        part, before = TaskContext.get().partitionId(), 0
-        for b in _joined(batches):
-            _, at = K.text_bytes(b.column(1))
-            for i, j in K.parts(at, BATCH_BYTES):
-                ids, n = _loaded[tokenizer].encode(b.column(1).slice(i, j - i), end)
-                start = before + np.cumsum(n) - n
-                before += int(n.sum())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids, pa.int32()))
-                out = K.batch(FILE, np.full(j - i, part, np.int32), b.column(0).slice(i, j - i), start, n, lists)
-                for k in range(0, j - i, 1000):
-                    yield out.slice(k, 1000)
+        yield from _token_rows(batches, tokenizer, end, TaskContext.get().partitionId())
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     order: list[Column] = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
@@ -266,4 +272,4 @@ def checksums(tokens: DataFrame) -> DataFrame:
             raw = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<i4").view(np.uint8))  # the same bytes as unsigned
             yield K.batch(schema, b.column(0), b.column(1), np.diff(at), [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
 
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(K.tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
