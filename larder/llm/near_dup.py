@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from larder.llm import kernels as K
 from larder.llm.graph import components
@@ -117,19 +118,23 @@ def clusters(signed: DataFrame, scratch: Scratch) -> DataFrame:
     live = single.join(shared, F.col("key") == F.col("k")).groupBy("class").agg(
         F.collect_list(F.when(F.col("place") < KEYS, F.col("key"))).alias("g"), F.collect_list(F.when(F.col("place") >= KEYS, F.col("key"))).alias("h"))
     tables = live.select("class", F.explode("g").alias("g"), "h").select("class", "g", F.explode("h").alias("h")).select(F.xxhash64("g", "h").alias("t"), "class")
+    of = Window.partitionBy("t")
+    tables = tables.select("t", "class", F.min("class").over(of).alias("least"), F.max("class").over(of).alias("most")).where("least <> most")
     tables = scratch.save(tables, "tables")
-    ends = tables.groupBy("t").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most")
-    pairs = tables.join(ends, "t").select("class", F.explode(F.array("least", "most")).alias("lead")).where("class <> lead")
+    pairs = tables.select("class", F.explode(F.array("least", "most")).alias("lead")).where("class <> lead")
     pairs = scratch.save(pairs.select(F.least("class", "lead").alias("a"), F.greatest("class", "lead").alias("b")).distinct(), "pairs")
     sketch = nodes.select("class", "sketch")
     pairs = pairs.join(sketch.select(F.col("class").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("class").alias("b"), F.col("sketch").alias("y")), "b")
     found = components(_alike(pairs), scratch)
     # leads of different clusters that share a table: joined while their sketches agree
+    lead = tables.select("t", "class", F.col("class").alias("lead"), F.col("class").alias("last"))
     while True:
-        own = tables.join(found, F.col("class") == F.col("node"), "left").select("t", "class", F.coalesce("root", "class").alias("root"))
-        lead = own.groupBy("t", "root").agg(F.min("class").alias("lead"), F.max("class").alias("last"))
-        one = lead.groupBy("t").agg(F.min_by(F.struct("root", "lead"), F.struct("root", "lead")).alias("one"), F.count("*").alias("n")).where("n > 1").select("t", "one.*").toDF("t", "r", "a")
-        more = lead.join(one, "t").where("root <> r").select("a", F.explode(F.array("lead", "last")).alias("b")).distinct()
+        own = lead.join(found, F.col("class") == F.col("node"), "left").select("t", F.coalesce("root", "class").alias("class"), "lead", "last")
+        # a table of one cluster stays one: only the others are kept for later rounds, with a row for each cluster
+        own = own.repartition("t").groupBy("t", "class").agg(F.min("lead").alias("lead"), F.max("last").alias("last"))
+        own = own.withColumn("one", F.min(F.struct("class", "lead")).over(of)).withColumn("most", F.max("class").over(of)).where("one.class <> most")
+        lead = scratch.save(own.select("t", "class", "lead", "last", F.when(F.col("class") != F.col("one.class"), F.col("one.lead")).alias("a")), "leads")
+        more = lead.where("a is not null").select("a", F.explode(F.array("lead", "last")).alias("b")).distinct()
         more = more.join(sketch.select(F.col("class").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("class").alias("b"), F.col("sketch").alias("y")), "b")
         more = scratch.save(_alike(more), "more")
         if more.isEmpty():
